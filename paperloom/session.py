@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,3 +45,21 @@ def durable(df: DataFrame) -> DataFrame:
 def cores(spark: SparkSession) -> int:
     """Task slots, at least two."""
     return max(2, spark.sparkContext.defaultParallelism or os.cpu_count() or 2)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per context.
+
+    Spark's own file server hands the archive to the executors, new ones
+    included, so no folder on them need hold the package.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_paperloom_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="paperloom-")) / "paperloom-code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(home.rglob("*.py")):
+            out.write(source, source.relative_to(home.parent))
+    context.addPyFile(str(archive))
+    context._paperloom_shipped = True
