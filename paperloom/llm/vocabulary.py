@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.session import durable
+
 #: A word belongs to the vocabulary if at least this share of all words is it,
 #: so that the vocabulary never holds more than 1 / MIN_SHARE words ...
 MIN_SHARE = 2e-5
@@ -100,12 +102,9 @@ class Vocabulary:
 
 
 def frequent_words(counts: DataFrame) -> Vocabulary:
-    """The vocabulary from `word_counts`.
-
-    At most 1 / MIN_SHARE words can have a share of MIN_SHARE, so the most
-    frequent rows of that number hold all of them, whatever the corpus.
-    """
-    rows = counts.orderBy(F.desc("n"), "word").limit(int(1 / MIN_SHARE) + 1).collect()
-    found = {r["word"]: r["n"] for r in rows if r["word"] is not None}
-    total = found.pop("", 0)
-    return Vocabulary({w: n for w, n in found.items() if n >= max(MIN_COUNT, MIN_SHARE * total)}, total)
+    """The vocabulary from `word_counts`; at most 1 / MIN_SHARE words can have a share of MIN_SHARE, whatever the corpus."""
+    kept = durable(counts)
+    total = next((r["n"] for r in kept.where("word = ''").collect()), 0)
+    least = max(MIN_COUNT, MIN_SHARE * total)
+    rows = kept.where((F.col("word") != "") & (F.col("n") >= least)).collect()
+    return Vocabulary({r["word"]: r["n"] for r in rows}, total)
