@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.llm import character_queries, language_queries, leakage_queries, stats_queries, token_queries, truncation_queries
+from paperloom.llm import character_queries, language_queries, leakage_queries, scan_queries, stats_queries, token_queries, truncation_queries
 
-_MODULES = [character_queries, stats_queries, language_queries, token_queries, leakage_queries, truncation_queries]
+_MODULES = [character_queries, stats_queries, scan_queries, language_queries, token_queries, leakage_queries, truncation_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -97,17 +97,18 @@ class Forms:
 
     def consistent(self, text: str) -> tuple[str, bool]:
         """The consistent form, with wrong decoding restored, and whether the text deviated by other than that."""
-        if text.isascii() or not _QUICK.search(text):
+        if text.isascii():
             return text, False
         damage = self.repairer.damage(text)
+        quick = _QUICK.search(text) is not None
         if not damage:
-            plain = self.normalise(text)
-            return (plain, True) if plain != text and self._deviates(text) else (plain, False)
+            plain = self.normalise(text) if quick else text
+            return plain, plain != text and self._deviates(text)
         deviates, done = False, {}
         for token in set(tokens(text)):
             if token in damage:
                 done[token] = self.normalise(damage[token])
-            elif (plain := self.normalise(token)) != token:
+            elif quick and (plain := self.normalise(token)) != token:
                 done[token] = plain
                 deviates = deviates or self._deviates(token)
         return self.repairer.restore(text, done), deviates

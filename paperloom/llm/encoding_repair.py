@@ -228,7 +228,7 @@ class Repairer:
 
     def _patch(self, token: str) -> tuple[str, float]:
         """A token with single lost characters, filled from the vocabulary."""
-        return self.viterbi([("", 0x27, 0xFFFC) if c == _LOST else (c, 0, 0) for c in token])
+        return self.viterbi([("", 0xA0, 0xFFFC) if c == _LOST else (c, 0, 0) for c in token])
 
     def verdict(self, token: str) -> tuple[str, float] | None:
         """``(restored text, gain)`` of a damaged token, None of a sound one."""
