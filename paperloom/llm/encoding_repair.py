@@ -177,7 +177,7 @@ class Repairer:
                         if done is None:
                             done = cost + _UNKNOWN_WORD + sum(map(self._letter, self._open_word(text)))
                         offer(new, "between", done + (_STRANGE if c == _LOST else self._symbol(c)), text + c, root, False)
-            states = dict(sorted(new.items(), key=lambda x: x[1][0])[:_BEAM])
+            states = dict(sorted(new.items(), key=lambda x: x[1][0] + (x[1][2].get(None, 0.0) if x[1][3] and x[1][2] is not None else 0.0))[:_BEAM])
         best = ("", float("inf"))
         for cost, text, node, inside in states.values():
             done = ended(cost, node, inside)

@@ -87,13 +87,14 @@ class Vocabulary:
         self.__init__(*state)
 
     def trie(self) -> dict:
-        """Nested dictionaries by character; the key '' holds a word's cost."""
+        """Nested dictionaries by character; the key '' holds a word's cost, None the least cost of the words below."""
         if self._trie is None:
             self._trie = {}
             for word, cost in self.cost.items():
                 node = self._trie
                 for c in word:
                     node = node.setdefault(c, {})
+                    node[None] = min(cost, node.get(None, cost))
                 node[""] = cost
         return self._trie
 
