@@ -95,11 +95,15 @@ class Forms:
             plain = _FORMS.sub(self._plain, plain)
         return _WORD.sub(lambda m: self.repair_word(m[0]), plain)
 
-    def consistent(self, text: str) -> tuple[str, bool]:
-        """The consistent form, with wrong decoding restored, and whether the text deviated by other than that."""
+    def consistent(self, text: str, damage: dict[str, str] | None = None) -> tuple[str, bool]:
+        """The consistent form, with wrong decoding restored, and whether the text deviated by other than that.
+
+        ``damage`` is what the repairer found, if that was asked before.
+        """
         if text.isascii():
             return text, False
-        damage = self.repairer.damage(text)
+        if damage is None:
+            damage = self.repairer.damage(text)
         quick = _QUICK.search(text) is not None
         if not damage:
             plain = self.normalise(text) if quick else text

@@ -279,18 +279,22 @@ class Repairer:
         if text.isascii() and not _LOST_INSIDE.search(text):
             return {}
         found: dict[str, str] = {}
-        sound = 0
-        for token in set(tokens(text)):
+        own = set(tokens(text))
+        for token in own:
             if token.isascii() and "?" not in token:
-                sound += token.lower() in self.vocabulary
                 continue
             verdict = self.verdict(token)
             if verdict is not None and not self._is_cited(token):
                 found[token] = verdict[0]
-                sound += any(w.lower() in self.vocabulary for w in WORD.findall(verdict[0]))
-            else:
-                sound += any(w in self.vocabulary for w in pieces(token))
-        return found if sound >= 2 else {}
+        if not found:
+            return {}
+        sound = 0  # tokens that speak for language, as they are or repaired
+        for token in own:
+            restored = found.get(token)
+            sound += any(w.lower() in self.vocabulary for w in (pieces(token) if restored is None else WORD.findall(restored)))
+            if sound >= 2:
+                return found
+        return {}
 
     def restore(self, text: str, damage: dict[str, str]) -> str:
         """The text with its damaged tokens replaced; white space stays."""

@@ -96,6 +96,27 @@ def reading_cost(word: str, meant: str) -> tuple[int, int]:
     return misread, other
 
 
+def only_misread(word: str, meant: str) -> int | None:
+    """The least number of misreadings that make ``meant`` the word, None if it takes other edits."""
+    best: int | None = None
+    stack, seen = [(0, 0, 0)], {}
+    n, m = len(word), len(meant)
+    while stack:
+        i, j, count = stack.pop()
+        if seen.get((i, j), 1 << 30) <= count or (best is not None and count >= best):
+            continue
+        seen[i, j] = count
+        if i == n and j == m:
+            best = count
+            continue
+        for step, back in ((1, 1), (2, 1), (1, 2)):
+            if i + step <= n and j + back <= m and (word[i : i + step], meant[j : j + back]) in _PAIRS:
+                stack.append((i + step, j + back, count + 1))
+        if i < n and j < m and word[i] == meant[j]:
+            stack.append((i + 1, j + 1, count))
+    return best
+
+
 class Corrector:
     """Vocabulary words that an unknown one may have been, by q-grams in common, and their ranking."""
 
@@ -128,13 +149,11 @@ class Corrector:
         top = top[share[top] > 0.1]
         return [(int(i), float(share[i])) for i in top[np.argsort(-share[top], kind="stable")]]
 
-    def _features(self, word: str, found: list[tuple[int, float]]) -> np.ndarray:
+    def _features(self, word: str, found: list[tuple[int, float]], costs: list[tuple[int, int]], best: float) -> np.ndarray:
         rows = []
-        best = found[0][1]
         digits = sum(c.isdigit() for c in word)
-        for i, share in found:
+        for (i, share), (misread, other) in zip(found, costs):
             meant = self.words[i]
-            misread, other = reading_cost(word, meant)
             rows.append((misread, other, share, best - share, len(word), len(meant) - len(word), -self.vocabulary.cost[meant], digits, misread / len(word), word[0] == meant[0]))
         return np.array(rows, float)
 
@@ -147,10 +166,10 @@ class Corrector:
         for i in sample:
             written = misread(self.words[i], rng)
             if written and written not in self.vocabulary and (found := self.candidates(written)):
-                x.append(self._features(written, found))
+                x.append(self._features(written, found, [reading_cost(written, self.words[k]) for k, _ in found], found[0][1]))
                 y += [float(k == i) for k, _ in found]
             if found := self.candidates(self.words[i], without=i):
-                x.append(self._features(self.words[i], found))
+                x.append(self._features(self.words[i], found, [reading_cost(self.words[i], self.words[k]) for k, _ in found], found[0][1]))
                 y += [0.0] * len(found)
         self.ranker = BoostedTrees(rounds=40).fit(np.concatenate(x) if x else np.zeros((0, 10)), np.array(y))
         return self
@@ -162,14 +181,13 @@ class Corrector:
             return self.known[low]
         out = None
         if 3 <= len(low) <= 40 and low not in self.vocabulary and low[0] < "ʰ" and not low.isdigit() and not _NUMERAL.fullmatch(low) and (found := self.candidates(low)):
-            x = self._features(low, found)
-            x = x[:3] if len(x) > 3 and x[:3, 1].min() == 0 else x
-            p = self.ranker.probability(x)
             # what was meant must explain every deviation
-            p[(x[:, 1] > 0) | (x[:, 0] == 0)] = 0
-            k = int(p.argmax())
-            if p[k] >= ACCEPT:
-                out = self.words[found[k][0]]
+            within = [(k, n) for k in found if (n := only_misread(low, self.words[k[0]]))]
+            if within:
+                p = self.ranker.probability(self._features(low, [k for k, _ in within], [(n, 0) for _, n in within], found[0][1]))
+                k = int(p.argmax())
+                if p[k] >= ACCEPT:
+                    out = self.words[within[k][0][0]]
         if len(self.known) > 300_000:
             self.known.clear()
         self.known[low] = out
@@ -416,7 +434,11 @@ class Cleaner:
                         taken[follower] = len(rest)
             kept.append(row)
         body = "\n".join(kept)
-        right = {w: r for w in set(_WORD.findall(body)) if (r := self._right(w)) is not None and w.lower() not in skip}
+        words = set(_WORD.findall(body))
+        right: dict[str, str] = {}
+        # where most words are unknown, there is no language to correct by
+        if 2 * sum(w[0].isdigit() or w.lower() in self.corrector.vocabulary for w in words) >= len(words):
+            right = {w: r for w in words if (r := self._right(w)) is not None and w.lower() not in skip}
         if right:
             noise.add("chars")
             body = _WORD.sub(lambda m: right.get(m[0], m[0]), body)

@@ -85,7 +85,7 @@ def cleaned_records(spark: SparkSession, folder: str) -> DataFrame:
                     continue
                 damage = forms.repairer.damage(text)
                 skip = {w.lower() for token in damage.values() for w in WORD.findall(token)}
-                whole = forms.consistent(text)[0]
+                whole = forms.consistent(text, damage)[0]
                 repair = cleaner.clean(whole, skip)
                 if repair.noise:
                     at.append(i)
