@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.plans import nested_queries
+from paperloom.plans import glyph_queries, nested_queries, page_queries, pdf_queries, scalar_queries
 
 FLAGSHIP = "p6_found"
-_MODULES = [nested_queries]
+_MODULES = [nested_queries, glyph_queries, page_queries, scalar_queries, pdf_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
