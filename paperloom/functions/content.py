@@ -224,20 +224,22 @@ class Interpreter:
         font, size, scale = text.font, text.size, text.scale
         space = (font.width(32, 1) / 1000 if font.width(32, 1) > 0 else 0.8 * font.width(65, 1) / 1000 if font.width(65, 1) > 0 else 0.25) if font else 0.25
         mark = marks[-1] if marks else None
-        for code, length in font.codes(raw) if font else [(b, 1) for b in raw]:
-            width = font.width(code, length) / 1000 if font else 0.0
-            shown = font.text(code, length) if font else chr(code)
-            start = multiply(multiply((size * scale, 0.0, 0.0, size, 0.0, text.rise), matrix), ctm)
-            after = multiply((1.0, 0.0, 0.0, 1.0, width * size * scale, 0.0), matrix)
-            end = multiply(multiply((size * scale, 0.0, 0.0, size, 0.0, text.rise), after), ctm)
-            across = (start[0] ** 2 + start[1] ** 2) ** 0.5
-            height = (start[2] ** 2 + start[3] ** 2) ** 0.5
+        mcid, tag = (mark.mcid, mark.tag) if mark else (None, None)
+        start = multiply(multiply((size * scale, 0.0, 0.0, size, 0.0, text.rise), matrix), ctm)
+        # along the run only the place changes, by so much for each unit of advance
+        step_x, step_y = matrix[0] * ctm[0] + matrix[1] * ctm[2], matrix[0] * ctm[1] + matrix[1] * ctm[3]
+        a, b, x, y = start[0], start[1], start[4], start[5]
+        space *= (a * a + b * b) ** 0.5
+        height = (start[2] ** 2 + start[3] ** 2) ** 0.5
+        upright = abs(a) >= abs(b)
+        per_width, extra, word = size * scale / 1000, text.char_space * scale, text.word_space * scale
+        total, name, out = 0.0, text.font_name, self.glyphs
+        for code, length, shown, width in font.shown(raw) if font else [(c, 1, chr(c), 0.0) for c in raw]:
+            wide = width * per_width
             if shown:
-                upright = abs(start[0]) >= abs(start[1])
-                self.glyphs.append(Glyph(shown, start[0], start[1], start[4], start[5], height, end[4] - start[4] if upright else end[5] - start[5], space * across, size, text.font_name, code, mark.mcid if mark else None, mark.tag if mark else None))
-            advance = (width * size + text.char_space + (text.word_space if length == 1 and code == 32 else 0.0)) * scale
-            matrix = multiply((1.0, 0.0, 0.0, 1.0, advance, 0.0), matrix)
-        return matrix
+                out.append(Glyph(shown, a, b, x + total * step_x, y + total * step_y, height, wide * (step_x if upright else step_y), space, size, name, code, mcid, tag))
+            total += wide + extra + (word if code == 32 and length == 1 else 0.0)
+        return (*matrix[:4], matrix[4] + total * matrix[0], matrix[5] + total * matrix[1])
 
 
 def text_string(raw: bytes) -> str:

@@ -269,6 +269,7 @@ class Font:
         else:
             self._simple(document, dictionary)
         self.starts = [r[0] for r in self.ranges]
+        self._known: dict = {}
 
     def _simple(self, document: Document, dictionary: dict) -> None:
         get = lambda key: document.of(dictionary, key)
@@ -335,6 +336,16 @@ class Font:
             at += length
         return out
 
+    def shown(self, raw: bytes) -> list[tuple[int, int, str | None, float]]:
+        """Codes of shown bytes with length, text and width; each is worked out once."""
+        known, out = self._known, []
+        for key in raw if not self.composite else self.codes(raw):
+            if (found := known.get(key)) is None:
+                code, length = (key, 1) if not self.composite else key
+                found = known[key] = (code, length, self.text(code, length), self.width(code, length))
+            out.append(found)
+        return out
+
     def text(self, code: int, length: int) -> str | None:
         """The text of a code; None for an unmapped one."""
         if self.to_unicode is not None:

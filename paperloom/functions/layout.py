@@ -75,7 +75,7 @@ def normalise(text: str) -> str:
     return unicodedata.normalize("NFC", text)
 
 
-@dataclass
+@dataclass(slots=True)
 class _Placed:
     text: str
     x: float
@@ -86,14 +86,27 @@ class _Placed:
     angle: int
 
 
+_CELL = 16.0
+
+
 def _without_duplicates(glyphs: list[_Placed]) -> list[_Placed]:
+    """Glyphs without those near a kept one of the same text. Kept ones are looked up by strips of the page."""
     kept: list[_Placed] = []
-    places: dict[str, list[_Placed]] = defaultdict(list)
+    strips: dict[tuple[str, int], list[_Placed]] = defaultdict(list)
     for g in glyphs:
         reach = abs(g.width) / max(len(g.text), 1) / 3
-        if reach > 0 and any(abs(o.x - g.x) < reach and abs(o.y - g.y) < reach for o in places[g.text]):
-            continue
-        places[g.text].append(g)
+        if reach > 0:
+            hidden = False
+            for strip in range(int((g.y - reach) // _CELL), int((g.y + reach) // _CELL) + 1):
+                for o in reversed(strips.get((g.text, strip), ())):
+                    if -reach < o.x - g.x < reach and -reach < o.y - g.y < reach:
+                        hidden = True
+                        break
+                if hidden:
+                    break
+            if hidden:
+                continue
+        strips[g.text, int(g.y // _CELL)].append(g)
         kept.append(g)
     return kept
 
@@ -101,19 +114,22 @@ def _without_duplicates(glyphs: list[_Placed]) -> list[_Placed]:
 def _without_contained_spaces(glyphs: list[_Placed]) -> list[_Placed]:
     out = []
     for i, g in enumerate(glyphs):
-        if g.text == " " and any(
-            o.text != " " and o.angle == g.angle and overlap(g.y, g.height, o.y, o.height) and o.x <= g.x and g.x + g.width <= o.x + o.width
-            for o in glyphs[max(0, i - 5) : i + 6]
-        ):
-            continue
-        out.append(g)
+        if g.text == " ":
+            left, right = g.x, g.x + g.width
+            for o in glyphs[max(0, i - 5) : i + 6]:
+                if o.x <= left and right <= o.x + o.width and o.text != " " and o.angle == g.angle and overlap(g.y, g.height, o.y, o.height):
+                    break
+            else:
+                out.append(g)
+        else:
+            out.append(g)
     return out
 
 
 def _with_marks(glyphs: list[_Placed]) -> list[_Placed]:
     out: list[_Placed] = []
     for g in glyphs:
-        if out and g.text and all(map(is_mark, g.text)):
+        if out and g.text[:1] >= "\u0300" and all(map(is_mark, g.text)):
             out[-1].text = unicodedata.normalize("NFC", out[-1].text + g.text)
         elif g.text:
             out.append(g)
@@ -132,7 +148,11 @@ def assemble(glyphs: list[tuple], config: Config | None = None) -> str:
         if text:
             angle = direction(a, b)
             x, y = adjusted(angle, tx, ty, page_width, page_height)
-            placed.append(_Placed(text, float(np.float32(x)), float(np.float32(y)), abs(width), height, space, angle))
+            placed.append(_Placed(text, x, y, abs(width), height, space, angle))
+    # places are kept in single precision, so that tiny differences do not reorder glyphs
+    for axis in ("x", "y"):
+        for g, v in zip(placed, np.array([getattr(g, axis) for g in placed], np.float32).tolist()):
+            setattr(g, axis, v)
     if c.sort:
         placed.sort(key=lambda g: (g.angle, g.y, g.x))
     if c.suppress_duplicates:

@@ -7,25 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.session import table
+from paperloom.functions.layout import LIGATURES
+from paperloom.session import spread, table
 from paperloom.sources import pdf_tables as T
 from paperloom.sources.pdf_writer import texts_to_pdf
 
 
 def _files(spark: SparkSession, folder: str, packed: bool = False) -> DataFrame:
     rows = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
-    return texts_to_pdf(rows, "doc_id", "text", packed)
+    return texts_to_pdf(spread(rows), "doc_id", "text", packed)
 
 
 def _key(rows: DataFrame) -> DataFrame:
     return rows.withColumn("doc_id", F.col("path").cast("bigint")).drop("path")
 
 
-def _solid(text):
-    """A text without white space, which a page does not keep."""
-    return F.regexp_replace(text, r"[\p{Z}\s\x00-\x20\x7F-\xA0]+", "")
-
-
 def pdf_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Each document's ASCII characters, written to a file and read from its pages."""
     read = _key(T.document_text(_files(spark, folder)))
@@ -69,10 +65,11 @@ def pdf_object_types(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ASCII = "regexp_replace(text, '[^!-~]+', '', 'g')"
+_NORMAL = "regexp_replace(nfc_normalize(" + "replace(" * len(LIGATURES) + "text" + "".join(f", '{a}', '{b}')" for a, b in LIGATURES.items()) + "), '[^!-~]+', '', 'g')"
 SQL: dict[str, str] = {
-    "pdf_roundtrip": f"select doc_id, 'ok' as status, {_ASCII} as text from documents where text is not null",
+    "pdf_roundtrip": f"select doc_id, 'ok' as status, {_NORMAL} as text from documents where text is not null",
     "pdf_packed": "select doc_id, 'ok' as status, 1.7::float as version, false as encrypted, false as recovered, true as has_pages from documents where text is not null",
-    "pdf_damaged": f"select doc_id, 'ok' as status, {_ASCII} as text from documents where text is not null",
+    "pdf_damaged": f"select doc_id, 'ok' as status, {_NORMAL} as text from documents where text is not null",
     "pdf_glyph_counts": f"select * from (select doc_id, length({_ASCII}) as glyphs from documents where text is not null) where glyphs > 0",
 }
 

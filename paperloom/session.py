@@ -63,3 +63,9 @@ def ship(spark: SparkSession) -> None:
             out.write(source, source.relative_to(home.parent))
     context.addPyFile(str(archive))
     context._paperloom_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all slots, if they come in fewer tasks: for work that costs far more than moving its input."""
+    slots = cores(df.sparkSession)
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
