@@ -86,7 +86,7 @@ def parsed_date(text: Column) -> Column:
     full = F.concat(digits, F.substring(F.lit("00000101000000"), F.length(digits) + 1, F.lit(14)))
     sign, hours, minutes = (F.regexp_extract(text, r"^\s*(?:D:)?\d{4,14}([-+])(\d\d)'?(\d\d)?", g) for g in (1, 2, 3))
     shift = F.when(sign == "", 0).otherwise(F.when(sign == "-", 1).otherwise(-1) * (F.try_to_number(hours, F.lit("99")) * 60 + F.coalesce(F.try_to_number(minutes, F.lit("99")), F.lit(0))))
-    return F.when(F.length(digits) % 2 == 0, F.try_to_timestamp(full, F.lit("yyyyMMddHHmmss")) + F.make_dt_interval(mins=shift.cast("int")))
+    return F.when((F.length(digits) >= 4) & (F.length(digits) % 2 == 0), F.try_to_timestamp(full, F.lit("yyyyMMddHHmmss")) + F.make_dt_interval(mins=shift.cast("int")))
 
 
 # page labels -------------------------------------------------------------------
