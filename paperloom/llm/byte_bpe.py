@@ -36,6 +36,10 @@ def read_ranks(path: str | Path) -> dict[bytes, int]:
     return ranks
 
 
+class _NotLearned(Exception):
+    """The vocabulary is none that merging gives."""
+
+
 class Transducer:
     """Encodes bytes; decodes ids. Holds what it has determined so far."""
 
@@ -122,6 +126,8 @@ class Transducer:
             if token is not None and self.stands(token) and (left is None or self.beside(left, token)):
                 lasts = (*lasts, token)
                 break
+        else:
+            raise _NotLearned
         size = len(window)
         # places that a later token may still begin at
         first = next((s for s in range(size) if window[s:] in self.open), size)
@@ -154,14 +160,27 @@ class Transducer:
         if len(self.states) > _MAX_STATES:
             self.reset()
         state, out, moves = 0, [], self.moves
-        for byte in raw:
-            move = moves[state].get(byte) or self.step(state, byte)
-            state = move[0]
-            if move[1]:
-                out.extend(move[1])
+        try:
+            for byte in raw:
+                move = moves[state].get(byte) or self.step(state, byte)
+                state = move[0]
+                if move[1]:
+                    out.extend(move[1])
+        except _NotLearned:
+            return self._merged(raw)
         out.extend(self.ends[state])
         return out
 
+    def _merged(self, raw: bytes) -> list[int]:
+        """The ids by merging, for vocabularies with tokens that their merges never make."""
+        ids = [self.ranks[raw[i : i + 1]] for i in range(len(raw))]
+        while True:
+            ranked = [(r, i) for i in range(len(ids) - 1) if (r := self.ranks.get(self.bytes_of[ids[i]] + self.bytes_of[ids[i + 1]])) is not None]
+            if not ranked:
+                return ids
+            best, at = min(ranked)
+            ids[at : at + 2] = [best]
+
     def encode(self, text: str) -> list[int]:
         """The ids of a text, without special tokens: their strings are ordinary text."""
         out: list[int] = []

@@ -35,6 +35,9 @@ _PLAIN_MARKS = set("“”„‘’‚«»–—…•·°§¿¡")
 _BEAM = 48
 _LOST = "�"
 _LOST_INSIDE = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
+#: How unlikely a question mark is within a word, and what a lost mark within a word was: an apostrophe after or before few letters, or a letter.
+_LOST_MARK = 12.0
+_ELIDED = re.compile(r"\b\w{1,2}’\w|\w’(?:s|t|d|m|re|ll|ve)\b|^[^’]*[^\x00-\x7f’][^’]*$")
 #: What a quoted mention of a damaged sequence looks like: the marks, then a few characters without letters of a word.
 _CITED = re.compile(r"""[“"„«‘'‹(\[]([^\sA-Za-z]{1,9})[”"“»’'›)\]][.,;:!?)]*""")
 
@@ -259,10 +262,11 @@ class Repairer:
             if here - cost <= MARGIN:
                 break
             best, text, gain = reading, reading, gain + here - cost
-        if _LOST_INSIDE.search(text) and lost:
+        if lost and _LOST_INSIDE.search(text):
             filled, cost = self.viterbi([("", 0xA0, 0xFFFC) if _LOST_INSIDE.match(text, i) else (c, 0, 0) for i, c in enumerate(text)])
-            if _LOST not in filled and self.in_vocabulary(filled) and self.cost(text) - cost > PRIOR_UTF8 + MARGIN:
-                best, gain = filled, gain + self.cost(text) - cost
+            gained = self.cost(text) + _LOST_MARK - cost
+            if _LOST not in filled and self.in_vocabulary(filled) and _ELIDED.search(filled) and gained > PRIOR_UTF8 + MARGIN:
+                best, gain = filled, gain + gained
         return (best, gain) if best is not None else None
 
     # records ---------------------------------------------------------------

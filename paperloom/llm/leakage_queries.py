@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.leakage import SHARD_WORDS, Items, Shard, merged, prepare
-from paperloom.session import table
+from paperloom.session import spread, table
 
 _LEAKS = "doc_id bigint, item_id bigint, first bigint, end bigint"
 
@@ -47,7 +47,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
                         yield out()
         yield out()
 
-    return documents.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, _LEAKS)
+    return spread(documents.selectExpr("cast(doc_id as bigint) doc_id", "text")).mapInArrow(run, _LEAKS)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.encoding_repair import clean_vocabulary
 from paperloom.llm.vocabulary import Vocabulary, frequent_words, word_counts
 from paperloom.operators.glyph_runs import page_texts
-from paperloom.session import table
+from paperloom.session import spread, table
 
 RECORD = "field string, result_id bigint, page_no bigint"
 
@@ -27,7 +27,7 @@ def page_records(glyphs: DataFrame) -> DataFrame:
 
 
 def all_records(spark: SparkSession, folder: str) -> DataFrame:
-    return result_records(table(spark, folder, "batch_results")).unionByName(page_records(table(spark, folder, "pdf_glyphs")))
+    return spread(result_records(table(spark, folder, "batch_results"))).unionByName(page_records(table(spark, folder, "pdf_glyphs")))
 
 
 def vocabulary_of(spark: SparkSession, folder: str) -> Vocabulary:

@@ -99,9 +99,10 @@ def line_kinds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last_end = np.full(run[-1] + 1 if len(run) else 0, -1)
     np.maximum.at(last_end, run[ends], place[ends])
     open_tail = plain & (place > last_end[run] + 2 * (last_end[run] >= 0)) & (words <= 8)
-    # up to two open lines beside whole sentences are headings
+    # up to two open lines beside whole sentences are headings, up to three on their own a piece of text
     opened, closed = np.bincount(owner[open_tail], minlength=len(texts)), np.bincount(owner[ends], minlength=len(texts))
-    open_tail &= ~((opened[owner] <= 2) & (closed[owner] > 0))
+    all_lines = np.bincount(owner[filled], minlength=len(texts))
+    open_tail &= ~((opened[owner] <= 2) & (closed[owner] > 0) | (opened[owner] <= 3) & (opened[owner] == all_lines[owner]))
     kind = np.where(open_tail, 1, kind)
     return owner[filled], kind[filled], size[filled]
 

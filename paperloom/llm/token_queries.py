@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.byte_bpe import DEFAULT_FOLDER, Transducer, read_ranks
-from paperloom.session import table
+from paperloom.session import spread, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -47,7 +47,7 @@ def token_ids(documents: DataFrame, path: str | None = None) -> DataFrame:
             flat = pa.array(itertools.chain.from_iterable(ids), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "ids"])
 
-    return documents.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(documents.selectExpr("cast(doc_id as bigint) doc_id", "text")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def decoded(ids: DataFrame, path: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.llm.truncation import LEAST_LIMIT, LIMIT_COUNT, LIMIT_SHARE, LINE_SHARE, MIN_COUNT, SOURCE_SHARE, WORD_SHARE, Judge, Lines, count_lines
-from paperloom.session import durable, table
+from paperloom.session import durable, spread, table
 
 _FLUSH = 400_000
 _KINDS = ("word", "ending", "pair", "line")
@@ -94,7 +94,7 @@ def cut_flags(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), blank, cut], names=["doc_id", "source", "blank", "cut"])
 
     rows = documents.selectExpr("cast(doc_id as bigint) doc_id", "source", "text", "cast(n_chars as bigint) n_chars")
-    return rows.mapInArrow(run, "doc_id bigint, source string, blank boolean, cut boolean")
+    return spread(rows).mapInArrow(run, "doc_id bigint, source string, blank boolean, cut boolean")
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
