@@ -320,9 +320,19 @@ class Furniture:
         if not at:
             return set()
         p = self.model.probability(self.features(rows, at, own))
-        known = self.statistics.lines
-        # a heading is furniture only if it comes again, here or in other records
-        return {i for i, q in zip(at, p) if q >= 0.5 and (self._plain_number(rows, i) or (t := self._template(rows[i])) in known or t and own[t] > 1)}
+        sure = {i for i in at if self._plain_number(rows, i) or _BESIDE.match(rows[i])}
+        likely = {i for i, q in zip(at, p) if q >= 0.5}
+        found = likely & sure
+        # a heading is furniture only if it comes again, here or in other records, and stands at an edge or beside a number
+        full = [i for i, r in enumerate(rows) if r]
+        place = {i: k for k, i in enumerate(full)}
+        edges: set[str] = set()
+        for i in likely - sure:
+            t, k = self._template(rows[i]), place[i]
+            beside = {full[k - 1] if k else -1, full[k + 1] if k + 1 < len(full) else -1}
+            if t and (t in self.statistics.lines or own[t] > 1) and (k in (0, len(full) - 1) or beside & found):
+                edges.add(t)
+        return found | {i for i in likely - sure if self._template(rows[i]) in edges}
 
 
 class Joiner:
