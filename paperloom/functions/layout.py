@@ -6,6 +6,7 @@ are in `paperloom.operators.glyph_geometry` as window functions.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
@@ -136,6 +137,83 @@ def _with_marks(glyphs: list[_Placed]) -> list[_Placed]:
     return out
 
 
+def _assemble_plain(glyphs: list[tuple], c: Config) -> str | None:
+    """`assemble` by arrays, for the usual page: all upright and of one height, no overprints, no marks on their own; else None.
+
+    On such a page the glyph before decides about a line, so that only the
+    running average of widths is left to be folded.
+    """
+    rows = [g for g in glyphs if g[0]]
+    if len(rows) < 2:
+        return None
+    texts = [g[0] for g in rows]
+    a, b, tx, ty, height, width, space, _, page_height = np.array([g[1:10] for g in rows], float).T
+    tall = height[0]
+    if not (np.abs(a) > np.abs(b)).all() or not (a > 0).all() or not (height == tall).all() or not (space > 0).all() or not np.isfinite(tx + ty + width).all():
+        return None
+    kinds: dict[str, int] = {}
+    code = np.fromiter((kinds.setdefault(t, len(kinds)) for t in texts), np.int64, len(texts))
+    if any(t >= "\u0300" and all(map(is_mark, t)) for t in kinds):
+        return None
+    x, y, width = tx.astype("f4").astype(float), (page_height - ty).astype("f4").astype(float), np.abs(width)
+    size = np.array([len(t) for t in kinds])[code]
+    if c.suppress_duplicates:
+        reach = width / size / 3
+        most = reach.max()
+        if most > 0:
+            for shift in (0.0, most):  # glyphs that could hide each other share a strip of one of the two divisions
+                strip = np.floor((y + shift) / (2 * most))
+                near = np.lexsort((x, strip, code))
+                p, q = near[:-1], near[1:]
+                if ((code[p] == code[q]) & (strip[p] == strip[q]) & (x[q] - x[p] < np.maximum(reach[p], reach[q]))).any():
+                    return None
+    order = np.lexsort((x, y))
+    x, y, width, space, code, size = x[order], y[order], width[order], space[order], code[order], size[order]
+    blank = code == kinds.get(" ", -1)
+    if blank.any():
+        inside = np.zeros(len(x), bool)
+        for k in range(1, 6):
+            for first, second in ((slice(None, -k), slice(k, None)), (slice(k, None), slice(None, -k))):
+                near = blank[first] & ~blank[second] & (x[second] <= x[first]) & (x[first] + width[first] <= x[second] + width[second])
+                gap = np.abs(y[first] - y[second])
+                inside[first] |= near & ((gap < 0.1) | (gap <= tall))
+        if inside.any():
+            x, y, width, space, code, size = (v[~inside] for v in (x, y, width, space, code, size))
+    if not len(x):
+        return ""
+    drop = np.diff(y)
+    starts = np.concatenate(([0], np.flatnonzero(~((drop < 0.1) | (drop <= tall))) + 1))
+    ends = np.append(starts[1:], len(x))
+    each = width / size
+    if (each == each[0]).all():
+        average = each
+    else:
+        folded: list[float] = []
+        values = each.tolist()
+        for s, e in zip(starts.tolist(), ends.tolist()):
+            folded.append(0.0)
+            folded.extend(itertools.accumulate(values[s + 1 : e], lambda m, w: (m + w) / 2))
+        average = np.array(folded)
+    spread = space * c.spacing_tolerance
+    spread[1:] = (space[1:] + space[:-1]) / 2 * c.spacing_tolerance
+    wide = np.zeros(len(x), bool)
+    wide[1:] = x[:-1] + width[:-1] + np.minimum(spread[1:], average[1:] * c.average_tolerance) < x[1:]
+    wide[starts] = False
+    names = list(kinds)
+    out = [names[k] for k in code.tolist()]
+    shown = out[:]
+    for i in np.flatnonzero(wide).tolist():
+        if not shown[i - 1].endswith(c.word_separator):
+            out[i] = c.word_separator + out[i]
+    before, paragraph = starts[0], True
+    for s in starts[1:].tolist():
+        unit = max(space[s], 1.0)
+        new = abs(y[s] - y[before]) > c.drop_threshold * tall or not paragraph and (x[s] - x[before] > c.indent_threshold * unit or x[before] - x[s] > unit)
+        out[s] = (c.paragraph_separator if new else c.line_separator) + out[s]
+        before, paragraph = s, new
+    return normalise("".join(out))
+
+
 def assemble(glyphs: list[tuple], config: Config | None = None) -> str:
     """Text of one page.
 
@@ -143,6 +221,8 @@ def assemble(glyphs: list[tuple], config: Config | None = None) -> str:
     page_width, page_height)`` in emission order; null texts are left out.
     """
     c = config or Config()
+    if c.sort and (text := _assemble_plain(glyphs, c)) is not None:
+        return text
     placed = []
     for text, a, b, tx, ty, height, width, space, page_width, page_height in glyphs:
         if text:

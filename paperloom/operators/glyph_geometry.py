@@ -13,6 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE = ("doc_id", "page_no")
+COLUMNS = (*PAGE, "seq", "unicode", "a", "b", "tx", "ty", "height", "width", "space_width", "page_width", "page_height")
+
+
+def page_rows(glyphs: DataFrame) -> DataFrame:
+    """The columns that layout needs, by page, without repeats: one shuffle that all windows by page then share."""
+    return glyphs.select(*COLUMNS).repartition(*PAGE).distinct()
 
 
 def _double(name: str) -> Column:
@@ -54,7 +60,7 @@ def without_overprints(glyphs: DataFrame) -> DataFrame:
     Neighbours in place are compared, which is enough as equal glyphs on one
     spot stand next to each other in that order.
     """
-    rows = with_position(glyphs.distinct())
+    rows = with_position(page_rows(glyphs))
     by_place = Window.partitionBy(*PAGE, "dir", "unicode", F.round("y", 0)).orderBy("x", "seq")
     reach = F.col("w") / F.greatest(F.length("unicode"), F.lit(1)) / 3
 

@@ -37,19 +37,19 @@ def dup_suppressed(spark: SparkSession, folder: str) -> DataFrame:
 
 def contained_space(spark: SparkSession, folder: str) -> DataFrame:
     """TXT-05: spaces of each page that lie within another glyph."""
-    rows = G.contained_spaces(_glyphs(spark, folder).where("unicode is not null").distinct())
+    rows = G.contained_spaces(G.page_rows(_glyphs(spark, folder).where("unicode is not null")))
     return rows.groupBy("doc_id", "page_no").agg(F.count_if("contained").alias("contained"), F.count("*").alias("glyphs"))
 
 
 def line_group(spark: SparkSession, folder: str) -> DataFrame:
     """TXT-09: lines of each page."""
-    rows = G.with_lines(_glyphs(spark, folder).where("unicode is not null").distinct())
+    rows = G.with_lines(G.page_rows(_glyphs(spark, folder).where("unicode is not null")))
     return rows.groupBy("doc_id", "page_no", "line_no").agg(F.count("*").alias("glyphs"), F.round(F.min("x"), 4).alias("x0"), F.round(F.max(F.col("x") + F.col("w")), 4).alias("x1"), F.round(F.min("y"), 4).alias("y"))
 
 
 def word_gap(spark: SparkSession, folder: str) -> DataFrame:
     """TXT-11: words by gaps."""
-    return G.words(_glyphs(spark, folder).distinct())
+    return G.words(G.page_rows(_glyphs(spark, folder)))
 
 
 def page_run(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,7 +59,7 @@ def page_run(spark: SparkSession, folder: str) -> DataFrame:
 
 def region_text(spark: SparkSession, folder: str) -> DataFrame:
     """FIL-05: glyphs and text of named regions."""
-    rows = G.in_regions(_glyphs(spark, folder).where("unicode is not null").select("doc_id", "page_no", "seq", "unicode", "tx", "ty").distinct(), REGIONS)
+    rows = G.in_regions(_glyphs(spark, folder).where("unicode is not null").select("doc_id", "page_no", "seq", "unicode", "tx", "ty").repartition("doc_id", "page_no").distinct(), REGIONS)
     run = F.array_sort(F.collect_list(F.struct("seq", "unicode")))
     return rows.groupBy("region", "doc_id", "page_no").agg(F.count("*").alias("glyphs"), F.array_join(F.transform(run, lambda g: g["unicode"]), "").alias("text"))
 
@@ -95,7 +95,7 @@ def marked_text(spark: SparkSession, folder: str) -> DataFrame:
     """TXT-07: combining marks put to the glyph before, by running counts of other glyphs."""
     from pyspark.sql import Window
 
-    rows = _glyphs(spark, folder).where("unicode is not null").select("doc_id", "page_no", "seq", "unicode").distinct()
+    rows = _glyphs(spark, folder).where("unicode is not null").select("doc_id", "page_no", "seq", "unicode").repartition("doc_id", "page_no").distinct()
     order = Window.partitionBy("doc_id", "page_no").orderBy("seq", "unicode")
     marks = r"^[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]+$"
     rows = rows.withColumn("_mark", F.col("unicode").rlike(marks)).withColumn("base", F.sum((~F.col("_mark")).cast("int")).over(order))
@@ -111,9 +111,10 @@ with p as (
     abs(width::double) as w, height::double as h from p
 )
 """
+_COLUMNS = ", ".join(G.COLUMNS)
 _ALL = _POSITION.format(source="pdf_glyphs")
-_MAPPED = _POSITION.format(source="(select distinct * from pdf_glyphs where unicode is not null)")
-_INKED = _POSITION.format(source="(select distinct * from pdf_glyphs where replace(unicode, ' ', '') <> '')")
+_MAPPED = _POSITION.format(source=f"(select distinct {_COLUMNS} from pdf_glyphs where unicode is not null)")
+_INKED = _POSITION.format(source=f"(select distinct {_COLUMNS} from pdf_glyphs where replace(unicode, ' ', '') <> '')")
 _OVERLAP = "(abs({a}y - {b}y) < 0.1 or {b}y between {a}y - {a}h and {a}y or {a}y between {b}y - {b}h and {b}y)"
 _LINES = """, s as (
   select *, case when lag(dir) over o = dir and (abs(y - lag(y) over o) < 0.1 or lag(y) over o between y - h and y or y between lag(y) over o - lag(h) over o and lag(y) over o) then 0 else 1 end as starts

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions.documents_markup import html_documents
 from paperloom.functions.layout import LIGATURES
+from paperloom.functions.markup import xfdf_files
+from paperloom.operators.nested import form_field_values
 from paperloom.session import spread, table
 from paperloom.sources import pdf_tables as T
+from paperloom.sources.pdf_edit import encrypt, split_files
 from paperloom.sources.pdf_writer import texts_to_pdf
 
 
@@ -41,6 +46,42 @@ def pdf_damaged(spark: SparkSession, folder: str) -> DataFrame:
     return _key(T.document_text(cut)).select("doc_id", "status", F.regexp_replace("text", r"[^!-~]+", "").alias("text"))
 
 
+def pdf_encrypted(spark: SparkSession, folder: str) -> DataFrame:
+    """EXT-13: files sealed with an empty user password are opened and read."""
+
+    @F.pandas_udf("binary")
+    def sealed(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: encrypt(bytes(c), owner="owner", allowed={"print"}))
+
+    rows = _files(spark, folder).withColumn("content", sealed("content"))
+    return _key(T.document_text(rows)).select("doc_id", "status", F.regexp_replace("text", r"[^!-~]+", "").alias("text"))
+
+
+def pdf_full_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The second way of reading, in emission order."""
+    pages = T.page_text_full(_files(spark, folder)).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("parts"))
+    text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
+    return _key(pages).select("doc_id", F.regexp_replace(text, r"[^!-~]+", "").alias("text"))
+
+
+def pdf_split_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """MPD-02: files of single pages: as many parts as pages, each of one page."""
+    parts = split_files(_files(spark, folder), 1)
+    read = T.documents(parts.select(F.concat("path", F.lit("/"), "part_no").alias("path"), "content"))
+    return read.groupBy(F.substring_index("path", "/", 1).cast("bigint").alias("doc_id")).agg(F.count("*").alias("parts"), F.max("page_count").alias("most"))
+
+
+def html_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """TXT-24: results as HTML documents."""
+    pages = table(spark, folder, "batch_results").where("result is not null").select(F.col("result_id").cast("string").alias("path"), F.lit(1).alias("page_no"), F.col("result").alias("text")).distinct()
+    return html_documents(pages)
+
+
+def xfdf_export(spark: SparkSession, folder: str) -> DataFrame:
+    """EXT-07: form values as XFDF."""
+    return xfdf_files(form_field_values(table(spark, folder, "fdf_documents")))
+
+
 def pdf_pages_read(spark: SparkSession, folder: str) -> DataFrame:
     """Pages with inherited boxes, by size."""
     rows = T.pages(_files(spark, folder))
@@ -70,9 +111,10 @@ SQL: dict[str, str] = {
     "pdf_roundtrip": f"select doc_id, 'ok' as status, {_NORMAL} as text from documents where text is not null",
     "pdf_packed": "select doc_id, 'ok' as status, 1.7::float as version, false as encrypted, false as recovered, true as has_pages from documents where text is not null",
     "pdf_damaged": f"select doc_id, 'ok' as status, {_NORMAL} as text from documents where text is not null",
+    "pdf_encrypted": f"select doc_id, 'ok' as status, {_NORMAL} as text from documents where text is not null",
     "pdf_glyph_counts": f"select * from (select doc_id, length({_ASCII}) as glyphs from documents where text is not null) where glyphs > 0",
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (pdf_roundtrip, pdf_packed, pdf_damaged, pdf_pages_read, pdf_op_counts, pdf_glyph_counts, pdf_object_types)
+    f.__name__: f for f in (pdf_roundtrip, pdf_packed, pdf_damaged, pdf_encrypted, pdf_full_text, pdf_split_parts, html_pages, xfdf_export, pdf_pages_read, pdf_op_counts, pdf_glyph_counts, pdf_object_types)
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from paperloom.plans import glyph_queries, nested_queries, page_queries, pdf_queries, scalar_queries
 
-FLAGSHIP = "p6_found"
+FLAGSHIP = "page_run"
 _MODULES = [nested_queries, glyph_queries, page_queries, scalar_queries, pdf_queries]
 
 

@@ -22,6 +22,7 @@ from paperloom.functions.content import box_of, operations, page_content, page_g
 from paperloom.functions.cos import Damaged, Document, Name, Ref, Stream, open_document, version_of
 from paperloom.functions.encryption import PERMISSIONS
 from paperloom.functions.layout import Config, assemble
+from paperloom.functions.layout_full import Marks, read_page
 from paperloom.functions.scalars import page_labels, parse_date
 
 BATCH_ROWS = 5_000
@@ -508,3 +509,149 @@ def actions(files: DataFrame, password: str = "") -> DataFrame:
                     chain += more if isinstance(more, list) else [more]
 
     return _table(files, ACTIONS, rows, password)
+
+
+SIGNATURES = "path string, field string, filter string, sub_filter string, signer string, reason string, location string, signed_at string, byte_range array<bigint>, covers_file boolean"
+BEADS = f"path string, thread_no int, bead_no int, title string, page_no int, rect {_BOX}"
+DESTINATIONS = "path string, name string, page_no int, kind string, arguments array<double>"
+VIEWER = "path string, preferences map<string,string>"
+FDF_FIELDS = "path string, full_name string, value string"
+
+
+def signatures(files: DataFrame, password: str = "") -> DataFrame:
+    """Signature fields with what they tell of themselves; nothing is verified (`SIGNATURES`)."""
+
+    def rows(d: Document, path: str) -> Iterator[tuple]:
+        for number in sorted(d.places):
+            field = d.object(number)
+            if not isinstance(field, dict) or d.of(field, "FT") != "Sig" or not isinstance(value := d.of(field, "V"), dict):
+                continue
+            span = d.of(value, "ByteRange")
+            span = [d.get(v) for v in span] if isinstance(span, list) else []
+            span = span if all(isinstance(v, int) for v in span) else []
+            when = _text(d, value.get("M"))
+            whole = len(span) == 4 and span[0] == 0 and span[2] + span[3] == len(d.data)
+            yield path, _text(d, field.get("T")), *(_text(d, value.get(k)) for k in ("Filter", "SubFilter", "Name", "Reason", "Location")), parse_date(when) if when else None, span, whole
+
+    return _table(files, SIGNATURES, rows, password)
+
+
+def beads(files: DataFrame, password: str = "") -> DataFrame:
+    """Beads of article threads in order (`BEADS`)."""
+
+    def rows(d: Document, path: str) -> Iterator[tuple]:
+        numbers = _page_numbers(d)
+        threads = d.get(d.catalog.get("Threads"))
+        for t, entry in enumerate(threads if isinstance(threads, list) else []):
+            title = _text(d, d.of(d.of(entry, "I"), "Title"))
+            bead, seen, n = d.of(entry, "F"), set(), 0
+            while isinstance(bead, dict) and id(bead) not in seen:
+                seen.add(id(bead))
+                page = bead.get("P")
+                yield path, t, n, title, numbers.get(page.number) if isinstance(page, Ref) else None, _box(d, bead, "R")
+                bead, n = d.of(bead, "N"), n + 1
+
+    return _table(files, BEADS, rows, password)
+
+
+def destinations(files: DataFrame, password: str = "") -> DataFrame:
+    """Named destinations with their kind and arguments (`DESTINATIONS`)."""
+
+    def rows(d: Document, path: str) -> Iterator[tuple]:
+        numbers = _page_numbers(d)
+        old = d.get(d.catalog.get("Dests"))
+        named = list(old.items()) if isinstance(old, dict) else []
+        named += [(text_string(k), v) for k, v in _numbers(d, d.of(d.catalog.get("Names"), "Dests")) if isinstance(k, bytes)]
+        for name, value in named:
+            value = d.get(value)
+            value = d.of(value, "D") if isinstance(value, dict) else value
+            if isinstance(value, list) and value:
+                arguments = [d.get(v) for v in value[2:]]
+                yield path, str(name), _target_page(d, value, numbers), _text(d, value[1]) if len(value) > 1 else None, [float(v) if isinstance(v, (int, float)) else None for v in arguments]
+
+    return _table(files, DESTINATIONS, rows, password)
+
+
+def viewer_preferences(files: DataFrame, password: str = "") -> DataFrame:
+    """What files ask of viewers (`VIEWER`)."""
+
+    def rows(d: Document, path: str) -> Iterator[tuple]:
+        found = d.get(d.catalog.get("ViewerPreferences"))
+        if isinstance(found, dict):
+            yield path, [(k, json.dumps(_plain(d.get(v)))) for k, v in found.items()]
+
+    return _table(files, VIEWER, rows, password)
+
+
+def fdf_fields(files: DataFrame) -> DataFrame:
+    """Fields of form data files (`FDF_FIELDS`), those with values or without kids."""
+
+    def rows(d: Document, path: str) -> Iterator[tuple]:
+        top = d.of(d.catalog.get("FDF"), "Fields")
+        stack = [(f, "") for f in reversed(top if isinstance(top, list) else [])]
+        seen: set[int] = set()
+        while stack:
+            entry, prefix = stack.pop()
+            node = d.get(entry)
+            if not isinstance(node, dict) or id(node) in seen:
+                continue
+            seen.add(id(node))
+            name = ".".join(filter(None, (prefix, _text(d, node.get("T")))))
+            kids, value = d.get(node.get("Kids")), d.get(node.get("V"))
+            if value is not None or not isinstance(kids, list):
+                yield path, name, json.dumps(_plain(value), ensure_ascii=False) if isinstance(value, (list, dict, Stream)) else _text(d, value)
+            stack.extend((k, name) for k in reversed(kids if isinstance(kids, list) else []))
+
+    return _table(files, FDF_FIELDS, rows)
+
+
+def readable(documents_table: DataFrame) -> DataFrame:
+    """Documents that were read and allow their text to be taken out."""
+    return documents_table.where((F.col("status") == "ok") & F.coalesce(F.col("permissions")["extract"], F.lit(True)))
+
+
+def between_bookmarks(texts: DataFrame, bookmarks: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Pages from the bookmark titled ``start`` to that titled ``end``; a title that is missing in a file sets no bound, one that leads to no page gives no text."""
+    page = lambda title: F.min(F.when(F.col("title") == title, F.coalesce("page_no", F.lit(-1)))) if title is not None else F.lit(None).cast("int")
+    bounds = bookmarks.groupBy("path").agg(page(start).alias("_from"), page(end).alias("_to"))
+    rows = texts.join(bounds, "path", "left").where("coalesce(_from, 0) >= 0 and coalesce(_to, 0) >= 0")
+    return rows.where((F.col("page_no") >= F.coalesce("_from", F.lit(1))) & (F.col("page_no") <= F.coalesce("_to", F.lit(2**31 - 1)))).drop("_from", "_to")
+
+
+def marked_text(glyph_table: DataFrame) -> DataFrame:
+    """``path, page_no, mc_tag, mcid, text``: text of marked content in emission order."""
+    run = F.array_sort(F.collect_list(F.struct("seq", "unicode")))
+    return glyph_table.where("mcid is not null").groupBy("path", "page_no", "mc_tag", "mcid").agg(F.array_join(F.transform(run, lambda g: g["unicode"]), "").alias("text"))
+
+
+def of_kinds(annotation_table: DataFrame, *subtypes: str) -> DataFrame:
+    """Annotations of some kinds."""
+    return annotation_table.where(F.col("subtype").isin(*subtypes))
+
+
+def link_texts(annotation_table: DataFrame, glyph_table: DataFrame) -> DataFrame:
+    """``path, page_no, uri, text``: what stands under each link that leads to an address.
+
+    Links and glyphs meet by page; the rectangle is then a filter, so a page's
+    links times its glyphs is the most that one page gives.
+    """
+    links = annotation_table.where("subtype = 'Link' and uri is not null").select("path", "page_no", "annotation_no", "uri", "rect")
+    inside = (F.col("tx") >= F.col("rect.x0")) & (F.col("tx") < F.col("rect.x1")) & (F.col("ty") >= F.col("rect.y0")) & (F.col("ty") < F.col("rect.y1"))
+    run = F.array_sort(F.collect_list(F.struct("seq", "unicode")))
+    found = links.join(glyph_table.select("path", "page_no", "seq", "unicode", "tx", "ty"), ["path", "page_no"]).where(inside)
+    return found.groupBy("path", "page_no", "annotation_no", "uri").agg(F.array_join(F.transform(run, lambda g: g["unicode"]), "").alias("text")).drop("annotation_no")
+
+
+def page_text_full(files: DataFrame, marks: Marks | None = None, password: str = "") -> DataFrame:
+    """Text of every page by the second way of reading (`layout_full`), with its beads as articles (`PAGE_TEXT`)."""
+
+    def rows(d: Document, path: str) -> Iterator[tuple]:
+        listed = dict(enumerate((page for _, page in d.pages()), 1))
+        for i, found, (width, height) in _page_rows(d):
+            chain = d.get(listed[i].get("B"))
+            boxes = [_box(d, b, "R") if isinstance(b := d.get(ref), dict) else None for ref in (chain if isinstance(chain, list) else [])]
+            rectangles = [None if b is None else (b["x0"], height - b["y1"], b["x1"], height - b["y0"]) for b in boxes]
+            glyph_rows = [(g.unicode, g.a, g.b, g.tx, g.ty, g.height, g.width, g.space_width, width, height, g.font_name, g.font_size) for g in found]
+            yield path, i, read_page(glyph_rows, rectangles, marks).encode("utf-8", "replace").decode()
+
+    return _table(files, PAGE_TEXT, rows, password)

@@ -66,3 +66,32 @@ def test_no_list_items(text):
 def test_directions():
     assert [direction(*d) for d in ((1, 0), (0, 1), (-1, 0), (0, -1))] == [0, 90, 180, 270]
     assert [adjusted(a, 10, 20, 100, 200) for a in (0, 90, 180, 270)] == [(10, 180), (20, 10), (90, 20), (180, 90)]
+
+
+def test_arrays_and_fold_agree(monkeypatch):
+    import random
+
+    from paperloom.functions import layout
+
+    rng = random.Random(4)
+    plain = layout._assemble_plain
+    taken = 0
+    for case in range(400):
+        widths = rng.choice([[7.0], [3.0, 5.0, 8.0]])
+        glyphs = []
+        for line in range(rng.randint(1, 6)):
+            x = rng.choice([100.0, 100.0, 130.0])
+            for _ in range(rng.randint(1, 12)):
+                w = rng.choice(widths)
+                glyphs.append((rng.choice("abc é한"), 12.0, 0.0, x, 700.0 - 13 * line - rng.choice([0, 0, 40]), 12.0, w, rng.choice([4.0, 4.0, 6.0]) if case % 3 else 4.0, 612.0, 792.0))
+                x += w + rng.choice([0, 0, 0, 1, 5, -1])
+        rng.shuffle(glyphs) if case % 5 == 0 else None
+        config = Config(paragraph_separator="\n\n", suppress_duplicates=case % 2 == 0)
+        fast = plain(glyphs, config)
+        monkeypatch.setattr(layout, "_assemble_plain", lambda *_: None)
+        slow = assemble(glyphs, config)
+        monkeypatch.setattr(layout, "_assemble_plain", plain)
+        if fast is not None:
+            taken += 1
+            assert fast == slow
+    assert taken > 150

@@ -204,3 +204,30 @@ def test_tables(spark):
 
 def test_interpreter_without_font():
     assert [g.unicode for g in Interpreter(Document(b"")).run(b"BT (ab) Tj ET", {})] == ["a", "b"]
+
+
+def test_more_tables(spark):
+    extra = {
+        6: {"FT": Name("Sig"), "T": "s", "V": {"Filter": Name("Adobe.PPKLite"), "Name": "Ann", "M": "D:2020", "ByteRange": [0, 1, 2, 3]}},
+        7: {"F": Ref(8, 0), "I": {"Title": "story"}}, 8: {"P": Ref(3, 0), "R": [0, 0, 5, 5], "N": Ref(9, 0)}, 9: {"P": Ref(3, 0), "R": [5, 5, 9, 9], "N": Ref(8, 0)},
+        10: {"Subtype": Name("Link"), "Rect": [0, 0, 20, 20], "A": {"S": Name("URI"), "URI": "https://x.invalid"}}, 11: {"Title": "One", "Dest": [Ref(3, 0)]},
+    }
+    catalog = {"Threads": [Ref(7, 0)], "ViewerPreferences": {"HideToolbar": True}, "Dests": {"d": [Ref(3, 0), Name("XYZ"), 1, None, 2.5]}, "Outlines": {"First": Ref(11, 0)}}
+    data = page_file(b"/P <</MCID 4>> BDC BT /F1 10 Tf 5 5 Td (Hi) Tj ET EMC BT /F1 10 Tf 500 5 Td (far) Tj ET", extra=extra, page={"Annots": [Ref(10, 0)]}, catalog=catalog)
+    files = spark.createDataFrame([("f", data)], "path string, content binary")
+    assert [(r.field, r.signer, r.signed_at, r.covers_file) for r in T.signatures(files).collect()] == [("s", "Ann", "2020-01-01T00:00:00", False)]
+    assert [(r.bead_no, r.title, r.rect.x1) for r in T.beads(files).orderBy("bead_no").collect()] == [(0, "story", 5.0), (1, "story", 9.0)]
+    assert [(r.name, r.page_no, r.kind, r.arguments) for r in T.destinations(files).collect()] == [("d", 1, "XYZ", [1.0, None, 2.5])]
+    assert T.viewer_preferences(files).first().preferences == {"HideToolbar": "true"}
+    assert [(r.uri, r.text) for r in T.link_texts(T.annotations(files), T.glyphs(files)).collect()] == [("https://x.invalid", "Hi")]
+    assert [(r.mcid, r.text) for r in T.marked_text(T.glyphs(files)).collect()] == [(4, "Hi")]
+    assert T.readable(T.documents(files)).count() == 1 and T.of_kinds(T.annotations(files), "Link").count() == 1
+    texts = T.page_text(files)
+    assert T.between_bookmarks(texts, T.outline(files), "One", "One").count() == 1 and T.between_bookmarks(texts, T.outline(files), "None").count() == 1
+
+
+def test_form_data_files(spark):
+    body = {1: {"FDF": {"Fields": [{"T": "a", "Kids": [{"T": "b", "V": "x"}, {"T": "c"}]}, {"T": "d", "V": [1, 2]}]}}}
+    data = write_file(body, 1).replace(b"%PDF-1.7", b"%FDF-1.2")
+    files = spark.createDataFrame([("f", data), ("g", b"?")], "path string, content binary")
+    assert sorted((r.full_name, r.value) for r in T.fdf_fields(files).collect()) == [("a.b", "x"), ("a.c", None), ("d", "[1, 2]")]
