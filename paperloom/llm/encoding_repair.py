@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 
 from paperloom.llm.vocabulary import WORD, Vocabulary, pieces, tokens
 
@@ -32,6 +33,7 @@ PRIOR_UTF8, PRIOR_OTHER = 6.0, 9.0
 MARGIN = 4.0
 _UNKNOWN_WORD, _ASCII_LETTER, _KNOWN_LETTER, _STRANGE = 12.0, 2.5, 4.0, 9.0
 _PLAIN_MARKS = set("“”„‘’‚«»–—…•·°§¿¡")
+_NEVER_INSIDE = set("“”„‚«»•°§¿¡")  # not between the letters of a word
 _BEAM = 48
 _LOST = "�"
 _LOST_INSIDE = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
@@ -113,6 +115,7 @@ class Repairer:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.known: dict[str, tuple[str, float] | None] = {}
+        self.channel: dict[str, tuple[tuple[str, str], ...]] = {}  # of damaged tokens: the pairs they went through
 
     # costs -----------------------------------------------------------------
 
@@ -126,7 +129,8 @@ class Repairer:
         """Negative logarithm of the likelihood of a text under the corpus' words."""
         total, at = 0.0, 0
         for m in WORD.finditer(text):
-            total += sum(map(self._symbol, text[at : m.start()]))
+            between = text[at : m.start()]
+            total += _STRANGE if at and len(between) == 1 and between in _NEVER_INSIDE else sum(map(self._symbol, between))
             word, at = m[0], m.end()
             if word.isascii() and word.isdigit():
                 total += 2.0 * len(word)
@@ -198,8 +202,9 @@ class Repairer:
         return text[i:]
 
     def _readings(self, token: str):
-        """Texts the token may have been, with their cost and that of the damage."""
-        for wrong, right in CHANNELS:
+        """Texts the token may have been, with their cost, that of the damage, and the pair of encodings."""
+        for pair in CHANNELS:
+            wrong, right = pair
             raw = to_bytes(token, wrong)
             if raw is None:
                 continue
@@ -208,16 +213,16 @@ class Repairer:
                 if not broken:
                     text = "".join(s[0] for s in steps)
                     if all(map(self._assigned, text)):
-                        yield text, self.cost(text), PRIOR_UTF8, True
+                        yield text, self.cost(text), PRIOR_UTF8, pair
                 elif whole and whole >= broken or broken + whole >= 2 and all(x >= 0x80 for x in raw if not chr(x).isascii()) and self._same_leads(raw):
-                    yield *self.viterbi(steps), PRIOR_UTF8 + 2.0 * broken, whole > 0
+                    yield *self.viterbi(steps), PRIOR_UTF8 + 2.0 * broken, pair
             else:
                 try:
                     text = raw.decode(right)
                 except UnicodeDecodeError:
                     continue
                 if text != token and self.in_vocabulary(text) and all(c < "\x80" or c.isalnum() or c in _PLAIN_MARKS for c in text):
-                    yield text, self.cost(text), PRIOR_OTHER, False
+                    yield text, self.cost(text), PRIOR_OTHER, pair
 
     @staticmethod
     def _assigned(c: str) -> bool:
@@ -240,6 +245,7 @@ class Repairer:
         found = self._judge(token)
         if len(self.known) > 300_000:
             self.known.clear()
+            self.channel.clear()
         self.known[token] = found
         return found
 
@@ -253,15 +259,19 @@ class Repairer:
         if words and all(w in self.vocabulary for w in words) and all(c.isalnum() or self._symbol(c) < _STRANGE for c in token):
             return None
         best, text, gain = None, token, 0.0
+        pairs: list[tuple[str, str]] = []
         for _ in range(3):  # text may have been damaged more than once
             here = self.cost(text)
-            readings = [(cost + prior, reading) for reading, cost, prior, _ in self._readings(text) if reading != text]
+            readings = [(cost + prior, reading, pair) for reading, cost, prior, pair in self._readings(text) if reading != text]
             if not readings:
                 break
-            cost, reading = min(readings)
+            cost, reading, pair = min(readings)
             if here - cost <= MARGIN:
                 break
             best, text, gain = reading, reading, gain + here - cost
+            pairs.append(pair)
+        if pairs:
+            self.channel[token] = tuple(pairs)
         if lost and _LOST_INSIDE.search(text):
             filled, cost = self.viterbi([("", 0xA0, 0xFFFC) if _LOST_INSIDE.match(text, i) else (c, 0, 0) for i, c in enumerate(text)])
             gained = self.cost(text) + _LOST_MARK - cost
@@ -292,6 +302,7 @@ class Repairer:
                 found[token] = verdict[0]
         if not found:
             return {}
+        self._same_way(own, found)
         sound = 0  # tokens that speak for language, as they are or repaired
         for token in own:
             restored = found.get(token)
@@ -300,6 +311,25 @@ class Repairer:
                 return found
         return {}
 
+    def _same_way(self, own: set[str], found: dict[str, str]) -> None:
+        """Add tokens too short to tell by themselves that went through what most of the text's damaged ones did."""
+        ways = Counter(self.channel[t] for t in found if t in self.channel)
+        for token in own if ways else ():
+            if token in found or token.isascii() or self._is_cited(token) or all(w in self.vocabulary for w in pieces(token) or ("",)):
+                continue
+            for way, n in ways.most_common(2):
+                text: str | None = token
+                for wrong, right in way:
+                    raw = to_bytes(text, wrong) if text is not None else None
+                    try:
+                        text = raw.decode(right) if raw is not None else None
+                    except UnicodeDecodeError:
+                        text = None
+                words = [w.lower() for w in WORD.findall(text or "") if not w.isdigit()]
+                if text and text != token and n > 1 and words and all(w in self.vocabulary for w in words) and self.cost(text) < self.cost(token):
+                    found[token] = text
+                    break
+
     def restore(self, text: str, damage: dict[str, str]) -> str:
         """The text with its damaged tokens replaced; white space stays."""
         if not damage:

@@ -34,7 +34,7 @@ ACCEPT = 0.5
 # What is written, and what was meant.
 MISREADINGS = [
     ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("u", "ii"), ("ii", "ü"), ("ri", "n"), ("n", "ri"), ("vv", "w"), ("w", "vv"),
-    ("li", "h"), ("h", "li"), ("in", "m"), ("nn", "m"), ("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"), ("l", "1"), ("j", "i"), ("0", "o"), ("o", "0"),
+    ("li", "h"), ("h", "li"), ("h", "fi"), ("in", "m"), ("nn", "m"), ("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"), ("l", "1"), ("j", "i"), ("0", "o"), ("o", "0"),
     ("5", "s"), ("s", "5"), ("9", "g"), ("g", "9"), ("q", "g"), ("g", "q"), ("6", "b"), ("6", "é"), ("8", "b"), ("3", "e"), ("2", "z"), ("7", "t"), ("4", "a"),
     ("c", "e"), ("e", "c"), ("o", "a"), ("a", "o"), ("o", "c"), ("f", "t"), ("t", "f"), ("b", "h"), ("h", "b"), ("v", "y"), ("y", "v"), ("u", "v"), ("v", "u"),
     ("é", "è"), ("e", "é"), ("é", "e"), ("a", "á"), ("o", "ó"), ("o", "ö"), ("u", "ü"), ("a", "ä"), ("i", "í"), ("n", "ñ"), ("b", "ß"), ("ê", "é"),
