@@ -428,6 +428,7 @@ class Cleaner:
         after = dict(zip(filled, filled[1:]))
         taken: dict[int, int] = {}
         kept: list[str] = []
+        torn: set[str] = set()  # first halves whose second ones are elsewhere
         for i, row in enumerate(rows):
             if i in dropped:
                 continue
@@ -442,13 +443,15 @@ class Cleaner:
                         rest = rows[follower].split(None, 1)[0]
                         row = row[: m.start(2)] + rest
                         taken[follower] = len(rest)
+                    else:
+                        torn.add(m[1].lower())
             kept.append(row)
         body = "\n".join(kept)
         words = set(_WORD.findall(body))
         right: dict[str, str] = {}
         # where most words are unknown, there is no language to correct by
         if 2 * sum(w[0].isdigit() or w.lower() in self.corrector.vocabulary for w in words) >= len(words):
-            right = {w: r for w in words if (r := self._right(w)) is not None and w.lower() not in skip}
+            right = {w: r for w in words if (r := self._right(w)) is not None and w.lower() not in skip and w.lower() not in torn}
         if right:
             noise.add("chars")
             body = _WORD.sub(lambda m: right.get(m[0], m[0]), body)
