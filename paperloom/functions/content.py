@@ -232,6 +232,8 @@ class Interpreter:
         space *= (a * a + b * b) ** 0.5
         height = (start[2] ** 2 + start[3] ** 2) ** 0.5
         upright = abs(a) >= abs(b)
+        if font is not None and font.vertical:
+            return self._show_down(raw, text, matrix, ctm, start, space, mcid, tag)
         per_width, extra, word = size * scale / 1000, text.char_space * scale, text.word_space * scale
         total, name, out = 0.0, text.font_name, self.glyphs
         for code, length, shown, width in font.shown(raw) if font else [(c, 1, chr(c), 0.0) for c in raw]:
@@ -242,6 +244,22 @@ class Interpreter:
         return (*matrix[:4], matrix[4] + total * matrix[0], matrix[5] + total * matrix[1])
 
 
+    def _show_down(self, raw: bytes, text: _Text, matrix: Matrix, ctm: Matrix, start: Matrix, space: float, mcid: int | None, tag: str | None) -> Matrix:
+        """Glyphs from top to bottom: each hangs from its upper origin, and the next one is below it."""
+        font, size = text.font, text.size
+        linear = multiply((*matrix[:4], 0.0, 0.0), (*ctm[:4], 0.0, 0.0))
+        height = (start[2] ** 2 + start[3] ** 2) ** 0.5
+        down = 0.0
+        for code, length, shown, width in font.shown(raw):
+            advance, origin_x, origin_y = font.downward(code, length)
+            left, low = -origin_x / 1000 * size * text.scale, down - origin_y / 1000 * size
+            if shown:
+                x, y = start[4] + left * linear[0] + low * linear[2], start[5] + left * linear[1] + low * linear[3]
+                self.glyphs.append(Glyph(shown, start[0], start[1], x, y, height, width / 1000 * size * text.scale * linear[0], space, size, text.font_name, code, mcid, tag))
+            down += advance / 1000 * size - text.char_space - (text.word_space if length == 1 and code == 32 else 0.0)
+        return (*matrix[:4], matrix[4] + down * matrix[2], matrix[5] + down * matrix[3])
+
+
 def text_string(raw: bytes) -> str:
     """The text of a string object: UTF-16 or UTF-8 by its mark, else one byte a character."""
     if raw.startswith(b"\xfe\xff"):

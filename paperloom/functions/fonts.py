@@ -324,6 +324,22 @@ class Font:
             else:
                 break
         self.ranges.sort()
+        default = [document.get(v) for v in document.of(inner, "DW2") or [880, -1000]]
+        self.origin_y, self.down = (float(v) for v in default[:2])
+        self.vertical_of: dict[int, tuple[float, float, float]] = {}  # advance down, and the place of the upper origin
+        entries, i = [document.get(w) for w in document.of(inner, "W2") or []], 0
+        while i + 1 < len(entries):
+            if isinstance(entries[i + 1], list):
+                triples = [float(document.get(v) or 0) for v in entries[i + 1]]
+                for k in range(len(triples) // 3):
+                    self.vertical_of[entries[i] + k] = tuple(triples[3 * k : 3 * k + 3])
+                i += 2
+            elif i + 4 < len(entries):
+                for cid in range(int(entries[i]), min(int(entries[i + 1]), int(entries[i]) + 0xFFFF) + 1):
+                    self.vertical_of[cid] = tuple(float(v) for v in entries[i + 2 : i + 5])
+                i += 5
+            else:
+                break
 
     def codes(self, raw: bytes) -> list[tuple[int, int]]:
         """Codes of shown bytes with their lengths."""
@@ -336,6 +352,17 @@ class Font:
             at += length
         return out
 
+    @property
+    def vertical(self) -> bool:
+        """Whether the font is written from top to bottom."""
+        return self.composite and self.cmap.vertical
+
+    def downward(self, code: int, length: int) -> tuple[float, float, float]:
+        """The advance down and the upper origin of a code, in thousandths of the size."""
+        cid = self.cmap.cid(code, length)
+        found = self.vertical_of.get(code if cid is None else cid)
+        return found or (self.down, self.width(code, length) / 2, self.origin_y)
+
     def shown(self, raw: bytes) -> list[tuple[int, int, str | None, float]]:
         """Codes of shown bytes with length, text and width; each is worked out once."""
         known, out = self._known, []

@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from paperloom.functions.fax import fax_decode
+
 # Names of filters and their short forms.
 ABBREVIATIONS = {"Fl": "FlateDecode", "LZW": "LZWDecode", "AHx": "ASCIIHexDecode", "A85": "ASCII85Decode", "RL": "RunLengthDecode", "CCF": "CCITTFaxDecode", "DCT": "DCTDecode"}
 #: Filters of images, whose data are handed on as they are.
-OPAQUE = {"DCTDecode", "JPXDecode", "JBIG2Decode", "CCITTFaxDecode"}
+OPAQUE = {"DCTDecode", "JPXDecode", "JBIG2Decode"}
 
 
 def flate_decode(data: bytes) -> bytes:
@@ -252,6 +254,8 @@ def decode(data: bytes, name: str, parameters: dict | None = None) -> bytes:
         return ascii85_decode(data)
     if name == "RunLengthDecode":
         return run_length_decode(data)
+    if name == "CCITTFaxDecode":
+        return fax_decode(data, number("K", 0), number("Columns", 1728), number("Rows", 0), bool(given.get("BlackIs1")), bool(given.get("EncodedByteAlign")))
     if name in OPAQUE or name in ("Crypt", "Identity"):
         return data
     raise ValueError(f"unknown filter {name}")

@@ -416,7 +416,7 @@ def images(files: DataFrame, password: str = "") -> DataFrame:
             if not isinstance(value, Stream) or d.of(value, "Subtype") != "Image":
                 continue
             names = [n for n, _ in d.filters(value)]
-            suffix = {"DCTDecode": "jpg", "JPXDecode": "jp2", "CCITTFaxDecode": "tiff"}.get(names[-1] if names else "", "png")
+            suffix = {"DCTDecode": "jpg", "JPXDecode": "jp2"}.get(names[-1] if names else "", "png")
             space = d.of(value, "ColorSpace")
             shown = str(space) if isinstance(space, Name) else str(d.get(space[0])) if isinstance(space, list) and space else None
             sizes = [d.of(value, k) for k in ("Width", "Height", "BitsPerComponent")]
@@ -655,3 +655,48 @@ def page_text_full(files: DataFrame, marks: Marks | None = None, password: str =
             yield path, i, read_page(glyph_rows, rectangles, marks).encode("utf-8", "replace").decode()
 
     return _table(files, PAGE_TEXT, rows, password)
+
+
+CATALOGS = "path string, version string, language string, page_mode string, page_layout string, base_uri string, marked boolean, output_intents array<string>, entries array<string>"
+FONT_FILES = "path string, font_name string, kind string, content binary"
+SHOWN = "path string, page_no int, seq bigint, text string"
+
+
+def catalogs(files: DataFrame, password: str = "") -> DataFrame:
+    """What catalogues tell, and which entries they have (`CATALOGS`)."""
+
+    def rows(d: Document, path: str) -> Iterator[tuple]:
+        c = d.catalog
+        intents = d.get(c.get("OutputIntents"))
+        kinds = [t for i in intents if (t := _text(d, d.of(i, "OutputConditionIdentifier", "S")))] if isinstance(intents, list) else []
+        yield path, *(_text(d, c.get(k)) for k in ("Version", "Lang", "PageMode", "PageLayout")), _text(d, d.of(c.get("URI"), "Base")), d.of(c.get("MarkInfo"), "Marked") is True, kinds, sorted(c)
+
+    return _table(files, CATALOGS, rows, password)
+
+
+def font_files(files: DataFrame, password: str = "") -> DataFrame:
+    """Embedded font programs, each descriptor's once (`FONT_FILES`)."""
+
+    def rows(d: Document, path: str) -> Iterator[tuple]:
+        for number in sorted(d.places):
+            descriptor = d.object(number)
+            if isinstance(descriptor, dict) and descriptor.get("Type") == "FontDescriptor":
+                for key, kind in (("FontFile", "type1"), ("FontFile2", "truetype"), ("FontFile3", "cff")):
+                    if isinstance(stream := d.of(descriptor, key), Stream):
+                        yield path, _text(d, descriptor.get("FontName")), kind, d.decoded(stream)
+
+    return _table(files, FONT_FILES, rows, password)
+
+
+def shown_operands(files: DataFrame, password: str = "") -> DataFrame:
+    """Operands of the operators that show text, one byte a character, without fonts (`SHOWN`)."""
+
+    def rows(d: Document, path: str) -> Iterator[tuple]:
+        for i, (_, page) in enumerate(d.pages(), 1):
+            for seq, (op, operands) in enumerate(operations(page_content(d, page))):
+                if op in ("Tj", "TJ", "'", '"'):
+                    parts = operands[0] if op == "TJ" and operands and isinstance(operands[0], list) else operands
+                    text = "".join(text_string(p) for p in parts if isinstance(p, bytes))
+                    yield path, i, seq, text.encode("utf-8", "replace").decode()
+
+    return _table(files, SHOWN, rows, password)

@@ -231,3 +231,20 @@ def test_form_data_files(spark):
     data = write_file(body, 1).replace(b"%PDF-1.7", b"%FDF-1.2")
     files = spark.createDataFrame([("f", data), ("g", b"?")], "path string, content binary")
     assert sorted((r.full_name, r.value) for r in T.fdf_fields(files).collect()) == [("a.b", "x"), ("a.c", None), ("d", "[1, 2]")]
+
+
+def test_writing_downwards():
+    down = {"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("V"), "Encoding": Name("UniKS-UTF16-V"), "DescendantFonts": [{"Subtype": Name("CIDFontType0"), "DW": 1000, "W2": [0xB098, [-500, 400, 800]]}]}
+    first, second, third = glyphs(b"BT /F1 10 Tf 100 700 Td <AC00B098AC00> Tj ET", extra={5: down})
+    assert [first.unicode, second.unicode] == ["가", "나"]
+    assert (first.tx, first.ty) == pytest.approx((95, 691.2)) and (second.tx, second.ty) == pytest.approx((96, 682)) and third.ty == pytest.approx(700 - 15 - 8.8)
+
+
+def test_catalogs_fonts_and_operands(spark):
+    extra = {6: {"Type": Name("FontDescriptor"), "FontName": Name("T"), "FontFile2": Ref(7, 0)}, 7: Stream({}, b"program")}
+    data = page_file(b"BT /F1 10 Tf (Hi) Tj [(a) 3 (b)] TJ ET", extra=extra, catalog={"Lang": "ko", "MarkInfo": {"Marked": True}, "URI": {"Base": "https://x.invalid"}})
+    files = spark.createDataFrame([("f", data)], "path string, content binary")
+    found = T.catalogs(files).first()
+    assert (found.language, found.marked, found.base_uri) == ("ko", True, "https://x.invalid") and "Pages" in found.entries
+    assert [(r.font_name, r.kind, bytes(r.content)) for r in T.font_files(files).collect()] == [("T", "truetype", b"program")]
+    assert [r.text for r in T.shown_operands(files).orderBy("seq").collect()] == ["Hi", "ab"]
