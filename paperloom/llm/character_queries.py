@@ -27,7 +27,13 @@ def _repairs(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Records that hold a product of wrong decoding."""
+    """Records that hold a product of wrong decoding.
+
+    Null and empty results and pages without mapped glyphs give no row; a
+    record delivered several times gives one; a null key is kept as null; other
+    columns are ignored; empty tables give no rows. Texts are judged whole,
+    whatever their length.
+    """
     return _repairs(spark, folder, False)
 
 
@@ -56,12 +62,12 @@ def _forms(spark: SparkSession, folder: str, found_only: bool) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Records that deviate from the consistent form."""
+    """Records that deviate from the consistent form. Nulls, repeats and empty tables as in `p1_found`."""
     return _forms(spark, folder, True)
 
 
 def p5_text(spark: SparkSession, folder: str) -> DataFrame:
-    """The consistent form of every record's text."""
+    """The consistent form of every record's text: of those that deviate and of those that do not; repeats once, null results not at all."""
     return _forms(spark, folder, False)
 
 

@@ -82,7 +82,12 @@ def line_statistics(documents: DataFrame) -> Lines:
 
 
 def cut_flags(documents: DataFrame) -> DataFrame:
-    """``doc_id, source, blank, cut`` of every document. Null and blank texts are not cut."""
+    """``doc_id, source, blank, cut`` of every document.
+
+    Null, empty and blank texts are not cut; a null source has no limits, a
+    null ``n_chars`` tells nothing; repeated rows are judged each; other
+    columns are ignored; an empty table gives no rows.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(line_statistics(documents))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
