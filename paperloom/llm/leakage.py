@@ -3,8 +3,8 @@
 Training documents are taken in shards; each shard's words, as numbers of the
 evaluation items' words, become an FM-index (`fm_index`). All short runs of
 words of all items are searched in it at once. Where they occur, the runs of
-one item in one document are put together, and an alignment of the words there
-tells whether the document holds enough of the item. What leaked is reported
+one item in one document are put together, and a search over all numbers of
+edits tells whether the document holds enough of the item there. What leaked is reported
 as spans of the document, merged where they overlap.
 """
 
@@ -25,10 +25,19 @@ EXACT_WORDS, LOOSE_WORDS, EDIT_EVERY = 12, 24, 8
 SLACK = 1
 #: Runs that are searched: among 24 words with 4 edits, one run at least has 4 words.
 SEED = 4
-#: Words of an item that must be found in one place before it is aligned.
-SEEDED_WORDS = 10
+#: Such runs that the shortest stretch with most edits still holds, each edit spoiling SEED of them; longer stretches hold more.
+LEAST_SEEDS = LOOSE_WORDS - SEED + 1 - SEED * (LOOSE_WORDS // EDIT_EVERY + SLACK)
+#: Words without a run after which another place begins: the shortest stretches cannot go over so many, and
+#: of a longer one that does, one side has LEAST_SEEDS still.
+GAP = LOOSE_WORDS + EDIT_EVERY
 #: Words of a shard. A longer document is a shard of its own.
 SHARD_WORDS = 1 << 18
+#: Words of a document that are compared with an item at once; more are compared in parts that overlap.
+PART_WORDS = 1 << 10
+
+# a stretch as one number: its words above, its first place below
+_PLACE_BITS = 21
+_WORD_ADDED, _NOTHING, _RUN = 1 << _PLACE_BITS, -(1 << 40), 1 << 42
 
 _WORD = re.compile(r"[^\W_]+(?:['’‘`´ʼ\-‐‑][^\W_]+)*")
 
@@ -71,56 +80,46 @@ def prepare(rows: list[tuple[int, str | None]]) -> Items:
     return Items(ids, words, numbers, seeds, list(homes.values()))
 
 
-def _alignment(item: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
-    """Matching places of the best local alignment of two word sequences.
-
-    A match adds 1, a word changed, dropped or added takes 4, so that the path
-    goes on over single edits between runs of words.
+def leaked_part(item: np.ndarray, part: np.ndarray) -> tuple[int, int] | None:
+    """The stretch of ``part`` that holds enough of the item, as first and last place; None if there is none.
+
+    For each number of edits in turn, every pair of places gets the longest
+    stretch of the item that ends there with so many words changed, dropped or
+    added. A stretch begins and ends with kept words and counts if its edits are
+    few enough for its words; one a few words short of LOOSE_WORDS counts if its
+    neighbours taken as changed still leave no more than one in EDIT_EVERY. Of
+    those that count, the one with most words less 4 for each edit is given.
     """
     n, m = len(item), len(part)
-    score = np.zeros((n + 1, m + 1), np.int32)
-    equal = item[:, None] == part[None, :]
-    offset = 4 * np.arange(m + 1)
-    for i in range(1, n + 1):
-        best = np.maximum(score[i - 1, :-1] + np.where(equal[i - 1], 1, -4), score[i - 1, 1:] - 4)
-        row = np.concatenate(([0], np.maximum(best, 0)))
-        # words added in the document: each takes 4 from what stands before
-        score[i] = np.maximum(np.maximum.accumulate(row + offset) - offset, 0)
-    i, j = divmod(int(score.argmax()), m + 1)
-    matches = []
-    while i and j and score[i, j] > 0:
-        if equal[i - 1, j - 1] and score[i, j] == score[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-            matches.append((i, j))
-        elif score[i, j] == score[i - 1, j - 1] - 4:
-            i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] - 4:
-            i -= 1
-        elif score[i, j] == score[i, j - 1] - 4:
-            j -= 1
-        else:
-            break
-    return matches[::-1]
-
-
-def leaked_part(item: np.ndarray, part: np.ndarray) -> tuple[int, int] | None:
-    """The longest stretch of ``part`` that holds enough of the item, as first and last place; None if there is none."""
-    matches = _alignment(item, part)
-    if len(matches) < EXACT_WORDS:
+    if n < EXACT_WORDS or m < EXACT_WORDS:
         return None
-    best = None
-    for a in range(len(matches)):
-        for b in range(len(matches) - 1, a + EXACT_WORDS - 2, -1):
-            if best is not None and b - a <= best[1] - best[0]:
-                break
-            (i0, j0), (i1, j1) = matches[a], matches[b]
-            kept, length = b - a + 1, max(i1 - i0, j1 - j0) + 1
-            edits = length - kept
-            if edits == 0 and kept >= EXACT_WORDS or length >= LOOSE_WORDS and edits <= length // EDIT_EVERY + SLACK:
-                best = (a, b)
-                break
-            # a run without edits inside a worse stretch is found from its own start
-    return None if best is None else (matches[best[0]][1], matches[best[1]][1])
+    # a row for each diagonal, a column for each word of the item; a value is the stretch's words, then its first place
+    padded = np.concatenate((np.full(n - 1, -1), part, np.full(n - 1, -1)))
+    equal = np.lib.stride_tricks.sliding_window_view(padded, n) == item
+    column = np.arange(n)
+    place = np.arange(n + m - 1)[:, None] - (n - 1) + column
+    run = np.cumsum(~equal, axis=1) * _RUN - column * _WORD_ADDED
+    entry = np.where(equal, _WORD_ADDED + place, _NOTHING)
+    best, found = -n * EDIT_EVERY, None
+    for edits in range(n // EDIT_EVERY + SLACK + 1):
+        # kept words go on along the diagonal
+        value = np.maximum.accumulate(entry + run, axis=1) - run
+        value[value < 0] = _NOTHING
+        words = value >> _PLACE_BITS
+        loose = (words >= LOOSE_WORDS) & (edits <= words // EDIT_EVERY + SLACK)
+        if n >= LOOSE_WORDS:
+            loose |= (words < LOOSE_WORDS) & (edits + LOOSE_WORDS - words <= LOOSE_WORDS // EDIT_EVERY)
+        score = np.where(equal & (loose | (words >= EXACT_WORDS) & (edits == 0)), words - 4 * edits, -n * EDIT_EVERY)
+        k = int(score.argmax())
+        if score.flat[k] > best:
+            best, found = int(score.flat[k]), (int(value.flat[k] & _WORD_ADDED - 1), int(place.flat[k]))
+        if n - 4 * (edits + 1) <= best:
+            break
+        entry = np.full_like(value, _NOTHING)
+        entry[:, 1:] = value[:, :-1] + _WORD_ADDED  # changed
+        entry[:-1, 1:] = np.maximum(entry[:-1, 1:], value[1:, :-1] + _WORD_ADDED)  # dropped
+        entry[1:] = np.maximum(entry[1:], value[:-1])  # added
+    return found
 
 
 class Shard:
@@ -177,18 +176,23 @@ class Shard:
         """Places of one document that hold enough of one item."""
         spans: list[tuple[int, int]] = []
         group: list[tuple[int, int]] = []
-        reach = len(item) + len(item) // EDIT_EVERY + SEED
+        # a stretch takes no more of a document
+        reach = len(item) + len(item) // EDIT_EVERY + SLACK
 
         def close() -> None:
-            if not group or len({i + k for _, i in group for k in range(SEED)}) < SEEDED_WORDS:
+            if len({i for _, i in group}) < LEAST_SEEDS:
                 return
-            first, end = max(0, group[0][0] - reach), min(len(numbers), group[-1][0] + reach)
-            while first < end and (part := leaked_part(item, numbers[first:end])):
-                spans.append((first + part[0], first + part[1]))
-                first += part[1] + 1
+            first, stop = max(0, group[0][0] - reach), min(len(numbers), group[-1][0] + reach)
+            while first < stop:
+                end = min(stop, first + PART_WORDS + reach)
+                if part := leaked_part(item, numbers[first:end]):
+                    spans.append((first + part[0], first + part[1]))
+                    first += part[1] + 1
+                else:
+                    first = end if end == stop else end - reach
 
         for hit in hits:
-            if group and hit[0] - group[-1][0] > EXACT_WORDS + SEED:
+            if group and hit[0] - group[-1][0] > GAP:
                 close()
                 group = []
             group.append(hit)

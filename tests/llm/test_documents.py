@@ -134,6 +134,64 @@ def test_leaks_against_brute_force():
     assert {(d, k) for d, k, _, _ in shard.leaks()} == want and want
 
 
+def edited(words, edits, rng):
+    """The words with so many changed, dropped or having one added behind them, at places drawn."""
+    out = []
+    at = set(rng.sample(range(len(words)), edits))
+    for i, w in enumerate(words):
+        kind = rng.choice(["changed", "dropped", "added"]) if i in at else ""
+        out += [] if kind == "dropped" else [f"other{i}"] if kind == "changed" else [w]
+        out += [f"more{i}"] if kind == "added" else []
+    return out
+
+
+def edits_between(a, b):
+    """The edit distance of two word lists."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j - 1] + (x != y), before[j] + 1, row[-1] + 1))
+    return row[-1]
+
+
+@pytest.mark.parametrize("kept", [(3, 6, 6, 6), (4, 4, 4, 9), (9, 4, 4, 4), (1, 7, 7, 6)])
+def test_edits_near_the_ends_of_a_loose_leak(kept):
+    words, at = [], 10
+    for n in kept:
+        words += [*WORDS[at : at + n], f"other{at}"]
+        at += n + 1
+    shard = Shard(prepare([(7, ITEM)]))
+    shard.add(1, "Some words first. " + " ".join(words[:-1]) + " and after")
+    assert {(d, i) for d, i, _, _ in shard.leaks()} == {(1, 7)}
+
+
+@pytest.mark.parametrize("length", [24, 26, 28, 32, 40, 55])
+def test_loose_leaks_with_edits_anywhere(length):
+    rng, shard = random.Random(length), Shard(prepare([(7, ITEM)]))
+    for d in range(60):
+        start = rng.randrange(61 - length)
+        shard.add(d, " ".join(["before"] * 9 + edited(WORDS[start : start + length], length // 8, rng) + ["after"] * 9))
+    assert {d for d, _, _, _ in shard.leaks()} == set(range(60))
+
+
+def test_loose_parts_against_brute_force():
+    rng, seen = random.Random(5), Counter()
+    for _ in range(30):
+        item = WORDS[:26]
+        text = ["x"] * 2 + edited(item, rng.randint(3, 7), rng) + ["y"] * 2
+        number = {w: i for i, w in enumerate(dict.fromkeys(item + text))}
+        stretches = [(i, k) for i in range(27) for k in range(i + 24, 27)]
+        parts = [(a, b) for a in range(len(text)) for b in range(a + 12, len(text) + 1)]
+        exact = any(item[i : i + 12] == text[a : a + 12] for i in range(15) for a in range(len(text) - 11))
+        # one edit more is let through where the stretch begins and ends with kept words
+        loose = any(edits_between(item[i:k], text[a:b]) <= (k - i) // 8 + (item[i] == text[a] and item[k - 1] == text[b - 1]) for i, k in stretches for a, b in parts if abs(b - a - k + i) <= 4)
+        found = leaked_part(np.array([number[w] for w in item]), np.array([number[w] for w in text]))
+        assert (found is not None) == (exact or loose)
+        seen[found is not None] += 1
+    assert min(seen[True], seen[False]) > 3
+
+
 def test_parts_and_spans():
     assert leaked_part(np.arange(12), np.arange(12)) == (0, 11) and leaked_part(np.arange(11), np.arange(11)) is None
     assert merged([(5, 9), (1, 3), (2, 4), (9, 12)]) == [(1, 4), (5, 12)] and merged([]) == []
