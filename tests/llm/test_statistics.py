@@ -58,6 +58,17 @@ def test_held_out_accuracy():
     assert lang == "de" and [p[0] for p in parts] == ["de", "fr", "de", "de"] and 0 < confidence <= 1
 
 
+@pytest.mark.parametrize(
+    ("main", "short", "lang"),
+    [("en", "본문 추출기는 여러 잘못된 참조를 닫는다.", "ko"), ("es", "글꼴 저장소가 앞 문단을 읽는다", "ko"), ("de", "Он читает файл.", "ru"), ("de", "It reads the page.", "en"), ("ru", "The page.", "en"),
+     ("de", "7쪽", "de"), ("de", "Page 3 of 9", "de"), ("en", "стр. 5", "en"), ("de", "– 81 –", "de"), ("en", "Notes on Files", "en")],
+)
+def test_short_paragraphs(main, short, lang):
+    model = fit([(prose(code, i), code) for code in SENTENCES for i in range(40)])
+    found, _, parts = identify(model, f"{prose(main, 900)}\n\n{short}\n\n{prose(main, 901)}")
+    assert found == main and [p[0] for p in parts] == [main, lang, main]
+
+
 def test_fit_of_nothing():
     assert identify(fit([]), "The page.")[0] is None
 
