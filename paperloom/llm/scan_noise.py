@@ -30,6 +30,8 @@ LINE_SHARE, COMPOUND_SHARE, MIN_COUNT = 1e-4, 2e-5, 3
 Q = 2
 CANDIDATES = 6
 ACCEPT = 0.5
+#: A vocabulary word is no right one if misreadings alone make it of a word so many times as frequent.
+MUCH_MORE = 50
 
 # What is written, and what was meant.
 MISREADINGS = [
@@ -42,6 +44,9 @@ MISREADINGS = [
 _BY_MEANT: dict[str, list[str]] = defaultdict(list)
 for _written, _meant in MISREADINGS:
     _BY_MEANT[_meant].append(_written)
+_BY_WRITTEN: dict[str, list[str]] = defaultdict(list)
+for _written, _meant in MISREADINGS:
+    _BY_WRITTEN[_written].append(_meant)
 _PAIRS = set(MISREADINGS)
 
 MARKS = "-‐‑¬\xad"
@@ -117,6 +122,45 @@ def only_misread(word: str, meant: str) -> int | None:
     return best
 
 
+def meant_words(word: str, vocabulary: Vocabulary) -> set[str]:
+    """All vocabulary words but the word itself that misreadings alone, of any number, make the word."""
+    out, seen, n = set(), set(), len(word)
+    stack = [(0, "", vocabulary.trie())]
+    while stack:
+        i, meant, node = stack.pop()
+        if (i, meant) in seen:
+            continue
+        seen.add((i, meant))
+        if i == n:
+            if "" in node and meant != word:
+                out.add(meant)
+            continue
+        if (below := node.get(word[i])) is not None:
+            stack.append((i + 1, meant + word[i], below))
+        for step in (1, 2):
+            for back in _BY_WRITTEN.get(word[i : i + step], ()) if i + step <= n else ():
+                below = node
+                for c in back:
+                    below = below.get(c) if below is not None else None
+                if below is not None:
+                    stack.append((i + step, meant + back, below))
+    return out
+
+
+def without_misread(vocabulary: Vocabulary) -> Vocabulary:
+    """Without words that are misread forms of much more frequent ones; those with digits among letters, of any more frequent one without."""
+    bad = set()
+    for word, n in vocabulary.counts.items():
+        if len(word) < 3 or word.isdigit():
+            continue
+        mixed = any(c.isdigit() for c in word)
+        for meant in meant_words(word, vocabulary):
+            more = vocabulary.counts[meant]
+            if len(meant) >= 3 and (more >= MUCH_MORE * n or mixed and more > n and not any(c.isdigit() for c in meant)):
+                bad.add(word)
+    return vocabulary.without(bad)
+
+
 class Corrector:
     """Vocabulary words that an unknown one may have been, by q-grams in common, and their ranking."""
 

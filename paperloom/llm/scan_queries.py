@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.character_forms import Forms
 from paperloom.llm.records import RECORD, all_records, distinct, vocabulary_of
-from paperloom.llm.scan_noise import COMPOUND_SHARE, LINE_SHARE, MIN_COUNT, SAMPLE_RECORDS, Cleaner, Corrector, Furniture, Joiner, LineStatistics, count_lines
+from paperloom.llm.scan_noise import COMPOUND_SHARE, LINE_SHARE, MIN_COUNT, SAMPLE_RECORDS, Cleaner, Corrector, Furniture, Joiner, LineStatistics, count_lines, without_misread
 from paperloom.llm.text_stats import PROSE, classify
 from paperloom.llm.vocabulary import WORD, Vocabulary
 from paperloom.session import durable, table
@@ -60,10 +60,11 @@ def fitted(spark: SparkSession, folder: str) -> tuple[Vocabulary, Cleaner]:
     vocabulary = vocabulary_of(spark, folder)
     statistics = line_statistics(results)
     forms = Forms(vocabulary)
-    corrector = Corrector(vocabulary).fit()
+    sound = without_misread(vocabulary)
+    corrector = Corrector(sound).fit()
     texts = [forms.consistent(t)[0] for t in _sample(results)]
     texts = [t for t, kind in zip(texts, classify(pa.array(texts, pa.string()))) if kind == PROSE] if texts else []
-    return vocabulary, Cleaner(corrector, Furniture(statistics, corrector).fit(texts), Joiner(vocabulary, statistics).fit())
+    return vocabulary, Cleaner(corrector, Furniture(statistics, corrector).fit(texts), Joiner(sound, statistics).fit())
 
 
 def cleaned_records(spark: SparkSession, folder: str) -> DataFrame:

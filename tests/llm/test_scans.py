@@ -5,7 +5,7 @@ import pytest
 
 from paperloom.llm import catalog
 from paperloom.llm.boosting import BoostedTrees
-from paperloom.llm.scan_noise import Corrector, Furniture, Joiner, LineStatistics, Cleaner, is_candidate, misread, only_misread, reading_cost, template, title_like
+from paperloom.llm.scan_noise import Corrector, Furniture, Joiner, LineStatistics, Cleaner, is_candidate, meant_words, misread, only_misread, reading_cost, template, title_like, without_misread
 
 from .conftest import SENTENCES, prose, wrapped
 
@@ -87,6 +87,27 @@ def test_misread_words(cleaner):
     assert cleaner.clean("").noise == set() and cleaner.clean("\n\n").text == ""
 
 
+def test_misread_words_in_the_vocabulary():
+    from paperloom.llm.vocabulary import Vocabulary
+
+    counts = {"page": 5000, "poge": 30, "pa9e": 2600, "pagc": 27, "the": 9000, "fonf": 25, "font": 1300, "pagina": 37, "página": 847, "cache": 2287, "caché": 569, "renderer": 90, "mp3": 40, "x86": 30}
+    vocabulary = Vocabulary(counts, 50_000)
+    sound = without_misread(vocabulary)
+    assert set(counts) - set(sound.counts) == {"poge", "pa9e", "pagc", "fonf"}
+    corrector = Corrector(sound).fit()
+    assert [corrector.correct(w) for w in ("poge", "pa9e", "pagc", "pagina")] == ["page", "page", "page", None]
+    for word in ["pa9e", "poge", "page", "rnp3", "fonf"]:
+        assert meant_words(word, vocabulary) == {w for w in counts if only_misread(word, w)}
+
+
+def test_frequent_misreadings_are_found(tables, spark):
+    rows = [(i, wrapped(prose("en", i)).replace("page", "pa9e", 1), "en") for i in range(1, 12)]
+    rows = [r for r in rows if "pa9e" in r[1]]
+    tables.results(rows)
+    found = {r.result_id for r in QUERIES["p3_found"](spark, tables.folder).where("field = 'result' and noise = 'chars'").collect()}
+    assert found == {r[0] for r in rows} and len(rows) > 4
+
+
 def test_found(tables, spark):
     noisy = wrapped(prose("en", 1)).replace("hidden", "hiclden", 1).replace("page", "pa9e", 1)
     rows = [(1, noisy, "en"), (1, noisy, "en"), (2, None, "en"), (3, "", "en"), (4, "\n".join(f"- thc lay0ut {i}" for i in range(9)), "en"), (5, wrapped(prose("en", 2)), "en"), (6, "x-\n" * 3000, "en")]
