@@ -167,6 +167,7 @@ class Corrector:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.words = sorted(w for w in vocabulary.counts if len(w) >= 3 and w[0] < "ʰ" and not any(c.isdigit() for c in w[:2]))
+        self.numbers = {w: i for i, w in enumerate(self.words)}
         self.sizes = np.array([len(grams(w)) for w in self.words] or [0])
         self.lengths = np.array([len(w) for w in self.words] or [0])
         postings: dict[str, list[int]] = defaultdict(list)
@@ -193,6 +194,15 @@ class Corrector:
         top = top[share[top] > 0.1]
         return [(int(i), float(share[i])) for i in top[np.argsort(-share[top], kind="stable")]]
 
+    def _meant(self, word: str) -> list[tuple[tuple[int, float], int | None]]:
+        """All words that misreadings make the word: their numbers, shares of q-grams in common, and the number of misreadings."""
+        own, out = grams(word), []
+        for meant in sorted(meant_words(word, self.vocabulary)):
+            if (i := self.numbers.get(meant)) is not None:
+                common = len(own & grams(meant))
+                out.append(((i, float(common / (self.sizes[i] + len(own) - common))), only_misread(word, meant)))
+        return sorted(out, key=lambda row: -row[0][1])
+
     def _features(self, word: str, found: list[tuple[int, float]], costs: list[tuple[int, int]], best: float) -> np.ndarray:
         rows = []
         digits = sum(c.isdigit() for c in word)
@@ -224,11 +234,12 @@ class Corrector:
         if low in self.known:
             return self.known[low]
         out = None
-        if 3 <= len(low) <= 40 and low not in self.vocabulary and low[0] < "ʰ" and not low.isdigit() and not _NUMERAL.fullmatch(low) and (found := self.candidates(low)):
+        if 3 <= len(low) <= 40 and low not in self.vocabulary and low[0] < "ʰ" and not low.isdigit() and not _NUMERAL.fullmatch(low):
             # what was meant must explain every deviation
-            within = [(k, n) for k in found if (n := only_misread(low, self.words[k[0]]))]
+            within = [(k, n) for k, n in self._meant(low) if n]
             if within:
-                p = self.ranker.probability(self._features(low, [k for k, _ in within], [(n, 0) for _, n in within], found[0][1]))
+                best = max([share for (_, share), _ in within] + [share for _, share in self.candidates(low)[:1]])
+                p = self.ranker.probability(self._features(low, [k for k, _ in within], [(n, 0) for _, n in within], best))
                 k = int(p.argmax())
                 if p[k] >= ACCEPT:
                     out = self.words[within[k][0][0]]

@@ -87,6 +87,16 @@ def test_misread_words(cleaner):
     assert cleaner.clean("").noise == set() and cleaner.clean("\n\n").text == ""
 
 
+def test_what_was_meant_among_many_like_words():
+    from paperloom.llm.vocabulary import Vocabulary
+
+    # words that share more two-letter runs with the misread one than what was meant does
+    like = ["vvh", "vvhe", "vvhi", "hcn", "ehcn", "ahcn", "vvha", "vvho", "ohcn"]
+    corrector = Corrector(Vocabulary({"when": 900} | dict.fromkeys(like, 3), 10_000))
+    assert "when" not in {corrector.words[i] for i, _ in corrector.candidates("vvhcn")}
+    assert [(corrector.words[i], n) for (i, _), n in corrector._meant("vvhcn")] == [("when", 2)]
+
+
 def test_misread_words_in_the_vocabulary():
     from paperloom.llm.vocabulary import Vocabulary
 
