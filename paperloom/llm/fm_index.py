@@ -17,44 +17,39 @@ SAMPLE = 16
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """The order of the suffixes, by prefix doubling. The last symbol must be smaller than all others."""
     n = len(symbols)
-    order = np.argsort(symbols, kind="stable")
-    rank = np.empty(n, np.int64)
+    # as many symbols as fit into one number are compared at once to begin with
+    bits = max(1, int(symbols.max()).bit_length())
+    step = min(n, max(1, 62 // bits))
+    key = np.zeros(n, np.int64)
+    for k in range(step):
+        key <<= bits
+        key[: n - k] |= symbols[k:]
+    order = np.argsort(key, kind="stable")
     first = np.ones(n, bool)
-    first[1:] = symbols[order][1:] != symbols[order][:-1]
-    rank[order] = np.cumsum(first) - 1
-    step = 1
-    open_ = np.ones(n, bool)
-    while step < n:
-        # only suffixes that share their rank with another need a further look
-        counts = np.bincount(rank, minlength=n)
-        open_ = counts[rank] > 1
-        rows = np.flatnonzero(open_[order])
-        if not len(rows):
-            break
+    first[1:] = key[order][1:] != key[order][:-1]
+    # a rank is the first row of its group, so that it stays ahead of the groups behind it
+    starts = np.maximum.accumulate(np.where(first, np.arange(n), 0))
+    rank = np.empty(n, np.int64)
+    rank[order] = starts
+    # only suffixes that share their rank with another need a further look
+    rows = np.flatnonzero(~first | ~np.append(first[1:], True))
+    while step < n and len(rows):
         suffixes = order[rows]
         after = suffixes + step
         second = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
         key = rank[suffixes] * (n + 2) + second
         by = np.argsort(key, kind="stable")
-        order[rows] = suffixes[by]
-        key = key[by]
+        suffixes, key = suffixes[by], key[by]
+        order[rows] = suffixes
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
-        # a rank is the first row of its group, so that it stays ahead of the groups behind it
         starts = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        rank = _dense(rank, order, rows, starts, n)
+        rank[suffixes] = rows[starts]
+        rows = rows[~new | ~np.append(new[1:], True)]
         step *= 2
     return order
 
 
-def _dense(rank: np.ndarray, order: np.ndarray, rows: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """Ranks as rows: settled suffixes get their own row, others the first row of their group."""
-    out = np.empty(n, np.int64)
-    out[order] = np.arange(n)
-    out[order[rows]] = rows[starts]
-    return out
-
-
 class WaveletMatrix:
     """Counts how often a symbol occurs before a row."""
 
@@ -97,16 +92,23 @@ class FMIndex:
 
     def __init__(self, symbols: np.ndarray):
         text = np.append(symbols.astype(np.int64), 0)
-        self.size = len(text)
         order = suffix_array(text)
-        top = int(text.max())
-        self.smaller = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=top + 1))))
-        self.column = WaveletMatrix(text[order - 1], max(1, top.bit_length()))
-        self.top = top
         marked = order % SAMPLE == 0
-        self.marks = marked
-        self.before = np.concatenate(([0], np.cumsum(marked)))
-        self.places = order[marked]
+        self._set(text[order - 1], marked, order[marked])
+
+    @classmethod
+    def restored(cls, symbols: np.ndarray, marks: np.ndarray, places: np.ndarray) -> FMIndex:
+        """The index from its parts: the symbols before the rows, which rows are marked, and the marked rows' positions."""
+        index = cls.__new__(cls)
+        index._set(symbols, marks, places)
+        return index
+
+    def _set(self, symbols: np.ndarray, marks: np.ndarray, places: np.ndarray) -> None:
+        self.symbols, self.marks, self.places = symbols, marks, places
+        self.size, self.top = len(symbols), int(symbols.max())
+        self.smaller = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=self.top + 1))))
+        self.column = WaveletMatrix(symbols, max(1, self.top.bit_length()))
+        self.before = np.concatenate(([0], np.cumsum(marks)))
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The row ranges of patterns of one length, one pattern in a row; an empty range for what does not occur."""

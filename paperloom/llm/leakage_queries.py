@@ -9,15 +9,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.leakage import SHARD_WORDS, Items, Shard, merged, prepare
-from paperloom.session import spread, table
+from paperloom.llm.leakage import INDEX_TABLE, Index, Items, merged, prepare, shards
+from paperloom.session import durable, spread, table
 
 _LEAKS = "doc_id bigint, item_id bigint, first bigint, end bigint"
+#: Characters of all distinct items that are sent to every task at most; more are refused.
+ITEM_CHARS = 1 << 28
 
 
 def _items(items: DataFrame) -> Items:
-    """The held-out items: a fixed table of some hundred rows."""
-    return prepare([(r[0], r[1]) for r in items.selectExpr("cast(item_id as bigint)", "text").distinct().orderBy("item_id", "text").collect()])
+    """The held-out items, a fixed table. They go to every task, so their size is checked first."""
+    rows = items.selectExpr("cast(item_id as bigint) item_id", "text").distinct()
+    size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    if size > ITEM_CHARS:
+        raise ValueError(f"{size} characters of items are more than {ITEM_CHARS}; search them in parts, over one `shard_indexes` table")
+    return prepare([(r[0], r[1]) for r in rows.orderBy("item_id", "text").collect()])
+
+
+def _leak_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "first", "end"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str | None]]:
+    for batch in batches:
+        yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+
+
+def _documents(documents: DataFrame) -> DataFrame:
+    return spread(documents.selectExpr("cast(doc_id as bigint) doc_id", "text"))
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -32,22 +52,34 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(_items(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = Shard(shared.value)
+        for index in shards(_texts(batches)):
+            yield _leak_batch(index.leaks(shared.value))
+
+    return _documents(documents).mapInArrow(run, _LEAKS)
+
+
+def shard_indexes(documents: DataFrame) -> DataFrame:
+    """A table of FM-indexes, one row for each shard of documents, to be kept: later items are searched in it by `indexed_leaks`."""
+    kinds = [pa.list_(pa.int64()), *[pa.binary()] * 3, pa.list_(pa.string()), *[pa.binary()] * 3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for index in shards(_texts(batches)):
+            row = index.pack()
+            yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row.values(), kinds)], names=list(row))
+
+    return _documents(documents).mapInArrow(run, INDEX_TABLE)
 
-        def out() -> pa.RecordBatch:
-            rows = shard.leaks()
-            columns = list(zip(*rows)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "first", "end"])
 
+def indexed_leaks(indexes: DataFrame, items: DataFrame) -> DataFrame:
+    """The same rows as `leaks`, from a table of `shard_indexes` alone."""
+    shared = indexes.sparkSession.sparkContext.broadcast(_items(items))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    shard.add(key, text)
-                    if shard.size >= SHARD_WORDS:
-                        yield out()
-        yield out()
+            for i in range(batch.num_rows):
+                yield _leak_batch(Index.unpack(batch.slice(i, 1).to_pylist()[0]).leaks(shared.value))
 
-    return spread(documents.selectExpr("cast(doc_id as bigint) doc_id", "text")).mapInArrow(run, _LEAKS)
+    return indexes.mapInArrow(run, _LEAKS)
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,10 +105,16 @@ def p8_spans(spark: SparkSession, folder: str) -> DataFrame:
     return spans.mapInArrow(run, "doc_id bigint, first bigint, end bigint")
 
 
+def p8_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of `p8_found` from an index that was written first and is read without the documents."""
+    indexes = durable(shard_indexes(table(spark, folder, "documents")))
+    return indexed_leaks(indexes, table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
+
+
 def p8_items(spark: SparkSession, folder: str) -> DataFrame:
     """How many documents leak each item."""
     return p8_found(spark, folder).groupBy("item_id").agg(F.count("*").alias("documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_found": p8_found, "p8_spans": p8_spans, "p8_items": p8_items}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p8_found": p8_found, "p8_spans": p8_spans, "p8_items": p8_items, "p8_indexed": p8_indexed}
 SQL: dict[str, str] = {}

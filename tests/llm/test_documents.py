@@ -8,7 +8,7 @@ import pytest
 from paperloom.llm import catalog
 from paperloom.llm.byte_bpe import Transducer, Utf8Reader, read_ranks
 from paperloom.llm.fm_index import FMIndex, suffix_array
-from paperloom.llm.leakage import Shard, leaked_part, merged, prepare, words_with_places
+from paperloom.llm.leakage import Index, leaked_part, merged, prepare, shards, words_with_places
 from paperloom.llm.truncation import Judge, Lines, count_lines, open_at_end
 
 from .conftest import SENTENCES, prose
@@ -99,6 +99,10 @@ def test_index_against_brute_force(n, letters):
             assert sorted(index.locate(np.arange(low, high)).tolist()) == want
 
 
+def leaks_of(items, documents):
+    return [leak for index in shards(iter(documents)) for leak in index.leaks(items)]
+
+
 def changed(words, every):
     return [f"other{i}" if i % every == every - 1 else w for i, w in enumerate(words)]
 
@@ -110,28 +114,28 @@ def changed(words, every):
      (" ".join(WORDS[100:200]), False), (" ".join(w + " zz" if i % 9 == 8 else w for i, w in enumerate(WORDS[:40])), True), (" ".join(reversed(WORDS[:60])), False)],
 )
 def test_leaks(text, leaks):
-    shard = Shard(prepare([(7, ITEM), (8, None), (9, "too short")]))
-    shard.add(1, "Some words first. " + text + " and after")
-    shard.add(2, "nothing here")
-    found = shard.leaks()
+    documents = [(1, "Some words first. " + text + " and after"), (2, "nothing here"), (3, None), (4, "")]
+    items = prepare([(7, ITEM), (8, None), (9, "too short")])
+    found = leaks_of(items, documents)
     assert {(d, i) for d, i, _, _ in found} == ({(1, 7)} if leaks else set())
-    assert shard.leaks() == []
+    # an index that was kept tells the same
+    assert [leak for index in shards(iter(documents)) for leak in Index.unpack(index.pack()).leaks(items)] == found
 
 
 def test_leaks_against_brute_force():
     rng = random.Random(3)
     items = [(k, " ".join(rng.choice(WORDS) for _ in range(50))) for k in range(20)]
-    shard, want = Shard(prepare(items)), set()
+    documents, want = [], set()
     grams = {k: {tuple(t.split()[i : i + 12]) for i in range(39)} for k, t in items}
     for d in range(150):
         words = [rng.choice(WORDS) for _ in range(rng.randint(0, 80))]
         if d % 3 == 0:
             k, start, size = rng.randrange(20), rng.randrange(30), rng.choice([6, 9, 11, 12, 15])
             words[10:10] = items[k][1].split()[start : start + size]
-        shard.add(d, " ".join(words))
+        documents.append((d, " ".join(words)))
         have = {tuple(words[i : i + 12]) for i in range(len(words) - 11)}
         want |= {(d, k) for k, g in grams.items() if have & g}
-    assert {(d, k) for d, k, _, _ in shard.leaks()} == want and want
+    assert {(d, k) for d, k, _, _ in leaks_of(prepare(items), documents)} == want and want
 
 
 def edited(words, edits, rng):
@@ -161,18 +165,23 @@ def test_edits_near_the_ends_of_a_loose_leak(kept):
     for n in kept:
         words += [*WORDS[at : at + n], f"other{at}"]
         at += n + 1
-    shard = Shard(prepare([(7, ITEM)]))
-    shard.add(1, "Some words first. " + " ".join(words[:-1]) + " and after")
-    assert {(d, i) for d, i, _, _ in shard.leaks()} == {(1, 7)}
+    text = "Some words first. " + " ".join(words[:-1]) + " and after"
+    assert {(d, i) for d, i, _, _ in leaks_of(prepare([(7, ITEM)]), [(1, text)])} == {(1, 7)}
 
 
-@pytest.mark.parametrize("length", [24, 26, 28, 32, 40, 55])
+@pytest.mark.parametrize("length", [24, 26, 28, 32, 40, 48, 55])
 def test_loose_leaks_with_edits_anywhere(length):
-    rng, shard = random.Random(length), Shard(prepare([(7, ITEM)]))
-    for d in range(60):
+    rng, documents = random.Random(length), []
+    for d in range(200):
         start = rng.randrange(61 - length)
-        shard.add(d, " ".join(["before"] * 9 + edited(WORDS[start : start + length], length // 8, rng) + ["after"] * 9))
-    assert {d for d, _, _, _ in shard.leaks()} == set(range(60))
+        documents.append((d, " ".join(["before"] * 9 + edited(WORDS[start : start + length], rng.randint(0, length // 8), rng) + ["after"] * 9)))
+    assert {d for d, _, _, _ in leaks_of(prepare([(7, ITEM)]), documents)} == set(range(200))
+
+
+def test_two_passages_of_an_item():
+    text = " ".join(WORDS[3:16] + ["between"] * 14 + WORDS[20:50] + ["between"] * 14 + WORDS[30:43])
+    spans = {text[a:b] for _, _, a, b in leaks_of(prepare([(7, ITEM)]), [(1, text)])}
+    assert spans == {" ".join(WORDS[3:16]), " ".join(WORDS[20:50]), " ".join(WORDS[30:43])}
 
 
 def test_loose_parts_against_brute_force():
@@ -188,6 +197,8 @@ def test_loose_parts_against_brute_force():
         loose = any(edits_between(item[i:k], text[a:b]) <= (k - i) // 8 + (item[i] == text[a] and item[k - 1] == text[b - 1]) for i, k in stretches for a, b in parts if abs(b - a - k + i) <= 4)
         found = leaked_part(np.array([number[w] for w in item]), np.array([number[w] for w in text]))
         assert (found is not None) == (exact or loose)
+        agree = {a - i for i, w in enumerate(item) for a, v in enumerate(text) if v == w}
+        assert leaked_part(np.array([number[w] for w in item]), np.array([number[w] for w in text]), agree) == found
         seen[found is not None] += 1
     assert min(seen[True], seen[False]) > 3
 
@@ -203,6 +214,7 @@ def test_found_leaks(tables, spark):
     tables.items([(7, ITEM), (7, ITEM), (8, None), (9, "short")])
     tables.documents([(1, leak), (1, leak), (2, None), (3, ""), (4, leak), (None, leak), (5, "w0 " * 100_000)], extra=True)
     assert sorted((r.doc_id or 0, r.item_id) for r in QUERIES["p8_found"](spark, tables.folder).collect()) == [(0, 7), (1, 7), (4, 7)]
+    assert sorted((r.doc_id or 0, r.item_id) for r in QUERIES["p8_indexed"](spark, tables.folder).collect()) == [(0, 7), (1, 7), (4, 7)]
     assert {(r.first, r.end) for r in QUERIES["p8_spans"](spark, tables.folder).collect()} == {(2, len(leak))}
     tables.items([])
     assert QUERIES["p8_found"](spark, tables.folder).count() == 0
