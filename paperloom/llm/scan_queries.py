@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from paperloom.llm.character_forms import Forms
 from paperloom.llm.records import RECORD, all_records, distinct, vocabulary_of
 from paperloom.llm.scan_noise import COMPOUND_SHARE, LINE_SHARE, MIN_COUNT, SAMPLE_RECORDS, Cleaner, Corrector, Furniture, Joiner, LineStatistics, count_lines, without_misread
+from paperloom.llm.stats_queries import common_words
 from paperloom.llm.text_stats import PROSE, classify
 from paperloom.llm.vocabulary import WORD, Vocabulary
 from paperloom.session import durable, table
@@ -63,7 +64,7 @@ def fitted(spark: SparkSession, folder: str) -> tuple[Vocabulary, Cleaner]:
     sound = without_misread(vocabulary)
     corrector = Corrector(sound).fit()
     texts = [forms.consistent(t)[0] for t in _sample(results)]
-    texts = [t for t, kind in zip(texts, classify(pa.array(texts, pa.string()))) if kind == PROSE] if texts else []
+    texts = [t for t, kind in zip(texts, classify(pa.array(texts, pa.string()), common_words(spark, folder))) if kind == PROSE] if texts else []
     return vocabulary, Cleaner(corrector, Furniture(statistics, corrector).fit(texts), Joiner(sound, statistics).fit())
 
 
@@ -74,10 +75,10 @@ def cleaned_records(spark: SparkSession, folder: str) -> DataFrame:
     noise, and neither is anything in lists, tables and junk. Null, blank and
     clean texts give no rows; an empty table gives none.
     """
-    shared = spark.sparkContext.broadcast(fitted(spark, folder))
+    shared = spark.sparkContext.broadcast((*fitted(spark, folder), common_words(spark, folder)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, cleaner = shared.value
+        vocabulary, cleaner, common = shared.value
         forms = Forms(vocabulary)
         for batch in batches:
             at, plain, noise, repaired = [], [], [], []
@@ -93,7 +94,7 @@ def cleaned_records(spark: SparkSession, folder: str) -> DataFrame:
                     plain.append(whole)
                     noise.append(sorted(repair.noise))
                     repaired.append(repair.text)
-            kinds = classify(pa.array(plain, pa.string())) if plain else []
+            kinds = classify(pa.array(plain, pa.string()), common) if plain else []
             keep = [k for k, kind in enumerate(kinds) if kind == PROSE]
             picked = pa.array([at[k] for k in keep], pa.int64())
             columns = [batch.column(n).take(picked) for n in ("field", "result_id", "page_no")]

@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import partial
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.text_stats import PROSE, classify, failed_rules, rows_of
+from paperloom.llm.text_stats import PROSE, rows_of
 from paperloom.session import spread, table
 
 _ENDED = r"""[.!?…。．:;,][”"’»)\]]*\s*$"""
 
 
-def text_classes(results: DataFrame) -> DataFrame:
-    """``result_id, text_class`` of each non-blank result.
+#: Common words that go to every task, at most; more are refused.
+MAX_COMMON = 100_000
+
+
+def common_words(spark: SparkSession, folder: str) -> set[str]:
+    """The frequent words of the languages, in lower case: a fixed table, whose size is checked as it goes to every task."""
+    words = [r[0] for r in table(spark, folder, "common_words").where("word is not null").select(F.lower("word")).distinct().limit(MAX_COMMON + 1).collect()]
+    if len(words) > MAX_COMMON:
+        raise ValueError(f"more than {MAX_COMMON} common words")
+    return set(words)
+
+
+def text_classes(results: DataFrame, common: set[str]) -> DataFrame:
+    """``path, result_id, text_class, failed`` of each non-blank result: its class and the names of the rules it fails.
 
     Null, empty and blank results give no row, a repeated delivery a repeated
     row, a null key a null; other columns are ignored, an empty table gives
     none. Of kinds with equally many characters the first of prose, list,
     table and junk counts.
     """
-    texts = results.where("result is not null").selectExpr("cast(result_id as bigint) result_id", "result text")
-    return spread(texts).mapInArrow(rows_of, "result_id bigint, text_class string")
+    texts = results.where("result is not null").selectExpr("path", "cast(result_id as bigint) result_id", "result text")
+    return spread(texts).mapInArrow(partial(rows_of, common=common), "path string, result_id bigint, text_class string, failed array<string>")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Results of which most text is no prose."""
-    return text_classes(table(spark, folder, "batch_results")).where(F.col("text_class") != PROSE).distinct()
+    """Results of which most text is no prose, as the rules they fail tell."""
+    classes = text_classes(table(spark, folder, "batch_results"), common_words(spark, folder))
+    return classes.where(F.col("text_class") != PROSE).select("result_id", "text_class").distinct()
 
 
 def text_statistics(results: DataFrame, common: list[str]) -> DataFrame:
@@ -65,30 +78,14 @@ def text_statistics(results: DataFrame, common: list[str]) -> DataFrame:
     )
 
 
-def _common(spark: SparkSession, folder: str) -> list[str]:
-    """The frequent words: a fixed table of some hundred rows."""
-    return [r[0] for r in table(spark, folder, "common_words").where("word is not null").select(F.lower("word")).distinct().collect()]
-
-
 def p2_stats(spark: SparkSession, folder: str) -> DataFrame:
-    return text_statistics(table(spark, folder, "batch_results"), _common(spark, folder))
+    return text_statistics(table(spark, folder, "batch_results"), sorted(common_words(spark, folder)))
 
 
 def p2_quality(spark: SparkSession, folder: str) -> DataFrame:
-    """The kind of each non-blank result and the rules it fails, joined by commas."""
-    common = set(_common(spark, folder))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds, rules = classify(batch.column("text")), failed_rules(batch.column("text"), common)
-            keep = [i for i, k in enumerate(kinds) if k is not None]
-            picked = pa.array(keep, pa.int64())
-            columns = [batch.column("path").take(picked), batch.column("result_id").take(picked)]
-            columns += [pa.array([kinds[i] for i in keep], pa.string()), pa.array([",".join(rules[i]) for i in keep], pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["path", "result_id", "text_class", "failed"])
-
-    texts = table(spark, folder, "batch_results").where("result is not null").selectExpr("path", "cast(result_id as bigint) result_id", "result text")
-    return texts.mapInArrow(run, "path string, result_id bigint, text_class string, failed string").distinct()
+    """The class of each non-blank result and the rules it fails, joined by commas."""
+    classes = text_classes(table(spark, folder, "batch_results"), common_words(spark, folder))
+    return classes.withColumn("failed", F.array_join("failed", ",")).distinct()
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_stats": p2_stats, "p2_quality": p2_quality}

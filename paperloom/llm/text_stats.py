@@ -1,15 +1,19 @@
 """Statistics of texts and the kind of text they tell: prose, list, table or junk.
 
 All measures are taken for a whole Arrow batch at once: the texts are split to
-lines, every line is measured by vectorized kernels, and the lines are folded
-back to their texts. Fixed thresholds then give the kind of each line, the
-kind of the text (most of its characters), and the published quality rules
-that the text fails, each with its name.
+lines and words, each is measured by vectorized kernels, and the measures are
+folded back to their texts. A table of rules with fixed thresholds, `RULES`,
+then says what each text fails, by name, and the failed rules give its class:
+the published rules that tell prose from other text by bullets, symbols, words
+and common words, and rules on what share of a text stands in lines of items,
+of cells or of no language.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +21,8 @@ import pyarrow.compute as pc
 
 PROSE, LIST, TABLE, JUNK = "prose", "list", "table", "junk"
 _KINDS = [PROSE, LIST, TABLE, JUNK]
+#: Of lines: short ones without an end, as lists without marks have.
+OPEN = len(_KINDS)
 
 _BULLET = r"^(?:[-*•–·◦▪‣]\s|\(?\d{1,3}[.)]\s|\(?\pL[.)]\s|\(?[ivxIVX]{1,6}[.)]\s)"
 _LEADER = r"\.{3,}\s*[\divxlcIVXLC]+$|…\s*\d+$"
@@ -33,6 +39,40 @@ _CLOSED = r"[.!?…。．:;,][”\"’»)\]]*$"
 # Thresholds of the published rules for web text.
 MIN_WORDS, MAX_WORDS, MIN_MEAN, MAX_MEAN = 50, 100_000, 3.0, 10.0
 MAX_SYMBOLS, MAX_BULLETS, MAX_ELLIPSES, MIN_ALPHABETIC, MIN_COMMON = 0.1, 0.9, 0.3, 0.8, 2
+#: Less prose than this, and a text is none.
+MIN_PROSE = 0.5
+#: A text of so many words in ASCII letters has common words, at least this share, or uses some words again: a language without a list of common words does.
+JUDGED_WORDS, MIN_COMMON_SHARE, ASCII_LETTERS, MAX_DIFFERENT = 30, 0.02, 0.95, 0.9
+#: Of so many words, so few different ones are one word over and over.
+REPEATED_WORDS, WORDS_EACH = 6, 20
+
+
+@dataclass(frozen=True)
+class Rule:
+    """``fails`` tells from the statistics which texts fail; ``kind`` is the class that a failure gives, None if it gives none by itself."""
+
+    name: str
+    fails: Callable[[Statistics], np.ndarray]
+    kind: str | None = None
+
+
+#: The rules. Of the classes that a text's failures give, the last one's counts.
+RULES = [
+    Rule("few_words", lambda s: s.words < MIN_WORDS),
+    Rule("many_words", lambda s: s.words > MAX_WORDS),
+    Rule("short_words", lambda s: s.mean_word_length < MIN_MEAN),
+    Rule("long_words", lambda s: s.mean_word_length > MAX_MEAN),
+    Rule("symbols", lambda s: s.symbols > MAX_SYMBOLS),
+    Rule("bullets", lambda s: s.bullets > MAX_BULLETS),
+    Rule("ellipses", lambda s: s.ellipses > MAX_ELLIPSES),
+    Rule("not_alphabetic", lambda s: s.alphabetic < MIN_ALPHABETIC),
+    Rule("few_common_words", lambda s: s.different_common < MIN_COMMON),
+    Rule("mostly_items", lambda s: (s.prose < MIN_PROSE) & (s.items >= np.maximum(s.rows, s.no_language)), LIST),
+    Rule("mostly_rows", lambda s: (s.prose < MIN_PROSE) & (s.rows > s.items) & (s.rows >= s.no_language), TABLE),
+    Rule("mostly_no_language", lambda s: (s.prose < MIN_PROSE) & (s.no_language > np.maximum(s.items, s.rows)), JUNK),
+    Rule("no_common_words", lambda s: (s.prose + s.open >= MIN_PROSE) & (s.letter_words >= JUDGED_WORDS) & (s.common < MIN_COMMON_SHARE) & (s.ascii_letters >= ASCII_LETTERS) & (s.different >= MAX_DIFFERENT * s.words), JUNK),
+    Rule("one_word", lambda s: (s.rows < MIN_PROSE) & (s.words >= REPEATED_WORDS) & (s.different <= np.maximum(2, s.words // WORDS_EACH)) & (s.numbers < 0.5), JUNK),
+]
 
 
 def _count(lines: pa.Array, pattern: str) -> np.ndarray:
@@ -50,8 +90,8 @@ def _cleaned(texts: pa.Array) -> pa.Array:
 
 
 def line_kinds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all non-blank lines: the text's index, the kind's index and the number of characters."""
-    parts = pc.split_pattern(_cleaned(texts), "\n")
+    """Of all non-blank lines of cleaned texts: the text's index, the kind's index, OPEN for open lines that are no marked items, and the number of characters."""
+    parts = pc.split_pattern(texts, "\n")
     owner = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
     raw = pc.list_flatten(parts)
     lines = pc.utf8_trim_whitespace(raw)
@@ -103,52 +143,158 @@ def line_kinds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     opened, closed = np.bincount(owner[open_tail], minlength=len(texts)), np.bincount(owner[ends], minlength=len(texts))
     all_lines = np.bincount(owner[filled], minlength=len(texts))
     open_tail &= ~((opened[owner] <= 2) & (closed[owner] > 0) | (opened[owner] <= 3) & (opened[owner] == all_lines[owner]))
-    kind = np.where(open_tail, 1, kind)
+    kind = np.where(open_tail, OPEN, kind)
     return owner[filled], kind[filled], size[filled]
 
 
-def classify(texts: pa.Array) -> list[str | None]:
-    """The kind of each text; None if it is null or blank."""
-    n = len(texts)
-    filled = pc.fill_null(texts, "")
-    owner, kind, size = line_kinds(filled)
-    mass = np.zeros((n, len(_KINDS)))
-    np.add.at(mass, (owner, kind), size)
-    total = mass.sum(axis=1)
-    best = np.where(mass[:, 0] >= 0.5 * total, 0, 1 + mass[:, 1:].argmax(axis=1))
-    kinds: list[str | None] = [_KINDS[k] if t else None for k, t in zip(best, total)]
-    for i, text in enumerate(filled.to_pylist()):  # one word over and over
-        if kinds[i] is not None and kinds[i] != TABLE and len(words := text.split()) >= 6 and len(set(words)) <= max(2, len(words) // 20) and not any(c.isdigit() for c in text[:200]):
-            kinds[i] = JUNK
-    return kinds
-
-
-def failed_rules(texts: pa.Array, common: set[str]) -> list[list[str]]:
-    """The published rules that each text fails, by name; a null or blank text fails none."""
-    filled = pc.fill_null(texts, "")
-    parts = pc.split_pattern(filled, "\n")
-    owner = pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)
-    lines = pc.utf8_trim_whitespace(pc.list_flatten(parts))
-    full = pc.utf8_length(lines).to_numpy(zero_copy_only=False) > 0
-    n = len(texts)
-    share = lambda mask: np.bincount(owner[full & mask], minlength=n) / np.maximum(np.bincount(owner[full], minlength=n), 1)
-    words = _count(filled, r"\S+").astype(float)
-    mean = _count(filled, r"\S") / np.maximum(words, 1)
-    marks = (_count(filled, "#") + _count(filled, r"\.\.\.|…")) / np.maximum(words, 1)
-    alphabetic = _count(filled, r"\S*\pL\S*") / np.maximum(words, 1)
-    bullets, ellipses = share(_has(lines, _BULLET)), share(_has(lines, r"(?:\.\.\.|…)$"))
-    known = np.array([len(common.intersection(t.lower().split())) for t in filled.to_pylist()])
-    rules = [
-        ("few_words", words < MIN_WORDS), ("many_words", words > MAX_WORDS), ("short_words", mean < MIN_MEAN), ("long_words", mean > MAX_MEAN),
-        ("symbols", marks > MAX_SYMBOLS), ("bullets", bullets > MAX_BULLETS), ("ellipses", ellipses > MAX_ELLIPSES),
-        ("not_alphabetic", alphabetic < MIN_ALPHABETIC), ("few_common_words", known < MIN_COMMON),
-    ]
-    return [[name for name, bad in rules if bad[i] and words[i]] for i in range(n)]
-
-
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``result_id, text_class`` of a batch's non-blank texts."""
+def _words_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of the strings that are not empty: the text's index, the number of the string, and the different strings."""
+    owner, coded = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), pc.dictionary_encode(pc.list_flatten(lists))
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    filled = pc.greater(pc.binary_length(coded.dictionary), 0).to_numpy(zero_copy_only=False)[codes] if len(codes) else np.zeros(0, bool)
+    return owner[filled], codes[filled], coded.dictionary
+
+
+def _different(owner: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
+    """How many different words each text has."""
+    size = int(codes.max()) + 1 if len(codes) else 1
+    return np.bincount(np.unique(owner * size + codes) // size, minlength=n)
+
+
+class Statistics:
+    """The statistics of texts that `RULES` judge, an array of each, worked out when asked for; a null text counts as an empty one.
+
+    ``words`` and ``different`` count what white space separates;
+    ``mean_word_length`` is its mean length, ``numbers`` the share with a digit,
+    ``alphabetic`` that with a letter, ``symbols`` how many number signs and
+    ellipses there are for each; ``bullets`` and ``ellipses`` are shares of the
+    lines that are not blank; ``letter_words`` counts runs of letters,
+    ``common`` is the share of common words among them, ``different_common``
+    how many different ones there are, ``ascii_letters`` the share of ASCII
+    letters among all letters; ``prose``, ``items``, ``rows`` and
+    ``no_language`` are the shares of the characters that stand in such lines,
+    ``open`` that of items without a mark. Without a set of ``common`` words
+    nothing fails for want of them.
+    """
+
+    def __init__(self, texts: pa.Array, common: set[str] | None):
+        self.n, self._common = len(texts), common
+        self.texts = pc.fill_null(texts, "")
+        self._plain = _cleaned(self.texts)
+        owner, kind, size = line_kinds(self._plain)
+        mass = np.zeros((self.n, OPEN + 1))
+        np.add.at(mass, (owner, kind), size)
+        share = mass / np.maximum(mass.sum(axis=1), 1)[:, None]
+        self.prose = np.where(mass.sum(axis=1) > 0, share[:, 0], 1.0)
+        self.open = share[:, OPEN]
+        self.items, self.rows, self.no_language = share[:, 1] + self.open, share[:, 2], share[:, 3]
+        # what holds of a word is worked out once for each different one
+        self._words = _words_of(pc.utf8_split_whitespace(self.texts))
+        self.words = np.bincount(self._words[0], minlength=self.n)
+
+    def _per_word(self, measure: Callable[[pa.Array], np.ndarray]) -> np.ndarray:
+        owner, codes, words = self._words
+        return np.bincount(owner, weights=measure(words)[codes], minlength=self.n) / np.maximum(self.words, 1)
+
+    def _per_line(self, pattern: str) -> np.ndarray:
+        owner, lines = self._lines
+        return np.bincount(owner[_has(lines, pattern)], minlength=self.n) / np.maximum(np.bincount(owner, minlength=self.n), 1)
+
+    def _per_run(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self._runs[0], weights=values[self._runs[1]], minlength=self.n)
+
+    @cached_property
+    def _lines(self) -> tuple[np.ndarray, pa.Array]:
+        parts = pc.split_pattern(self.texts, "\n")
+        lines = pc.utf8_trim_whitespace(pc.list_flatten(parts))
+        full = pc.greater(pc.binary_length(lines), 0)
+        return pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)[full.to_numpy(zero_copy_only=False)], lines.filter(full)
+
+    @cached_property
+    def _runs(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        return _words_of(pc.split_pattern_regex(pc.utf8_lower(self._plain), r"[^\pL\pM]+"))
+
+    @cached_property
+    def _is_common(self) -> np.ndarray:
+        return pc.is_in(self._runs[2], value_set=pa.array(sorted(self._common), pa.string())).to_numpy(zero_copy_only=False)
+
+    @cached_property
+    def different(self) -> np.ndarray:
+        return _different(*self._words[:2], self.n)
+
+    @cached_property
+    def mean_word_length(self) -> np.ndarray:
+        return self._per_word(lambda words: pc.utf8_length(words).to_numpy(zero_copy_only=False))
+
+    @cached_property
+    def numbers(self) -> np.ndarray:
+        return self._per_word(lambda words: _has(words, r"\d"))
+
+    @cached_property
+    def alphabetic(self) -> np.ndarray:
+        return self._per_word(lambda words: _has(words, r"\pL"))
+
+    @cached_property
+    def symbols(self) -> np.ndarray:
+        return (_count(self.texts, "#") + _count(self.texts, r"\.\.\.|…")) / np.maximum(self.words, 1)
+
+    @cached_property
+    def bullets(self) -> np.ndarray:
+        return self._per_line(_BULLET)
+
+    @cached_property
+    def ellipses(self) -> np.ndarray:
+        return self._per_line(r"(?:\.\.\.|…)$")
+
+    @cached_property
+    def letter_words(self) -> np.ndarray:
+        return np.bincount(self._runs[0], minlength=self.n)
+
+    @cached_property
+    def common(self) -> np.ndarray:
+        return np.ones(self.n) if self._common is None else self._per_run(self._is_common) / np.maximum(self.letter_words, 1)
+
+    @cached_property
+    def different_common(self) -> np.ndarray:
+        if self._common is None:
+            return np.full(self.n, MIN_COMMON)
+        taken = self._is_common[self._runs[1]]
+        return _different(self._runs[0][taken], self._runs[1][taken], self.n)
+
+    @cached_property
+    def ascii_letters(self) -> np.ndarray:
+        runs = self._runs[2]  # marks stand behind their letters here
+        return self._per_run(_count(runs, "[a-z]") - _count(runs, r"\pM")) / np.maximum(self._per_run(_count(runs, r"\pL")), 1)
+
+
+def _failures(measured: Statistics, rules: list[Rule]) -> tuple[list[str | None], np.ndarray]:
+    fails = np.zeros((measured.n, len(rules)), bool)
+    kinds = np.full(measured.n, PROSE, object)
+    kinds[measured.words == 0] = None
+    for k, rule in enumerate(rules):
+        fails[:, k] = rule.fails(measured) & (measured.words > 0)
+        if rule.kind is not None:
+            kinds[fails[:, k]] = rule.kind
+    return kinds.tolist(), fails
+
+
+def judged(texts: pa.Array, common: set[str] | None) -> tuple[list[str | None], pa.Array]:
+    """The class of each text, None if it is null or blank, and the names of the rules it fails; a blank text fails none."""
+    kinds, fails = _failures(Statistics(texts, common), RULES)
+    names = pa.array([r.name for r in RULES]).take(pa.array(np.nonzero(fails)[1]))
+    offsets = np.concatenate(([0], np.cumsum(fails.sum(axis=1)))).astype(np.int32)
+    return kinds, pa.ListArray.from_arrays(pa.array(offsets), names)
+
+
+def classify(texts: pa.Array, common: set[str] | None = None) -> list[str | None]:
+    """The class of each text alone, by the rules that give one."""
+    return _failures(Statistics(texts, common), [r for r in RULES if r.kind is not None])[0]
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], common: set[str]) -> Iterator[pa.RecordBatch]:
+    """``path, result_id, text_class, failed`` of a batch's non-blank texts."""
     for batch in batches:
-        kinds = classify(batch.column("text"))
-        keep = pa.array([k is not None for k in kinds])
-        yield pa.RecordBatch.from_arrays([batch.column("result_id").filter(keep), pa.array([k for k in kinds if k], pa.string())], names=["result_id", "text_class"])
+        kinds, failed = judged(batch.column("text"), common)
+        keep = pa.array([k is not None for k in kinds], pa.bool_())
+        columns = [batch.column("path").filter(keep), batch.column("result_id").filter(keep), pa.array([k for k in kinds if k], pa.string()), failed.filter(keep)]
+        yield pa.RecordBatch.from_arrays(columns, names=["path", "result_id", "text_class", "failed"])

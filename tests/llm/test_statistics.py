@@ -1,9 +1,11 @@
+import random
+
 import pyarrow as pa
 import pytest
 
 from paperloom.llm import catalog
 from paperloom.llm.language_id import fit, identify, named, ngrams, paragraphs
-from paperloom.llm.text_stats import classify, failed_rules
+from paperloom.llm.text_stats import classify, judged
 
 from .conftest import SENTENCES, prose, wrapped
 
@@ -29,10 +31,22 @@ def test_texts_do_not_touch_each_other():
 
 
 def test_rules_tell_their_names():
-    got = failed_rules(pa.array([prose("en", 1, 20), "# # # # …", None, "a b"]), {"the", "of"})
+    got = judged(pa.array([prose("en", 1, 20), "# # # # …", None, "a b"]), {"the", "a"})[1].to_pylist()
     assert got[0] == [] and {"few_words", "short_words", "symbols", "not_alphabetic", "few_common_words"} <= set(got[1]) and got[2] == [] and "short_words" in got[3]
 
 
+def test_class_comes_from_the_failed_rules():
+    rng = random.Random(2)
+    letters = "\n".join(" ".join("".join(rng.choice("aeioubcdfglmnprstz") for _ in range(rng.randint(4, 8))) for _ in range(6)) for _ in range(8))
+    texts = ["token " * 60 + "5", "5 " + "token " * 60, letters, prose("en", 1, 20), "\n".join(f"- {i}" for i in ITEMS * 3), "1 2 3\n4 5 6"]
+    kinds, failed = judged(pa.array(texts), {"the", "a", "of", "after"})
+    assert kinds == ["junk", "junk", "junk", "prose", "list", "table"] == classify(pa.array(texts), {"the", "a", "of", "after"})
+    reasons = [set(f) for f in failed.to_pylist()]
+    assert "one_word" in reasons[0] & reasons[1] and "no_common_words" in reasons[2] and not reasons[3] and "mostly_items" in reasons[4] and "mostly_rows" in reasons[5]
+    # without common words, nothing is judged by them
+    assert classify(pa.array([letters])) == ["list"]
+
+
 def test_statistics_of_results(tables, spark):
     tables.results([(1, "The page reads.\n- the x!\n\n", "en"), (1, "The page reads.\n- the x!\n\n", "en"), (2, None, None), (3, " \n", "en"), (4, "1 2", "en")], extra=True)
     rows = {r.result_id: r for r in QUERIES["p2_stats"](spark, tables.folder).where("result_id < 10").collect()}
