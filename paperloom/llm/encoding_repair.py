@@ -260,16 +260,21 @@ class Repairer:
             return None
         best, text, gain = None, token, 0.0
         pairs: list[tuple[str, str]] = []
-        for _ in range(3):  # text may have been damaged more than once
-            here = self.cost(text)
-            readings = [(cost + prior, reading, pair) for reading, cost, prior, pair in self._readings(text) if reading != text]
+        least, spent, tried = self.cost(token), 0.0, []
+        whole = least
+        for _ in range(3):  # text may have been damaged more than once, and only the last step may tell
+            readings = [(cost + prior, cost, reading, pair) for reading, cost, prior, pair in self._readings(text) if reading != text]
             if not readings:
                 break
-            cost, reading, pair = min(readings)
-            if here - cost <= MARGIN:
+            paid, cost, text, pair = min(readings)
+            tried.append(pair)
+            if least - spent - paid > MARGIN:
+                least = spent + paid
+                best, gain, pairs = text, whole - least, list(tried)
+            elif pair[1] != "utf-8" or _LOST in text:
                 break
-            best, text, gain = reading, reading, gain + here - cost
-            pairs.append(pair)
+            spent += paid - cost
+        text = token if best is None else best
         if pairs:
             self.channel[token] = tuple(pairs)
         if lost and _LOST_INSIDE.search(text):
@@ -337,20 +342,23 @@ class Repairer:
         return re.sub(r"[^ \n\r\t]+", lambda m: damage.get(m[0], m[0]), text)
 
 
-def clean_vocabulary(vocabulary: Vocabulary) -> Vocabulary:
-    """Without words that are damaged forms of more frequent ones."""
+def clean_vocabulary(vocabulary: Vocabulary, forms: dict[str, str]) -> Vocabulary:
+    """Without words that are damaged forms of more frequent ones, up to three times damaged. ``forms`` tells how words that are not ASCII are written."""
     repairer = Repairer(vocabulary)
-    bad = set()
-    for word, n in vocabulary.counts.items():
-        if word.isascii():
-            continue
+
+    def made_of_others(form: str, n: int, times: int) -> bool:
         for wrong, right in CHANNELS:
-            for form in (word, word.upper(), word.capitalize()):
-                raw = to_bytes(form, wrong)
-                try:
-                    text = raw.decode(right) if raw is not None else form
-                except UnicodeDecodeError:
-                    continue
-                if text != form and text.isalnum() and all(vocabulary.counts.get(w.lower(), 0) > n for w in WORD.findall(text)) and repairer.in_vocabulary(text):
-                    bad.add(word)
-    return vocabulary.without(bad)
+            raw = to_bytes(form, wrong)
+            try:
+                text = raw.decode(right) if raw is not None else form
+            except UnicodeDecodeError:
+                continue
+            if text == form:
+                continue
+            if text.isalnum() and repairer.in_vocabulary(text) and all(vocabulary.counts[w.lower()] > n for w in WORD.findall(text)):
+                return True
+            if right == "utf-8" and times > 1 and made_of_others(text, n, times - 1):
+                return True
+        return False
+
+    return vocabulary.without({word for word, n in vocabulary.counts.items() if not word.isascii() and any(made_of_others(f, n, 3) for f in {word, forms.get(word, word)})})

@@ -14,6 +14,8 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # What names each language, as code or English or own name.
 NAMES = {
@@ -53,6 +55,15 @@ def named(label: str | None) -> str | None:
     return _CODES.get(words[0]) if words and words[0] else None
 
 
+def named_column(label: str) -> Column:
+    """The same of a column, by built-in functions."""
+    word = F.regexp_extract(F.lower(F.trim(label)), r"^([\p{L}]+)", 1)
+    out = F.lit(None).cast("string")
+    for code, names in NAMES.items():
+        out = F.when(word.isin(names), F.lit(code)).otherwise(out)
+    return out
+
+
 def paragraphs(text: str) -> list[str]:
     """What blank lines separate, without blank ones."""
     return [p for p in _BLANK.split(text.replace("\r\n", "\n").strip("\n\r\t ")) if p.strip()]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.encoding_repair import clean_vocabulary
+from paperloom.llm.language_id import named_column
 from paperloom.llm.vocabulary import Vocabulary, frequent_words, word_counts
 from paperloom.operators.glyph_runs import page_texts
 from paperloom.session import spread, table
@@ -32,7 +33,7 @@ def all_records(spark: SparkSession, folder: str) -> DataFrame:
 
 def vocabulary_of(spark: SparkSession, folder: str) -> Vocabulary:
     """The vocabulary of all results, repeated deliveries included, without damaged words."""
-    return clean_vocabulary(frequent_words(word_counts(table(spark, folder, "batch_results"), "result")))
+    return clean_vocabulary(*frequent_words(word_counts(table(spark, folder, "batch_results"), "result", named_column("declared_lang"))))
 
 
 def judge(records: DataFrame, schema: str, build: Callable[[], Callable[[str], Iterator[tuple]]]) -> DataFrame:

@@ -1,27 +1,36 @@
-"""Word frequencies of the whole corpus, and the words frequent enough to be its vocabulary."""
+"""Word frequencies of the whole corpus, and the words frequent enough to be its vocabulary.
+
+Words are counted by the language that their texts are labelled with, and a
+word belongs to the vocabulary if it is frequent enough in one of them: so a
+language with a small part of the corpus keeps the words it would have on its
+own, whatever the size of the corpus.
+"""
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.session import durable
 
-#: A word belongs to the vocabulary if at least this share of all words is it,
-#: so that the vocabulary never holds more than 1 / MIN_SHARE words ...
+#: A word belongs to the vocabulary if at least this share of a language's words is it: this defines what a word is
+#: in a corpus of any size, and the vocabulary never holds more than 1 / MIN_SHARE words for each language ...
 MIN_SHARE = 2e-5
 #: ... and if it occurs this often: less says nothing in a small corpus.
 MIN_COUNT = 3
 
+#: A letter is usual if the words that hold it have this share.
+LETTER_SHARE = 3e-4
+
 WORD = re.compile(r"[^\W_]+")
 _EDGES = " \t\r\n\f.,;:!?…\"'“”„‟‘’‚«»‹›()[]{}<>|*#=+~`^&@%/\\_-‐–—•·§"
-_INNER = re.compile(r"['’/_\-‐–.,:;]+")
+_INNER = re.compile(r"['’/_\-‐.,:;]+")  # a dash between letters may be part of damaged text
 _FLUSH = 400_000
 
 
@@ -30,58 +39,101 @@ def tokens(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\r", " ").replace("\t", " ").split(" ")
 
 
+_BREAK = re.compile(r"[-‐‑¬\xad][ \t\r]*\n\s*")
+
+
+def without_broken(text: str) -> str:
+    """The text without words broken at a line's end, and what the next line goes on with: neither half is a word."""
+    parts = _BREAK.split(text)
+    for k, part in enumerate(parts):
+        first, last = 0, len(part)
+        while k and first < last and part[first].isalnum():
+            first += 1
+        while k < len(parts) - 1 and last > first and part[last - 1].isalnum():
+            last -= 1
+        parts[k] = part[first:last]
+    return " ".join(parts)
+
+
 def pieces(token: str) -> list[str]:
     """The lower-case words of a token that are letters and digits throughout; damaged tokens are not taken apart."""
+    return [p.lower() for p in _pieces(token)]
+
+
+def _pieces(token: str) -> list[str]:
     if token.isalpha():
-        return [token.lower()]
-    return [p.lower() for p in _INNER.split(token.strip(_EDGES)) if p and p.isalnum() and not p.isdigit()]
+        return [token]
+    return [p for p in _INNER.split(token.strip(_EDGES)) if p and p.isalnum() and not p.isdigit()]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(counts: Counter) -> pa.RecordBatch:
-        words: Counter = Counter()
-        for token, n in counts.items():
-            for piece in pieces(token):
-                words[piece] += n
-        words[""] = sum(words.values())
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
-
-    counts: Counter = Counter()
+    def out(counts: dict[str | None, Counter]) -> pa.RecordBatch:
+        languages, keys, forms, numbers = [], [], [], []
+        for lang, counter in counts.items():
+            words: Counter = Counter()
+            written: dict[str, str] = {}
+            for token, n in counter.items():
+                for piece in _pieces(token):
+                    word = piece.lower()
+                    words[word] += n
+                    if not word.isascii():
+                        written[word] = min(piece, written.get(word, piece))
+            words[""] = sum(words.values())
+            languages += [lang] * len(words)
+            keys += words
+            forms += map(written.get, words)
+            numbers += words.values()
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in (languages, keys, forms)), pa.array(numbers, pa.int64())], names=["lang", "word", "form", "n"])
+
+    counts: dict[str | None, Counter] = defaultdict(Counter)
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text:
-                counts.update(tokens(text))
-        if len(counts) > _FLUSH:
+                counts[lang].update(tokens(without_broken(text)))
+        if sum(map(len, counts.values())) > _FLUSH:
             yield out(counts)
-            counts = Counter()
+            counts = defaultdict(Counter)
     yield out(counts)
 
 
-def word_counts(texts: DataFrame, column: str) -> DataFrame:
-    """``word, n`` over all texts; the empty word holds the number of all words.
+def word_counts(texts: DataFrame, column: str, lang: Column | None = None) -> DataFrame:
+    """``lang, word, form, n`` over all texts; the empty word holds the number of all words of a language.
 
-    Each task counts its own texts before anything is shuffled. Null and empty
-    texts have no words; an empty table gives at most the total 0.
+    ``word`` is in lower case, ``form`` is one way of writing it, null for ASCII.
+    Halves of words that are broken at a line's end are left out.
+    ``lang`` tells each text's language, of which there are few; texts without
+    one are a group of their own. Each task counts its own texts before
+    anything is shuffled. Null and empty texts have no words; an empty table
+    gives no rows.
     """
-    return texts.select(column).mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    label = F.lit(None).cast("string") if lang is None else lang
+    return texts.select(F.col(column).alias("_text"), label.alias("_lang")).mapInArrow(_count, "lang string, word string, form string, n bigint").groupBy("lang", "word").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """Frequent words with their counts, small enough to send to every task."""
+    """Frequent words with their counts, small enough to send to every task.
+
+    A word's cost is the negative logarithm of its share of all ``total`` words,
+    or of those of the language where it is most frequent if ``shares`` tells.
+    """
 
-    def __init__(self, counts: dict[str, int], total: int):
-        self.counts = counts
+    def __init__(self, counts: dict[str, int], total: int, shares: dict[str, float] | None = None):
+        self.counts, self.shares = counts, shares
         self.total = max(total, 1)
-        log_total = math.log(self.total)
-        self.cost = {w: log_total - math.log(n) for w, n in counts.items()}
-        self.letters = {c for w in counts for c in w}
+        self.cost = {w: -math.log(shares[w] if shares else n / self.total) for w, n in counts.items()}
+        mass: Counter = Counter()
+        for w in counts:
+            share = shares[w] if shares else counts[w] / self.total
+            for c in set(w):
+                mass[c] += share
+        self.letters = {c for c, share in mass.items() if share >= LETTER_SHARE}
         self._trie: dict | None = None
 
     def __contains__(self, word: str) -> bool:
         return word in self.cost
 
     def __getstate__(self) -> tuple:
-        return self.counts, self.total
+        return self.counts, self.total, self.shares
 
     def __setstate__(self, state: tuple) -> None:
         self.__init__(*state)
@@ -99,13 +151,18 @@ class Vocabulary:
         return self._trie
 
     def without(self, words: set[str]) -> Vocabulary:
-        return Vocabulary({w: n for w, n in self.counts.items() if w not in words}, self.total)
+        counts = {w: n for w, n in self.counts.items() if w not in words}
+        return Vocabulary(counts, self.total, {w: self.shares[w] for w in counts} if self.shares else None)
 
 
-def frequent_words(counts: DataFrame) -> Vocabulary:
-    """The vocabulary from `word_counts`; at most 1 / MIN_SHARE words can have a share of MIN_SHARE, whatever the corpus."""
+def frequent_words(counts: DataFrame) -> tuple[Vocabulary, dict[str, str]]:
+    """The vocabulary, and ways of writing its words that are not ASCII, from `word_counts`; of each language, at most 1 / MIN_SHARE words can have a share of MIN_SHARE, whatever the corpus."""
     kept = durable(counts)
-    total = next((r["n"] for r in kept.where("word = ''").collect()), 0)
-    least = max(MIN_COUNT, MIN_SHARE * total)
-    rows = kept.where((F.col("word") != "") & (F.col("n") >= least)).collect()
-    return Vocabulary({r["word"]: r["n"] for r in rows}, total)
+    totals = {r["lang"]: r["n"] for r in kept.where("word = '' and n > 0").collect()}
+    total_of = F.lit(None).cast("bigint")
+    for lang, n in totals.items():
+        total_of = F.when(F.col("lang").eqNullSafe(lang), F.lit(n)).otherwise(total_of)
+    shares = kept.where("word <> ''").withColumn("share", F.col("n") / total_of)
+    rows = shares.groupBy("word").agg(F.min("form").alias("form"), F.sum("n").alias("n"), F.max("share").alias("share")).where((F.col("n") >= MIN_COUNT) & (F.col("share") >= MIN_SHARE)).collect()
+    words = Vocabulary({r["word"]: r["n"] for r in rows}, sum(totals.values()), {r["word"]: r["share"] for r in rows})
+    return words, {r["word"]: r["form"] for r in rows if r["form"] is not None}

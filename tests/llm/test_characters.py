@@ -1,6 +1,7 @@
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import catalog
 from paperloom.llm.character_forms import Forms, script
@@ -58,7 +59,7 @@ def test_lattice_has_wildcards_for_lost_bytes():
 
 
 def test_vocabulary_is_cleared_of_damaged_words():
-    v = clean_vocabulary(Vocabulary({"für": 90, "fã¼r": 5, "début": 40, "but": 50, "d": 60}, 300))
+    v = clean_vocabulary(Vocabulary({"für": 90, "fã¼r": 5, "fãƒâ¼r": 4, "début": 40, "but": 50, "d": 60}, 300), {"fã¼r": "fÃ¼r", "fãƒâ¼r": "fÃƒÂ¼r"})
     assert set(v.counts) == {"für", "début", "but", "d"}
 
 
@@ -69,9 +70,28 @@ def test_pieces():
 def test_word_counts_cover_all_rows(spark):
     rows = spark.createDataFrame([("a b a",), (None,), ("",), ("b\nb\tc",)], "word string")
     assert {r["word"]: r["n"] for r in word_counts(rows, "word").collect()} == {"a": 2, "b": 3, "c": 1, "": 6}
-    v = frequent_words(word_counts(rows, "word"))
-    assert v.counts == {"b": 3} and v.total == 6
-    assert frequent_words(word_counts(rows.limit(0), "word")).counts == {}
+    v, forms = frequent_words(word_counts(rows, "word"))
+    assert v.counts == {"b": 3} and v.total == 6 and forms == {}
+
+
+def test_small_languages_keep_their_words(spark):
+    text = "".join(f"{w} " * n for w, n in (("alpha", 3), ("beta", 5), ("once", 1)))
+    alone = spark.createDataFrame([(text, "nl")], "text string, lang string")
+    large = spark.createDataFrame([("the page " * 500_000, "en")], "text string, lang string")
+    small, mixed = (frequent_words(word_counts(t, "text", F.col("lang")))[0] for t in (alone, alone.union(large)))
+    assert set(small.counts) == {"alpha", "beta"} and set(mixed.counts) == {"alpha", "beta", "the", "page"}
+    assert all(mixed.cost[w] == small.cost[w] for w in small.counts)
+    assert mixed.without({"beta"}).cost == {w: c for w, c in mixed.cost.items() if w != "beta"}
+
+
+def test_broken_words_are_no_words(spark):
+    rows = spark.createDataFrame([("é-\nlan élan Élan ÉLAN\nvo¬\ntre",)], "word string")
+    assert {r["word"]: (r["n"], r["form"]) for r in word_counts(rows, "word").collect()} == {"élan": (3, "ÉLAN"), "": (3, None)}
+
+
+def test_no_words(spark):
+    rows = spark.createDataFrame([("a b a",)], "word string")
+    assert frequent_words(word_counts(rows.limit(0), "word"))[0].counts == {} and frequent_words(word_counts(rows, "word"))[0].counts == {}
 
 
 @pytest.mark.parametrize(
