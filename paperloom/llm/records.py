@@ -12,7 +12,7 @@ from paperloom.llm.encoding_repair import clean_vocabulary
 from paperloom.llm.language_id import named_column
 from paperloom.llm.vocabulary import Vocabulary, frequent_words, word_counts
 from paperloom.operators.glyph_runs import page_texts
-from paperloom.session import spread, table
+from paperloom.session import durable, spread, table
 
 RECORD = "field string, result_id bigint, page_no bigint"
 
@@ -31,9 +31,14 @@ def all_records(spark: SparkSession, folder: str) -> DataFrame:
     return spread(result_records(table(spark, folder, "batch_results"))).unionByName(page_records(table(spark, folder, "pdf_glyphs")))
 
 
+def result_words(spark: SparkSession, folder: str) -> DataFrame:
+    """`word_counts` of all results by the language they are labelled with, repeated deliveries included."""
+    return word_counts(table(spark, folder, "batch_results"), "result", named_column("declared_lang"))
+
+
 def vocabulary_of(spark: SparkSession, folder: str) -> Vocabulary:
-    """The vocabulary of all results, repeated deliveries included, without damaged words."""
-    return clean_vocabulary(*frequent_words(word_counts(table(spark, folder, "batch_results"), "result", named_column("declared_lang"))))
+    """The vocabulary of all results, without damaged words."""
+    return clean_vocabulary(*frequent_words(durable(result_words(spark, folder))))
 
 
 def judge(records: DataFrame, schema: str, build: Callable[[], Callable[[str], Iterator[tuple]]]) -> DataFrame:

@@ -1,14 +1,17 @@
 """Noise in text from scanned pages: finding it, and repairing the text into paragraphs.
 
-Misread words are corrected in two steps. An inverted index from character
-q-grams to the words of the corpus vocabulary gives the words that share most
-q-grams with an unknown one; boosted trees then rank these candidates by how
-the one could have been misread as the other. Lines are judged in pairs: one
-classifier tells whether a mark at a line's end breaks a word that the next
-line goes on with, another whether a line stands among the text as a running
-header, footer or page number. The classifiers are fitted on samples of fixed
-size, whose labels are made: words are misread and broken on purpose, and plain
-page numbers tell where furniture stands.
+What is read as what is learned from the corpus: an inverted index from
+character q-grams to the words of its vocabulary pairs each word with the much
+more frequent ones that one place sets apart from it, and what the pairs
+differ in is counted. An unknown word is then corrected in two steps. The same
+index, and a walk through the vocabulary by what was learned, give the words it
+may have been; boosted trees rank these candidates by how likely the one is
+misread as the other. Lines are judged in pairs: one classifier tells whether a
+mark at a line's end breaks a word that the next line goes on with, another
+whether a line stands among the text as a running header, footer or page
+number. The classifiers are fitted on samples of fixed size, whose labels are
+made: words are misread as was learned and broken on purpose, and lines that
+come again from page to page, or count the pages, tell where furniture stands.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,12 +32,15 @@ SAMPLE_RECORDS, SAMPLE_WORDS = 2000, 900
 #: A line or compound counts as frequent from this share of all, so that there are at most 1 / share.
 LINE_SHARE, COMPOUND_SHARE, MIN_COUNT = 1e-4, 2e-5, 3
 Q = 2
-CANDIDATES = 6
 ACCEPT = 0.5
-#: A vocabulary word is no right one if misreadings alone make it of a word so many times as frequent.
+#: Words are compared with those so many times as frequent: a misreading is much rarer than the word.
 MUCH_MORE = 50
+#: A misreading is learned from so many different words, and so large a share of all such words.
+LEARNED_WORDS, LEARNED_SHARE = 3, 0.002
+#: Words that a usual misreading counts for beside those that it was learned from.
+USUAL_WORDS = 2.0
 
-# What is written, and what was meant.
+# Usual misreadings, what is written and what was meant. They count a little where little was learned.
 MISREADINGS = [
     ("rn", "m"), ("m", "rn"), ("cl", "d"), ("d", "cl"), ("ii", "u"), ("u", "ii"), ("ii", "ü"), ("ri", "n"), ("n", "ri"), ("vv", "w"), ("w", "vv"),
     ("li", "h"), ("h", "li"), ("h", "fi"), ("in", "m"), ("nn", "m"), ("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"), ("l", "1"), ("j", "i"), ("0", "o"), ("o", "0"),
@@ -41,13 +48,9 @@ MISREADINGS = [
     ("c", "e"), ("e", "c"), ("o", "a"), ("a", "o"), ("o", "c"), ("f", "t"), ("t", "f"), ("b", "h"), ("h", "b"), ("v", "y"), ("y", "v"), ("u", "v"), ("v", "u"),
     ("é", "è"), ("e", "é"), ("é", "e"), ("a", "á"), ("o", "ó"), ("o", "ö"), ("u", "ü"), ("a", "ä"), ("i", "í"), ("n", "ñ"), ("b", "ß"), ("ê", "é"),
 ]
-_BY_MEANT: dict[str, list[str]] = defaultdict(list)
-for _written, _meant in MISREADINGS:
-    _BY_MEANT[_meant].append(_written)
-_BY_WRITTEN: dict[str, list[str]] = defaultdict(list)
-for _written, _meant in MISREADINGS:
-    _BY_WRITTEN[_written].append(_meant)
-_PAIRS = set(MISREADINGS)
+# Letters of like shape.
+SHAPES = ["aceos", "nmurh", "iltjf1", "vwxyzk", "gqpy", "bdhk"]
+_SHAPES_OF = {c: {k for k, shape in enumerate(SHAPES) if c in shape} for shape in SHAPES for c in shape}
 
 MARKS = "-‐‑¬\xad"
 _WORD = re.compile(r"[^\W_]+")
@@ -71,90 +74,171 @@ def grams(word: str) -> set[str]:
     return {padded[i : i + Q] for i in range(len(padded) - Q + 1)}
 
 
-def reading_cost(word: str, meant: str) -> tuple[int, int]:
-    """How many misreadings and how many other edits make ``meant`` the word, with as few of the latter as possible."""
-    n, m = len(word), len(meant)
-    best = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
-    for i in range(n + 1):
-        for j in range(m + 1):
-            if not i and not j:
-                continue
-            options = []
-            if i and j:
-                o, c = best[i - 1][j - 1]
-                a, b = word[i - 1], meant[j - 1]
-                options.append((o, c) if a == b else (o, c + 1) if (a, b) in _PAIRS else (o + 1, c))
-            if i:
-                o, c = best[i - 1][j]
-                options.append((o + 1, c))
-                if i > 1 and j and (word[i - 2 : i], meant[j - 1]) in _PAIRS:
-                    o, c = best[i - 2][j - 1]
-                    options.append((o, c + 1))
-            if j:
-                o, c = best[i][j - 1]
-                options.append((o + 1, c))
-                if j > 1 and i and (word[i - 1], meant[j - 2 : j]) in _PAIRS:
-                    o, c = best[i - 1][j - 2]
-                    options.append((o, c + 1))
-            best[i][j] = min(options)
-    other, misread = best[n][m]
-    return misread, other
-
-
-def only_misread(word: str, meant: str) -> int | None:
-    """The least number of misreadings that make ``meant`` the word, None if it takes other edits."""
-    best: int | None = None
-    stack, seen = [(0, 0, 0)], {}
-    n, m = len(word), len(meant)
-    while stack:
-        i, j, count = stack.pop()
-        if seen.get((i, j), 1 << 30) <= count or (best is not None and count >= best):
-            continue
-        seen[i, j] = count
-        if i == n and j == m:
-            best = count
-            continue
-        for step, back in ((1, 1), (2, 1), (1, 2)):
-            if i + step <= n and j + back <= m and (word[i : i + step], meant[j : j + back]) in _PAIRS:
-                stack.append((i + step, j + back, count + 1))
-        if i < n and j < m and word[i] == meant[j]:
-            stack.append((i + 1, j + 1, count))
-    return best
-
-
-def meant_words(word: str, vocabulary: Vocabulary) -> set[str]:
-    """All vocabulary words but the word itself that misreadings alone, of any number, make the word."""
-    out, seen, n = set(), set(), len(word)
-    stack = [(0, "", vocabulary.trie())]
-    while stack:
-        i, meant, node = stack.pop()
-        if (i, meant) in seen:
-            continue
-        seen.add((i, meant))
-        if i == n:
-            if "" in node and meant != word:
-                out.add(meant)
+class Index:
+    """The vocabulary's words by their q-grams."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.words = sorted(w for w in vocabulary.counts if len(w) >= 3 and w[0] < "ʰ" and not any(c.isdigit() for c in w[:2]))
+        self.sizes = np.array([len(grams(w)) for w in self.words] or [0])
+        self.lengths = np.array([len(w) for w in self.words] or [0])
+        self.counts = np.array([vocabulary.counts[w] for w in self.words] or [0])
+        postings: dict[str, list[int]] = defaultdict(list)
+        for i, w in enumerate(self.words):
+            for g in grams(w):
+                postings[g].append(i)
+        self.postings = {g: np.array(p) for g, p in postings.items()}
+
+    def near(self, word: str) -> np.ndarray:
+        """Numbers of all words but the word itself that up to two letters at one place set apart from it.
+
+        Two letters are in Q + 1 grams, so that all others have to agree.
+        """
+        lists = [p for g in grams(word) if (p := self.postings.get(g)) is not None]
+        if not lists:
+            return np.empty(0, int)
+        common = np.bincount(np.concatenate(lists), minlength=len(self.words))
+        found = np.flatnonzero((common > 0) & (common >= self.sizes - Q - 1) & (np.abs(self.lengths - len(word)) <= 1))
+        return found[[self.words[i] != word and difference(word, self.words[i]) is not None for i in found]] if len(found) else found
+
+
+def difference(word: str, meant: str) -> tuple[str, str, int, int] | None:
+    """What ``word`` has in place of what of ``meant``, one or two letters each, and how many letters before and behind agree; None if they differ in more."""
+    before, most = 0, min(len(word), len(meant))
+    while before < most and word[before] == meant[before]:
+        before += 1
+    behind = 0
+    while behind < most - before and word[-1 - behind] == meant[-1 - behind]:
+        behind += 1
+    a, b = word[before : len(word) - behind], meant[before : len(meant) - behind]
+    if not a and b and before and len(b) == 1:  # one of two like letters
+        before, a, b = before - 1, word[before - 1], meant[before - 1 : before + 1]
+    elif not b and a and before and len(a) == 1:
+        before, a, b = before - 1, word[before - 1 : before + 1], meant[before - 1]
+    return (a, b, before, behind) if 1 <= len(a) <= 2 and 1 <= len(b) <= 2 else None
+
+
+def differences(words: Iterable[tuple[str, int]], index: Index) -> Iterator[tuple[str, str]]:
+    """What words with their counts have in place of what of the one much more frequent word near them.
+
+    Ends of words are left out, as they change with the grammar, and so are words with more than one such neighbour.
+    """
+    for word, n in words:
+        if len(word) < 4 or word.isdigit():
             continue
-        if (below := node.get(word[i])) is not None:
-            stack.append((i + 1, meant + word[i], below))
-        for step in (1, 2):
-            for back in _BY_WRITTEN.get(word[i : i + step], ()) if i + step <= n else ():
-                below = node
-                for c in back:
-                    below = below.get(c) if below is not None else None
-                if below is not None:
-                    stack.append((i + step, meant + back, below))
-    return out
-
-
-def without_misread(vocabulary: Vocabulary) -> Vocabulary:
+        found = []
+        for i in index.near(word):
+            if index.counts[i] >= MUCH_MORE * n:
+                a, b, before, behind = difference(word, index.words[i])
+                if behind and before + behind >= 2 and all(c.isdigit() or _same_script(c, b[0]) for c in a):
+                    found.append((a, b))
+        if len(found) == 1:
+            yield found[0]
+
+
+def _same_script(c: str, d: str) -> bool:
+    return c.isalpha() and (c < "Ͱ") == (d < "Ͱ")
+
+
+class Confusions:
+    """How likely what is read as what: from the numbers of words that it was learned from, and a little from the usual ones."""
+
+    def __init__(self, learned: dict[tuple[str, str], int]):
+        self.learned = learned
+        weights = dict.fromkeys(MISREADINGS, USUAL_WORDS)
+        for pair, n in learned.items():
+            weights[pair] = weights.get(pair, 0.0) + n
+        total = sum(weights.values())
+        self.cost = {pair: float(np.log(total / n)) for pair, n in weights.items()}
+        #: The cost of any other change of one letter, of like shape or not.
+        self.like, self.unlike = float(np.log(2 * total)), float(np.log(2 * total)) + 2.0
+        self.weights = weights
+        self.by_written: dict[str, list[str]] = defaultdict(list)
+        self.by_meant: dict[str, list[str]] = defaultdict(list)
+        for written, meant in weights:
+            self.by_written[written].append(meant)
+            self.by_meant[meant].append(written)
+
+    def __getstate__(self) -> dict:
+        return self.learned
+
+    def __setstate__(self, learned: dict) -> None:
+        self.__init__(learned)
+
+    def other(self, a: str, b: str) -> float | None:
+        """The cost of one letter in place of another that was not learned; None if letters are more or of another script."""
+        if len(a) != 1 or len(b) != 1 or not (a.isdigit() or _same_script(a, b)):
+            return None
+        return self.like if _SHAPES_OF.get(a, set()) & _SHAPES_OF.get(b, set()) else self.unlike
+
+    def known_steps(self, word: str, meant: str) -> tuple[int, float] | None:
+        """The number and cost of the likeliest learned misreadings that make ``meant`` the word; None if it takes others."""
+        best: tuple[float, int] | None = None
+        stack, seen = [(0, 0, 0.0, 0)], {}
+        n, m = len(word), len(meant)
+        while stack:
+            i, j, cost, steps = stack.pop()
+            if seen.get((i, j), 1e9) <= cost or best is not None and cost >= best[0]:
+                continue
+            seen[i, j] = cost
+            if i == n and j == m:
+                best = (cost, steps)
+                continue
+            for step, back in ((1, 1), (2, 1), (1, 2), (2, 2)):
+                if i + step <= n and j + back <= m and (more := self.cost.get((word[i : i + step], meant[j : j + back]))) is not None:
+                    stack.append((i + step, j + back, cost + more, steps + 1))
+            if i < n and j < m and word[i] == meant[j]:
+                stack.append((i + 1, j + 1, cost, steps))
+        return (best[1], best[0]) if best else None
+
+    def meant_words(self, word: str, vocabulary: Vocabulary) -> set[str]:
+        """All vocabulary words but the word itself that learned misreadings alone, of any number, make the word."""
+        out, seen, n = set(), set(), len(word)
+        stack = [(0, "", vocabulary.trie())]
+        while stack:
+            i, meant, node = stack.pop()
+            if (i, meant) in seen:
+                continue
+            seen.add((i, meant))
+            if i == n:
+                if "" in node and meant != word:
+                    out.add(meant)
+                continue
+            if (below := node.get(word[i])) is not None:
+                stack.append((i + 1, meant + word[i], below))
+            for step in (1, 2):
+                for back in self.by_written.get(word[i : i + step], ()) if i + step <= n else ():
+                    below = node
+                    for c in back:
+                        below = below.get(c) if below is not None else None
+                    if below is not None:
+                        stack.append((i + step, meant + back, below))
+        return out
+
+    def misread(self, word: str, rng: random.Random, other: float = 0.0) -> str | None:
+        """The word with one or two of its letters misread as was learned, or at a rate ``other`` with one letter taken for any of like shape."""
+        if rng.random() < other:
+            i = rng.randrange(len(word))
+            if not (like := sorted({c for k in _SHAPES_OF.get(word[i], ()) for c in SHAPES[k]} - {word[i]})):
+                return None
+            return word[:i] + rng.choice(like) + word[i + 1 :]
+        for _ in range(1 + (rng.random() < 0.3)):
+            places = [(i, written, meant) for i in range(len(word)) for size in (1, 2) if i + size <= len(word) for meant in (word[i : i + size],) for written in self.by_meant.get(meant, ())]
+            if not places:
+                return None
+            i, written, meant = rng.choices(places, [self.weights[w, m] for _, w, m in places])[0]
+            word = word[:i] + written + word[i + len(meant) :]
+        return word
+
+
+def without_misread(vocabulary: Vocabulary, confusions: Confusions) -> Vocabulary:
     """Without words that are misread forms of much more frequent ones; those with digits among letters, of any more frequent one without."""
     bad = set()
     for word, n in vocabulary.counts.items():
         if len(word) < 3 or word.isdigit():
             continue
         mixed = any(c.isdigit() for c in word)
-        for meant in meant_words(word, vocabulary):
+        for meant in confusions.meant_words(word, vocabulary):
             more = vocabulary.counts[meant]
             if len(meant) >= 3 and (more >= MUCH_MORE * n or mixed and more > n and not any(c.isdigit() for c in meant)):
                 bad.add(word)
@@ -162,70 +246,61 @@ def without_misread(vocabulary: Vocabulary) -> Vocabulary:
 
 
 class Corrector:
-    """Vocabulary words that an unknown one may have been, by q-grams in common, and their ranking."""
+    """Vocabulary words that an unknown one may have been, and their ranking."""
 
-    def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.words = sorted(w for w in vocabulary.counts if len(w) >= 3 and w[0] < "ʰ" and not any(c.isdigit() for c in w[:2]))
-        self.numbers = {w: i for i, w in enumerate(self.words)}
-        self.sizes = np.array([len(grams(w)) for w in self.words] or [0])
-        self.lengths = np.array([len(w) for w in self.words] or [0])
-        postings: dict[str, list[int]] = defaultdict(list)
-        for i, w in enumerate(self.words):
-            for g in grams(w):
-                postings[g].append(i)
-        self.postings = {g: np.array(p) for g, p in postings.items()}
+    def __init__(self, vocabulary: Vocabulary, confusions: Confusions):
+        self.vocabulary, self.confusions = vocabulary, confusions
+        self.index = Index(vocabulary)
+        self.numbers = {w: i for i, w in enumerate(self.index.words)}
         self.ranker: BoostedTrees | None = None
         self.known: dict[str, str | None] = {}
 
-    def candidates(self, word: str, without: int = -1) -> list[tuple[int, float]]:
-        """The best candidates' numbers and the share of q-grams they have in common with the word."""
-        own = grams(word)
-        lists = [p for g in own if (p := self.postings.get(g)) is not None]
-        if not lists:
-            return []
-        common = np.bincount(np.concatenate(lists), minlength=len(self.words))
-        share = common / (self.sizes + len(own) - common)
-        share[np.abs(self.lengths - len(word)) > 3] = 0
-        if without >= 0:
-            share[without] = 0
-        k = min(CANDIDATES, len(share))
-        top = np.argpartition(-share, k - 1)[:k]
-        top = top[share[top] > 0.1]
-        return [(int(i), float(share[i])) for i in top[np.argsort(-share[top], kind="stable")]]
-
-    def _meant(self, word: str) -> list[tuple[tuple[int, float], int | None]]:
-        """All words that misreadings make the word: their numbers, shares of q-grams in common, and the number of misreadings."""
-        own, out = grams(word), []
-        for meant in sorted(meant_words(word, self.vocabulary)):
-            if (i := self.numbers.get(meant)) is not None:
-                common = len(own & grams(meant))
-                out.append(((i, float(common / (self.sizes[i] + len(own) - common))), only_misread(word, meant)))
-        return sorted(out, key=lambda row: -row[0][1])
-
-    def _features(self, word: str, found: list[tuple[int, float]], costs: list[tuple[int, int]], best: float) -> np.ndarray:
+    def candidates(self, word: str) -> list[tuple[str, int, float, bool]]:
+        """Words that the word may have been, with the number and cost of the misreadings, and whether one was not learned."""
+        found = {}
+        for i in self.index.near(word):
+            meant = self.index.words[i]
+            a, b, _, _ = difference(word, meant)
+            if (steps := self.confusions.known_steps(word, meant)) is not None:
+                found[meant] = (*steps, False)
+            elif (cost := self.confusions.other(a, b)) is not None:
+                found[meant] = (1, cost, True)
+        for meant in self.confusions.meant_words(word, self.vocabulary):
+            if meant not in found and meant in self.numbers:
+                found[meant] = (*self.confusions.known_steps(word, meant), False)
+        return [(meant, *how) for meant, how in sorted(found.items())]
+
+    def _features(self, word: str, found: list[tuple[str, int, float, bool]]) -> np.ndarray:
+        own, digits = grams(word), sum(c.isdigit() for c in word)
+        least = min((cost + self.vocabulary.cost[meant] for meant, _, cost, _ in found), default=0.0)
         rows = []
-        digits = sum(c.isdigit() for c in word)
-        for (i, share), (misread, other) in zip(found, costs):
-            meant = self.words[i]
-            rows.append((misread, other, share, best - share, len(word), len(meant) - len(word), -self.vocabulary.cost[meant], digits, misread / len(word), word[0] == meant[0]))
-        return np.array(rows, float)
+        for meant, steps, cost, other in found:
+            theirs = grams(meant)
+            price = self.vocabulary.cost[meant]
+            rows.append((
+                steps, cost, other, cost + price, cost + price - least, len(own & theirs) / len(own | theirs), len(word), len(meant) - len(word), price, digits,
+                steps / len(word), word[0] == meant[0], word[-1] == meant[-1], len(found),
+            ))
+        return np.array(rows, float).reshape(len(rows), 14)
 
     def fit(self, seed: int = 5) -> Corrector:
         """Fit the ranking to words misread on purpose, and to sound words whose neighbours are not what was meant."""
         rng = random.Random(seed)
-        usual = [i for i, w in enumerate(self.words) if len(w) >= 4]
-        sample = rng.sample(usual, min(SAMPLE_WORDS, len(usual)))
+        words = self.index.words
+        sample = rng.sample(words, min(SAMPLE_WORDS, len(words)))
+        # frequent words are misread more often; what was not learned is only believed of those
+        often = rng.choices(words, self.index.counts, k=SAMPLE_WORDS) if words else []
         x, y = [], []
-        for i in sample:
-            written = misread(self.words[i], rng)
+        for word, other in [*((w, 0.0) for w in sample), *((w, 0.5) for w in often)]:
+            written = self.confusions.misread(word, rng, other)
             if written and written not in self.vocabulary and (found := self.candidates(written)):
-                x.append(self._features(written, found, [reading_cost(written, self.words[k]) for k, _ in found], found[0][1]))
-                y += [float(k == i) for k, _ in found]
-            if found := self.candidates(self.words[i], without=i):
-                x.append(self._features(self.words[i], found, [reading_cost(self.words[i], self.words[k]) for k, _ in found], found[0][1]))
+                x.append(self._features(written, found))
+                y += [float(meant == word) for meant, *_ in found]
+        for word in sample:
+            if found := self.candidates(word):
+                x.append(self._features(word, found))
                 y += [0.0] * len(found)
-        self.ranker = BoostedTrees(rounds=40).fit(np.concatenate(x) if x else np.zeros((0, 10)), np.array(y))
+        self.ranker = BoostedTrees(rounds=40).fit(np.concatenate(x) if x else np.zeros((0, 14)), np.array(y))
         return self
 
     def correct(self, word: str) -> str | None:
@@ -234,32 +309,18 @@ class Corrector:
         if low in self.known:
             return self.known[low]
         out = None
-        if 3 <= len(low) <= 40 and low not in self.vocabulary and low[0] < "ʰ" and not low.isdigit() and not _NUMERAL.fullmatch(low):
-            # what was meant must explain every deviation
-            within = [(k, n) for k, n in self._meant(low) if n]
-            if within:
-                best = max([share for (_, share), _ in within] + [share for _, share in self.candidates(low)[:1]])
-                p = self.ranker.probability(self._features(low, [k for k, _ in within], [(n, 0) for _, n in within], best))
+        if 3 <= len(low) and low not in self.vocabulary and low[0] < "ʰ" and not low.isdigit() and not _NUMERAL.fullmatch(low):
+            if found := self.candidates(low):
+                p = self.ranker.probability(self._features(low, found))
                 k = int(p.argmax())
                 if p[k] >= ACCEPT:
-                    out = self.words[within[k][0][0]]
+                    out = found[k][0]
         if len(self.known) > 300_000:
             self.known.clear()
         self.known[low] = out
         return out
 
 
-def misread(word: str, rng: random.Random) -> str | None:
-    """The word with one or two of its letters misread."""
-    for _ in range(1 + (rng.random() < 0.3)):
-        places = [(i, meant) for i in range(len(word)) for meant in (word[i : i + 1], word[i : i + 2]) if len(meant) + i <= len(word) and meant in _BY_MEANT]
-        if not places:
-            return None
-        i, meant = rng.choice(places)
-        word = word[:i] + rng.choice(_BY_MEANT[meant]) + word[i + len(meant) :]
-    return word
-
-
 # pairs of lines -------------------------------------------------------------
 
 
@@ -296,6 +357,16 @@ def is_candidate(line: str) -> bool:
     return len(line) <= 80 and (line[0].isupper() or line[0].isdigit() or not line[0].isalpha() or len(line) <= 12) and (_NUMBERED.fullmatch(line) is not None or _BESIDE.match(line) is not None or not _ENDED.search(line) and title_like(line))
 
 
+def _number(line: str) -> int | None:
+    """The first number of a line, in digits or as a Roman numeral."""
+    if m := _DIGITS.search(line):
+        return int(m[0])
+    if m := _NUMERAL.search(line):
+        values = [{"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}[c] for c in m[0].lower()]
+        return sum(-v if any(w > v for w in values[k + 1 :]) else v for k, v in enumerate(values))
+    return None
+
+
 class Furniture:
     """Tells running headers, footers and page numbers from text, by a line and the lines around it."""
 
@@ -342,18 +413,31 @@ class Furniture:
         return at, Counter(self._template(rows[i]) for i in at)
 
     def fit(self, texts: list[str]) -> Furniture:
-        """Fit to a sample. Page numbers and lines beside them are furniture; lines of records without any are not, unless they are frequent ones."""
+        """Fit to a sample, labelled by what comes again.
+
+        A line that comes again in its record but for its number, or that many
+        records have, is furniture; so are numbers alone that go up through a
+        record. A line that comes once in all is none, nor is a number that
+        goes down. What is neither, as a page number of a single page, has no label.
+        """
         x, y = [], []
         for text in texts:
             rows = [r.strip() for r in text.split("\n")]
             at, own = self._candidates(rows)
             if not at:
                 continue
-            sure = [self._plain_number(rows, i) or _BESIDE.match(rows[i]) is not None for i in at]
+            templates = {i: "" if _NUMBERED.fullmatch(rows[i]) else self._template(rows[i]) for i in at}
+            alone = [(i, _number(rows[i])) for i in at if not templates[i] and _number(rows[i]) is not None]
+            rises = {i for (i, n), (_, after) in zip(alone, alone[1:]) if after > n} | {i for (_, before), (i, n) in zip(alone, alone[1:]) if before < n}
+            falls = {i for (i, n), (_, after) in zip(alone, alone[1:]) if after <= n}
             labels: list[float | None] = []
-            for i, s in zip(at, sure):
-                frequent = self.statistics.lines.get(self._template(rows[i]), 0) > 0
-                labels.append(1.0 if s or frequent and title_like(rows[i]) else 0.0 if not any(sure) or _ENDED.search(rows[i]) else None)
+            for i in at:
+                t = templates[i]
+                if t:
+                    again = own[t] > 1 or self.statistics.lines.get(t, 0) > 0
+                    labels.append(1.0 if again and not _ENDED.search(rows[i]) else 0.0)
+                else:
+                    labels.append(1.0 if i in rises and i not in falls else 0.0 if i in falls or _ENDED.search(rows[i]) else None)
             keep = [k for k, label in enumerate(labels) if label is not None]
             if keep:
                 x.append(self.features(rows, at, own)[keep])
@@ -517,7 +601,8 @@ class Cleaner:
         if word in self.seen:
             return self.seen[word]
         low, out = word.lower(), None
-        if low not in self.corrector.vocabulary and (meant := self.corrector.correct(word)) is not None:
+        sharp = word.isupper() and "ss" in low and any(low[:i] + "ß" + low[i + 2 :] in self.corrector.vocabulary for i in range(len(low)) if low.startswith("ss", i))
+        if low not in self.corrector.vocabulary and not sharp and (meant := self.corrector.correct(word)) is not None:
             out = meant.upper() if word.isupper() and len(word) > 1 else meant.capitalize() if word[0].isupper() else meant
         if len(self.seen) > 300_000:
             self.seen.clear()

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.character_forms import Forms
-from paperloom.llm.records import RECORD, all_records, distinct, vocabulary_of
-from paperloom.llm.scan_noise import COMPOUND_SHARE, LINE_SHARE, MIN_COUNT, SAMPLE_RECORDS, Cleaner, Corrector, Furniture, Joiner, LineStatistics, count_lines, without_misread
+from paperloom.llm.encoding_repair import clean_vocabulary
+from paperloom.llm.records import RECORD, all_records, distinct, result_words
+from paperloom.llm.scan_noise import COMPOUND_SHARE, LEARNED_SHARE, LEARNED_WORDS, LINE_SHARE, MIN_COUNT, SAMPLE_RECORDS, Cleaner, Confusions, Corrector, Furniture, Index, Joiner, LineStatistics, count_lines, differences, without_misread
 from paperloom.llm.stats_queries import common_words
 from paperloom.llm.text_stats import PROSE, classify
-from paperloom.llm.vocabulary import WORD, Vocabulary
+from paperloom.llm.vocabulary import WORD, Vocabulary, frequent_words
 from paperloom.session import durable, table
 
 _FLUSH = 400_000
@@ -48,6 +49,27 @@ def line_statistics(results: DataFrame) -> LineStatistics:
     return LineStatistics(of["line"], of["compound"])
 
 
+def learned_confusions(counts: DataFrame, vocabulary: Vocabulary) -> Confusions:
+    """What is read as what, from all words of the corpus (`word_counts`) and the vocabulary near them.
+
+    Each task compares its own words; only counts of differences are shuffled,
+    and those kept have a share of all, so that there are at most 1 / LEARNED_SHARE.
+    """
+    shared = counts.sparkSession.sparkContext.broadcast(Index(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            seen.update(differences(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), shared.value))
+        pairs = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string()), pa.array([seen[p] for p in pairs], pa.int64())], names=["written", "meant", "n"])
+
+    words = counts.where("word <> ''").groupBy("word").agg(F.sum("n").alias("n"))
+    found = durable(words.mapInArrow(run, "written string, meant string, n bigint").groupBy("written", "meant").agg(F.sum("n").alias("n")))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    return Confusions({(r["written"], r["meant"]): r["n"] for r in found.where(F.col("n") >= max(LEARNED_WORDS, LEARNED_SHARE * total)).collect()})
+
+
 def _sample(results: DataFrame) -> list[str]:
     """At most SAMPLE_RECORDS results with text, spread by a hash of their number."""
     rows = results.where(F.length(F.trim("result")) > 0).withColumn("_h", F.xxhash64("result_id"))
@@ -58,11 +80,13 @@ def _sample(results: DataFrame) -> list[str]:
 def fitted(spark: SparkSession, folder: str) -> tuple[Vocabulary, Cleaner]:
     """The vocabulary and the classifiers, fitted to samples of fixed size."""
     results = table(spark, folder, "batch_results")
-    vocabulary = vocabulary_of(spark, folder)
+    counts = durable(result_words(spark, folder))
+    vocabulary = clean_vocabulary(*frequent_words(counts))
     statistics = line_statistics(results)
     forms = Forms(vocabulary)
-    sound = without_misread(vocabulary)
-    corrector = Corrector(sound).fit()
+    confusions = learned_confusions(counts, vocabulary)
+    sound = without_misread(vocabulary, confusions)
+    corrector = Corrector(sound, confusions).fit()
     texts = [forms.consistent(t)[0] for t in _sample(results)]
     texts = [t for t, kind in zip(texts, classify(pa.array(texts, pa.string()), common_words(spark, folder))) if kind == PROSE] if texts else []
     return vocabulary, Cleaner(corrector, Furniture(statistics, corrector).fit(texts), Joiner(sound, statistics).fit())

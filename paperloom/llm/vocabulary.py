@@ -17,8 +17,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.session import durable
-
 #: A word belongs to the vocabulary if at least this share of a language's words is it: this defines what a word is
 #: in a corpus of any size, and the vocabulary never holds more than 1 / MIN_SHARE words for each language ...
 MIN_SHARE = 2e-5
@@ -30,7 +28,7 @@ LETTER_SHARE = 3e-4
 
 WORD = re.compile(r"[^\W_]+")
 _EDGES = " \t\r\n\f.,;:!?…\"'“”„‟‘’‚«»‹›()[]{}<>|*#=+~`^&@%/\\_-‐–—•·§"
-_INNER = re.compile(r"['’/_\-‐.,:;]+")  # a dash between letters may be part of damaged text
+_INNER = re.compile(r"['’/_\-‐–.,:;]+")
 _FLUSH = 400_000
 
 
@@ -63,7 +61,10 @@ def pieces(token: str) -> list[str]:
 def _pieces(token: str) -> list[str]:
     if token.isalpha():
         return [token]
-    return [p for p in _INNER.split(token.strip(_EDGES)) if p and p.isalnum() and not p.isdigit()]
+    parts = _INNER.split(token.strip(_EDGES))
+    if "–" in token and any(len(p) == 1 and p > "\x7f" for p in parts):  # the dash is what damage made of a letter's second byte
+        return []
+    return [p for p in parts if p.isalnum() and not p.isdigit()]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,13 +157,15 @@ class Vocabulary:
 
 
 def frequent_words(counts: DataFrame) -> tuple[Vocabulary, dict[str, str]]:
-    """The vocabulary, and ways of writing its words that are not ASCII, from `word_counts`; of each language, at most 1 / MIN_SHARE words can have a share of MIN_SHARE, whatever the corpus."""
-    kept = durable(counts)
-    totals = {r["lang"]: r["n"] for r in kept.where("word = '' and n > 0").collect()}
+    """From `word_counts`, written once: the vocabulary, and ways of writing its words that are not ASCII.
+
+    Of each language, at most 1 / MIN_SHARE words can have a share of MIN_SHARE, whatever the corpus.
+    """
+    totals = {r["lang"]: r["n"] for r in counts.where("word = '' and n > 0").collect()}
     total_of = F.lit(None).cast("bigint")
     for lang, n in totals.items():
         total_of = F.when(F.col("lang").eqNullSafe(lang), F.lit(n)).otherwise(total_of)
-    shares = kept.where("word <> ''").withColumn("share", F.col("n") / total_of)
+    shares = counts.where("word <> ''").withColumn("share", F.col("n") / total_of)
     rows = shares.groupBy("word").agg(F.min("form").alias("form"), F.sum("n").alias("n"), F.max("share").alias("share")).where((F.col("n") >= MIN_COUNT) & (F.col("share") >= MIN_SHARE)).collect()
     words = Vocabulary({r["word"]: r["n"] for r in rows}, sum(totals.values()), {r["word"]: r["share"] for r in rows})
     return words, {r["word"]: r["form"] for r in rows if r["form"] is not None}
