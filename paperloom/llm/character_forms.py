@@ -50,7 +50,7 @@ class Forms:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.repairer = Repairer(vocabulary)
+        self.repairer = vocabulary.shared(Repairer)
         self.words: dict[str, str] = {}
 
     def repair_word(self, word: str) -> str:

@@ -15,7 +15,7 @@ def _repairs(spark: SparkSession, folder: str, with_text: bool) -> DataFrame:
     shared = spark.sparkContext.broadcast(vocabulary_of(spark, folder))
 
     def build() -> Callable[[str], Iterator[tuple]]:
-        repairer = Repairer(shared.value)
+        repairer = shared.value.shared(Repairer)
 
         def judgement(text: str) -> Iterator[tuple]:
             if damage := repairer.damage(text):
@@ -46,7 +46,7 @@ def _forms(spark: SparkSession, folder: str, found_only: bool) -> DataFrame:
     shared = spark.sparkContext.broadcast(vocabulary_of(spark, folder))
 
     def build() -> Callable[[str], Iterator[tuple]]:
-        forms = Forms(shared.value)
+        forms = shared.value.shared(Forms)
 
         def judgement(text: str) -> Iterator[tuple]:
             plain, deviates = forms.consistent(text)

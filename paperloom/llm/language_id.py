@@ -3,9 +3,10 @@
 A text is a normalised TF-IDF vector of hashed character n-grams. Each language
 has several centroids, the means of clusters of its labelled texts, so that
 texts of different make find one near them. A text gets the language of the
-centroid with the largest cosine; one too far from all of them gets none. The
-labels of the sample that the centroids are fitted to may be wrong: texts
-nearer to another language's centre are left out before the clusters are made.
+centroid with the largest cosine; one farther from it than nearly all texts of
+its length that were held out gets none. The labels of the sample that the
+centroids are fitted to may be wrong: texts nearer to another language's centre
+are left out before the clusters are made. Texts are taken many at a time.
 """
 
 from __future__ import annotations
@@ -31,13 +32,23 @@ NAMES = {
 _CODES = {name: code for code, names in NAMES.items() for name in names}
 LANGUAGES = list(NAMES)
 
-#: Labelled texts that the centroids are fitted to, at most.
-SAMPLE_ROWS = 4000
+#: Labelled texts of each language that the centroids are fitted to, at most.
+SAMPLE_ROWS = 500
 CLUSTERS = 3
 BITS = 15
 SIZE = 1 << BITS
-#: Below this cosine a text is like no language that is known.
-REJECT = 0.04
+#: One labelled text in so many is held out to measure how near texts are to their language ...
+HELD_OUT = 5
+#: ... by their letters: fewer than these, and more. Of so small a share the cosine is less than REJECT_SHARE of it gives.
+LENGTHS, REJECT_QUANTILE, REJECT_SHARE = (15, 30, 60, 120, 400), 0.005, 0.8
+#: So many pieces of a length tell for a centroid by themselves.
+LEAST_PIECES = 50
+#: A script that one language alone is written in makes up for a cosine down to this share of the least one.
+SCRIPT_SHARE = 0.25
+#: Nothing below this cosine is like any language; more than the other is never asked for, however alike the sample is.
+LEAST_COSINE, MOST_ASKED = 0.02, 0.2
+#: Parts of texts that are measured at once.
+_PARTS = 4096
 #: A paragraph decides for itself if its lead is this large. On sf0.1 99 % of even 4 to 9 letters with it are told right.
 MIN_LEAD = 0.05
 #: With fewer letters it must end as a sentence does: running headers and page numbers do not count.
@@ -69,22 +80,92 @@ def paragraphs(text: str) -> list[str]:
     return [p for p in _BLANK.split(text.replace("\r\n", "\n").strip("\n\r\t ")) if p.strip()]
 
 
-def ngrams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of one to four characters, words padded with spaces, and how often each occurs."""
-    plain = " " + _NOT_LETTERS.sub(" ", text).lower().strip() + " "
-    if len(plain) < 3:
-        return np.empty(0, np.int64), np.empty(0)
-    c = np.frombuffer(plain.encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-    keys, h = [], np.zeros(len(c), np.uint64)
-    for n in range(4):
-        h = (h[:-1] if n else h) * np.uint64(1_000_003) + c[n:] + np.uint64(1)
-        keys.append((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS))
-    return _grouped(np.concatenate(keys).astype(np.int64))
+def _is_letter() -> np.ndarray:
+    """Whether each character of the basic plane is a letter."""
+    every = "".join(map(chr, range(0xD800))) + "\0" * 0x800 + "".join(map(chr, range(0xE000, 0x10000)))
+    flags = np.ones(len(every) + 1, bool)
+    for m in _NOT_LETTERS.finditer(every):
+        flags[m.start() : m.end()] = False
+    flags[-1] = False  # stands for all others
+    return flags
 
 
-def _grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, counts = np.unique(keys, return_counts=True)
-    return found, 1.0 + np.log(counts)
+_LETTER = _is_letter()
+
+
+@dataclass
+class Grams:
+    """Hashed n-grams of one to four characters of several parts, words padded with spaces: part, key and weight, by part; and letters of each part."""
+
+    part: np.ndarray
+    key: np.ndarray
+    weight: np.ndarray
+    letters: np.ndarray
+
+    @classmethod
+    def of(cls, parts: list[str]) -> Grams:
+        # a tab stands before each part; it is no letter, so that it pads the first word
+        text = "\t" + "\t".join(p.replace("\t", " ") for p in parts).lower() + "\t" if parts else "\t"
+        c = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+        letter = _LETTER[np.minimum(c, 0x10000)]
+        if (far := c > 0xFFFF).any():
+            others, which = np.unique(c[far], return_inverse=True)
+            letter[far] = np.array([chr(o).isalpha() for o in others])[which]
+        begins = c == 9
+        # runs of what is no letter are one space, the end of a part and the beginning of the next are two
+        kept = letter | np.append(False, letter[:-1]) | begins
+        owner = np.cumsum(begins) - 1
+        letters = np.bincount(owner[letter], minlength=len(parts) + 1)[: len(parts)]
+        c, owner, begins, letter = c[kept], owner[kept], begins[kept], letter[kept]
+        kept = letter | begins | ~np.append(begins[1:], False)  # no space before a part's end
+        c, owner, begins, letter = c[kept], owner[kept], begins[kept], letter[kept]
+        at = np.flatnonzero(begins[1:]) + 1
+        plain = np.where(letter, c, 32).astype(np.uint64)
+        # the space that ends a part
+        plain, owner = np.insert(plain, at, 32), np.insert(owner, at, owner[at] - 1)
+        inside = owner < len(parts)
+        plain, owner = plain[inside], owner[inside]
+        filled = letters[owner] > 0
+        plain, owner = plain[filled], owner[filled].astype(np.uint64)
+        keys, h = [], np.zeros(len(plain), np.uint64)
+        for n in range(4):
+            if len(plain) <= n:
+                break
+            h = (h[:-1] if n else h) * np.uint64(1_000_003) + plain[n:] + np.uint64(1)
+            whole = owner[n:] == owner[: len(owner) - n]
+            keys.append((owner[n:][whole] << np.uint64(BITS)) | ((h[whole] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BITS)))
+        every = np.concatenate(keys) if keys else np.empty(0, np.uint64)
+        every = np.sort(every.astype(np.uint32) if len(parts) < 1 << (32 - BITS) else every)
+        first = np.append(True, every[1:] != every[:-1]) if len(every) else np.empty(0, bool)
+        starts = np.flatnonzero(first)
+        counts = np.diff(np.append(starts, len(every)))
+        found = every[starts].astype(np.int64)
+        return cls(found >> BITS, found & (SIZE - 1), 1.0 + np.log(counts), letters)
+
+    def taken(self, parts: np.ndarray) -> tuple[Grams, np.ndarray]:
+        """The grams of some parts, given in order, and where they stood."""
+        number = np.full(len(self.letters), -1)
+        number[parts] = np.arange(len(parts))
+        at = np.flatnonzero(number[self.part] >= 0)
+        return Grams(number[self.part[at]], self.key[at], self.weight[at], self.letters[parts]), at
+
+    def weighted(self, idf: np.ndarray) -> np.ndarray:
+        """Normalised TF-IDF weights."""
+        v = self.weight * idf[self.key]
+        norm = np.sqrt(np.bincount(self.part, weights=v * v, minlength=len(self.letters)))
+        return v / np.maximum(norm, 1e-12)[self.part] if len(v) else v
+
+    def cosines(self, unit: np.ndarray, centers: np.ndarray) -> np.ndarray:
+        """Cosines of each part with each column of ``centers``."""
+        out = np.zeros((len(self.letters), centers.shape[1]), "f4")
+        if len(unit) and centers.shape[1]:
+            starts = np.flatnonzero(np.append(True, self.part[1:] != self.part[:-1]))
+            # a few parts at a time, so that the rows fit into the cache
+            for low in range(0, len(starts), 64):
+                a, b = starts[low], starts[low + 64] if low + 64 < len(starts) else len(unit)
+                rows = centers[self.key[a:b]] * unit[a:b, None].astype("f4")
+                out[self.part[starts[low : low + 64]]] = np.add.reduceat(rows, starts[low : low + 64] - a, axis=0)
+        return out
 
 
 def by_script(text: str) -> str | None:
@@ -99,105 +180,159 @@ def by_script(text: str) -> str | None:
 
 @dataclass
 class Centroids:
-    """``centers`` has a column for each centroid, ``languages`` its language's index."""
+    """``centers`` has a column for each centroid, ``languages`` its language's index, ``least`` the least cosine for each of LENGTHS and beyond."""
 
     idf: np.ndarray
     centers: np.ndarray
     languages: np.ndarray
-
-    def scores(self, text: str) -> np.ndarray:
-        """The largest cosine of each language."""
-        out = np.zeros(len(LANGUAGES))
-        keys, weights = ngrams(text)
-        if len(keys):
-            v = weights * self.idf[keys]
-            norm = np.sqrt((v * v).sum())
-            if norm > 0:
-                np.maximum.at(out, self.languages, (v / norm) @ self.centers[keys])
-        return out
+    least: np.ndarray
+
+    def scores(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The largest cosine of each part with each language, the least that does not reject it, and the part's letters."""
+        cosines, letters = [np.zeros((0, len(self.languages)), "f4")], [np.zeros(0, int)]
+        for low in range(0, len(parts), _PARTS):
+            grams = Grams.of(parts[low : low + _PARTS])
+            cosines.append(grams.cosines(grams.weighted(self.idf), self.centers))
+            letters.append(grams.letters)
+        found, size = np.concatenate(cosines), np.concatenate(letters)
+        best, least = np.zeros((len(found), len(LANGUAGES))), np.full((len(found), len(LANGUAGES)), np.inf)
+        bound = self.least[:, np.searchsorted(LENGTHS, size, "right")]
+        for k in range(len(self.languages)):
+            lang, nearer = self.languages[k], found[:, k] > best[:, self.languages[k]]
+            best[nearer, lang] = found[nearer, k]
+            least[nearer, lang] = bound[k, nearer]
+        return best, least, size
+
+
+def _pieces(text: str) -> list[str]:
+    """A text, its paragraphs, and their sentences and lines: what may be judged as one part."""
+    out = [text]
+    for paragraph in paragraphs(text):
+        out += [paragraph, *re.split(r"(?<=[.!?。])\s+|\n", paragraph)]
+    return [p for p in dict.fromkeys(out) if p.strip()]
 
 
 def fit(texts: list[tuple[str, str]], seed: int = 7) -> Centroids:
     """Centroids of ``(text, language)`` rows. A language without rows gets no centroid."""
     rng = np.random.default_rng(seed)
-    grams = [ngrams(t) for t, _ in texts]
     labels = np.array([LANGUAGES.index(lang) for _, lang in texts], int)
-    frequency = np.zeros(SIZE)
-    for keys, _ in grams:
-        frequency[keys] += 1
+    grams = Grams.of([t for t, _ in texts])
+    frequency = np.bincount(grams.key, minlength=SIZE)
     idf = np.log((1 + len(texts)) / (1 + frequency)) + 0.1
-    unit = []
-    for keys, weights in grams:
-        v = weights * idf[keys]
-        unit.append((keys, v / (np.sqrt((v * v).sum()) or 1.0)))
+    unit = grams.weighted(idf)
+    bounds = np.searchsorted(grams.part, np.arange(len(texts) + 1))
 
     def mean(rows: np.ndarray) -> np.ndarray:
         center = np.zeros(SIZE)
         for i in rows:
-            center[unit[i][0]] += unit[i][1]
+            part = slice(bounds[i], bounds[i + 1])
+            center[grams.key[part]] += unit[part]
         return center / (np.linalg.norm(center) or 1.0)
 
-    def cosines(centers: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return np.array([unit[i][1] @ centers[unit[i][0]] for i in rows]).reshape(len(rows), -1)
-
     kept = np.arange(len(texts))
     present = [k for k in range(len(LANGUAGES)) if (labels == k).any()]
     for _ in range(3):  # leave out texts that are nearer to another language's centre
         if not present:
             break
         centers = np.stack([mean(kept[labels[kept] == k]) for k in present], axis=1)
-        nearest = np.array(present)[cosines(centers, np.arange(len(texts))).argmax(axis=1)]
+        nearest = np.array(present)[grams.cosines(unit, centers.astype("f4")).argmax(axis=1)]
         kept = np.flatnonzero(nearest == labels)
-    columns, languages = [], []
+    columns, languages, pieces, owners = [], [], [], []
     for k in present:
         rows = kept[labels[kept] == k]
         if not len(rows):
             continue
-        clusters = min(CLUSTERS, len(rows))
-        centers = np.stack([mean(rng.choice(rows, 1)) for _ in range(clusters)], axis=1)
+        held = rows[::HELD_OUT] if len(rows) >= 2 * HELD_OUT else rows
+        fitted = np.setdiff1d(rows, held) if len(rows) >= 2 * HELD_OUT else rows
+        own, at = grams.taken(fitted)
+        clusters = min(CLUSTERS, len(fitted))
+        centers = np.stack([mean(rng.choice(fitted, 1)) for _ in range(clusters)], axis=1)
         for _ in range(8):  # k-means on the sphere
-            nearest = cosines(centers, rows).argmax(axis=1)
-            centers = np.stack([mean(rows[nearest == j]) if (nearest == j).any() else centers[:, j] for j in range(clusters)], axis=1)
+            nearest = own.cosines(unit[at], centers.astype("f4")).argmax(axis=1)
+            centers = np.stack([mean(fitted[nearest == j]) if (nearest == j).any() else centers[:, j] for j in range(clusters)], axis=1)
         columns.append(centers)
         languages += [k] * clusters
-    return Centroids(idf.astype("f4"), (np.concatenate(columns, axis=1) if columns else np.zeros((SIZE, 0))).astype("f4"), np.array(languages, int))
+        parts = [p for i in held for p in _pieces(texts[i][0])]
+        pieces += parts
+        owners += [k] * len(parts)
+    centers = (np.concatenate(columns, axis=1) if columns else np.zeros((SIZE, 0))).astype("f4")
+    least = _least(pieces, np.array(owners, int), idf, centers, np.array(languages, int))
+    return Centroids(idf.astype("f4"), centers, np.array(languages, int), least)
 
 
-def identify(model: Centroids, text: str) -> tuple[str | None, float, list[tuple[str | None, float]]]:
-    """Language and confidence of a text, and of each of its paragraphs.
+def _least(pieces: list[str], owners: np.ndarray, idf: np.ndarray, centers: np.ndarray, languages: np.ndarray) -> np.ndarray:
+    """Of each centroid, for each of LENGTHS and beyond, the cosine that hardly any of the held-out pieces nearest to it is below.
+
+    Pieces nearer to another language than their text's may be foreign and do
+    not count. Where there are too few, all centroids' pieces of that length do.
+    """
+    grams = Grams.of(pieces)
+    cosines = grams.cosines(grams.weighted(idf), centers)
+    out = np.full((len(languages), len(LENGTHS) + 1), LEAST_COSINE)
+    if not len(pieces) or not len(languages):
+        return out
+    nearest, top = cosines.argmax(axis=1), cosines.max(axis=1)
+    bins = np.searchsorted(LENGTHS, grams.letters, "right")
+    counted = (grams.letters > 0) & (languages[nearest] == owners)
+    bound = lambda found: min(MOST_ASKED, max(LEAST_COSINE, REJECT_SHARE * float(np.quantile(found, REJECT_QUANTILE))))
+    for b in range(out.shape[1]):
+        here = counted & (bins == b)
+        every = bound(top[here]) if here.any() else out[:, b - 1].min() if b else LEAST_COSINE
+        for k in range(len(languages)):
+            own = top[here & (nearest == k)]
+            out[k, b] = bound(own) if len(own) >= LEAST_PIECES else every
+    return out
+
+
+def identify_all(model: Centroids, texts: list[str]) -> list[tuple[str | None, float, list[tuple[str | None, float]]]]:
+    """Of each text, its language and confidence, and those of each of its paragraphs.
 
     The confidence is the lead of the best language's cosine over the next one's, as a share.
     Of several paragraphs each decides for itself, by its script or a clear lead;
     one that does neither takes the language of most of the text.
     """
+    parts = [paragraphs(t) for t in texts]
+    flat, first = [], []
+    for text, own in zip(texts, parts):
+        first.append(len(flat))
+        flat += own if len(own) > 1 else [text]
+    scores, least, letters = model.scores(flat)
+    order = np.argsort(-scores, axis=1, kind="stable")
+    rows = np.arange(len(flat))
+    top, second = scores[rows, order[:, 0]], scores[rows, order[:, 1]]
+    best = np.where((top > 0) & (top >= least[rows, order[:, 0]]), order[:, 0], -1)
+    lead = top - second
+    sure = np.where(top > 0, lead / np.maximum(top, 1e-12), 0.0)
+    out, unclear = [], []
+    for n, (text, own) in enumerate(zip(texts, parts)):
+        at = first[n]
+        if len(own) < 2:
+            name = LANGUAGES[best[at]] if best[at] >= 0 else None
+            out.append((name, float(sure[at]), [(name, float(sure[at]))] * len(own)))
+            continue
+        found: list[tuple[int, float]] = []
+        mass, trust = np.zeros(len(LANGUAGES)), np.zeros(len(LANGUAGES))
+        for i, part in enumerate(own, at):
+            k = int(best[i])
+            certain = k >= 0 and lead[i] >= MIN_LEAD and (letters[i] >= HEADING_LETTERS or _ENDED.search(part.rstrip()) is not None)
+            if (script := by_script(part)) and scores[i, LANGUAGES.index(script)] >= SCRIPT_SHARE * least[i, LANGUAGES.index(script)]:
+                k, certain = LANGUAGES.index(script), True
+            found.append((k if certain else -1, float(sure[i])))
+            if certain:
+                mass[k] += letters[i]
+                trust[k] += letters[i] * sure[i]
+        main = int(mass.argmax()) if mass.any() else -1
+        if main < 0:  # no paragraph decides for itself
+            unclear.append(n)
+        out.append((main, float(trust[main] / mass[main]) if main >= 0 else 0.0, found))
+    if unclear:
+        whole = identify_all(model, [" ".join(parts[n]) for n in unclear])
+        for n, (name, confidence, _) in zip(unclear, whole):
+            out[n] = (LANGUAGES.index(name) if name else -1, confidence, out[n][2])
+    name_of = lambda k: LANGUAGES[k] if isinstance(k, int) and k >= 0 else None
+    return [row if row[0] is None or isinstance(row[0], str) else (name_of(row[0]), row[1], [(name_of(k) or name_of(row[0]), c) for k, c in row[2]]) for row in out]
 
-    def best(part: str) -> tuple[int, float, float]:
-        s = model.scores(part)
-        order = np.argsort(-s, kind="stable")
-        top, second = s[order[0]], s[order[1]]
-        return (int(order[0]) if top >= REJECT else -1), float((top - second) / top) if top > 0 else 0.0, float(top - second)
-
-    parts = paragraphs(text)
-    if len(parts) < 2:
-        whole, sure, _ = best(text)
-        name = LANGUAGES[whole] if whole >= 0 else None
-        return name, sure, [(name, sure)] * len(parts)
-    found: list[tuple[int, float]] = []
-    mass, trust = np.zeros(len(LANGUAGES)), np.zeros(len(LANGUAGES))
-    for part in parts:
-        letters = sum(map(len, _NOT_LETTERS.split(part)))
-        k, confidence, lead = best(part)
-        certain = k >= 0 and lead >= MIN_LEAD and (letters >= HEADING_LETTERS or _ENDED.search(part.rstrip()) is not None)
-        if (script := by_script(part)) and LANGUAGES.index(script) in model.languages:
-            k, certain = LANGUAGES.index(script), True
-        found.append((k if certain else -1, confidence))
-        if certain:
-            mass[k] += letters
-            trust[k] += letters * confidence
-    if mass.any():
-        main = int(mass.argmax())
-        sure = float(trust[main] / mass[main])
-    else:  # no paragraph decides for itself
-        main, sure, _ = best(text)
-    segments = [(LANGUAGES[k] if k >= 0 else LANGUAGES[main] if main >= 0 else None, c) for k, c in found]
-    return LANGUAGES[main] if main >= 0 else None, sure, segments
+
+def identify(model: Centroids, text: str) -> tuple[str | None, float, list[tuple[str | None, float]]]:
+    """`identify_all` of one text."""
+    return identify_all(model, [text])[0]

@@ -547,12 +547,35 @@ class Repair:
     text: str
 
 
+class Seen(dict):
+    """Of words met before: whether they are known, and what was meant, written as the word is; None for a word that is right."""
+
+    def __init__(self, corrector: Corrector):
+        super().__init__()
+        self.corrector = corrector
+
+    def __reduce__(self) -> tuple:
+        return Seen, (self.corrector,)
+
+    def __missing__(self, word: str) -> tuple[bool, str | None]:
+        low, out, vocabulary = word.lower(), None, self.corrector.vocabulary
+        known = low in vocabulary
+        if not known:
+            sharp = word.isupper() and "ss" in low and any(low[:i] + "ß" + low[i + 2 :] in vocabulary for i in range(len(low)) if low.startswith("ss", i))
+            if not sharp and (meant := self.corrector.correct(word)) is not None:
+                out = meant.upper() if word.isupper() and len(word) > 1 else meant.capitalize() if word[0].isupper() else meant
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = known or word[0].isdigit(), out
+        return self[word]
+
+
 class Cleaner:
     """Finds and repairs the noise of records."""
 
     def __init__(self, corrector: Corrector, furniture: Furniture, joiner: Joiner):
         self.corrector, self.furniture, self.joiner = corrector, furniture, joiner
-        self.seen: dict[str, str | None] = {}
+        self.seen = Seen(corrector)
 
     def clean(self, text: str, skip: frozenset[str] | set[str] = frozenset()) -> Repair:
         """Repair a text whose characters are right. Words in ``skip``, in lower case, are left as they are."""
@@ -561,7 +584,7 @@ class Cleaner:
         dropped = self.furniture.find(rows)
         if dropped:
             noise.add("furniture")
-            if any(self._right(w) for i in dropped for w in _WORD.findall(rows[i])):
+            if any(self.seen[w][1] for i in dropped for w in _WORD.findall(rows[i])):
                 noise.add("chars")
         filled = [i for i, r in enumerate(rows) if r and i not in dropped]
         after = dict(zip(filled, filled[1:]))
@@ -588,27 +611,15 @@ class Cleaner:
         body = "\n".join(kept)
         words = set(_WORD.findall(body))
         right: dict[str, str] = {}
+        found = list(map(self.seen.__getitem__, words))
         # where most words are unknown, there is no language to correct by
-        if 2 * sum(w[0].isdigit() or w.lower() in self.corrector.vocabulary for w in words) >= len(words):
-            right = {w: r for w in words if (r := self._right(w)) is not None and w.lower() not in skip and w.lower() not in torn}
+        if 2 * sum(known for known, _ in found) >= len(words):
+            right = {w: r for w, (_, r) in zip(words, found) if r is not None and w.lower() not in skip and w.lower() not in torn}
         if right:
             noise.add("chars")
             body = _WORD.sub(lambda m: right.get(m[0], m[0]), body)
         return Repair(noise, self._paragraphs(body))
 
-    def _right(self, word: str) -> str | None:
-        """The word that was meant, written as the word is; None for a word that is right."""
-        if word in self.seen:
-            return self.seen[word]
-        low, out = word.lower(), None
-        sharp = word.isupper() and "ss" in low and any(low[:i] + "ß" + low[i + 2 :] in self.corrector.vocabulary for i in range(len(low)) if low.startswith("ss", i))
-        if low not in self.corrector.vocabulary and not sharp and (meant := self.corrector.correct(word)) is not None:
-            out = meant.upper() if word.isupper() and len(word) > 1 else meant.capitalize() if word[0].isupper() else meant
-        if len(self.seen) > 300_000:
-            self.seen.clear()
-        self.seen[word] = out
-        return out
-
     @staticmethod
     def _paragraphs(text: str) -> str:
         """Lines of a paragraph put together; blank lines part paragraphs, but not within a sentence."""

@@ -103,7 +103,7 @@ def cleaned_records(spark: SparkSession, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, cleaner, common = shared.value
-        forms = Forms(vocabulary)
+        forms = vocabulary.shared(Forms)
         for batch in batches:
             at, plain, noise, repaired = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):

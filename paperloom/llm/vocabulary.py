@@ -67,24 +67,33 @@ def _pieces(token: str) -> list[str]:
     return [p for p in parts if p.isalnum() and not p.isdigit()]
 
 
+def capitals(piece: str, word: str) -> int:
+    """Which places of a piece are capitals, as bits; 0 if its lower case is not as long, or very long."""
+    return sum(1 << i for i, (a, b) in enumerate(zip(piece, word)) if a != b) if len(piece) == len(word) < 63 else 0
+
+
+def capitalised(word: str, places: int) -> str:
+    return "".join(c.upper() if places >> i & 1 else c for i, c in enumerate(word))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out(counts: dict[str | None, Counter]) -> pa.RecordBatch:
         languages, keys, forms, numbers = [], [], [], []
         for lang, counter in counts.items():
             words: Counter = Counter()
-            written: dict[str, str] = {}
+            written: dict[str, int] = {}
             for token, n in counter.items():
                 for piece in _pieces(token):
                     word = piece.lower()
                     words[word] += n
-                    if not word.isascii():
-                        written[word] = min(piece, written.get(word, piece))
+                    if not word.isascii() and piece != word:
+                        written[word] = max(capitals(piece, word), written.get(word, 0))
             words[""] = sum(words.values())
             languages += [lang] * len(words)
             keys += words
-            forms += map(written.get, words)
+            forms += (written.get(w, 0) for w in words)
             numbers += words.values()
-        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in (languages, keys, forms)), pa.array(numbers, pa.int64())], names=["lang", "word", "form", "n"])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in (languages, keys)), *(pa.array(c, pa.int64()) for c in (forms, numbers))], names=["lang", "word", "capitals", "n"])
 
     counts: dict[str | None, Counter] = defaultdict(Counter)
     for batch in batches:
@@ -98,9 +107,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def word_counts(texts: DataFrame, column: str, lang: Column | None = None) -> DataFrame:
-    """``lang, word, form, n`` over all texts; the empty word holds the number of all words of a language.
+    """``lang, word, capitals, n`` over all texts; the empty word holds the number of all words of a language.
 
-    ``word`` is in lower case, ``form`` is one way of writing it, null for ASCII.
+    ``word`` is in lower case, ``capitals`` tells one way of writing it if it is not ASCII: a bit for each place.
     Halves of words that are broken at a line's end are left out.
     ``lang`` tells each text's language, of which there are few; texts without
     one are a group of their own. Each task counts its own texts before
@@ -108,7 +117,7 @@ def word_counts(texts: DataFrame, column: str, lang: Column | None = None) -> Da
     gives no rows.
     """
     label = F.lit(None).cast("string") if lang is None else lang
-    return texts.select(F.col(column).alias("_text"), label.alias("_lang")).mapInArrow(_count, "lang string, word string, form string, n bigint").groupBy("lang", "word").agg(F.min("form").alias("form"), F.sum("n").alias("n"))
+    return texts.select(F.col(column).alias("_text"), label.alias("_lang")).mapInArrow(_count, "lang string, word string, capitals bigint, n bigint").groupBy("lang", "word").agg(F.max("capitals").alias("capitals"), F.sum("n").alias("n"))
 
 
 class Vocabulary:
@@ -129,10 +138,17 @@ class Vocabulary:
                 mass[c] += share
         self.letters = {c for c, share in mass.items() if share >= LETTER_SHARE}
         self._trie: dict | None = None
+        self._shared: dict[type, object] = {}
 
     def __contains__(self, word: str) -> bool:
         return word in self.cost
 
+    def shared(self, kind: type):
+        """The ``kind(vocabulary)`` that all tasks of a process use, so that what it worked out is kept."""
+        if kind not in self._shared:
+            self._shared[kind] = kind(self)
+        return self._shared[kind]
+
     def __getstate__(self) -> tuple:
         return self.counts, self.total, self.shares
 
@@ -166,6 +182,6 @@ def frequent_words(counts: DataFrame) -> tuple[Vocabulary, dict[str, str]]:
     for lang, n in totals.items():
         total_of = F.when(F.col("lang").eqNullSafe(lang), F.lit(n)).otherwise(total_of)
     shares = counts.where("word <> ''").withColumn("share", F.col("n") / total_of)
-    rows = shares.groupBy("word").agg(F.min("form").alias("form"), F.sum("n").alias("n"), F.max("share").alias("share")).where((F.col("n") >= MIN_COUNT) & (F.col("share") >= MIN_SHARE)).collect()
+    rows = shares.groupBy("word").agg(F.max("capitals").alias("capitals"), F.sum("n").alias("n"), F.max("share").alias("share")).where((F.col("n") >= MIN_COUNT) & (F.col("share") >= MIN_SHARE)).collect()
     words = Vocabulary({r["word"]: r["n"] for r in rows}, sum(totals.values()), {r["word"]: r["share"] for r in rows})
-    return words, {r["word"]: r["form"] for r in rows if r["form"] is not None}
+    return words, {r["word"]: capitalised(r["word"], r["capitals"]) for r in rows if r["capitals"]}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from paperloom.llm import catalog
 from paperloom.llm.character_forms import Forms, script
 from paperloom.llm.encoding_repair import Repairer, clean_vocabulary, utf8_lattice
-from paperloom.llm.vocabulary import Vocabulary, frequent_words, pieces, word_counts
+from paperloom.llm.vocabulary import Vocabulary, capitalised, frequent_words, pieces, word_counts
 
 from .conftest import SENTENCES, prose, wrapped
 
@@ -86,7 +86,7 @@ def test_small_languages_keep_their_words(spark):
 
 def test_broken_words_are_no_words(spark):
     rows = spark.createDataFrame([("é-\nlan élan Élan ÉLAN\nvo¬\ntre",)], "word string")
-    assert {r["word"]: (r["n"], r["form"]) for r in word_counts(rows, "word").collect()} == {"élan": (3, "ÉLAN"), "": (3, None)}
+    assert {r["word"]: (r["n"], capitalised(r["word"], r["capitals"])) for r in word_counts(rows, "word").collect()} == {"élan": (3, "ÉLAN"), "": (3, "")}
 
 
 def test_no_words(spark):

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 
 from paperloom.llm import catalog
-from paperloom.llm.language_id import fit, identify, named, ngrams, paragraphs
+from paperloom.llm.language_id import Grams, fit, identify, identify_all, named, paragraphs
 from paperloom.llm.text_stats import classify, judged
 
 from .conftest import SENTENCES, prose, wrapped
@@ -87,12 +87,38 @@ def test_fit_of_nothing():
     assert identify(fit([]), "The page.")[0] is None
 
 
-def test_ngrams_and_paragraphs():
-    keys, weights = ngrams("ab ab")
-    assert len(keys) == len(weights) and (weights > 1).any() and len(ngrams("")[0]) == 0
+def test_grams_do_not_cross_parts():
+    texts = ["ab ab", "", " -- 7", "Ab\tc.", "é", "x", "\U0001d41aa b"]
+    together = Grams.of(texts)
+    for k, text in enumerate(texts):
+        alone, own = Grams.of([text]), together.part == k
+        assert alone.key.tolist() == together.key[own].tolist() and alone.weight.tolist() == together.weight[own].tolist() and alone.letters[0] == together.letters[k]
+    assert (Grams.of(["ab ab"]).weight > 1).any() and not len(Grams.of([""]).key) and not len(Grams.of([]).key)
+    # two letters between spaces: 3 single characters, 3 pairs, 2 triples, 1 of four, the space twice
+    assert len(Grams.of(["ab"]).key) == 9 and together.letters.tolist() == [4, 0, 0, 3, 1, 1, 3]
+
+
+def test_paragraphs():
     assert paragraphs("a\r\n\r\nb\n \nc\n\n\n") == ["a", "b", "c"] and paragraphs("") == []
 
 
+def test_languages_not_known_are_rejected():
+    model = fit([(prose(lang, i, 3), lang) for lang in ("en", "de", "fr", "es") for i in range(60)])
+    for text in ("Dokument zawiera opis głównych funkcji wraz z przykładami użycia.", "Dokumentet innehåller en fullständig beskrivning av modulen.", "이 문서는 모듈을 설명한다."):
+        assert identify(model, text)[0] is None
+    held = [(prose(lang, i + 900, 1), lang) for lang in ("en", "de", "fr", "es") for i in range(30)]
+    assert sum(row[0] == lang for row, (_, lang) in zip(identify_all(model, [t for t, _ in held]), held)) >= 0.97 * len(held)
+
+
+def test_rare_languages_are_sampled(tables, spark):
+    from paperloom.llm import language_queries
+
+    tables.results([(k, prose("en", k), "en") for k in range(400)] + [(1000 + k, prose("ru", k), "Russian") for k in range(7)] + [(2000, "x", "n/a"), (2001, None, "ru"), (2002, " ", "ru")])
+    sample = language_queries.labelled_sample(spark.read.parquet(f"{tables.folder}/batch_results.parquet").where("result_id < 10000"))
+    counts = {lang: sum(code == lang for _, code in sample) for lang in ("en", "ru")}
+    assert counts["ru"] == 7 and 300 < counts["en"] <= language_queries.SAMPLE_ROWS and len(set(sample)) == len(sample)
+
+
 def test_languages_of_results(tables, spark):
     mixed = f"{prose('de', 1)}\n\n{prose('fr', 1)}"
     rows = [(1, prose("es", 1), "English"), (2, prose("es", 2), "es-MX"), (3, prose("ko", 1), None), (4, mixed, "de"), (5, None, "en"), (6, "\n".join(ITEMS * 3), "de"), (7, "", "fr"), (1, prose("es", 1), "English")]
