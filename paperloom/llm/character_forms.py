@@ -19,11 +19,23 @@ from paperloom.llm.vocabulary import Vocabulary, tokens
 # Letters of other scripts that look like Latin ones, and back.
 _CYRILLIC = dict(zip("АВЕЅІЈКМНОРСТУХҮԌԚԜаеѕіјорсухһԁԛԝгпк", "ABESIJKMHOPCTYXYGQWaesijopcyxhdqwrnk"))
 _GREEK = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοονυικρα", "ABEZHIKMNOPTYXoovuikpa"))
-_TO_LATIN = _CYRILLIC | _GREEK
+_OTHERS = dict(
+    [
+        *zip("օոսհցզքյլ", "onuhgqfjl"), *zip("ՕՍԼՏ", "OULS"),  # Armenian
+        *zip("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏒᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"), *zip("ꮯꮪꮩꮃꮓꭰꭺꮶꮋ", "csvwzdakh"),  # Cherokee
+        *zip("ⲞⲢⲤⲬⲘⲚⲎⲔⲂⲀ", "OPCXMNHKBA"), *zip("ⲟⲣⲥⲭⲩⲅ", "opcxur"),  # Coptic
+        *zip("ɑɡıɩɪʏᴄᴏᴠᴡᴢꜱƽɼʋꞌ", "agiiiycovwzssru'"),  # phonetic and other letters of Latin kind
+        *zip("үӏѵѡүԍ", "ylvwyg"), *zip("ϲϳγωτσηκ", "cjywtonk"),  # more of Cyrillic and Greek
+    ]
+)
+_TO_LATIN = _OTHERS | _CYRILLIC | _GREEK
 _TO_CYRILLIC = {
     **dict(zip("ABEKMHOPCTXYaeopcyxiksjurnmt", "АВЕКМНОРСТХУаеорсухікѕјигпмт")),
     **dict(zip("ΑΒΕΗΚΜΟΡΤΧο", "АВЕНКМОРТХо")),
+    **dict(zip("օᎪᏴᎬᎻᎷᏢᏟᎢⲞⲢⲤⲬⲟⲣⲥⲭɑᴏᴄ", "оАВЕНМРСТОРСХорсхаос")),
 }
+#: What stands in for Latin letters though it is of no other script by itself.
+_PHONETIC = frozenset("ɑɡıɩɪʏᴄᴏᴠᴡᴢꜱƽɼʋꞌ")
 
 _SPACES = "               　"
 _ZERO_WIDTH = "​‌‍⁠⁡⁢⁣⁤﻿᠎"
@@ -33,16 +45,22 @@ _FORMS = re.compile(
     f"|(?P<decomposed>[{_JAMO}]+|[^\\W\\d_][̀-ͯ]+)"
 )
 _WORD = re.compile(r"[^\W\d_]+")
-_QUICK = re.compile(f"[！-￦\U0001d400-\U0001d7ff{_SPACES}{_ZERO_WIDTH}{_JAMO}̀-ͯͰ-ϿЀ-ԯ]")
+_QUICK = re.compile(f"[！-￦\U0001d400-\U0001d7ff{_SPACES}{_ZERO_WIDTH}{_JAMO}̀-ͯͰ-ϿЀ-ԯ\u0530-\u058fᎠ-Ᏽꭰ-ꮿⲀ-⳿ɐ-ʯᴀ-ᵿıꜱƽꞌ]")
 _EMOJI = ("☀", "\U0001f000")
 
 
 def script(c: str) -> str:
-    """LATIN, CYRILLIC, GREEK or '' of a letter."""
+    """LATIN, CYRILLIC, GREEK, OTHER of letters that stand in for these, or '' of a letter."""
     o = ord(c)
+    if c in _PHONETIC:
+        return "OTHER"
     if o < 0x250 or 0x1E00 <= o < 0x1F00:
         return "LATIN"
-    return "GREEK" if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000 else "CYRILLIC" if 0x400 <= o < 0x530 else ""
+    if 0x370 <= o < 0x400 or 0x1F00 <= o < 0x2000:
+        return "GREEK"
+    if 0x400 <= o < 0x530:
+        return "CYRILLIC"
+    return "OTHER" if 0x530 <= o < 0x590 or 0x13A0 <= o < 0x1400 or 0xAB70 <= o < 0xABC0 or 0x2C80 <= o < 0x2D00 else ""
 
 
 class Forms:
@@ -65,7 +83,7 @@ class Forms:
                 counts[s] = counts.get(s, 0) + 1
         fixed = word
         if len(counts) > 1:
-            for target in sorted((s for s in counts if s != "GREEK"), key=lambda s: -counts[s]):
+            for target in sorted((s for s in counts if s in ("LATIN", "CYRILLIC")), key=lambda s: -counts[s]):
                 table = _TO_LATIN if target == "LATIN" else _TO_CYRILLIC
                 trial = "".join(c if script(c) in ("", target) else table.get(c, c) for c in word)
                 if all(script(c) in ("", target) for c in trial) and trial.lower() in self.vocabulary:

@@ -34,8 +34,9 @@ MARGIN = 4.0
 _UNKNOWN_WORD, _ASCII_LETTER, _KNOWN_LETTER, _STRANGE = 12.0, 2.5, 4.0, 9.0
 _PLAIN_MARKS = set("“”„‘’‚«»–—…•·°§¿¡")
 _NEVER_INSIDE = set("“”„‚«»•°§¿¡")  # not between the letters of a word
-_BEAM = 48
 _LOST = "�"
+#: What the first byte of a letter whose second one is a no-break space looks like.
+_BEFORE_SPACE = frozenset("ÃÂÐÑРС├┬╨╤√¬")
 _LOST_INSIDE = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
 #: How unlikely a question mark is within a word, and what a lost mark within a word was: an apostrophe after or before few letters, or a letter.
 _LOST_MARK = 12.0
@@ -72,8 +73,57 @@ def to_bytes(token: str, wrong: str) -> bytes | None:
         return None
 
 
-def utf8_lattice(raw: bytes) -> tuple[list[tuple[str, int, int]], int, int]:
-    """Steps of the lattice over UTF-8 bytes some of which were lost.
+def units_of(token: str, wrong: str) -> list[int | None] | None:
+    """The same with None for each lost character."""
+    table = _TABLES[wrong]
+    try:
+        return [None if c == _LOST else o if (o := ord(c)) < 128 else table[c] for c in token]
+    except KeyError:
+        return None
+
+
+def lattice(units: list[int | None], right: str) -> tuple[list[tuple[str, int, int]], int, int] | None:
+    """Steps as in `utf8_lattice` over the bytes of any encoding, None being a lost one; None if the bytes are none of it."""
+    if right == "utf-8":
+        return utf8_lattice(units)
+    steps, whole, broken, i = [], 0, 0, 0
+    while i < len(units):
+        b = units[i]
+        double = right == "cp949" and (b is None or b >= 0x80) and i + 1 < len(units)
+        if b is not None and b < 0x80:
+            steps.append((chr(b), b, b))
+        elif double and (b is not None or (units[i + 1] or 0) >= 0x80):
+            pair = units[i : i + 2]
+            i += 1
+            if None in pair:
+                steps.append(("", 0xAC00, 0xD7A3))
+                broken += 1
+            else:
+                steps.append((char := _decoded(bytes(pair), right), 0, 0))
+                whole += 1
+                if not char:
+                    return None
+        elif b is None or right == "cp949":
+            steps.append(("", 0xA0, 0xFFFC))
+            broken += 1
+        else:
+            steps.append((char := _decoded(bytes([b]), right), 0, 0))
+            whole += 1
+            if not char:
+                return None
+        i += 1
+    return steps, whole, broken
+
+
+def _decoded(raw: bytes, encoding: str) -> str:
+    try:
+        return raw.decode(encoding)
+    except UnicodeDecodeError:
+        return ""
+
+
+def utf8_lattice(raw: bytes | list[int | None]) -> tuple[list[tuple[str, int, int]], int, int]:
+    """Steps of the lattice over UTF-8 bytes some of which were lost, or are known to be (None).
 
     A step is ``(character, low, high)``; where bytes are missing, ``character``
     is '' and the lost one is in the range ``low..high``. Also the numbers of
@@ -82,6 +132,13 @@ def utf8_lattice(raw: bytes) -> tuple[list[tuple[str, int, int]], int, int]:
     steps, whole, broken, i = [], 0, 0, 0
     while i < len(raw):
         b = raw[i]
+        if b is None:  # with what goes on behind it, one character
+            i += 1
+            while i < len(raw) and raw[i] is not None and 0x80 <= raw[i] < 0xC0:
+                i += 1
+            steps.append(("", 0x80, 0x10FFFF))
+            broken += 1
+            continue
         if b < 0x80:
             steps.append((chr(b), b, b))
             i += 1
@@ -92,14 +149,15 @@ def utf8_lattice(raw: bytes) -> tuple[list[tuple[str, int, int]], int, int]:
             broken += 1
             i += 1
             continue
-        rest = bytearray()
-        while len(rest) < size - 1 and i + 1 + len(rest) < len(raw) and 0x80 <= raw[i + 1 + len(rest)] < 0xC0:
-            rest.append(raw[i + 1 + len(rest)])
+        rest: list[int | None] = []
+        while len(rest) < size - 1 and i + 1 + len(rest) < len(raw) and ((c := raw[i + 1 + len(rest)]) is None or 0x80 <= c < 0xC0):
+            rest.append(c)
         low = high = b & (0x3F >> (size - 1))
         for k in range(size - 1):
-            low = low << 6 | (rest[k] & 0x3F if k < len(rest) else 0)
-            high = high << 6 | (rest[k] & 0x3F if k < len(rest) else 0x3F)
-        if len(rest) == size - 1 and low >= (0x80, 0x800, 0x10000)[size - 2] and not 0xD800 <= low < 0xE000 and low < 0x110000:
+            known = k < len(rest) and rest[k] is not None
+            low = low << 6 | (rest[k] & 0x3F if known else 0)
+            high = high << 6 | (rest[k] & 0x3F if known else 0x3F)
+        if len(rest) == size - 1 and None not in rest and low >= (0x80, 0x800, 0x10000)[size - 2] and not 0xD800 <= low < 0xE000 and low < 0x110000:
             steps.append((chr(low), low, low))
             whole += 1
         else:
@@ -148,7 +206,7 @@ class Repairer:
     # search ----------------------------------------------------------------
 
     def viterbi(self, steps: list[tuple[str, int, int]]) -> tuple[str, float]:
-        """The likeliest text through a lattice. A state is a trie node, or no node inside an unknown word."""
+        """The likeliest text through a lattice. A state is a trie node, or no node inside an unknown word; there are no more of them, and none is dropped."""
         root = self.vocabulary.trie()
         # state id -> (cost so far, text, node or None, inside a word)
         states: dict[object, tuple[float, str, dict | None, bool]] = {"": (0.0, "", root, False)}
@@ -184,7 +242,7 @@ class Repairer:
                         if done is None:
                             done = cost + _UNKNOWN_WORD + sum(map(self._letter, self._open_word(text)))
                         offer(new, "between", done + (_STRANGE if c == _LOST else self._symbol(c)), text + c, root, False)
-            states = dict(sorted(new.items(), key=lambda x: x[1][0] + (x[1][2].get(None, 0.0) if x[1][3] and x[1][2] is not None else 0.0))[:_BEAM])
+            states = new
         best = ("", float("inf"))
         for cost, text, node, inside in states.values():
             done = ended(cost, node, inside)
@@ -205,6 +263,15 @@ class Repairer:
         """Texts the token may have been, with their cost, that of the damage, and the pair of encodings."""
         for pair in CHANNELS:
             wrong, right = pair
+            if _LOST in token:
+                units = units_of(token, wrong)
+                found = lattice(units, right) if units is not None else None
+                # besides the lost ones, something must have come through this pair
+                if found is not None and found[1]:
+                    text, cost = self.viterbi(found[0])
+                    if _LOST not in text and self.in_vocabulary(text):
+                        yield text, cost, (PRIOR_UTF8 if right == "utf-8" else PRIOR_OTHER) + 2.0 * found[2], pair
+                continue
             raw = to_bytes(token, wrong)
             if raw is None:
                 continue
@@ -251,7 +318,14 @@ class Repairer:
 
     def _judge(self, token: str) -> tuple[str, float] | None:
         if _LOST in token:  # a lone mark could be anything
-            return self._patch(token)[0] if WORD.search(token) else token, _STRANGE
+            if not WORD.search(token):
+                return token, _STRANGE
+            text, cost = self._patch(token)
+            readings = [(cost + prior, reading, pair) for reading, cost, prior, pair in self._readings(token)] if not token.isascii() else []
+            if readings and min(readings)[0] < cost:
+                _, text, pair = min(readings)
+                self.channel[token] = (pair,)
+            return text, _STRANGE
         lost = _LOST_INSIDE.search(token) is not None and "/" not in token and "=" not in token
         if token.isascii() and not lost:
             return None
@@ -303,11 +377,14 @@ class Repairer:
             if token.isascii() and "?" not in token:
                 continue
             verdict = self.verdict(token)
+            if verdict is None and token[-1:] in _BEFORE_SPACE and (ended := self.verdict(token + "\xa0")) is not None and self.in_vocabulary(ended[0]):
+                verdict = ended  # the token's last byte became a space and then a plain one
             if verdict is not None and not self._is_cited(token):
                 found[token] = verdict[0]
         if not found:
             return {}
         self._same_way(own, found)
+        self._lost_spaces(text, found)
         sound = 0  # tokens that speak for language, as they are or repaired
         for token in own:
             restored = found.get(token)
@@ -316,6 +393,13 @@ class Repairer:
                 return found
         return {}
 
+    @staticmethod
+    def _lost_spaces(text: str, found: dict[str, str]) -> None:
+        """Add the spaces that take the place of a byte behind a token, so that they go with it."""
+        for token in [t for t in found if t[-1:] in _BEFORE_SPACE and not found[t].endswith(t[-1])]:
+            if f"{token}  " in text:
+                found[f"{token} "] = found[token]
+
     def _same_way(self, own: set[str], found: dict[str, str]) -> None:
         """Add tokens too short to tell by themselves that went through what most of the text's damaged ones did."""
         ways = Counter(self.channel[t] for t in found if t in self.channel)
@@ -339,7 +423,12 @@ class Repairer:
         """The text with its damaged tokens replaced; white space stays."""
         if not damage:
             return text
-        return re.sub(r"[^ \n\r\t]+", lambda m: damage.get(m[0], m[0]), text)
+        def restored(m: re.Match) -> str:
+            if m[2] and (whole := damage.get(m[1] + " ")) is not None:
+                return whole + m[2][1:]
+            return damage.get(m[1], m[1]) + m[2]
+
+        return re.sub(r"([^ \n\r\t]+)((?:  )?)", restored, text)
 
 
 def clean_vocabulary(vocabulary: Vocabulary, forms: dict[str, str]) -> Vocabulary:

@@ -43,6 +43,35 @@ def test_lost_bytes_are_filled_from_the_vocabulary(vocabulary):
     assert repairer.damage("L?ouverture du fichier le cadre vide perd l?ouverture") == {"L?ouverture": "L’ouverture", "l?ouverture": "l’ouverture"}
 
 
+@pytest.mark.parametrize(("word", "lang_wrong", "right"), [("родительское", "cp1252", "cp1251"), ("родительское", "cp1251", "koi8_r"), ("сохраняет", "cp1252", "cp866"), ("추출기는", "latin-1", "cp949"), ("Prüfung", "cp1252", "cp850"), ("родительское", "latin-1", "utf-8")])
+def test_lost_bytes_of_all_encodings(vocabulary, word, lang_wrong, right):
+    repairer = Repairer(vocabulary)
+    broken = damaged(word, lang_wrong, right)
+    assert broken != word
+    for i in range(len(broken)):
+        if broken[i] > "\x7f" and repairer.verdict(broken[:i] + "�" + broken[i + 1 :])[0] == word:
+            break
+    else:
+        raise AssertionError(broken)
+
+
+def test_a_byte_that_became_a_space():
+    words = Vocabulary({"il": 90, "est": 80, "voilà": 20, "la": 90, "maison": 30, "à": 50}, 500)
+    repairer = Repairer(words)
+    for text in ("il est voilÃ  la maison", "il est voilÃ\xa0 la maison"):
+        assert repairer.restore(text, repairer.damage(text)) == "il est voilà la maison"
+    text = "il est voilÃ la maison"
+    assert repairer.restore(text, repairer.damage(text)) == "il est voilà la maison"
+    assert repairer.damage("la maison  IRMÃ  il est") == {}
+
+
+def test_search_is_exact():
+    # many words fit the first lost letters; only the last letter tells which
+    first = [a + b for a in "àâäáãåæ" for b in "èêëéęėē"]
+    words = Vocabulary({f"{s}xyé": 50 for s in first} | {"ÿÿxyz".lower(): 3}, 5000)
+    assert Repairer(words).verdict("��xyz")[0] == "ÿÿxyz"
+
+
 @pytest.mark.parametrize("lang", SENTENCES)
 def test_sound_text_has_no_damage(vocabulary, lang):
     assert Repairer(vocabulary).damage(prose(lang, 9)) == {}
@@ -97,7 +126,7 @@ def test_no_words(spark):
 @pytest.mark.parametrize(
     ("text", "plain"),
     [("Ｔｈｅ　ｐａｇｅ", "The page"), ("𝗧𝗵𝗲 𝗽𝗮𝗴𝗲", "The page"), ("th​e﻿ page", "the page"), ("the\xa0page x", "the page x"), (unicodedata.normalize("NFD", "größten"), "größten"),
-     (unicodedata.normalize("NFD", "두 번째"), "두 번째"), ("pаge", "page"), ("Тhe", "The"), ("сkрытый слой скpытый", "скрытый слой скрытый"), ("rοtated", "rotated")],
+     (unicodedata.normalize("NFD", "두 번째"), "두 번째"), ("pаge", "page"), ("Тhe", "The"), ("сkрытый слой скpытый", "скрытый слой скрытый"), ("rοtated", "rotated"), ("rօtated pɑge", "rotated page"), ("Ꭲhe page", "The page"), ("ⲣage", "page"), ("слⲟй", "слой")],
 )
 def test_forms(vocabulary, text, plain):
     forms = Forms(vocabulary)
