@@ -354,7 +354,12 @@ def title_like(line: str) -> bool:
 
 def is_candidate(line: str) -> bool:
     """Whether a line may be furniture at all."""
-    return len(line) <= 80 and (line[0].isupper() or line[0].isdigit() or not line[0].isalpha() or len(line) <= 12) and (_NUMBERED.fullmatch(line) is not None or _BESIDE.match(line) is not None or not _ENDED.search(line) and title_like(line))
+    first, last = line[0], line[-1]
+    if len(line) > 80 or first.isalpha() and not first.isupper() and len(line) > 12:
+        return False
+    if _NUMBERED.fullmatch(line) is not None or (first.isdigit() or last.isdigit()) and _BESIDE.match(line) is not None:
+        return True
+    return (last.isalnum() or not _ENDED.search(line)) and title_like(line)
 
 
 def _number(line: str) -> int | None:

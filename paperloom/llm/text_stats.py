@@ -33,6 +33,8 @@ _GLYPH_CODE = r"(?:\(cid:\d+\)\s*)+"
 # Operators of page descriptions.
 _DRAWING = r"^(?:-?[\d.]+\s+)+(?:m|l|c|v|y|h|re|f|F|S|s|n|W|b|B|cm|w|J|j|M|d|i|q|Q|BT|ET|Td|TD|Tm|Tf|Tj|TJ|Tc|Tw|Tz|TL|Tr|Ts|RG|rg|G|g|K|k|sc|scn|SC|SCN|gs|Do|sh)(?:\s+(?:f|S|s|n|W|B|b)\*?)*$"
 _BLOB = r"^[A-Za-z0-9+/=_-]{24,}$"
+# What lines of items, rows and codes have: digits, separators of cells, leaders, bullets, letters of lists, or one long word.
+_MARKED = r"\d|\t|\||;\S|,\S|\s{2,}\S|\.{3}|…|^[-*•–·◦▪‣(]|^(?:\pL|[ivxIVX]{1,6})[.)]\s|^\S{24,}$"
 _END = r"[^\s.][.!?…。．]+[”\"’»)\]]*(?:\s|$)"
 _CLOSED = r"[.!?…。．:;,][”\"’»)\]]*$"
 
@@ -70,7 +72,7 @@ RULES = [
     Rule("mostly_items", lambda s: (s.prose < MIN_PROSE) & (s.items >= np.maximum(s.rows, s.no_language)), LIST),
     Rule("mostly_rows", lambda s: (s.prose < MIN_PROSE) & (s.rows > s.items) & (s.rows >= s.no_language), TABLE),
     Rule("mostly_no_language", lambda s: (s.prose < MIN_PROSE) & (s.no_language > np.maximum(s.items, s.rows)), JUNK),
-    Rule("no_common_words", lambda s: (s.prose + s.open >= MIN_PROSE) & (s.letter_words >= JUDGED_WORDS) & (s.common < MIN_COMMON_SHARE) & (s.ascii_letters >= ASCII_LETTERS) & (s.different >= MAX_DIFFERENT * s.words), JUNK),
+    Rule("no_common_words", lambda s: _lacks_common_words(s), JUNK),
     Rule("one_word", lambda s: (s.rows < MIN_PROSE) & (s.words >= REPEATED_WORDS) & (s.different <= np.maximum(2, s.words // WORDS_EACH)) & (s.numbers < 0.5), JUNK),
 ]
 
@@ -83,6 +85,33 @@ def _has(lines: pa.Array, pattern: str) -> np.ndarray:
     return pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
 
 
+def _lacks_common_words(s: Statistics) -> np.ndarray:
+    """Texts of many different words in ASCII letters with hardly a common one; only those that may be so are looked at."""
+    near = np.flatnonzero((s.prose + s.open >= MIN_PROSE) & (s.words >= JUDGED_WORDS) & (s.different >= MAX_DIFFERENT * s.words))
+    part = s.part(near)
+    out = np.zeros(s.n, bool)
+    out[near] = (part.letter_words >= JUDGED_WORDS) & (part.common < MIN_COMMON_SHARE) & (part.ascii_letters >= ASCII_LETTERS)
+    return out
+
+
+class _Subset:
+    """Measures of the lines that a mask takes; of all others they are 0."""
+
+    def __init__(self, lines: pa.Array, mask: np.ndarray, taken: bool = False):
+        self.mask = mask
+        self.lines = lines if taken else lines.filter(pa.array(mask))
+
+    def count(self, pattern: str) -> np.ndarray:
+        out = np.zeros(len(self.mask), np.int64)
+        out[self.mask] = _count(self.lines, pattern)
+        return out
+
+    def has(self, pattern: str) -> np.ndarray:
+        out = np.zeros(len(self.mask), bool)
+        out[self.mask] = _has(self.lines, pattern)
+        return out
+
+
 def _cleaned(texts: pa.Array) -> pa.Array:
     """Compatibility forms made plain and zero-width characters dropped, so that they do not disturb the measures."""
     plain = pc.utf8_normalize(texts, form="NFKC")
@@ -97,38 +126,41 @@ def line_kinds(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lines = pc.utf8_trim_whitespace(raw)
     size = pc.utf8_length(lines).to_numpy(zero_copy_only=False)
     filled = size > 0
-    letters = _count(lines, r"\pL|\pM")
-    words = _count(lines, r"\S+")
-    marked = pc.replace_substring_regex(lines, rf"(^|[\s;,|])(?:{_EMPTY_CELL})", r"\1 0")
-    wordlike = _count(marked, r"[^\s;,|]*\pL[^\s;,|]*")
-    cells = _count(marked, r"[^\s;,|]+")
-    digits = _count(marked, r"\d")
-    separators = _count(lines, _CELLS)
+    letters, words = _count(lines, r"\pL|\pM"), _count(lines, r"\S+")
+    # most lines have nothing that an item, a row or a code has, and are not looked at further
+    marked_lines = _has(lines, _MARKED)
+    on = _Subset(lines, marked_lines)
+    few = _Subset(lines, letters < 0.3 * size)
+    symbols = filled & few.mask & (letters + few.count(r"\d") < 0.3 * np.maximum(size - few.count(r"\s"), 1))
+    marked = _Subset(pc.replace_substring_regex(on.lines, rf"(^|[\s;,|])(?:{_EMPTY_CELL})", r"\1 0"), marked_lines, taken=True)
+    wordlike, cells, digits = marked.count(r"[^\s;,|]*\pL[^\s;,|]*"), marked.count(r"[^\s;,|]+"), marked.count(r"\d")
+    separators = on.count(_CELLS)
     single = words - _count(lines, r"\S\S+")
-    long_ascii = _count(lines, r"(?i)\b[a-z]{3,}\b")
     no_vowel = _count(lines, r"(?i)\b[bcdfghjklmnpqrstvwxz]{3,}\b")
+    long_ascii = _Subset(lines, no_vowel > 0).count(r"(?i)\b[a-z]{3,}\b")
 
-    symbols = filled & (letters + _count(lines, r"\d") < 0.3 * np.maximum(size - _count(lines, r"\s"), 1))
-    junk = symbols | _has(lines, rf"^{_GLYPH_CODE}$") | _has(lines, _DRAWING) | _has(lines, _BLOB)
+    junk = symbols | on.has(rf"^{_GLYPH_CODE}$") | on.has(_DRAWING) | on.has(_BLOB)
     junk |= (words >= 5) & (single >= 0.6 * words) & (no_vowel == 0) & (letters >= digits)
     junk |= (long_ascii >= 2) & (no_vowel >= 0.5 * long_ascii)
     numeric = (digits > 0) & (cells >= 2) & (cells - wordlike >= 0.5 * cells)
     row = ~junk & (numeric | ((separators >= 2) & (digits > 0) & (cells - wordlike >= 0.3 * cells)))
-    row |= ~junk & (_count(lines, r"\t|\s\|\s|;\S|,\S|\s{2,}\S") >= 2) & ~_has(lines, _END)
-    leader = ~junk & _has(lines, _LEADER)
+    ended = _has(lines, _END)
+    row |= ~junk & (on.count(r"\t|\s\|\s|;\S|,\S|\s{2,}\S") >= 2) & ~ended
+    leader = ~junk & on.has(_LEADER)
     row &= ~leader
-    item = ~junk & ~row & (leader | _has(lines, _BULLET) | _has(lines, _INDEX) & ~_has(lines, _END) & (words <= 12))
+    item = ~junk & ~row & (leader | on.has(_BULLET) | on.has(_INDEX) & ~ended & (words <= 12))
     row |= ~junk & ~item & (size > 0) & (digits > 0) & (wordlike == 0)
     plain = filled & ~junk & ~row & ~item
     # a sentence may go on with a number: such a line is neither an item nor a row
     flows = np.zeros(len(size), bool)
     if len(size) > 1:
-        flows[1:] = plain[:-1] & (words[:-1] >= 5) & ~_has(lines, _CLOSED)[:-1] & (owner[1:] == owner[:-1])
-    resumed = flows & (item | row) & _has(lines, r"^\(?\d") & (wordlike > 0) & ~leader & (separators < 2)
+        flows[1:] = plain[:-1] & (words[:-1] >= 5) & (owner[1:] == owner[:-1]) & (item | row)[1:]
+        flows[1:] &= ~_Subset(lines.slice(0, len(lines) - 1), flows[1:]).has(_CLOSED)
+    resumed = flows & (item | row) & on.has(r"^\(?\d") & (wordlike > 0) & ~leader & (separators < 2)
     plain |= resumed
     item &= ~resumed
     row &= ~resumed
-    ends = _has(lines, _END) & plain
+    ends = ended & plain
 
     # runs of plain lines: what stands up to the last sentence end of its run is prose
     kind = np.where(junk, 3, np.where(row, 2, np.where(item, 1, 0)))
@@ -158,7 +190,10 @@ def _words_of(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 def _different(owner: np.ndarray, codes: np.ndarray, n: int) -> np.ndarray:
     """How many different words each text has."""
     size = int(codes.max()) + 1 if len(codes) else 1
-    return np.bincount(np.unique(owner * size + codes) // size, minlength=n)
+    pairs = np.sort(owner * size + codes)
+    new = np.ones(len(pairs), bool)
+    new[1:] = pairs[1:] != pairs[:-1]
+    return np.bincount(pairs[new] // size, minlength=n)
 
 
 class Statistics:
@@ -168,10 +203,10 @@ class Statistics:
     ``mean_word_length`` is its mean length, ``numbers`` the share with a digit,
     ``alphabetic`` that with a letter, ``symbols`` how many number signs and
     ellipses there are for each; ``bullets`` and ``ellipses`` are shares of the
-    lines that are not blank; ``letter_words`` counts runs of letters,
-    ``common`` is the share of common words among them, ``different_common``
-    how many different ones there are, ``ascii_letters`` the share of ASCII
-    letters among all letters; ``prose``, ``items``, ``rows`` and
+    lines that are not blank; of the runs of letters, ``letter_words`` is the
+    number, ``common`` the share of common words, ``different_common`` how many
+    different ones there are, ``ascii_letters`` the share of ASCII letters among
+    all letters; ``prose``, ``items``, ``rows`` and
     ``no_language`` are the shares of the characters that stand in such lines,
     ``open`` that of items without a mark. Without a set of ``common`` words
     nothing fails for want of them.
@@ -200,9 +235,6 @@ class Statistics:
         owner, lines = self._lines
         return np.bincount(owner[_has(lines, pattern)], minlength=self.n) / np.maximum(np.bincount(owner, minlength=self.n), 1)
 
-    def _per_run(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self._runs[0], weights=values[self._runs[1]], minlength=self.n)
-
     @cached_property
     def _lines(self) -> tuple[np.ndarray, pa.Array]:
         parts = pc.split_pattern(self.texts, "\n")
@@ -210,13 +242,13 @@ class Statistics:
         full = pc.greater(pc.binary_length(lines), 0)
         return pc.list_parent_indices(parts).to_numpy(zero_copy_only=False)[full.to_numpy(zero_copy_only=False)], lines.filter(full)
 
-    @cached_property
-    def _runs(self) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        return _words_of(pc.split_pattern_regex(pc.utf8_lower(self._plain), r"[^\pL\pM]+"))
+    def part(self, rows: np.ndarray) -> LetterRuns:
+        """The runs of letters of some texts."""
+        return LetterRuns(self._plain.take(pa.array(rows)), self._common)
 
     @cached_property
-    def _is_common(self) -> np.ndarray:
-        return pc.is_in(self._runs[2], value_set=pa.array(sorted(self._common), pa.string())).to_numpy(zero_copy_only=False)
+    def different_common(self) -> np.ndarray:
+        return self.part(np.arange(self.n)).different_common
 
     @cached_property
     def different(self) -> np.ndarray:
@@ -246,25 +278,40 @@ class Statistics:
     def ellipses(self) -> np.ndarray:
         return self._per_line(r"(?:\.\.\.|…)$")
 
+
+class LetterRuns:
+    """The statistics that are taken from the runs of letters of cleaned texts."""
+
+    def __init__(self, plain: pa.Array, common: set[str] | None):
+        self.n, self._common = len(plain), common
+        self._owner, self._codes, self._runs = _words_of(pc.split_pattern_regex(pc.utf8_lower(plain), r"[^\pL\pM]+"))
+
+    def _sum(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self._owner, weights=values[self._codes], minlength=self.n)
+
+    @cached_property
+    def _is_common(self) -> np.ndarray:
+        return pc.is_in(self._runs, value_set=pa.array(sorted(self._common), pa.string())).to_numpy(zero_copy_only=False)
+
     @cached_property
     def letter_words(self) -> np.ndarray:
-        return np.bincount(self._runs[0], minlength=self.n)
+        return np.bincount(self._owner, minlength=self.n)
 
     @cached_property
     def common(self) -> np.ndarray:
-        return np.ones(self.n) if self._common is None else self._per_run(self._is_common) / np.maximum(self.letter_words, 1)
+        return np.ones(self.n) if self._common is None else self._sum(self._is_common) / np.maximum(self.letter_words, 1)
 
     @cached_property
     def different_common(self) -> np.ndarray:
         if self._common is None:
             return np.full(self.n, MIN_COMMON)
-        taken = self._is_common[self._runs[1]]
-        return _different(self._runs[0][taken], self._runs[1][taken], self.n)
+        taken = self._is_common[self._codes]
+        return _different(self._owner[taken], self._codes[taken], self.n)
 
     @cached_property
     def ascii_letters(self) -> np.ndarray:
-        runs = self._runs[2]  # marks stand behind their letters here
-        return self._per_run(_count(runs, "[a-z]") - _count(runs, r"\pM")) / np.maximum(self._per_run(_count(runs, r"\pL")), 1)
+        # marks stand behind their letters here
+        return self._sum(_count(self._runs, "[a-z]") - _count(self._runs, r"\pM")) / np.maximum(self._sum(_count(self._runs, r"\pL")), 1)
 
 
 def _failures(measured: Statistics, rules: list[Rule]) -> tuple[list[str | None], np.ndarray]:
