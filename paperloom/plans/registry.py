@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paperloom.plans import catalogue_queries, glyph_queries, nested_queries, page_queries, pdf_queries, scalar_queries
+from paperloom.plans import catalogue_queries, content_queries, glyph_queries, nested_queries, page_queries, pdf_queries, scalar_queries
 
 FLAGSHIP = "page_run"
-_MODULES = [nested_queries, glyph_queries, page_queries, scalar_queries, pdf_queries, catalogue_queries]
+_MODULES = [nested_queries, glyph_queries, page_queries, scalar_queries, pdf_queries, catalogue_queries, content_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

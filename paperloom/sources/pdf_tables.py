@@ -21,6 +21,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from paperloom.functions.content import box_of, operations, page_content, page_glyphs, text_string
 from paperloom.functions.cos import Damaged, Document, Name, Ref, Stream, open_document, version_of
 from paperloom.functions.encryption import PERMISSIONS
+from paperloom.functions.graphics import Painter
 from paperloom.functions.layout import Config, assemble
 from paperloom.functions.layout_full import Marks, read_page
 from paperloom.functions.scalars import page_labels, parse_date
@@ -234,6 +235,25 @@ def ops(files: DataFrame, password: str = "") -> DataFrame:
     return _table(files, OPS, rows, password)
 
 
+GRAPHICS = (
+    "path string, page_no int, seq bigint, kind string, name string, rule string, stroked boolean, x0 double, y0 double, x1 double, y1 double, subpaths int, segments int, line_width double, "
+    "line_cap int, line_join int, miter_limit double, dash array<double>, dash_phase double, flatness double, intent string, fill_space string, fill array<double>, fill_pattern string, "
+    "stroke_space string, stroke array<double>, stroke_pattern string, fill_alpha double, stroke_alpha double, clip_x0 double, clip_y0 double, clip_x1 double, clip_y1 double"
+)
+
+
+def graphics(files: DataFrame, password: str = "") -> DataFrame:
+    """Painted paths, shadings and images with their bounds, graphics state and clip (`GRAPHICS`)."""
+
+    def rows(d: Document, path: str) -> Iterator[tuple]:
+        for i, (_, page) in enumerate(d.pages(), 1):
+            resources = d.get(page.get("Resources"))
+            for seq, found in enumerate(Painter(d).run(page_content(d, page), resources if isinstance(resources, dict) else {})):
+                yield path, i, seq, *found[:-1], *found.clip
+
+    return _table(files, GRAPHICS, rows, password)
+
+
 def _page_rows(d: Document) -> Iterator[tuple[int, list, tuple[float, float]]]:
     fonts: dict = {}
     for i, (_, page) in enumerate(d.pages(), 1):
