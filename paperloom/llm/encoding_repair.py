@@ -35,6 +35,9 @@ _UNKNOWN_WORD, _ASCII_LETTER, _KNOWN_LETTER, _STRANGE = 12.0, 2.5, 4.0, 9.0
 _PLAIN_MARKS = set("“”„‘’‚«»–—…•·°§¿¡")
 _NEVER_INSIDE = set("“”„‚«»•°§¿¡")  # not between the letters of a word
 _LOST = "�"
+_LEADS = re.compile(rb"[\xc2-\xf4]")
+#: States that the first search goes on from.
+FEW_STATES = 32
 #: What the first byte of a letter whose second one is a no-break space looks like.
 _BEFORE_SPACE = frozenset("ÃÂÐÑРС├┬╨╤√¬")
 _LOST_INSIDE = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_])")
@@ -66,6 +69,11 @@ _TABLES = {name: _byte_table(name) for name, _ in CHANNELS}
 
 def to_bytes(token: str, wrong: str) -> bytes | None:
     """The bytes that ``wrong`` would have read as this token, or None."""
+    try:
+        return token.encode(wrong)
+    except UnicodeEncodeError as problem:
+        if not "\x80" <= token[problem.start] <= "\x9f":
+            return None
     table = _TABLES[wrong]
     try:
         return bytes([o if (o := ord(c)) < 128 else table[c] for c in token])
@@ -206,61 +214,71 @@ class Repairer:
     # search ----------------------------------------------------------------
 
     def viterbi(self, steps: list[tuple[str, int, int]]) -> tuple[str, float]:
-        """The likeliest text through a lattice. A state is a trie node, or no node inside an unknown word; there are no more of them, and none is dropped."""
+        """The likeliest text through a lattice.
+
+        A first search goes on from a few states at each step; what it finds
+        bounds a second one, which drops only states that cannot become likelier.
+        """
+        text, cost, whole = self._search(steps, FEW_STATES, float("inf"))
+        if not whole:
+            better, less, _ = self._search(steps, None, cost)
+            if less < cost:
+                return better, less
+        return text, cost
+
+    def _search(self, steps: list[tuple[str, int, int]], most: int | None, bound: float) -> tuple[str, float, bool]:
+        """The likeliest text, its cost, and whether no state was dropped. A state is a trie node, or no node inside an unknown word."""
         root = self.vocabulary.trie()
-        # state id -> (cost so far, text, node or None, inside a word)
-        states: dict[object, tuple[float, str, dict | None, bool]] = {"": (0.0, "", root, False)}
+        # state id -> (cost up to the word, text, node or None, inside a word, cost of the word as an unknown one)
+        states: dict[object, tuple[float, str, dict | None, bool, float]] = {"": (0.0, "", root, False, 0.0)}
+        whole = True
 
-        def offer(into: dict, key: object, cost: float, text: str, node: dict | None, inside: bool) -> None:
-            if key not in into or into[key][0] > cost:
-                into[key] = (cost, text, node, inside)
+        def ended(cost: float, node: dict | None, inside: bool, unknown: float) -> float:
+            if not inside:
+                return cost
+            return cost + (node[""] if node is not None and "" in node else unknown)
 
-        def ended(cost: float, node: dict | None, inside: bool) -> float | None:
-            return cost if not inside or node is None else cost + node[""] if "" in node else None
+        def least(state: tuple) -> float:
+            return state[0] + (min(state[2].get(None, state[4]), state[4]) if state[3] and state[2] is not None else state[4])
 
         for char, low, high in steps:
             new: dict = {}
-            for cost, text, node, inside in states.values():
+            for cost, text, node, inside, unknown in states.values():
                 if char:
                     choices = [char]
-                elif node is not None:
-                    choices = [c for c in node if c and low <= ord(c) <= high]
-                    choices += [c for c in "’“”–…" if low <= ord(c) <= high]
                 else:
-                    choices = []
-                if not char:
+                    choices = [c for c in node if c and low <= ord(c) <= high] if node is not None else []
+                    choices += [c for c in "’“”–…" if low <= ord(c) <= high]
                     choices.append(_LOST)
                 for c in choices:
                     if c.isalnum() and c != _LOST:
                         follow = node.get(c.lower()) if node is not None else None
-                        if follow is not None:
-                            offer(new, id(follow), cost, text + c, follow, True)
-                        base = _UNKNOWN_WORD + sum(map(self._letter, self._open_word(text))) if not inside or node is not None else 0.0
-                        offer(new, "unknown", cost + base + self._letter(c), text + c, None, True)
+                        more = (unknown if inside else _UNKNOWN_WORD) + self._letter(c)
+                        key = id(follow) if follow is not None else "unknown"
+                        if key not in new or new[key][0] + (new[key][4] if follow is None else 0.0) > cost + (more if follow is None else 0.0):
+                            new[key] = (cost, text + c, follow, True, more)
+                        if follow is not None and ("unknown" not in new or new["unknown"][0] + new["unknown"][4] > cost + more):
+                            new["unknown"] = (cost, text + c, None, True, more)
                     else:
-                        done = ended(cost, node, inside)
-                        if done is None:
-                            done = cost + _UNKNOWN_WORD + sum(map(self._letter, self._open_word(text)))
-                        offer(new, "between", done + (_STRANGE if c == _LOST else self._symbol(c)), text + c, root, False)
+                        done = ended(cost, node, inside, unknown) + (_STRANGE if c == _LOST else self._symbol(c))
+                        if "between" not in new or new["between"][0] > done:
+                            new["between"] = (done, text + c, root, False, 0.0)
+            if bound < float("inf"):
+                new = {k: s for k, s in new.items() if least(s) < bound}
+            if most is not None and len(new) > most:
+                whole = False
+                new = dict(sorted(new.items(), key=lambda x: least(x[1]))[:most])
             states = new
         best = ("", float("inf"))
-        for cost, text, node, inside in states.values():
-            done = ended(cost, node, inside)
-            if done is None:
-                done = cost + _UNKNOWN_WORD + sum(map(self._letter, self._open_word(text)))
+        for cost, text, node, inside, unknown in states.values():
+            done = ended(cost, node, inside, unknown)
             if done < best[1]:
                 best = (text, done)
-        return best
-
-    @staticmethod
-    def _open_word(text: str) -> str:
-        i = len(text)
-        while i and text[i - 1].isalnum():
-            i -= 1
-        return text[i:]
+        return *best, whole
 
     def _readings(self, token: str):
         """Texts the token may have been, with their cost, that of the damage, and the pair of encodings."""
+        raws: dict[str, bytes | None] = {}
         for pair in CHANNELS:
             wrong, right = pair
             if _LOST in token:
@@ -272,10 +290,14 @@ class Repairer:
                     if _LOST not in text and self.in_vocabulary(text):
                         yield text, cost, (PRIOR_UTF8 if right == "utf-8" else PRIOR_OTHER) + 2.0 * found[2], pair
                 continue
-            raw = to_bytes(token, wrong)
+            if wrong not in raws:
+                raws[wrong] = to_bytes(token, wrong)
+            raw = raws[wrong]
             if raw is None:
                 continue
             if right == "utf-8":
+                if not _LEADS.search(raw):
+                    continue
                 steps, whole, broken = utf8_lattice(raw)
                 if not broken:
                     text = "".join(s[0] for s in steps)
