@@ -92,7 +92,9 @@ def xfdf_files(values: DataFrame, key: str = "fdf_id") -> DataFrame:
 
     The fields of one form are one file, so they meet in one task.
     """
-    rows = F.array_sort(F.collect_list(F.struct("field_path", "value_no", "full_name", "value")))
+    # positions in the path are numbers: the tenth field stands behind the second
+    place = F.transform(F.split("field_path", "/"), lambda n: n.cast("int")).alias("place")
+    rows = F.array_sort(F.collect_list(F.struct(place, "value_no", "full_name", "value")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

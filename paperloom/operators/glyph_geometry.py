@@ -7,12 +7,15 @@ one shuffle by page serves a chain of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE = ("doc_id", "page_no")
+_CELL = 16.0
 COLUMNS = (*PAGE, "seq", "unicode", "a", "b", "tx", "ty", "height", "width", "space_width", "page_width", "page_height")
 
 
@@ -54,24 +57,49 @@ def glyph_rank(glyphs: DataFrame) -> DataFrame:
     return with_position(glyphs).withColumn("position", F.row_number().over(in_reading_order()))
 
 
+def _not_hidden(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of pages given whole, in order: each glyph is kept unless a kept one of the same text lies near."""
+    for batch in batches:
+        keep = []
+        columns = [batch.column(n).to_pylist() for n in ("doc_id", "page_no", "dir", "unicode", "x", "y", "w")]
+        page, kept = None, {}
+        for doc, number, turn, text, x, y, w in zip(*columns):
+            if (doc, number) != page:
+                page, kept = (doc, number), {}
+            reach = w / max(len(text), 1) / 3
+            near = False
+            if reach > 0:
+                cells = [(turn, text, i, k) for i in range(int((x - reach) // _CELL), int((x + reach) // _CELL) + 1) for k in range(int((y - reach) // _CELL), int((y + reach) // _CELL) + 1)]
+                near = any(abs(x - a) < reach and abs(y - b) < reach for cell in cells for a, b in kept.get(cell, ()))
+            if not near:
+                kept.setdefault((turn, text, int(x // _CELL), int(y // _CELL)), []).append((x, y))
+            keep.append(not near)
+        yield pa.RecordBatch.from_arrays([batch.column(n) for n in ("doc_id", "page_no", "seq", "unicode")] + [pa.array(keep, pa.bool_())], names=["doc_id", "page_no", "seq", "unicode", "kept"])
+
+
 def without_overprints(glyphs: DataFrame) -> DataFrame:
-    """Glyphs without exact repeats and without those that lie on an equal one emitted before, less than a third of a width away.
+    """``doc_id, page_no, seq, unicode`` of the mapped glyphs without exact repeats and without those near a kept one of the same text.
 
-    Neighbours in place are compared, which is enough as equal glyphs on one
-    spot stand next to each other in that order.
+    Near is less than a third of a character's width; glyphs are taken in
+    emission order, and one that is dropped hides no other. A page's glyphs
+    meet in one task and come packed as one row, so that pages are whole.
     """
-    rows = with_position(page_rows(glyphs))
-    by_place = Window.partitionBy(*PAGE, "dir", "unicode", F.round("y", 0)).orderBy("x", "seq")
-    reach = F.col("w") / F.greatest(F.length("unicode"), F.lit(1)) / 3
-
-    def covers(k: int) -> Column:
-        other = F.lag if k > 0 else F.lead
-        n = abs(k)
-        near = (F.abs(other("x", n).over(by_place) - F.col("x")) < reach) & (F.abs(other("y", n).over(by_place) - F.col("y")) < reach)
-        return F.coalesce(near & (other("seq", n).over(by_place) < F.col("seq")), F.lit(False))
-
-    hidden = reduce(lambda x, y: x | y, (covers(k) for k in (-2, -1, 1, 2)))
-    return rows.withColumn("_hidden", hidden & F.col("unicode").isNotNull()).where("not _hidden").drop("_hidden")
+    rows = with_position(page_rows(glyphs.where("unicode is not null")))
+    one = F.struct("seq", "unicode", "dir", "x", "y", "w")
+    pages = rows.groupBy(*PAGE).agg(F.array_sort(F.collect_list(one)).alias("g"))
+    flat = "doc_id bigint, page_no bigint, seq bigint, unicode string, kept boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                part = batch.slice(i, 1)
+                inner = part.column("g").flatten()
+                n = len(inner)
+                keys = [pa.array([part.column(c)[0].as_py()] * n, pa.int64()) for c in PAGE]
+                yield from _not_hidden(iter([pa.RecordBatch.from_arrays([*keys, *inner.flatten()], names=[*PAGE, *(f.name for f in inner.type)])]))
+
+    columns = pages.select(*(F.col(c).cast("bigint").alias(c) for c in PAGE), "g")
+    return columns.mapInArrow(run, flat).where("kept").drop("kept")
 
 
 def overlapping(y1: Column, h1: Column, y2: Column, h2: Column) -> Column:

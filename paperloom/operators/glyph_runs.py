@@ -71,15 +71,20 @@ def page_string(rows: np.ndarray, strings: list[str]) -> str:
     names: dict[str, int] = {}
     code = np.fromiter((names.setdefault(s, len(names)) for s in strings), "i8", len(strings))
     reach = rows["width"] / 3.0
-    near = np.lexsort((rows["seq"], rows["along"], np.round(rows["across"]), code))
     keep = np.ones(len(rows), bool)
-    for step in (1, 2):
-        if len(near) <= step:
-            break
-        first, second = near[:-step], near[step:]
-        same = (code[first] == code[second]) & (np.abs(rows["across"][first] - rows["across"][second]) <= np.maximum(reach[first], 0.01))
-        same &= (np.abs(rows["along"][first] - rows["along"][second]) < reach[first]) | ((rows["seq"][first] == rows["seq"][second]) & (rows["along"][first] == rows["along"][second]))
-        keep[np.maximum(first[same], second[same])] = False
+    # rounded positions put near ones together; shifted by a half, also those on two sides of an edge
+    for shift in (0.0, 0.5):
+        near = np.lexsort((rows["seq"], rows["along"], np.floor(rows["across"] + shift), code))
+        for step in range(1, len(near)):
+            first, second = near[:-step], near[step:]
+            along = rows["along"][second] - rows["along"][first]
+            inside = (code[first] == code[second]) & (along >= 0) & (along <= np.maximum(reach[first], reach[second]))
+            if not inside.any():
+                break
+            earlier, later = np.minimum(first, second), np.maximum(first, second)
+            same = inside & (np.abs(rows["across"][first] - rows["across"][second]) <= np.maximum(reach[later], 0.01))
+            same &= (along < reach[later]) | ((rows["seq"][first] == rows["seq"][second]) & (along == 0))
+            keep[later[same]] = False
     rows, kept = rows[keep], np.flatnonzero(keep)
     if not len(rows):
         return ""
@@ -116,7 +121,7 @@ def page_texts(glyphs: DataFrame) -> DataFrame:
         glyphs.select(*columns)
         .where("doc_id is not null and page_no is not null and seq is not null")
         .withColumns({"doc_id": F.col("doc_id").cast("bigint"), "page_no": F.col("page_no").cast("bigint"), "seq": F.col("seq").cast("bigint")})
-        .withColumn("unicode", F.coalesce("unicode", F.lit("")))
+        .withColumn("unicode", F.coalesce(F.translate("unicode", UNIT, ""), F.lit("")))
     )
     packed = rows.mapInArrow(_pack, PACKED)
     return packed.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("geometry", "glyphs")).alias("parts")).mapInArrow(_assemble, PAGES)

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.scalars import letter_label, roman_label
+from paperloom.session import durable
 
 #: A page without any box is of letter size.
 DEFAULT_BOX = (0.0, 0.0, 612.0, 792.0)
 
 
 def inherited_boxes(pages: DataFrame) -> DataFrame:
-    """Pages with their box: their own, else that of the last page before with one, else letter size."""
+    """Pages with the last box given up to them, else letter size: an as-of look-up in a table that holds no page tree."""
     before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, 0)
     default = F.struct(*(F.lit(v).cast("float").alias(n) for n, v in zip(("x0", "y0", "x1", "y1"), DEFAULT_BOX)))
     return pages.withColumn("box", F.coalesce(F.last_value("media_box", F.lit(True)).over(before), default))
@@ -35,12 +36,16 @@ def split_parts(pages: DataFrame, every: int, start: int = 1, end: int | None =
 def merged(pages: DataFrame, order: list[str]) -> DataFrame:
     """Pages of all documents as one: ``merged_no`` counts on over the documents in an order.
 
-    The number of pages before each document comes from one row a document, so
-    that no window spans all pages.
+    Documents are split to ranges of that order, one to each task; what stands
+    before a range comes from the sums of the ranges, of which there are as
+    many as tasks, and within a range from its own documents.
     """
-    sizes = pages.groupBy(*order).agg(F.count("*").alias("_size"))
-    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    sizes = durable(pages.groupBy(*order).agg(F.count("*").alias("_size")).repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    ranges = sizes.groupBy("_range").agg(F.sum("_size").alias("_all"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("_range", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_offset"))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.join(offsets, "_range").withColumn("_start", F.col("_offset") + F.coalesce(F.sum("_size").over(within), F.lit(0))).drop("_size", "_range", "_offset")
     return pages.join(starts, order).withColumn("merged_no", F.col("_start") + F.row_number().over(Window.partitionBy(*order).orderBy("page_no"))).drop("_start")
 
 

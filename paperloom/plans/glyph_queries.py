@@ -31,7 +31,7 @@ def glyph_sort(spark: SparkSession, folder: str) -> DataFrame:
 
 def dup_suppressed(spark: SparkSession, folder: str) -> DataFrame:
     """TXT-03: what is left of each page without repeats and overprints."""
-    kept = G.without_overprints(_glyphs(spark, folder).where("unicode is not null"))
+    kept = G.without_overprints(_glyphs(spark, folder))
     return kept.groupBy("doc_id", "page_no").agg(F.count("*").alias("glyphs"))
 
 
@@ -125,11 +125,17 @@ _LINES = """, s as (
 SQL: dict[str, str] = {
     "glyph_direction": _ALL + "select doc_id, page_no, seq, dir, round(x, 4) as x, round(y, 4) as y, round(w, 4) as w, round(h, 4) as h from g",
     "glyph_sort": _ALL + "select doc_id, page_no, seq, cast(row_number() over (partition by doc_id, page_no order by dir, y, x, seq) as integer) as position from g",
-    "dup_suppressed": _MAPPED
-    + """select doc_id, page_no, count(*) as glyphs from g where not exists (
-  select 1 from g o where o.doc_id = g.doc_id and o.page_no = g.page_no and o.dir = g.dir and o.unicode = g.unicode and o.seq < g.seq
-    and abs(o.x - g.x) < g.w / greatest(length(g.unicode), 1) / 3 and abs(o.y - g.y) < g.w / greatest(length(g.unicode), 1) / 3)
-group by doc_id, page_no""",
+    # the same text of a page in emission order, one glyph a step; what is kept goes on as a list
+    "dup_suppressed": "with recursive " + _MAPPED.strip().removeprefix("with ")
+    + """, o as (select *, w / greatest(length(unicode), 1) / 3 as reach, row_number() over (partition by doc_id, page_no, dir, unicode order by seq, x, y, w) as k from g),
+f as (
+  select doc_id, page_no, dir, unicode, k, [{'x': x, 'y': y}] as kept, 1 as keep from o where k = 1
+  union all
+  select o.doc_id, o.page_no, o.dir, o.unicode, o.k, case when n.near then f.kept else list_append(f.kept, {'x': o.x, 'y': o.y}) end, case when n.near then 0 else 1 end
+  from f join o on o.doc_id = f.doc_id and o.page_no = f.page_no and o.dir = f.dir and o.unicode = f.unicode and o.k = f.k + 1,
+    lateral (select len(list_filter(f.kept, lambda p: abs(p.x - o.x) < o.reach and abs(p.y - o.y) < o.reach)) > 0 as near) n
+)
+select doc_id::bigint as doc_id, page_no::bigint as page_no, count(*) as glyphs from f where keep = 1 group by all""",
     "contained_space": _MAPPED
     + """, n as (select *, row_number() over (partition by doc_id, page_no order by dir, y, x, seq) as k from g)
 , c as (select distinct n.doc_id, n.page_no, n.k from n join n o on o.doc_id = n.doc_id and o.page_no = n.page_no and o.k between n.k - 5 and n.k + 5 and o.k <> n.k and o.dir = n.dir

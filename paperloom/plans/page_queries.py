@@ -15,7 +15,7 @@ from paperloom.session import table
 
 
 def page_boxes(spark: SparkSession, folder: str) -> DataFrame:
-    """PRJ-03: pages with the box they have or inherit."""
+    """Pages with the last box given up to them. (What pages inherit from their tree: `file_pages`.)"""
     rows = P.inherited_boxes(table(spark, folder, "pdf_pages").distinct())
     return rows.select("doc_id", "page_no", "rotation", (F.col("box.x1").cast("double") - F.col("box.x0").cast("double")).alias("width"), (F.col("box.y1").cast("double") - F.col("box.y0").cast("double")).alias("height"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.calculator import applied, calculator, exponential, exponential_column, sampled, stitching
 from paperloom.functions.scalars import BLEND_MODES, COLOR_BLEND_MODES, cmyk_to_rgb, decoded_text, lab_to_xyz, parsed_date, pdf_date, rgb_to_gray
 from paperloom.functions.stream_filters import decoded, encoded
+from paperloom.operators.joins import range_join
 from paperloom.session import table
 
 # What files of each kind begin with, in hexadecimal.
@@ -133,18 +134,18 @@ def blend_colors(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", *out)
 
 
-RANGES = [(0, 99, 1), (100, 899, 1000), (900, 1499, 5000), (1500, 4000, 9000)]
 
 
-def cid_range_join(spark: SparkSession, folder: str) -> DataFrame:
-    """CMP-02: codes by the range they lie in. The ranges are a literal of the query, so they become an expression."""
-    code = F.col("p_partkey")
-    found = F.coalesce(*(F.when(code.between(a, b), code - a + first) for a, b, first in RANGES))
-    return table(spark, folder, "part").select("p_partkey", found.alias("cid"))
+def code_ranges(spark: SparkSession, folder: str) -> DataFrame:
+    """CMP-02: codes by the ranges of a table that they lie in, with their place in each: a range join."""
+    low = F.col("s_suppkey") * 17
+    ranges = table(spark, folder, "supplier").select("s_suppkey", low.alias("low"), (low + F.col("s_nationkey")).alias("high"))
+    found = range_join(table(spark, folder, "part").select("p_partkey"), "p_partkey", ranges, "low", "high", 16)
+    return found.select("p_partkey", "s_suppkey", (F.col("p_partkey") - F.col("low")).alias("place"))
 
 
 def outline_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """A tree of three levels walked from its roots: depth, path and parent of each node."""
+    """A recursive join: a tree of three levels walked from its roots, with depth, path and parent of each node. (Bookmarks of files: `file_bookmarks`.)"""
     for name in ("region", "nation", "customer"):
         table(spark, folder, name).createOrReplaceTempView(f"paperloom_{name}")
     return spark.sql(_TREE.format(prefix="paperloom_", text="string"))
@@ -193,13 +194,12 @@ from (select *, (1 - l_discount * 10) * (1 - (l_linenumber % 5) / 10) as r, (1 -
   round(case when s <= 0.5 then 2 * b * s else 1 - 2 * (1 - b) * (1 - s) end, 4) as hardlight,
   round(case when s <= 0.5 then b - (1 - 2 * s) * b * (1 - b) else b + (2 * s - 1) * (case when b <= 0.25 then ((16 * b - 12) * b + 4) * b else sqrt(b) end - b) end, 4) as softlight,
   round(abs(b - s), 4) as difference, round(b + s - 2 * b * s, 4) as exclusion from (select *, l_discount * 10 as b, l_tax * 12.5::double as s from lineitem)""",
-    "cid_range_join": "select p_partkey, cast(p_partkey - low + first as bigint) as cid from part left join (values "
-    + ", ".join(map(str, RANGES))
-    + ") r(low, high, first) on p_partkey between low and high",
+    "code_ranges": """select p_partkey, s_suppkey, cast(p_partkey - low as bigint) as place from part join (select s_suppkey, s_suppkey * 17 as low, s_suppkey * 17 + s_nationkey as high from supplier)
+on p_partkey between low and high""",
     "outline_tree": _TREE.format(prefix="", text="varchar"),
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (magic_sniff, *FILTERS, text_strings, hex_strings, nfc, pdf_dates, calc_program, calc_exponential, calc_stitching, calc_sampled, colors, blend_modes, blend_colors, cid_range_join, outline_tree)
+    for f in (magic_sniff, *FILTERS, text_strings, hex_strings, nfc, pdf_dates, calc_program, calc_exponential, calc_stitching, calc_sampled, colors, blend_modes, blend_colors, code_ranges, outline_tree)
 }

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -63,9 +64,26 @@ def read_files(spark: SparkSession, paths: str | list[str], pattern: str = "*.pd
 
 
 def read_file_list(spark: SparkSession, path: str) -> DataFrame:
-    """Files named in a text file, one path a line; blank lines do not count, missing files give no row."""
-    listed = [r[0] for r in spark.read.text(path).select(F.trim("value")).where("trim(value) <> ''").distinct().collect()]
-    return spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(listed).selectExpr("path", "length", "modificationTime modified_at", "content")
+    """Files named in a text file, one path a line; blank lines do not count, missing files give no row.
+
+    The list stays distributed: each task opens the files of its own lines.
+    """
+    schema = "path string, length bigint, modified_at timestamp, content binary"
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                local = name.removeprefix("file:") if "://" not in name else None
+                system, place = fs.FileSystem.from_uri(name) if local is None else (fs.LocalFileSystem(), local)
+                info = system.get_file_info(place)
+                if info.type == fs.FileType.File:
+                    with system.open_input_file(place) as source:
+                        row = (name, info.size, info.mtime, source.read())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, target)], names=target.names)
+
+    listed = spark.read.text(path).select(F.trim("value").alias("path")).where("path <> ''").distinct()
+    return listed.mapInArrow(run, schema)
 
 
 def _table(files: DataFrame, schema: str, rows: Callable[[Document, str], Iterator[tuple]], password: str = "") -> DataFrame:
