@@ -65,25 +65,32 @@ def page_string(rows: np.ndarray, strings: list[str]) -> str:
     is dropped. A new line begins where the position across the writing
     direction moves by more than half a glyph height.
     """
-    order = np.lexsort((rows["along"], rows["seq"]))
-    rows = rows[order]
-    strings = [strings[i] for i in order]
+    if (rows["seq"][1:] <= rows["seq"][:-1]).any():
+        order = np.lexsort((rows["along"], rows["seq"]))
+        rows = rows[order]
+        strings = [strings[i] for i in order]
     names: dict[str, int] = {}
     code = np.fromiter((names.setdefault(s, len(names)) for s in strings), "i8", len(strings))
     reach = rows["width"] / 3.0
     keep = np.ones(len(rows), bool)
-    # rounded positions put near ones together; shifted by a half, also those on two sides of an edge
+    along, across, seq = rows["along"].astype("f8"), rows["across"], rows["seq"]
+    # one number to sort by: the string, the strip across, the place along the line in units that are far below a width
+    place = np.clip(along * 64, -(1 << 25), (1 << 25) - 1).astype("i8") + (1 << 25)
+    # strips twice as wide as anything reaches put near ones together; shifted by a half, also those on two sides of an edge
+    wide = max(2.0 * float(reach.max(initial=0.0)), 0.02)
     for shift in (0.0, 0.5):
-        near = np.lexsort((rows["seq"], rows["along"], np.floor(rows["across"] + shift), code))
+        strip = np.clip(np.floor(across / wide + shift), -(1 << 15), (1 << 15) - 1).astype("i8") + (1 << 15)
+        cell = code << 16 | strip
+        near = np.argsort(cell << 26 | place, kind="stable")
         for step in range(1, len(near)):
             first, second = near[:-step], near[step:]
-            along = rows["along"][second] - rows["along"][first]
-            inside = (code[first] == code[second]) & (along >= 0) & (along <= np.maximum(reach[first], reach[second]))
-            if not inside.any():
+            inside = np.flatnonzero((cell[first] == cell[second]) & (np.abs(along[second] - along[first]) <= np.maximum(reach[first], reach[second])))
+            if not len(inside):
                 break
-            earlier, later = np.minimum(first, second), np.maximum(first, second)
-            same = inside & (np.abs(rows["across"][first] - rows["across"][second]) <= np.maximum(reach[later], 0.01))
-            same &= (along < reach[later]) | ((rows["seq"][first] == rows["seq"][second]) & (along == 0))
+            earlier, later = np.minimum(first[inside], second[inside]), np.maximum(first[inside], second[inside])
+            apart = np.abs(along[earlier] - along[later])
+            same = np.abs(across[earlier] - across[later]) <= np.maximum(reach[later], 0.01)
+            same &= (apart < reach[later]) | ((seq[earlier] == seq[later]) & (apart == 0))
             keep[later[same]] = False
     rows, kept = rows[keep], np.flatnonzero(keep)
     if not len(rows):
