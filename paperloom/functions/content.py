@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from typing import Any, NamedTuple
 
-from paperloom.functions.cos import Document, Keyword, Lexer, Name, Stream
+from paperloom.functions.cos import Document, Keyword, Lexer, Name, Ref, Stream
 from paperloom.functions.fonts import Font
 
 MAX_FORMS = 50
@@ -93,6 +93,7 @@ class _Mark:
     mcid: int | None
     actual: str | None
     glyphs_before: int
+    hidden: bool = False
 
 
 @dataclass
@@ -102,6 +103,8 @@ class Interpreter:
     document: Document
     fonts: dict[int, Font] = field(default_factory=dict)
     glyphs: list[Glyph] = field(default_factory=list)
+    #: Numbers of optional content groups that do not show; their glyphs are left out.
+    hidden: frozenset[int] = frozenset()
 
     def run(self, data: bytes, resources: dict | None, ctm: Matrix = IDENTITY) -> list[Glyph]:
         self._stream(data, resources or {}, ctm, _Text(), [], 0)
@@ -196,7 +199,7 @@ class Interpreter:
 
     def _form(self, name: str, resources: dict, ctm: Matrix, text: _Text, marks: list[_Mark], depth: int) -> None:
         form = self.document.of(self.document.of(resources, "XObject"), name)
-        if not isinstance(form, Stream) or self.document.of(form, "Subtype") != "Form" or depth >= MAX_FORMS:
+        if not isinstance(form, Stream) or self.document.of(form, "Subtype") != "Form" or depth >= MAX_FORMS or self._is_hidden(form.dictionary.get("OC")):
             return
         matrix = self.document.of(form, "Matrix")
         if isinstance(matrix, list) and len(matrix) >= 6:
@@ -206,15 +209,29 @@ class Interpreter:
 
     def _mark(self, args: list, resources: dict) -> _Mark:
         properties = args[1] if len(args) > 1 else None
+        hidden = False
         if isinstance(properties, Name):
-            properties = self.document.of(self.document.of(resources, "Properties"), str(properties))
+            named = self.document.of(resources, "Properties")
+            group = named.get(str(properties)) if isinstance(named, dict) else None
+            hidden = bool(args) and args[0] == "OC" and self._is_hidden(group)
+            properties = self.document.get(group)
         actual = self.document.of(properties, "ActualText") if isinstance(properties, dict) else None
         mcid = self.document.of(properties, "MCID") if isinstance(properties, dict) else None
         text = text_string(actual).replace("\xad", "") if isinstance(actual, bytes) else None
-        return _Mark(str(args[0]) if args else "", mcid if isinstance(mcid, int) else None, text, len(self.glyphs))
+        return _Mark(str(args[0]) if args else "", mcid if isinstance(mcid, int) else None, text, len(self.glyphs), hidden)
+
+    def _is_hidden(self, group: Any) -> bool:
+        """Whether a group does not show, or a membership none of whose groups does."""
+        if isinstance(group, Ref) and group.number in self.hidden:
+            return True
+        members = self.document.of(group, "OCGs")
+        members = members if isinstance(members, list) else [members]
+        return any(members) and all(isinstance(m, Ref) and m.number in self.hidden for m in members)
 
     def _unmark(self, mark: _Mark) -> None:
-        """Text given for a span takes the place of its first glyph, and the others go."""
+        """Text given for a span takes the place of its first glyph, and the others go; so do all of a hidden one."""
+        if mark.hidden:
+            del self.glyphs[mark.glyphs_before :]
         if mark.actual is None or len(self.glyphs) == mark.glyphs_before:
             return
         first = self.glyphs[mark.glyphs_before]._replace(unicode=mark.actual)
@@ -288,6 +305,6 @@ def box_of(document: Document, page: dict, key: str = "MediaBox") -> tuple[float
     return (0.0, 0.0, 612.0, 792.0) if key == "MediaBox" else box_of(document, page)
 
 
-def page_glyphs(document: Document, page: dict, fonts: dict[int, Font] | None = None) -> list[Glyph]:
+def page_glyphs(document: Document, page: dict, fonts: dict[int, Font] | None = None, hidden: frozenset[int] = frozenset()) -> list[Glyph]:
     resources = document.get(page.get("Resources"))
-    return Interpreter(document, fonts if fonts is not None else {}).run(page_content(document, page), resources if isinstance(resources, dict) else {})
+    return Interpreter(document, fonts if fonts is not None else {}, hidden=hidden).run(page_content(document, page), resources if isinstance(resources, dict) else {})

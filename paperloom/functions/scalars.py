@@ -47,6 +47,19 @@ def markdown_escaped(text: Column) -> Column:
     return F.replace(F.replace(plain, F.lit("²"), F.lit("<sup>2</sup>")), F.lit("³"), F.lit("<sup>3</sup>"))
 
 
+def hit_offsets(text: Column, needle: str, case: bool = True) -> Column:
+    """Where a word occurs in a text, from 0; occurrences do not overlap."""
+    # not by lower case, which may be longer or shorter than the text
+    parts = F.split(text, ("" if case else "(?iu)") + "\\Q" + needle + "\\E", -1)
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("hits"))
+
+    def step(have: Column, part: Column) -> Column:
+        end = have["at"] + F.length(part)
+        return F.struct((end + len(needle)).alias("at"), F.array_append(have["hits"], end).alias("hits"))
+
+    return F.aggregate(F.slice(parts, 1, F.size(parts) - 1), start, step, lambda have: have["hits"])
+
+
 def hits(text: Column, word: str, case_sensitive: bool = True) -> Column:
     """How often a word occurs, without overlaps."""
     t, w = (text, word) if case_sensitive else (F.lower(text), word.lower())

@@ -62,3 +62,14 @@ def overlay_rule(page_no: Column, n_pages: Column, specific: dict[int, str], fir
     for number, name in specific.items():
         rule = F.when(page_no == number, F.lit(name)).otherwise(rule)
     return rule
+
+
+def booklet_place(page_no: Column, n_pages: Column) -> list[Column]:
+    """``sheet, side, half`` of a page where sheets of four pages are put into each other and folded; missing pages are blank."""
+    total = (F.ceil(n_pages / 4) * 4).cast("int")
+    outer = F.least(page_no, total + 1 - page_no)
+    return [
+        F.floor((outer + 1) / 2).cast("int").alias("sheet"),
+        F.when(outer % 2 == 1, F.lit("front")).otherwise(F.lit("back")).alias("side"),
+        F.when(page_no % 2 == 1, F.lit("right")).otherwise(F.lit("left")).alias("half"),
+    ]

@@ -161,6 +161,60 @@ def _text_sql() -> str:
     return "with t as (select p_partkey, p_size as s from part) " + " union all ".join(cases)
 
 
+# layers, and files within files ----------------------------------------------
+
+
+def layered_file(key: int, name: str) -> bytes:
+    """Text in a layer that shows, in one that does not, in a group of such, and in a form of one."""
+    content = f"BT /F1 10 Tf /OC /L1 BDC ({name[:1]}) Tj EMC /OC /L2 BDC (x) Tj /P BMC (y) Tj EMC EMC /OC /M1 BDC (z) Tj EMC (k) Tj ET /Fm1 Do"
+    layers = "/OCProperties << /OCGs [20 0 R 21 0 R] /D << /OFF [21 0 R] >> >>"
+    return _page(content, "/Font << /F1 6 0 R >> /Properties << /L1 20 0 R /L2 21 0 R /M1 22 0 R >> /XObject << /Fm1 12 0 R >>", {
+        1: f"<< /Type /Catalog /Pages 2 0 R {layers} >>", 6: "<< /Type /Font /Subtype /Type1 /BaseFont /Made /Encoding /WinAnsiEncoding >>",
+        12: ("/Type /XObject /Subtype /Form /BBox [0 0 9 9] /OC 21 0 R", b"BT /F1 10 Tf (w) Tj ET"), 20: "<< /Type /OCG /Name (a) >>", 21: "<< /Type /OCG /Name (b) >>", 22: "<< /Type /OCMD /OCGs [21 0 R] >>",
+    })
+
+
+def file_visible_text(spark: SparkSession, folder: str) -> DataFrame:
+    """FIL-11: glyphs with and without those of layers that do not show."""
+    files = _made(spark, folder, layered_file, "p_partkey", "p_name")
+    run = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "unicode"))), lambda g: g["unicode"]), "").alias("text")
+    every = T.glyphs(files).groupBy("path").agg(run).withColumn("shown", F.lit(False))
+    shown = T.glyphs(files, visible_only=True).groupBy("path").agg(run).withColumn("shown", F.lit(True))
+    return every.unionByName(shown).select(F.col("path").cast("bigint").alias("p_partkey"), "shown", "text")
+
+
+def outer_file(key: int, name: str) -> bytes:
+    """A file that holds another, which holds a third; and one that is no PDF."""
+
+    def one(text: str, inner: bytes | None) -> bytes:
+        objects = {
+            1: "<< /Type /Catalog /Pages 2 0 R >>", 2: "<< /Type /Pages /Kids [3 0 R] /Count 1 >>", 3: "<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents 4 0 R /Resources << /Font << /F1 6 0 R >> >> >>",
+            4: ("", f"BT /F1 10 Tf 50 700 Td ({text}) Tj ET".encode()), 6: f"<< /Type /Font /Subtype /Type1 /BaseFont /Made /FirstChar 32 /LastChar 126 /Widths [{' 500' * 95}] /Encoding /WinAnsiEncoding >>",
+        }
+        if inner is not None:
+            objects |= {1: "<< /Type /Catalog /Pages 2 0 R /Names << /EmbeddedFiles << /Names [(in) 7 0 R (note) 9 0 R] >> >> >>", 7: "<< /F (in.pdf) /EF << /F 8 0 R >> >>", 8: ("/Type /EmbeddedFile", inner),
+                        9: "<< /F (note.txt) /EF << /F 10 0 R >> >>", 10: ("/Type /EmbeddedFile", b"no file of this kind")}
+        return assembled(objects)
+
+    return one(f"outer{key}", one("middle", one(f"inner{key}", None)))
+
+
+def file_embedded_text(spark: SparkSession, folder: str) -> DataFrame:
+    """EXT-09: texts of files with those of the files embedded in them."""
+    rows = T.text_with_embedded(_made(spark, folder, outer_file, "p_partkey", "p_name"))
+    return rows.select(F.col("path").cast("bigint").alias("p_partkey"), F.regexp_replace("text", r"\s+", " ").alias("text"))
+
+
+def file_operators(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each operator of graphics stands in the files."""
+    return T.ops(_made(spark, folder, graphics_file, "p_partkey", "p_size")).groupBy("op").agg(F.count("*").alias("uses"))
+
+
+_USES = {
+    "q": 2, "Q": 2, "cm": 2, "w": 1, "J": 1, "j": 1, "M": 1, "d": 1, "i": 1, "ri": 1, "rg": 1, "G": 1, "re": 9, "f": 2, "m": 5, "l": 6, "h": 1, "S": 3, "c": 2, "v": 1, "y": 1, "s": 1, "cs": 2, "sc": 1, "F": 1,
+    "CS": 2, "SC": 1, "f*": 1, "scn": 1, "B": 1, "SCN": 1, "B*": 1, "g": 1, "K": 1, "b": 1, "k": 1, "RG": 1, "b*": 1, "gs": 1, "W": 1, "W*": 1, "n": 2, "sh": 1, "Do": 2, "BI": 1,
+}
+
 # calculator -----------------------------------------------------------------
 
 #: Programs over x and y, and the same in SQL; each tells its operators by itself.
@@ -192,6 +246,9 @@ def calc_operators(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {
+    "file_visible_text": "select p_partkey, false as shown, substr(p_name, 1, 1) || 'xyzkw' as text from part union all select p_partkey, true, substr(p_name, 1, 1) || 'k' from part",
+    "file_embedded_text": "select p_partkey, 'outer' || p_partkey || ' middle inner' || p_partkey as text from part",
+    "file_operators": "select op, cast(n * (select count(*) from part) as bigint) as uses from (values " + ", ".join(f"('{op}', {n})" for op, n in _USES.items()) + ") t(op, n)",
     "file_graphics": _painted_sql(),
     "file_text_state": _text_sql(),
     "calc_operators": "select l_orderkey, l_linenumber, "
@@ -199,4 +256,4 @@ SQL: dict[str, str] = {
     + " from (select *, l_linenumber::double as x, l_quantity + 20 as y from lineitem)",
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (file_graphics, file_text_state, calc_operators)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (file_graphics, file_text_state, file_visible_text, file_embedded_text, file_operators, calc_operators)}

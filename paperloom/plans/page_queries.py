@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.layout import LIGATURES, LIST_STARTS
-from paperloom.functions.scalars import hits, html_escaped, ligatures_expanded, markdown_escaped
+from paperloom.functions.scalars import hit_offsets, hits, html_escaped, ligatures_expanded, markdown_escaped
 from paperloom.operators import pages as P
 from paperloom.operators import quality as Q
+from paperloom.operators.joins import checked_broadcast_join
 from paperloom.session import table
 
 
@@ -123,6 +124,39 @@ def search_hits(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("result_id", hits(F.col("result"), "the ").alias("exact"), hits(F.col("result"), "the ", False).alias("folded")).where("folded > 0")
 
 
+def search_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    """FIL-10, TXT-29: where a word stands in each text, whatever its case, and the words around for a highlight."""
+    rows = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
+    found = rows.select("doc_id", "text", F.explode(hit_offsets(F.col("text"), "page", False)).alias("at"))
+    return found.select("doc_id", F.col("at").alias("place"), F.expr("substring(text, cast(greatest(at - 9, 1) as int), cast(at + 5 + 10 - greatest(at - 9, 1) as int))").alias("around"))
+
+
+def booklet(spark: SparkSession, folder: str) -> DataFrame:
+    """MPD-07: the sheet and side that each page goes to in a booklet."""
+    pages = table(spark, folder, "pdf_pages").select("doc_id", "page_no").distinct()
+    count = F.max("page_no").over(Window.partitionBy("doc_id"))
+    return pages.select("doc_id", "page_no", *P.booklet_place(F.col("page_no"), count))
+
+
+def font_encodings(spark: SparkSession, folder: str) -> DataFrame:
+    """Left outer joins with fallbacks: a font's encoding by its name, else that usual for its base font, else the standard one."""
+    fonts = table(spark, folder, "pdf_fonts")
+    usual = fonts.where("encoding_name is not null").groupBy("base_font").agg(F.min("encoding_name").alias("usual"))
+    named = fonts.select("font_name", "base_font", F.col("encoding_name").alias("own"))
+    used = table(spark, folder, "pdf_glyphs").groupBy("font_name").agg(F.avg(F.col("width").cast("double")).alias("w"))
+    joined = used.join(named, "font_name", "left").join(usual, "base_font", "left")
+    return joined.select("font_name", F.coalesce("own", "usual", F.lit("StandardEncoding")).alias("encoding"), F.round("w", 3).alias("mean_width"))
+
+
+def all_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """A union of texts of different origin with their mean length by language and kind; the languages come by a broadcast whose size is checked."""
+    results = table(spark, folder, "batch_results").where("result is not null").select(F.lit("result").alias("origin"), F.col("result").alias("text"), F.col("declared_lang").alias("lang"))
+    documents = table(spark, folder, "documents").where("text is not null").select(F.lit("document").alias("origin"), "text", "lang")
+    languages = table(spark, folder, "common_words").groupBy("lang").agg(F.count("*").alias("words"))
+    joined = checked_broadcast_join(results.unionByName(documents), languages, ["lang"], 10_000)
+    return joined.groupBy("origin", "lang", "words").agg(F.count("*").alias("texts"), F.round(F.avg(F.length("text")), 4).alias("mean_length"))
+
+
 def ligatures(spark: SparkSession, folder: str) -> DataFrame:
     """TXT-20: texts with ligature signs put in and taken out again."""
     text = F.replace(F.replace("text", F.lit("ffi"), F.lit("ﬃ")), F.lit("fi"), F.lit("ﬁ"))
@@ -206,6 +240,20 @@ left join (select doc_id, count(*) as found from pdf_pages group by all) c using
     + r""")$')) as items, count(*) as lines from (select result_id, unnest(string_split(result, chr(10))) as line from batch_results where result is not null) group by result_id""",
     "search_hits": """select * from (select result_id, cast((length(result) - length(replace(result, 'the ', ''))) / 4 as bigint) as exact,
   cast((length(lower(result)) - length(replace(lower(result), 'the ', ''))) / 4 as bigint) as folded from (select distinct result_id, result from batch_results where result is not null)) where folded > 0""",
+    "search_offsets": """
+with recursive h as (
+  select doc_id, text, lower(text) as low, cast(strpos(lower(text), 'page') - 1 as bigint) as place from documents where text is not null
+  union all select doc_id, text, low, case when strpos(substr(low, place + 5), 'page') > 0 then cast(place + 4 + strpos(substr(low, place + 5), 'page') - 1 as bigint) else -1 end from h where place >= 0
+) select doc_id, place, substr(text, greatest(place - 9, 1), place + 15 - greatest(place - 9, 1)) as around from h where place >= 0""",
+    "booklet": """with p as (select distinct doc_id, page_no, cast(ceil(max(page_no) over (partition by doc_id) / 4.0) * 4 as integer) as n from pdf_pages)
+select doc_id, page_no, cast((least(page_no, n + 1 - page_no) + 1) // 2 as integer) as sheet, case when least(page_no, n + 1 - page_no) % 2 = 1 then 'front' else 'back' end as side,
+  case when page_no % 2 = 1 then 'right' else 'left' end as half from p""",
+    "font_encodings": """with u as (select base_font, min(encoding_name) as usual from pdf_fonts where encoding_name is not null group by 1)
+select g.font_name, coalesce(f.encoding_name, u.usual, 'StandardEncoding') as encoding, round(w, 3) as mean_width
+from (select font_name, avg(width::double) as w from pdf_glyphs group by 1) g left join pdf_fonts f on f.font_name = g.font_name left join u on u.base_font = f.base_font""",
+    "all_texts": """select origin, t.lang, words, count(*) as texts, round(avg(length(text)), 4) as mean_length from (
+  select 'result' as origin, result as text, declared_lang as lang from batch_results where result is not null union all select 'document', text, lang from documents where text is not null) t
+join (select lang, count(*) as words from common_words group by 1) c on c.lang = t.lang group by all""",
     "ligatures": "select doc_id, " + "replace(" * 7 + "text" + "".join(f", '{a}', '{b}')" for a, b in LIGATURES.items()) + " as text from documents where text is not null",
     "html_text": """select distinct result_id, list_aggregate(list_transform(string_split(replace(replace(replace(replace(result, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), ''),
   lambda c: case when c = '' or regexp_matches(c, '^[ -~]$') then c else '&#' || cast(unicode(c) as varchar) || ';' end), 'string_agg', '') as html from batch_results where result is not null""",
@@ -222,5 +270,5 @@ from batch_results where result is not null""",
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (page_boxes, page_labels, label_asof, split_parts, extract_pages, merge_renumber, overlay_rule, page_counts, unseen_results, newest_delivery, run_summary, error_classes, name_collisions,
-              headed_output, search_uid, list_items, search_hits, ligatures, html_text, markdown_text, paragraphs, text_similarity, quality_buckets)
+              headed_output, search_uid, list_items, search_hits, search_offsets, booklet, font_encodings, all_texts, ligatures, html_text, markdown_text, paragraphs, text_similarity, quality_buckets)
 }

@@ -18,6 +18,10 @@ from paperloom.sources.pdf_edit import encrypt, split_files
 from paperloom.sources.pdf_writer import texts_to_pdf
 
 
+# White space, and what is none but does not show: controls and joiners.
+_BLANK = r"[\s\x{00}-\x{20}\x{7f}-\x{a0}\x{ad}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2064}\x{3000}\x{feff}]+"
+
+
 def _files(spark: SparkSession, folder: str, packed: bool = False) -> DataFrame:
     rows = table(spark, folder, "documents").where("text is not null").select("doc_id", "text")
     return texts_to_pdf(spread(rows), "doc_id", "text", packed)
@@ -28,9 +32,9 @@ def _key(rows: DataFrame) -> DataFrame:
 
 
 def pdf_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
-    """Each document's ASCII characters, written to a file and read from its pages."""
+    """Each document's text, written to a file and read from its pages, all scripts; only white space is left out, as lines are wrapped."""
     read = _key(T.document_text(_files(spark, folder)))
-    return read.select("doc_id", "status", F.regexp_replace("text", r"[^!-~]+", "").alias("text"))
+    return read.select("doc_id", "status", F.regexp_replace("text", _BLANK, "").alias("text"))
 
 
 def pdf_packed(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,7 +47,7 @@ def pdf_damaged(spark: SparkSession, folder: str) -> DataFrame:
     """SRC-14: files whose table of objects is cut off are found again by search."""
     files = _files(spark, folder)
     cut = files.withColumn("content", F.concat(F.unhex(F.lit("0A0A")), F.expr("substring(content, 1, cast(octet_length(content) - 40 as int))")))
-    return _key(T.document_text(cut)).select("doc_id", "status", F.regexp_replace("text", r"[^!-~]+", "").alias("text"))
+    return _key(T.document_text(cut)).select("doc_id", "status", F.regexp_replace("text", _BLANK, "").alias("text"))
 
 
 def pdf_encrypted(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,14 +58,14 @@ def pdf_encrypted(spark: SparkSession, folder: str) -> DataFrame:
         return contents.map(lambda c: encrypt(bytes(c), owner="owner", allowed={"print"}))
 
     rows = _files(spark, folder).withColumn("content", sealed("content"))
-    return _key(T.document_text(rows)).select("doc_id", "status", F.regexp_replace("text", r"[^!-~]+", "").alias("text"))
+    return _key(T.document_text(rows)).select("doc_id", "status", F.regexp_replace("text", _BLANK, "").alias("text"))
 
 
 def pdf_full_text(spark: SparkSession, folder: str) -> DataFrame:
     """The second way of reading, in emission order."""
     pages = T.page_text_full(_files(spark, folder)).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["text"]), "")
-    return _key(pages).select("doc_id", F.regexp_replace(text, r"[^!-~]+", "").alias("text"))
+    return _key(pages).select("doc_id", F.regexp_replace(text, _BLANK, "").alias("text"))
 
 
 def pdf_split_parts(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,7 +110,7 @@ def pdf_object_types(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _ASCII = "regexp_replace(text, '[^!-~]+', '', 'g')"
-_NORMAL = "regexp_replace(nfc_normalize(" + "replace(" * len(LIGATURES) + "text" + "".join(f", '{a}', '{b}')" for a, b in LIGATURES.items()) + "), '[^!-~]+', '', 'g')"
+_NORMAL = "regexp_replace(nfc_normalize(" + "replace(" * len(LIGATURES) + "text" + "".join(f", '{a}', '{b}')" for a, b in LIGATURES.items()) + "), '" + _BLANK + "', '', 'g')"
 SQL: dict[str, str] = {
     "pdf_roundtrip": f"select doc_id, 'ok' as status, {_NORMAL} as text from documents where text is not null",
     "pdf_packed": "select doc_id, 'ok' as status, 1.7::float as version, false as encrypted, false as recovered, true as has_pages from documents where text is not null",

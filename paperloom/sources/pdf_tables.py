@@ -22,7 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from paperloom.functions.content import box_of, operations, page_content, page_glyphs, text_string
 from paperloom.functions.cos import Damaged, Document, Name, Ref, Stream, open_document, version_of
 from paperloom.functions.encryption import PERMISSIONS
-from paperloom.functions.graphics import Painter
+from paperloom.functions.graphics import Painter, visible_layers
 from paperloom.functions.layout import Config, assemble
 from paperloom.functions.layout_full import Marks, read_page
 from paperloom.functions.scalars import page_labels, parse_date
@@ -272,21 +272,22 @@ def graphics(files: DataFrame, password: str = "") -> DataFrame:
     return _table(files, GRAPHICS, rows, password)
 
 
-def _page_rows(d: Document) -> Iterator[tuple[int, list, tuple[float, float]]]:
+def _page_rows(d: Document, visible_only: bool = False) -> Iterator[tuple[int, list, tuple[float, float]]]:
     fonts: dict = {}
+    hidden = frozenset(n for n, shows in visible_layers(d).items() if not shows) if visible_only else frozenset()
     for i, (_, page) in enumerate(d.pages(), 1):
         try:
             box = box_of(d, page)
-            yield i, page_glyphs(d, page, fonts), (box[2], box[3])
+            yield i, page_glyphs(d, page, fonts, hidden), (box[2], box[3])
         except (Damaged, RecursionError, ValueError, TypeError):
             continue
 
 
-def glyphs(files: DataFrame, password: str = "") -> DataFrame:
-    """Glyphs of all pages in emission order (`GLYPHS`)."""
+def glyphs(files: DataFrame, password: str = "", visible_only: bool = False) -> DataFrame:
+    """Glyphs of all pages in emission order (`GLYPHS`); with ``visible_only`` without those of layers that do not show."""
 
     def rows(d: Document, path: str) -> Iterator[tuple]:
-        for i, found, (width, height) in _page_rows(d):
+        for i, found, (width, height) in _page_rows(d, visible_only):
             for seq, g in enumerate(found):
                 yield path, i, seq, g.unicode.encode("utf-8", "replace").decode(), g.a, g.b, g.tx, g.ty, g.height, g.width, g.space_width, g.font_size, g.font_name, width, height, g.mc_tag, g.mcid, g.char_code
 
@@ -477,6 +478,32 @@ def attachments(files: DataFrame, password: str = "") -> DataFrame:
     return _table(files, ATTACHMENTS, rows, password)
 
 
+def with_embedded(files: DataFrame, password: str = "", depth: int = 3) -> DataFrame:
+    """``path, origin, level, place, content``: files and the PDF files embedded in them, down to a depth.
+
+    ``origin`` is the outermost file's path, ``path`` names the way through the
+    names of embedded files, ``place`` puts them in order behind it.
+    """
+    level = files.select("path", F.col("path").alias("origin"), F.lit(0).alias("level"), F.col("path").alias("place"), "content")
+    found = level
+    for n in range(1, depth + 1):
+        inner = attachments(level.select("path", "content"), password).where("substring(content, 1, 4) = cast('%PDF' as binary)")
+        above = level.select("path", "origin", "place")
+        named = inner.withColumnRenamed("path", "outer").join(above.withColumnRenamed("path", "outer"), "outer")
+        level = named.select(F.concat_ws("!", "outer", "name").alias("path"), "origin", F.lit(n).alias("level"), F.concat_ws("!", "place", "name").alias("place"), "content")
+        found = found.unionByName(level)
+    return found
+
+
+def text_with_embedded(files: DataFrame, config: Config | None = None, password: str = "", depth: int = 3) -> DataFrame:
+    """``path, text`` of each file, the texts of embedded files behind its own."""
+    every = with_embedded(files, password, depth)
+    texts = document_text(every.select("path", "content"), config, password).where("text is not null")
+    parts = every.select("path", "origin", "place").join(texts.select("path", "text"), "path")
+    ordered = F.array_sort(F.collect_list(F.struct("place", "text")))
+    return parts.groupBy("origin").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text")).withColumnRenamed("origin", "path")
+
+
 def metadata(files: DataFrame, password: str = "") -> DataFrame:
     """XMP packets of files as text (`METADATA`)."""
 

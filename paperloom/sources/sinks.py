@@ -19,31 +19,41 @@ def headed(texts: DataFrame) -> DataFrame:
     return texts.where("text is not null").select(F.concat(F.lit("=== "), "path", F.lit(" ===\n"), "text").alias("value"))
 
 
-def export_files(texts: DataFrame, folder: str, suffix: str = ".txt") -> DataFrame:
-    """Write one file a row below ``folder``, which all executors must share; gives ``path, file``.
+def _named(rows: DataFrame, content: str, suffix: str) -> DataFrame:
+    """``path, file`` and the content. Base names of different paths collide, so a file's name also holds a hash of its whole path."""
+    name = F.regexp_replace(F.regexp_extract("path", "([^/]*?)(?:\\.[^./]*)?$", 1), "[^\\w.-]", "_")
+    return rows.where(F.col(content).isNotNull()).select("path", F.concat(name, F.lit("-"), F.substring(F.sha2("path", 256), 1, 12), F.lit(suffix)).alias("file"), content)
 
-    Base names of different paths collide, so a file's name also holds a hash
-    of its whole path. Null texts give no file. The result must be consumed.
-    """
-    named = texts.where("text is not null").select(
-        "path", F.concat(F.regexp_replace(F.regexp_extract("path", "([^/]*?)(?:\\.[^./]*)?$", 1), "[^\\w.-]", "_"), F.lit("-"), F.substring(F.sha2("path", 256), 1, 12), F.lit(suffix)).alias("file"), "text"
-    )
 
+def _exported(named: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
+        from pyarrow import fs
 
-        os.makedirs(folder, exist_ok=True)
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(base, recursive=True)
         for batch in batches:
-            for file, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                target = os.path.join(folder, file)
-                with open(f"{target}.part", "w", encoding="utf-8") as out:
-                    out.write(text)
-                os.replace(f"{target}.part", target)  # a task that runs again writes the same
+            for file, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                with system.open_output_stream(f"{base}/{file}.part") as out:
+                    out.write(content.encode("utf-8", "replace") if isinstance(content, str) else content)
+                system.move(f"{base}/{file}.part", f"{base}/{file}")  # a task that runs again writes the same
             yield batch.select([0, 1])
 
     return named.mapInArrow(run, "path string, file string")
 
 
+def export_files(texts: DataFrame, folder: str, suffix: str = ".txt") -> DataFrame:
+    """Write one file a row below ``folder``, a path or URI that all executors share; gives ``path, file``.
+
+    Null texts give no file. The result must be consumed.
+    """
+    return _exported(_named(texts, "text", suffix), folder)
+
+
+def export_bytes(files: DataFrame, folder: str, suffix: str = ".pdf") -> DataFrame:
+    """The same of ``path, content`` rows."""
+    return _exported(_named(files, "content", suffix), folder)
+
+
 def summary(documents: DataFrame) -> DataFrame:
     """``files, ok, failed, exit_code`` of ``status`` rows; the code is 1 if any failed."""
     failed = F.count_if(F.col("status") != "ok")

@@ -72,6 +72,48 @@ def test_streaming_reads_each_file_once(spark, tmp_path):
     assert pdf_tables.read_files(spark, source).count() == 2
 
 
+def test_commands(spark, tmp_path, capsys):
+    from paperloom.__main__ import run
+
+    source = tmp_path / "in"
+    source.mkdir()
+    for n, text in enumerate(("alpha", "beta")):
+        (source / f"{n}.pdf").write_bytes(text_to_pdf(text))
+    assert run(spark, ["text", str(source), "--out", str(tmp_path / "texts")]) == 0
+    assert sorted(p.read_text() for p in (tmp_path / "texts").glob("*.txt")) == ["alpha", "beta"]
+    assert run(spark, ["pages", str(source), "--out", str(tmp_path / "pages")]) == 0 and spark.read.parquet(str(tmp_path / "pages")).count() == 2
+    for command in ("split", "merge", "decode", "html"):
+        assert run(spark, [command, str(source), "--out", str(tmp_path / command)]) == 0
+    merged = [p.read_bytes() for p in (tmp_path / "merge").glob("*.pdf")]
+    files = spark.createDataFrame([("m", merged[0])], "path string, content binary")
+    assert len(merged) == 1 and pdf_tables.documents(files).first().page_count == 2
+    assert run(spark, ["encrypt", str(source), "--out", str(tmp_path / "sealed"), "--password", "p"]) == 0
+    assert run(spark, ["decrypt", str(tmp_path / "sealed"), "--out", str(tmp_path / "open"), "--password", "p"]) == 0 and len(list((tmp_path / "open").glob("*.pdf"))) == 2
+    (source / "bad.pdf").write_text("no file of this kind")
+    assert run(spark, ["text", str(source), "--out", str(tmp_path / "texts")]) == 1 and run(spark, ["version"]) == 0
+
+
+def test_joins(spark):
+    from paperloom.operators.joins import checked_broadcast_join, range_join
+
+    rows = spark.createDataFrame([(0,), (5,), (9,), (40,), (None,), (-3,)], "v int")
+    ranges = spark.createDataFrame([("a", 0, 5), ("b", 5, 39), ("c", 9, 8), ("d", -10, -3), ("e", None, 7)], "name string, low int, high int")
+    found = sorted((r.v, r.name) for r in range_join(rows, "v", ranges, "low", "high", 8).collect())
+    assert found == [(-3, "d"), (0, "a"), (5, "a"), (5, "b"), (9, "b")]
+    small = spark.createDataFrame([(5, "x")], "v int, t string")
+    for most in (0, 10):
+        assert [(r.v, r.t) for r in checked_broadcast_join(rows, small, ["v"], most).collect()] == [(5, "x")]
+
+
+def test_graphics_state_is_saved_and_clipped(spark):
+    from paperloom.functions.cos import Document
+    from paperloom.functions.graphics import Painter, curve_extent
+
+    rows = list(Painter(Document(b"")).run(b"q 1 0 0 rg 0 0 10 10 re W n 5 5 20 20 re f Q 1 w 0 0 m 9 9 l S Q Q 3 m (x) l f", {}))
+    assert [(r.kind, r.rule, r.fill_space, r.fill, r.clip[2]) for r in rows] == [("path", "nonzero", "DeviceRGB", [1.0, 0.0, 0.0], 10.0), ("path", "", "DeviceGray", [0.0], float("inf"))]
+    assert curve_extent(0, 10, 10, 0) == (0, 7.5) and curve_extent(0, 0, 0, 3) == (0, 3)
+
+
 def _plain(value):
     if isinstance(value, float):
         return round(value, 4)
