@@ -33,7 +33,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        page = batch.column("page_no").to_numpy(zero_copy_only=False)
+        page = batch.column("page_no").to_numpy(zero_copy_only=False).astype("i8")
         rows = np.empty(len(doc), GEOMETRY)
         rows["seq"] = batch.column("seq").to_numpy(zero_copy_only=False)
         a, b, tx, ty = (_floats(batch, c) for c in ("a", "b", "tx", "ty"))
@@ -41,7 +41,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows["along"] = np.where(upright, tx, ty)
         rows["across"] = np.where(upright, ty, tx)
         rows["height"], rows["width"] = _floats(batch, "height"), _floats(batch, "width")
-        strings = batch.column("unicode").to_pylist()
+        strings = pc.fill_null(batch.column("unicode"), "")
+        if pc.any(pc.match_substring(strings, UNIT)).as_py():
+            strings = pc.replace_substring(strings, UNIT, "")
         change = (doc[1:] != doc[:-1]) | (page[1:] != page[:-1])
         starts = np.concatenate(([0], np.flatnonzero(change) + 1))
         ends = np.append(starts[1:], len(doc))
@@ -51,7 +53,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(doc[starts], pa.int64()),
                 pa.array(page[starts], pa.int64()),
                 pa.array([raw[s * unit : e * unit] for s, e in zip(starts, ends)], pa.binary()),
-                pa.array([UNIT.join(strings[s:e]) for s, e in zip(starts, ends)], pa.string()),
+                pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(doc)), pa.int32()), strings), UNIT),
             ],
             names=["doc_id", "page_no", "geometry", "glyphs"],
         )
@@ -124,11 +126,6 @@ def page_texts(glyphs: DataFrame) -> DataFrame:
     one task, like the characters of any other text value.
     """
     columns = ["doc_id", "page_no", "seq", "unicode", "a", "b", "tx", "ty", "height", "width"]
-    rows = (
-        glyphs.select(*columns)
-        .where("doc_id is not null and page_no is not null and seq is not null")
-        .withColumns({"doc_id": F.col("doc_id").cast("bigint"), "page_no": F.col("page_no").cast("bigint"), "seq": F.col("seq").cast("bigint")})
-        .withColumn("unicode", F.coalesce(F.translate("unicode", UNIT, ""), F.lit("")))
-    )
+    rows = glyphs.select(*columns).where("doc_id is not null and page_no is not null and seq is not null").withColumns({"doc_id": F.col("doc_id").cast("bigint"), "seq": F.col("seq").cast("bigint")})
     packed = rows.mapInArrow(_pack, PACKED)
     return packed.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("geometry", "glyphs")).alias("parts")).mapInArrow(_assemble, PAGES)
