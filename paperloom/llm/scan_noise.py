@@ -54,6 +54,7 @@ _SHAPES_OF = {c: {k for k, shape in enumerate(SHAPES) if c in shape} for shape i
 
 MARKS = "-‐‑¬\xad"
 _WORD = re.compile(r"[^\W_]+")
+_SMALL = re.compile(r"(?<![^\W_])[a-zß-öø-ÿа-яё][^\W_]{4}")  # a longer word without a capital
 _NUMERAL = re.compile(r"[ivxlcdm]+", re.I)
 _BROKEN = re.compile(rf"([^\W_]+)([{MARKS}])$")
 _STARTS = re.compile(r"[^\W_]+")
@@ -348,6 +349,8 @@ def count_lines(text: str, lines: Counter, compounds: Counter) -> None:
 
 def title_like(line: str) -> bool:
     """Whether a line's words have capitals, but for short ones, as headings have."""
+    if _SMALL.search(line):
+        return False
     words = [w for w in _WORD.findall(line) if not w.isdigit()]
     return bool(words) and len(words) <= 9 and all(w[0].isupper() or len(w) <= 4 for w in words) and words[0][0].isupper() and sum(w[0].isupper() for w in words) >= 2
 
