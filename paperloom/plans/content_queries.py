@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions.calculator import applied, calculator
+from paperloom.functions.calculator import calculator_columns
 from paperloom.plans.catalogue_queries import _made, assembled
 from paperloom.session import table
 from paperloom.sources import pdf_tables as T
@@ -240,7 +240,7 @@ def calc_operators(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linenumber").cast("double").alias("x"), (F.col("l_quantity") + 20).alias("y"))
 
     def value(program: str) -> Column:
-        return F.round(applied(calculator(program, [-1e9, 1e9, -1e9, 1e9], [-1e9, 1e9]), F.col("x"), F.col("y"))[0], 4)
+        return F.round(calculator_columns(program, [-1e9, 1e9, -1e9, 1e9], [-1e9, 1e9], F.col("x"), F.col("y"))[0], 4)
 
     return rows.select("l_orderkey", "l_linenumber", *(value(program).alias(name) for name, (program, _) in PROGRAMS.items()))
 

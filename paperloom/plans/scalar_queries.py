@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions.calculator import applied, calculator, exponential, exponential_column, sampled, stitching
+from paperloom.functions.calculator import calculator_columns, exponential_column, sampled_column, stitched_column
 from paperloom.functions.scalars import BLEND_MODES, COLOR_BLEND_MODES, cmyk_to_rgb, decoded_text, lab_to_xyz, parsed_date, pdf_date, rgb_to_gray
 from paperloom.functions.stream_filters import decoded, encoded
 from paperloom.operators.joins import range_join
@@ -87,9 +87,8 @@ _PROGRAM = "{ dup 10 gt { 10 sub 2 mul } { neg 3 exp abs sqrt } ifelse 2 copy ad
 
 def calc_program(spark: SparkSession, folder: str) -> DataFrame:
     """FN-4: a calculator program over quantities and discounts."""
-    both = calculator(_PROGRAM, [-1e9, 1e9, -1e9, 1e9], [-1e9, 1e9, -1e9, 1e9])
-    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", applied(both, F.col("l_discount"), F.col("l_quantity")).alias("r"))
-    return rows.select("l_orderkey", "l_linenumber", F.round(F.col("r")[0], 4).alias("total"), F.round(F.col("r")[1], 4).alias("rest"))
+    total, rest = calculator_columns(_PROGRAM, [-1e9, 1e9, -1e9, 1e9], [-1e9, 1e9, -1e9, 1e9], F.col("l_discount"), F.col("l_quantity"))
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.round(total, 4).alias("total"), F.round(rest, 4).alias("rest"))
 
 
 def calc_exponential(spark: SparkSession, folder: str) -> DataFrame:
@@ -99,16 +98,15 @@ def calc_exponential(spark: SparkSession, folder: str) -> DataFrame:
 
 def calc_stitching(spark: SparkSession, folder: str) -> DataFrame:
     """FN-3: powers stitched at 0.03 and 0.07."""
-    f = stitching([exponential([0.0], [1.0], 1.0), exponential([1.0], [0.5], 2.0), exponential([0.5], [0.0], 1.0)], [0.03, 0.07], [0, 1, 0, 1, 1, 0], [0.0, 0.1])
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.round(applied(f, F.col("l_discount"))[0], 4).alias("value"))
+    parts = [lambda x: exponential_column(x, 0.0, 1.0, 1.0), lambda x: exponential_column(x, 1.0, 0.5, 2.0), lambda x: exponential_column(x, 0.5, 0.0, 1.0)]
+    value = stitched_column(F.col("l_discount"), parts, [0.03, 0.07], [0, 1, 0, 1, 1, 0], [0.0, 0.1])
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.round(value, 4).alias("value"))
 
 
 def calc_sampled(spark: SparkSession, folder: str) -> DataFrame:
     """FN-0: four samples over 0 to 50, straight lines between."""
-    import numpy as np
-
-    f = sampled(np.array([[0], [255], [51], [102]], float), [0.0, 50.0], [0.0, 1.0])
-    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.round(applied(f, F.col("l_quantity"))[0], 4).alias("value"))
+    value = sampled_column(F.col("l_quantity"), [0, 255, 51, 102], [0.0, 50.0], [0.0, 1.0])
+    return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", F.round(value, 4).alias("value"))
 
 
 def colors(spark: SparkSession, folder: str) -> DataFrame:

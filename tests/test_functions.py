@@ -120,3 +120,25 @@ def test_import_of_form_values(spark):
     assert {(r.path, r.full_name, r.value) for r in values.collect()} == {("f", "a.b", "new"), ("f", "c", None), ("f", "x", "unknown")}
     fields = spark.createDataFrame([("f", "a.b", "old"), ("f", "c", "kept"), ("g", "a.b", None)], "path string, full_name string, value string")
     assert sorted((r.path, r.full_name, r.value) for r in with_imported(fields, values).collect() if r.value) == [("f", "a.b", "new"), ("f", "c", "kept")]
+
+
+@pytest.mark.parametrize(
+    "program",
+    ["{ add }", "{ 2 copy lt { exch } if sub }", "{ cvi exch cvi exch idiv }", "{ cvi exch cvi exch mod 3 1 bitshift xor }", "{ dup 0 eq { pop 1 } if div 0.5 exp }", "{ 2 1 roll sub abs ln }", "{ gt not { 1 } { 2.5 } ifelse }", "{ atan }", "{ exch pop sqrt }"],
+)
+def test_compiled_programs_equal_run_ones(spark, program):
+    from paperloom.functions.calculator import applied, calculator_columns
+
+    rows = spark.createDataFrame([(x, y) for x in (-3.5, -1.0, 0.0, 2.0, 7.25, None) for y in (-2.0, 0.0, 1.5, 3.0)], "x double, y double")
+    box = [-10.0, 10.0]
+    found = rows.select(calculator_columns(program, box * 2, box, F.col("x"), F.col("y"))[0].alias("a"), applied(calculator(program, box * 2, box), F.col("x"), F.col("y"))[0].alias("b")).collect()
+    same = lambda a, b: a is None or a != a if b is None or b != b else a is not None and abs(a - b) < 1e-9
+    assert all(same(r.a, r.b) or r.b is None for r in found) and any(r.a is not None for r in found)
+
+
+def test_programs_that_cannot_be_compiled(spark):
+    from paperloom.functions.calculator import ProgramError, calculator_columns
+
+    for program in ("{ cvi copy }", "{ 0 gt { 1 } if }", "{ unknown }", "{ pop pop pop }", "{ pop pop }"):
+        with pytest.raises(ProgramError):
+            calculator_columns(program, [0, 1, 0, 1], [0, 1], F.col("x"), F.col("y"))
