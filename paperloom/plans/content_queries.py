@@ -6,6 +6,9 @@ format in them; the SQL works out by itself where things have to come out.
 
 from __future__ import annotations
 
+import base64
+import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +16,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.calculator import calculator_columns
 from paperloom.plans.catalogue_queries import _made, assembled
-from paperloom.session import table
+from paperloom.session import durable, ensure_checkpoint_dir, table
 from paperloom.sources import pdf_tables as T
+from paperloom.sources import sinks
 
 
 def _page(content: str, resources: str, more: dict[int, str | tuple[str, bytes]]) -> bytes:
@@ -161,6 +165,102 @@ def _text_sql() -> str:
     return "with t as (select p_partkey, p_size as s from part) " + " union all ".join(cases)
 
 
+# encodings, filters, articles, paths ------------------------------------------
+
+#: Fonts by name: their dictionary, the bytes they show, and what these say.
+_FONTS: list[tuple[str, bytes, str]] = [
+    ("/Subtype /Type1 /Encoding /WinAnsiEncoding", b"\xe9\x80\x95", "é€•"), ("/Subtype /Type1 /Encoding /MacRomanEncoding", b"\x8e\xa5", "é•"), ("/Subtype /Type1", b"\xe9\xae'", "Øﬁ’"),
+    ("/Subtype /Type1 /BaseFont /Symbol", b"ab", "αβ"), ("/Subtype /Type1 /BaseFont /ZapfDingbats", b"!4", "✁✔"), ("/Subtype /TrueType /Encoding << /Differences [1 /Euro /alpha /uni0416 /u1F600 /f_i /a.alt] >>", b"\x01\x02\x03\x04\x06", "€αЖ😀a"),
+    ("/Subtype /Type3 /FontMatrix [0.01 0 0 0.01 0 0] /CharProcs << >> /Encoding << /Differences [5 /eacute] >>", b"\x05", "é"),
+    *((f"/Subtype /Type0 /Encoding /{name} /DescendantFonts [<< /Type /Font /Subtype /CIDFontType0 >>]", text.encode(codec), text) for name, codec, text in (
+        ("KSCms-UHC-H", "cp949", "한글a"), ("KSC-EUC-H", "cp949", "글"), ("UniKS-UCS2-H", "utf-16-be", "한A"), ("UniGB-UTF16-H", "utf-16-be", "中"), ("90ms-RKSJ-H", "cp932", "あア"), ("GBK-EUC-H", "gbk", "中文"), ("ETen-B5-H", "big5", "中文"),
+    )),
+]
+
+
+def encodings_file(key: int, name: str) -> bytes:
+    """One page for each font."""
+    objects: dict[int, str | tuple[str, bytes]] = {1: "<< /Type /Catalog /Pages 2 0 R >>", 2: f"<< /Type /Pages /Kids [{' '.join(f'{10 + 3 * i} 0 R' for i in range(len(_FONTS)))}] /Count {len(_FONTS)} /MediaBox [0 0 612 792] >>"}
+    for i, (font, shown, _) in enumerate(_FONTS):
+        n = 10 + 3 * i
+        base = "" if "BaseFont" in font else "/BaseFont /Made"
+        objects |= {n: f"<< /Type /Page /Parent 2 0 R /Contents {n + 1} 0 R /Resources << /Font << /F {n + 2} 0 R >> >> >>", n + 1: ("", f"BT /F 10 Tf 50 500 Td <{shown.hex()}> Tj ET".encode()), n + 2: f"<< /Type /Font {base} {font} >>"}
+    return assembled(objects)
+
+
+def file_encodings(spark: SparkSession, folder: str) -> DataFrame:
+    """FNT-02, FNT-05, CMP-01, ENC-01 to ENC-04: what the codes of fonts of all kinds and encodings say."""
+    run = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "unicode"))), lambda g: g["unicode"]), "").alias("text")
+    return T.glyphs(_made(spark, folder, encodings_file, "p_partkey", "p_name")).groupBy(F.col("path").cast("bigint").alias("p_partkey"), "page_no").agg(run)
+
+
+def _png(rows: list[bytes], kind: int) -> bytes:
+    """Rows of bytes with a PNG predictor, as the PNG rules have it."""
+    out, above = b"", bytes(len(rows[0]))
+    for row in rows:
+        left = bytes([0]) + row[:-1]
+        upper = bytes([0]) + above[:-1]
+        guess = {0: bytes(len(row)), 1: left, 2: above, 3: bytes((a + b) // 2 for a, b in zip(left, above)), 4: bytes(min((a, b, c), key=lambda v, a=a, b=b, c=c: (abs(a + b - c - v), (a, b, c).index(v))) for a, b, c in zip(left, above, upper))}[kind]
+        out += bytes([kind]) + bytes((v - g) % 256 for v, g in zip(row, guess))
+        above = row
+    return out
+
+
+def filters_file(key: int, name: str) -> bytes:
+    """Embedded files behind filters, encoded by the standard library or byte by byte."""
+    data = name.encode()
+    padded = data.ljust(24, b".")[:24]
+    rows = [padded[i : i + 8] for i in (0, 8, 16)]
+    pairs = b"".join(bytes([len(chunk) - 1]) + chunk for chunk in (data[i : i + 100] for i in range(0, len(data), 100))) + bytes([253]) + b"z" + b"\x80"
+    tiff = zlib.compress(b"".join(bytes((row[i] - (row[i - 1] if i else 0)) % 256 for i in range(8)) for row in rows))
+    streams = {
+        "flate": ("/Filter /FlateDecode", zlib.compress(data)), "hex": ("/Filter /ASCIIHexDecode", data.hex(" ").encode() + b">"), "a85": ("/Filter /ASCII85Decode", base64.a85encode(data) + b"~>"),
+        "chain": ("/Filter [/AHx /Fl]", zlib.compress(data).hex().encode() + b">"), "runs": ("/Filter /RunLengthDecode", pairs), "tiff": ("/Filter /FlateDecode /DecodeParms << /Predictor 2 /Columns 8 >>", tiff),
+        **{f"png{k}": (f"/Filter /FlateDecode /DecodeParms << /Predictor {10 + k} /Columns 8 >>", zlib.compress(_png(rows, k))) for k in range(5)},
+    }
+    names, objects = "", {1: "", 2: "<< /Type /Pages /Kids [] /Count 0 >>"}
+    for i, (kind, (entries, raw)) in enumerate(sorted(streams.items())):
+        names += f"({kind}) << /F ({kind}) /EF << /F {10 + i} 0 R >> >> "
+        objects[10 + i] = (entries, raw)
+    return assembled(objects | {1: f"<< /Type /Catalog /Pages 2 0 R /Names << /EmbeddedFiles << /Names [{names}] >> >> >>"})
+
+
+def file_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """FLT-01 to FLT-05, FLT-11: streams behind filters and predictors that others encoded."""
+    rows = T.attachments(_made(spark, folder, filters_file, "p_partkey", "p_name"))
+    return rows.select(F.col("path").cast("bigint").alias("p_partkey"), "name", F.decode("content", "utf-8").alias("content"))
+
+
+def articles_file(key: int, name: str) -> bytes:
+    """Two columns whose lines are shown across, and beads that read the right one first."""
+    lines = "".join(f"BT /F1 10 Tf 1 0 0 1 50 {700 - 12 * k} Tm (left{k} {key}) Tj 1 0 0 1 300 {700 - 12 * k} Tm (right{k}) Tj ET " for k in range(3))
+    return assembled({
+        1: "<< /Type /Catalog /Pages 2 0 R >>", 2: "<< /Type /Pages /Kids [3 0 R] /Count 1 >>", 4: ("", lines.encode()),
+        3: "<< /Type /Page /Parent 2 0 R /MediaBox [0 0 612 792] /Contents 4 0 R /Resources << /Font << /F1 6 0 R >> >> /B [7 0 R 8 0 R] >>",
+        6: f"<< /Type /Font /Subtype /Type1 /BaseFont /Made /FirstChar 32 /LastChar 126 /Widths [{' 500' * 95}] /Encoding /WinAnsiEncoding >>",
+        7: "<< /R [290 600 500 720] /N 8 0 R /P 3 0 R >>", 8: "<< /R [40 600 280 720] /N 7 0 R /P 3 0 R >>",
+    })
+
+
+def file_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """TXT-02, TXT-19: pages read article by article, between which nothing is written; and line by line in the batch way."""
+    files = _made(spark, folder, articles_file, "p_partkey", "p_name")
+    flat = lambda rows, way: rows.select(F.col("path").cast("bigint").alias("p_partkey"), F.lit(way).alias("way"), F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    return flat(T.page_text_full(files), "articles").unionByName(flat(T.page_text(files), "lines"))
+
+
+def file_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """SRC-01, SRC-03, SRC-04, SNK-02: files written one by one, found again by folder and by a list of paths."""
+    ensure_checkpoint_dir(spark)
+    target = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/files-{uuid.uuid4().hex}"
+    plain = target.removeprefix("file://").removeprefix("file:") if target.startswith("file:") else target
+    named = sinks.export_bytes(_made(spark, folder, articles_file, "p_partkey", "p_name"), f"{plain}/made")
+    durable(named).select(F.concat(F.lit(f"{plain}/made/"), "file")).write.text(f"{plain}/list")
+    found = T.documents(T.read_files(spark, f"{plain}/made")).select("path", F.lit("folder").alias("way"), "status", "page_count")
+    listed = T.documents(T.read_file_list(spark, f"{plain}/list")).select("path", F.lit("list").alias("way"), "status", "page_count")
+    return found.unionByName(listed).select(F.regexp_extract("path", r"/(\d+)-[0-9a-f]+\.pdf$", 1).cast("bigint").alias("p_partkey"), "way", "status", "page_count")
+
+
 # layers, and files within files ----------------------------------------------
 
 
@@ -246,6 +346,12 @@ def calc_operators(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {
+    "file_encodings": "select p_partkey, n as page_no, said as text from part, (values " + ", ".join(f"({i}, '{said}')" for i, (_, _, said) in enumerate(_FONTS, 1)) + ") t(n, said)",
+    "file_filters": "select p_partkey, name, case when name = 'runs' then p_name || 'zzzz' when name like 'png%' or name = 'tiff' then substr(rpad(p_name, 24, '.'), 1, 24) else p_name end as content "
+    "from part, (values ('a85'), ('chain'), ('flate'), ('hex'), ('png0'), ('png1'), ('png2'), ('png3'), ('png4'), ('runs'), ('tiff')) t(name)",
+    "file_articles": """select p_partkey, way, case way when 'articles' then 'right0 right1 right2left0 ' || p_partkey || ' left1 ' || p_partkey || ' left2 ' || p_partkey
+  else 'left0 ' || p_partkey || ' right0 left1 ' || p_partkey || ' right1 left2 ' || p_partkey || ' right2' end as text from part, (values ('articles'), ('lines')) t(way)""",
+    "file_paths": "select p_partkey, way, 'ok' as status, 1 as page_count from part, (values ('folder'), ('list')) t(way)",
     "file_visible_text": "select p_partkey, false as shown, substr(p_name, 1, 1) || 'xyzkw' as text from part union all select p_partkey, true, substr(p_name, 1, 1) || 'k' from part",
     "file_embedded_text": "select p_partkey, 'outer' || p_partkey || ' middle inner' || p_partkey as text from part",
     "file_operators": "select op, cast(n * (select count(*) from part) as bigint) as uses from (values " + ", ".join(f"('{op}', {n})" for op, n in _USES.items()) + ") t(op, n)",
@@ -256,4 +362,4 @@ SQL: dict[str, str] = {
     + " from (select *, l_linenumber::double as x, l_quantity + 20 as y from lineitem)",
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (file_graphics, file_text_state, file_visible_text, file_embedded_text, file_operators, calc_operators)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (file_graphics, file_text_state, file_encodings, file_filters, file_articles, file_paths, file_visible_text, file_embedded_text, file_operators, calc_operators)}
