@@ -21,6 +21,8 @@ from json.decoder import scanstring
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from paperloom.session import spread
+
 NODES = (
     "fdf_id bigint, pre bigint, post bigint, parent_pre bigint, depth int, kind string, member string, position bigint, content string"
 )
@@ -246,16 +248,21 @@ def _fields_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _write(rows(), [c.split()[0] for c in FIELD_VALUES.split(", ")], [_LONG, _LONG, _LONG, _LONG, _STRING, _STRING, _STRING, _LONG, _STRING])
 
 
+def _records(records: DataFrame, key: str, payload: str, once: bool) -> DataFrame:
+    rows = records.selectExpr(f"cast(`{key}` as bigint) fdf_id", f"`{payload}` payload")
+    return rows.distinct() if once else spread(rows)
+
+
 def nested_nodes(records: DataFrame, key: str = "fdf_id", payload: str = "payload") -> DataFrame:
     """Every node of every valid payload with its interval labels (`NODES`).
 
     Repeated ``(key, payload)`` rows count once; null and invalid payloads give
     no rows; an empty table gives none. Only the two named columns are read.
     """
-    return records.selectExpr(f"cast(`{key}` as bigint) fdf_id", f"`{payload}` payload").distinct().mapInArrow(_nodes_of, NODES)
+    return _records(records, key, payload, True).mapInArrow(_nodes_of, NODES)
 
 
-def form_field_values(records: DataFrame, key: str = "fdf_id", payload: str = "payload") -> DataFrame:
+def form_field_values(records: DataFrame, key: str = "fdf_id", payload: str = "payload", once: bool = True) -> DataFrame:
     """The form fields of every valid payload with their values (`FIELD_VALUES`).
 
     A field's parent link is ``parent_pre``, the label of the field whose
@@ -264,6 +271,8 @@ def form_field_values(records: DataFrame, key: str = "fdf_id", payload: str = "p
     An object or array that stands where a scalar is expected counts as one
     value without text. A name that is no string counts as its JSON text;
     entries of ``fields`` and ``kids`` that are no objects are no fields but
-    keep their position. Nulls, repeats and empty tables as in `nested_nodes`.
+    keep their position. Nulls, repeats and empty tables as in `nested_nodes`;
+    who drops repeated rows later anyway need not have whole payloads shuffled
+    for it first and says that they need not come ``once``.
     """
-    return records.selectExpr(f"cast(`{key}` as bigint) fdf_id", f"`{payload}` payload").distinct().mapInArrow(_fields_of, FIELD_VALUES)
+    return _records(records, key, payload, once).mapInArrow(_fields_of, FIELD_VALUES)

@@ -13,18 +13,18 @@ from paperloom.session import table
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Fields with their values: one row per value, or one numbered 0."""
-    return form_field_values(table(spark, folder, "fdf_documents")).select("fdf_id", "field_path", "full_name", "value_no").distinct()
+    return form_field_values(table(spark, folder, "fdf_documents"), once=False).select("fdf_id", "field_path", "full_name", "value_no").distinct()
 
 
 def p6_fields(spark: SparkSession, folder: str) -> DataFrame:
     """The field table: path, own name and the parent's path, per file."""
-    rows = form_field_values(table(spark, folder, "fdf_documents"))
+    rows = form_field_values(table(spark, folder, "fdf_documents"), once=False)
     return rows.select("fdf_id", "field_path", "name", F.regexp_extract("field_path", "^(.*)/[0-9]+$", 1).alias("parent_path")).distinct()
 
 
 def p6_values(spark: SparkSession, folder: str) -> DataFrame:
     """The value table: the text of each value, linked to its field by path."""
-    rows = form_field_values(table(spark, folder, "fdf_documents"))
+    rows = form_field_values(table(spark, folder, "fdf_documents"), once=False)
     return rows.where("value_no > 0").select("fdf_id", "field_path", "value_no", "value").distinct()
 
 
