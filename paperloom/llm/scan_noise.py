@@ -29,7 +29,7 @@ from paperloom.llm.vocabulary import Vocabulary
 
 #: Records that the line classifier is fitted to, and vocabulary words for the other two, at most.
 SAMPLE_RECORDS, SAMPLE_WORDS = 2000, 900
-#: A line or compound counts as frequent from this share of all, so that there are at most 1 / share.
+#: A line or compound counts as frequent from this share of those of its language, so that there are at most 1 / share of each.
 LINE_SHARE, COMPOUND_SHARE, MIN_COUNT = 1e-4, 2e-5, 3
 Q = 2
 ACCEPT = 0.5

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.character_forms import Forms
 from paperloom.llm.encoding_repair import clean_vocabulary
+from paperloom.llm.language_id import named_column
 from paperloom.llm.records import RECORD, all_records, distinct, result_words
 from paperloom.llm.scan_noise import COMPOUND_SHARE, LEARNED_SHARE, LEARNED_WORDS, LINE_SHARE, MIN_COUNT, SAMPLE_RECORDS, Cleaner, Confusions, Corrector, Furniture, Index, Joiner, LineStatistics, count_lines, differences, without_misread
 from paperloom.llm.stats_queries import common_words
@@ -22,29 +23,41 @@ _FLUSH = 400_000
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(lines: Counter, compounds: Counter) -> pa.RecordBatch:
-        kinds = ["line"] * (len(lines) + 1) + ["compound"] * (len(compounds) + 1)
-        keys = [*lines, "", *compounds, ""]
-        numbers = [*lines.values(), sum(lines.values()), *compounds.values(), sum(compounds.values())]
-        return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys, pa.string()), pa.array(numbers, pa.int64())], names=["kind", "key", "n"])
-
-    lines, compounds = Counter(), Counter()
+    def out(counts: dict[str | None, tuple[Counter, Counter]]) -> pa.RecordBatch:
+        languages, kinds, keys, numbers = [], [], [], []
+        for lang, pair in counts.items():
+            for kind, counter in zip(("line", "compound"), pair):
+                languages += [lang] * (len(counter) + 1)
+                kinds += [kind] * (len(counter) + 1)
+                keys += [*counter, ""]
+                numbers += [*counter.values(), sum(counter.values())]
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in (languages, kinds, keys)), pa.array(numbers, pa.int64())], names=["lang", "kind", "key", "n"])
+
+    counts: dict[str | None, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
     for batch in batches:
-        for text in batch.column(0).to_pylist():
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text:
-                count_lines(text, lines, compounds)
-        if len(lines) + len(compounds) > _FLUSH:
-            yield out(lines, compounds)
-            lines, compounds = Counter(), Counter()
-    yield out(lines, compounds)
+                count_lines(text, *counts[lang])
+        if sum(len(c) for pair in counts.values() for c in pair) > _FLUSH:
+            yield out(counts)
+            counts.clear()
+    yield out(counts)
 
 
 def line_statistics(results: DataFrame) -> LineStatistics:
-    """Frequent heading-like lines and compounds of all results, each list bounded by the share its entries must have."""
-    counts = durable(results.select("result").mapInArrow(_count, "kind string, key string, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    totals = {r["kind"]: r["n"] for r in counts.where("key = ''").collect()}
-    least = {kind: max(MIN_COUNT, share * totals.get(kind, 0)) for kind, share in (("line", LINE_SHARE), ("compound", COMPOUND_SHARE))}
-    kept = counts.where((F.col("key") != "") & (F.col("n") >= F.when(F.col("kind") == "line", least["line"]).otherwise(least["compound"]))).collect()
+    """Frequent heading-like lines and compounds of all results.
+
+    As with words, an entry must have a share of those of one language, by the
+    results' labels, so that no language has more than 1 / share of them.
+    """
+    rows = results.select("result", named_column("declared_lang").alias("_lang"))
+    counts = durable(rows.mapInArrow(_count, "lang string, kind string, key string, n bigint").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
+    total = F.lit(None).cast("bigint")
+    for r in counts.where("key = '' and n > 0").collect():
+        total = F.when(F.col("lang").eqNullSafe(r["lang"]) & (F.col("kind") == r["kind"]), F.lit(r["n"])).otherwise(total)
+    least = F.when(F.col("kind") == "line", F.lit(LINE_SHARE)).otherwise(F.lit(COMPOUND_SHARE))
+    shares = counts.where("key <> ''").withColumn("share", F.col("n") / total).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.max("share").alias("share"))
+    kept = shares.where((F.col("n") >= MIN_COUNT) & (F.col("share") >= least)).select("kind", "key", "n").collect()
     of = {kind: {r["key"]: r["n"] for r in kept if r["kind"] == kind} for kind in ("line", "compound")}
     return LineStatistics(of["line"], of["compound"])
 
