@@ -623,6 +623,10 @@ class Cleaner:
         # where most words are unknown, there is no language to correct by
         if 2 * sum(known for known, _ in found) >= len(words):
             right = {w: r for w, (_, r) in zip(words, found) if r is not None and w.lower() not in skip and w.lower() not in torn}
+        # a text may begin with the rest of a word that the page before broke, which is like many words
+        first = _STARTS.match(rows[filled[0]]) if filled else None
+        if first and first[0] in right and first[0][0].islower() and self.corrector.confusions.known_steps(first[0], right[first[0]]) is None:
+            del right[first[0]]
         if right:
             noise.add("chars")
             body = _WORD.sub(lambda m: right.get(m[0], m[0]), body)

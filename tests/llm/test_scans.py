@@ -128,6 +128,15 @@ def test_misread_words(cleaner):
     assert cleaner.clean("").noise == set() and cleaner.clean("\n\n").text == ""
 
 
+def test_the_rest_of_a_word_is_not_corrected(vocabulary):
+    counts = {"una": 90_000, "the": 90_000, "page": 9000} | {w: 300 * n for w, n in vocabulary.counts.items()}
+    corrector = Corrector(Vocabulary(counts, sum(counts.values())), Confusions({})).fit()
+    whole = Cleaner(corrector, Furniture(STATISTICS, corrector).fit([]), Joiner(vocabulary, STATISTICS).fit())
+    corrector.known["ura"] = "una"
+    assert whole.clean("ura. The page renderer keeps the hidden layer.").noise == set()
+    assert whole.clean("The page ura renderer keeps the hidden layer.").noise == {"chars"}
+
+
 def test_what_was_meant_among_many_like_words():
     # words that share more two-letter runs with the misread one than what was meant does
     like = ["vvh", "vvhe", "vvhi", "hcn", "ehcn", "ahcn", "vvha", "vvho", "ohcn"]
