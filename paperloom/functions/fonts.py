@@ -6,10 +6,11 @@ glyph names from the names of characters.
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from bisect import bisect_right
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 from paperloom.functions.cos import Document, Keyword, Lexer, Name, Stream
@@ -61,6 +62,8 @@ def glyph_text(name: str) -> str | None:
         return None
     if name in GLYPHS:
         return GLYPHS[name]
+    if _folder and name in listed_names():
+        return listed_names()[name]
     if (m := re.fullmatch(r"uni((?:[0-9A-Fa-f]{4})+)", name)) or (m := re.fullmatch(r"u([0-9A-Fa-f]{4,6})", name)):
         parts = [m[1][i : i + 4] for i in range(0, len(m[1]), 4)] if name.startswith("uni") else [m[1]]
         try:
@@ -191,6 +194,8 @@ def parse_cmap(data: bytes) -> CMap:
         if token == b"usecmap" and stack and isinstance(stack[-1], Name):
             base = predefined(str(stack[-1]))
             cmap.codec, cmap.spaces = base.codec, base.spaces + cmap.spaces
+            cmap.text, cmap.cids = base.text | cmap.text, base.cids | cmap.cids
+            cmap.text_ranges, cmap.cid_ranges = cmap.text_ranges + base.text_ranges, cmap.cid_ranges + base.cid_ranges
         elif token == b"def" and len(stack) >= 2:
             if stack[-2] == "CMapName":
                 cmap.name = str(stack[-1])
@@ -236,8 +241,54 @@ def _section(cmap: CMap, end: bytes, rows: list) -> None:
                 cmap.cid_ranges.append((len(low), number(low), number(high), cid))
 
 
+_folder = ""
+_FILE_NAME = re.compile(r"[A-Za-z0-9-]+")
+
+
+def use_resources(folder: str) -> None:
+    """Read CMaps by name, maps from glyph numbers to characters (``Adobe-Korea1-UCS2`` and the like) and the list of glyph names (``glyphlist.txt``) from a folder of the public files.
+
+    They are not part of the package. Without a folder, or without a file, what is known by rule holds.
+    """
+    global _folder
+    if folder != _folder:
+        _folder = folder
+        stored.cache_clear()
+        listed_names.cache_clear()
+
+
+@functools.cache
+def stored(name: str) -> CMap | None:
+    """The CMap of a file in the folder of resources."""
+    if not _folder or not _FILE_NAME.fullmatch(name):
+        return None
+    try:
+        with open(f"{_folder}/{name}", "rb") as source:
+            return parse_cmap(source.read())
+    except OSError:
+        return None
+
+
+@functools.cache
+def listed_names() -> dict[str, str]:
+    """Glyph names with their text, from lines of a name and code points."""
+    out: dict[str, str] = {}
+    try:
+        with open(f"{_folder}/glyphlist.txt", encoding="utf-8") as source:
+            for row in source if _folder else ():
+                name, _, codes = row.strip().partition(";")
+                if name and codes and not name.startswith("#"):
+                    out[name] = "".join(chr(int(c, 16)) for c in codes.replace(",", " ").split())
+    except (OSError, ValueError):
+        pass
+    return out
+
+
 def predefined(name: str) -> CMap:
-    """A CMap known by name: identity, or one whose codes are those of a character set."""
+    """A CMap known by name: of a file in the folder of resources, identity, or one whose codes are those of a character set."""
+    if (found := stored(name)) is not None:
+        codec = next((c for pattern, c in _CHARACTER_SETS if re.match(pattern, name)), None)
+        return replace(found, name=name, vertical=name.endswith("V"), codec=codec)
     cmap = CMap(name=name, vertical=name.endswith("V"))
     if name.startswith("Identity"):
         cmap.spaces, cmap.cid_ranges = [(2, 0, 0xFFFF)], [(2, 0, 0xFFFF, 0)]
@@ -310,6 +361,9 @@ class Font:
         self.cmap = parse_cmap(document.decoded(encoding)) if isinstance(encoding, Stream) else predefined(str(encoding or "Identity-H"))
         descendants = document.of(dictionary, "DescendantFonts") or [None]
         inner = document.get(descendants[0])
+        collection = document.of(inner, "CIDSystemInfo")
+        names = [document.of(collection, k) for k in ("Registry", "Ordering")]
+        self.characters = stored("-".join([*(n.decode("latin-1") for n in names), "UCS2"])) if all(isinstance(n, bytes) for n in names) and names[1] != b"Identity" else None
         self.default = float(document.of(inner, "DW") if document.of(inner, "DW") is not None else 1000)
         entries = [document.get(w) for w in document.of(inner, "W") or []]
         i = 0
@@ -384,6 +438,8 @@ class Font:
             if (found := self.cmap.unicode(code, length)) is not None:
                 return found
             cid = self.cmap.cid(code, length)
+            if self.characters is not None and cid is not None and (found := self.characters.unicode(cid, 2)) is not None:
+                return found
             value = code if self.cmap.cid_ranges == [(2, 0, 0xFFFF, 0)] or cid is None else cid
             return chr(value) if 0 < value < 0xD800 or 0xDFFF < value < 0x110000 else None
         if (found := self.table.get(code)) is not None:

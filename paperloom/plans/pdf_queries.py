@@ -99,7 +99,7 @@ def pdf_op_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def pdf_glyph_counts(spark: SparkSession, folder: str) -> DataFrame:
     """ASCII glyphs besides spaces in each document."""
-    rows = T.glyphs(_files(spark, folder)).where(F.col("unicode").rlike("^[!-~]$"))
+    rows = T.glyphs(_files(spark, folder), columns=["path", "unicode"]).where(F.col("unicode").rlike("^[!-~]$"))
     return _key(rows.groupBy("path").agg(F.count("*").alias("glyphs")))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 from typing import Any
 
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from paperloom.functions.content import box_of, operations, page_content, page_glyphs, text_string
 from paperloom.functions.cos import Damaged, Document, Name, Ref, Stream, open_document, version_of
 from paperloom.functions.encryption import PERMISSIONS
+from paperloom.functions.fonts import use_resources
 from paperloom.functions.graphics import Painter, visible_layers
 from paperloom.functions.layout import Config, assemble
 from paperloom.functions.layout_full import Marks, read_page
@@ -86,8 +88,12 @@ def read_file_list(spark: SparkSession, path: str) -> DataFrame:
     return listed.mapInArrow(run, schema)
 
 
-def _table(files: DataFrame, schema: str, rows: Callable[[Document, str], Iterator[tuple]], password: str = "") -> DataFrame:
-    target = to_arrow_schema(StructType.fromDDL(schema))
+def _table(files: DataFrame, schema: str, rows: Callable[[Document, str], Iterator[tuple]], password: str = "", columns: list[str] | None = None) -> DataFrame:
+    """Rows of each file; of ``columns``, if given, only these leave the reader."""
+    every = StructType.fromDDL(schema)
+    kept = StructType([every[c] for c in columns]) if columns is not None else every
+    target = to_arrow_schema(kept)
+    picked = itemgetter(*(every.names.index(c) for c in columns)) if columns is not None and len(columns) > 1 else (lambda row, i=every.names.index(columns[0]): (row[i],)) if columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple] = []
@@ -104,12 +110,12 @@ def _table(files: DataFrame, schema: str, rows: Callable[[Document, str], Iterat
                 except (Damaged, RecursionError):
                     continue
                 for row in rows(document, path):
-                    block.append(row)
+                    block.append(row if picked is None else picked(row))
                     if len(block) >= BATCH_ROWS:
                         yield out()
         yield out()
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    return files.select("path", "content").mapInArrow(run, kept)
 
 
 def _text(document: Document, value: Any) -> str | None:
@@ -283,21 +289,26 @@ def _page_rows(d: Document, visible_only: bool = False) -> Iterator[tuple[int, l
             continue
 
 
-def glyphs(files: DataFrame, password: str = "", visible_only: bool = False) -> DataFrame:
-    """Glyphs of all pages in emission order (`GLYPHS`); with ``visible_only`` without those of layers that do not show."""
+def glyphs(files: DataFrame, password: str = "", visible_only: bool = False, columns: list[str] | None = None, resources: str = "") -> DataFrame:
+    """Glyphs of all pages in emission order (`GLYPHS`, or only some ``columns``); with ``visible_only`` without those of layers that do not show.
+
+    ``resources`` is a folder of public CMap files and glyph names that all executors see (`fonts.use_resources`).
+    """
 
     def rows(d: Document, path: str) -> Iterator[tuple]:
+        use_resources(resources)
         for i, found, (width, height) in _page_rows(d, visible_only):
             for seq, g in enumerate(found):
                 yield path, i, seq, g.unicode.encode("utf-8", "replace").decode(), g.a, g.b, g.tx, g.ty, g.height, g.width, g.space_width, g.font_size, g.font_name, width, height, g.mc_tag, g.mcid, g.char_code
 
-    return _table(files, GLYPHS, rows, password)
+    return _table(files, GLYPHS, rows, password, columns)
 
 
-def page_text(files: DataFrame, config: Config | None = None, password: str = "") -> DataFrame:
+def page_text(files: DataFrame, config: Config | None = None, password: str = "", resources: str = "") -> DataFrame:
     """Text of each page that has any (`PAGE_TEXT`)."""
 
     def rows(d: Document, path: str) -> Iterator[tuple]:
+        use_resources(resources)
         for i, found, (width, height) in _page_rows(d):
             text = assemble([(g.unicode, g.a, g.b, g.tx, g.ty, g.height, g.width, g.space_width, width, height) for g in found], config)
             if text:
@@ -306,11 +317,12 @@ def page_text(files: DataFrame, config: Config | None = None, password: str = ""
     return _table(files, PAGE_TEXT, rows, password)
 
 
-def document_text(files: DataFrame, config: Config | None = None, password: str = "") -> DataFrame:
+def document_text(files: DataFrame, config: Config | None = None, password: str = "", resources: str = "") -> DataFrame:
     """``path, status, n_pages, text`` of each file: the texts of its pages in order; an unreadable one has status 'error' and no text."""
     c = config or Config()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        use_resources(resources)
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):

@@ -248,3 +248,29 @@ def test_catalogs_fonts_and_operands(spark):
     assert (found.language, found.marked, found.base_uri) == ("ko", True, "https://x.invalid") and "Pages" in found.entries
     assert [(r.font_name, r.kind, bytes(r.content)) for r in T.font_files(files).collect()] == [("T", "truetype", b"program")]
     assert [r.text for r in T.shown_operands(files).orderBy("seq").collect()] == ["Hi", "ab"]
+
+
+def test_resources_of_public_files(spark, tmp_path):
+    from paperloom.functions import fonts
+    from paperloom.plans.catalogue_queries import assembled
+
+    (tmp_path / "KSCms-UHC-H").write_bytes(b"/CMapName /KSCms-UHC-H def 2 begincodespacerange <00> <80> <8140> <FEFE> endcodespacerange 1 begincidrange <B0A1> <B0A3> 1086 endcidrange endcmap")
+    (tmp_path / "Adobe-Korea1-UCS2").write_bytes(b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0001> <0002> <AC00> endbfrange 1 beginbfchar <043E> <AC01> endbfchar endcmap")
+    (tmp_path / "Child-V").write_bytes(b"/KSCms-UHC-H usecmap 1 begincidchar <B0A9> 7 endcidchar endcmap")
+    (tmp_path / "glyphlist.txt").write_text("# names\nzed;007A\ntwosome;0032 20AC\n")
+    fonts.use_resources(str(tmp_path))
+    try:
+        child = fonts.predefined("Child-V")
+        assert child.vertical and child.cid(0xB0A9, 2) == 7 and child.cid(0xB0A2, 2) == 1087 and fonts.glyph_text("twosome") == "2€" and fonts.stored("../x") is None and fonts.stored("None") is None
+    finally:
+        fonts.use_resources("")
+    assert fonts.glyph_text("zed") is None and fonts.predefined("KSCms-UHC-H").cid_ranges == []
+    kind = "<< /Type /Font /Subtype /CIDFontType2 /CIDSystemInfo << /Registry (Adobe) /Ordering (Korea1) /Supplement 2 >> /DW 1000 >>"
+    data = assembled({
+        1: "<< /Type /Catalog /Pages 2 0 R >>", 2: "<< /Type /Pages /Kids [3 0 R] /Count 1 >>", 3: "<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F 5 0 R /G 6 0 R >> >> >>",
+        4: ("", b"BT /F 10 Tf 10 500 Td <00010002> Tj /G 10 Tf <01> Tj ET"), 5: f"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [{kind}] >>",
+        6: "<< /Type /Font /Subtype /Type1 /Encoding << /Differences [1 /zed] >> >>",
+    })
+    files = spark.createDataFrame([("a", bytearray(data))], "path string, content binary")
+    assert "".join(r.unicode for r in T.glyphs(files, resources=str(tmp_path), columns=["seq", "unicode"]).orderBy("seq").collect()) == "가각z"
+    assert T.document_text(files, resources=str(tmp_path)).first().text.replace(" ", "") == "가각z" and T.page_text(files).first().text != "가각z"
