@@ -40,12 +40,13 @@ def operations(data: bytes) -> Iterator[tuple[str, list]]:
             continue
         word = value.decode("latin-1")
         if word == "BI":
-            lexer.at = _after_image(data, lexer.at)
+            lexer.at = after_image(data, lexer.at)
         yield word, operands
         operands = []
 
 
-def _after_image(data: bytes, at: int) -> int:
+def after_image(data: bytes, at: int) -> int:
+    """The place behind an inline image whose ``BI`` ends at a place."""
     start = data.find(b"ID", at)
     at = start + 3 if start >= 0 else at
     while True:
@@ -288,6 +289,36 @@ def text_string(raw: bytes) -> str:
     return raw.decode("latin-1")
 
 
+def tree_entries(document: Document, tree: Any) -> list[tuple[Any, Any]]:
+    """Entries of a name or number tree in order."""
+    out, stack, seen = [], [tree], set()
+    while stack:
+        node = stack.pop()
+        if isinstance(node, Ref):
+            if node in seen:
+                continue
+            seen.add(node)
+        for key in ("Nums", "Names"):
+            entries = document.of(node, key)
+            if isinstance(entries, list):
+                out += [(document.get(k), v) for k, v in zip(entries[::2], entries[1::2])]
+        kids = document.of(node, "Kids")
+        stack.extend(reversed(kids if isinstance(kids, list) else []))
+    return out
+
+
+def target_page(document: Document, dest: Any) -> int | None:
+    """The object number of the page that a destination leads to: given as an array, by name, or in a dictionary."""
+    dest = document.get(dest)
+    if isinstance(dest, (Name, bytes)):
+        name = str(dest) if isinstance(dest, Name) else text_string(dest)
+        old = document.of(document.of(document.catalog, "Dests"), name)
+        dest = old if old is not None else next((document.get(v) for k, v in tree_entries(document, document.of(document.catalog.get("Names"), "Dests")) if isinstance(k, bytes) and text_string(k) == name), None)
+    if isinstance(dest, dict):
+        dest = document.of(dest, "D")
+    return dest[0].number if isinstance(dest, list) and dest and isinstance(dest[0], Ref) else None
+
+
 def page_content(document: Document, page: dict) -> bytes:
     """A page's content: the parts of an array with line ends between; bad parts are left out."""
     contents = document.get(page.get("Contents"))

@@ -9,16 +9,17 @@ from __future__ import annotations
 import base64
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.calculator import calculator_columns
-from paperloom.plans.catalogue_queries import _made, assembled
+from paperloom.plans.catalogue_queries import _made, assembled, part_file
 from paperloom.session import durable, ensure_checkpoint_dir, table
+from paperloom.sources import pdf_edit, sinks
 from paperloom.sources import pdf_tables as T
-from paperloom.sources import sinks
 
 
 def _page(content: str, resources: str, more: dict[int, str | tuple[str, bytes]]) -> bytes:
@@ -305,6 +306,40 @@ def file_embedded_text(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("path").cast("bigint").alias("p_partkey"), F.regexp_replace("text", r"\s+", " ").alias("text"))
 
 
+def _edited(key: int, name: str, brand: str, size: int) -> list[bytes]:
+    """A file merged with itself, without its second page, with another address, and without text."""
+    data = part_file(key, name, brand, size)
+    return [pdf_edit.merge_files([data, data]), pdf_edit.without_pages(data, [2]), pdf_edit.with_urls(data, {f"http://l.invalid/{key}": "http://new.invalid/", f"http://x.invalid/{key}": "http://n.invalid/"}), pdf_edit.without_text(articles_file(key, name))]
+
+
+def _edits(spark: SparkSession, folder: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(f"{r[0]}/{way}", data) for r in zip(*(batch.column(i).to_pylist() for i in range(4))) for way, data in zip(("merged", "shorter", "urls", "textless"), _edited(*r))]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([d for _, d in rows], pa.binary())], names=["path", "content"])
+
+    return table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size").mapInArrow(run, "path string, content binary")
+
+
+def _by_way() -> list[Column]:
+    return [F.substring_index("path", "/", 1).cast("bigint").alias("p_partkey"), F.substring_index("path", "/", -1).alias("way")]
+
+
+def file_edits(spark: SparkSession, folder: str) -> DataFrame:
+    """MPD-01, MPD-07: pages, glyphs and links of files that were merged, shortened, given other addresses, and rid of text."""
+    files = _edits(spark, folder)
+    pages = T.pages(files).groupBy("path").agg(F.count("*").alias("pages"))
+    shown = T.glyphs(files, columns=["path", "unicode"]).groupBy("path").agg(F.count("*").alias("glyphs"))
+    links = T.annotations(files).where("uri is not null").groupBy("path").agg(F.max("uri").alias("uri"), F.count("*").alias("links"))
+    rows = pages.join(shown, "path", "left").join(links, "path", "left")
+    return rows.select(*_by_way(), "pages", F.coalesce("glyphs", F.lit(0)).alias("glyphs"), "uri", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def file_edited_bookmarks(spark: SparkSession, folder: str) -> DataFrame:
+    """MPD-01: bookmarks of merged and shortened files."""
+    return T.outline(_edits(spark, folder)).select(*_by_way(), "item_no", "level", "title", "page_no", "uri")
+
+
 def file_operators(spark: SparkSession, folder: str) -> DataFrame:
     """How often each operator of graphics stands in the files."""
     return T.ops(_made(spark, folder, graphics_file, "p_partkey", "p_size")).groupBy("op").agg(F.count("*").alias("uses"))
@@ -352,6 +387,13 @@ SQL: dict[str, str] = {
     "file_articles": """select p_partkey, way, case way when 'articles' then 'right0 right1 right2left0 ' || p_partkey || ' left1 ' || p_partkey || ' left2 ' || p_partkey
   else 'left0 ' || p_partkey || ' right0 left1 ' || p_partkey || ' right1 left2 ' || p_partkey || ' right2' end as text from part, (values ('articles'), ('lines')) t(way)""",
     "file_paths": "select p_partkey, way, 'ok' as status, 1 as page_count from part, (values ('folder'), ('list')) t(way)",
+    "file_edits": """select p_partkey, way, cast(case way when 'merged' then 6 when 'shorter' then 2 when 'urls' then 3 else 1 end as bigint) as pages, cast(0 as bigint) as glyphs,
+  case when way = 'urls' then 'http://new.invalid/' when way <> 'textless' then 'http://l.invalid/' || p_partkey end as uri, cast(case way when 'merged' then 2 when 'textless' then 0 else 1 end as bigint) as links
+from part, (values ('merged'), ('shorter'), ('urls'), ('textless')) t(way)""",
+    "file_edited_bookmarks": """select p_partkey, way, n as item_no, level, case k when 1 then p_name when 2 then 'in ' || p_brand else 'web' end as title, page as page_no,
+  case when k = 3 then case when way = 'urls' then 'http://n.invalid/' else 'http://x.invalid/' || p_partkey end end as uri
+from part, (values ('merged', 1, 1, 1, 1), ('merged', 2, 2, 2, 2), ('merged', 3, 1, 3, null), ('merged', 4, 1, 1, 4), ('merged', 5, 2, 2, 5), ('merged', 6, 1, 3, null),
+  ('shorter', 1, 1, 1, 1), ('shorter', 2, 1, 3, null), ('urls', 1, 1, 1, 1), ('urls', 2, 2, 2, 2), ('urls', 3, 1, 3, null)) t(way, n, level, k, page)""",
     "file_visible_text": "select p_partkey, false as shown, substr(p_name, 1, 1) || 'xyzkw' as text from part union all select p_partkey, true, substr(p_name, 1, 1) || 'k' from part",
     "file_embedded_text": "select p_partkey, 'outer' || p_partkey || ' middle inner' || p_partkey as text from part",
     "file_operators": "select op, cast(n * (select count(*) from part) as bigint) as uses from (values " + ", ".join(f"('{op}', {n})" for op, n in _USES.items()) + ") t(op, n)",
@@ -362,4 +404,4 @@ SQL: dict[str, str] = {
     + " from (select *, l_linenumber::double as x, l_quantity + 20 as y from lineitem)",
 }
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (file_graphics, file_text_state, file_encodings, file_filters, file_articles, file_paths, file_visible_text, file_embedded_text, file_operators, calc_operators)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (file_graphics, file_text_state, file_encodings, file_filters, file_articles, file_paths, file_visible_text, file_embedded_text, file_edits, file_edited_bookmarks, file_operators, calc_operators)}

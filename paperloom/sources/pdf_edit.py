@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.cos import Damaged, Document, Name, Ref, Stream, open_document
+from paperloom.functions.content import after_image, target_page
+from paperloom.functions.cos import Damaged, Document, Keyword, Lexer, Name, Ref, Stream, open_document
 from paperloom.functions.encryption import _PADDING, PERMISSIONS, rc4
 from paperloom.sources.pdf_writer import write_file, write_value
 
@@ -25,12 +26,13 @@ class Builder:
         self.objects: dict[int, Any] = {1: None, 2: None}
         self.kids: list[Ref] = []
         self.fields: list[Ref] = []
-        self.titles: list[tuple[str, Ref]] = []
+        self.bookmarks: list[tuple[int, Any, Ref | None, Any]] = []  # level, title, page, action
+        self._last = 2
 
     def number(self) -> int:
-        n = max(self.objects) + 1
-        self.objects[n] = None
-        return n
+        self._last += 1
+        self.objects[self._last] = None
+        return self._last
 
     def add_pages(self, document: Document, numbers: Iterable[int] | None = None, decode: bool = False) -> None:
         """Append a file's pages, all or those numbered from 1; unknown numbers are left out."""
@@ -74,12 +76,43 @@ class Builder:
         for field in document.of(form, "Fields") or []:
             if isinstance(field, Ref):
                 self.fields.append(copy(field))
+        for level, item in _bookmarks(document):
+            action = document.of(item, "A")
+            target = target_page(document, item.get("Dest") if item.get("Dest") is not None else document.of(action, "D"))
+            place = places.get(target) if target is not None else None
+            if target is None or place is not None:  # one that leads to a page that is left out goes as well
+                self.bookmarks.append((level, copy(item.get("Title")), Ref(place, 0) if place is not None else None, copy(action) if target is None and isinstance(action, dict) else None))
         while queue:
             place, value = queue.pop()
             self.objects[place] = copy(value)
 
+    def _outline(self) -> Ref | None:
+        """Objects of all bookmarks; one whose parent is gone moves up."""
+        if not self.bookmarks:
+            return None
+        root = self.number()
+        kids: dict[int, list[int]] = {root: []}
+        above = [(0, root)]
+        for level, title, page, action in self.bookmarks:
+            while above[-1][0] >= level:
+                above.pop()
+            place, parent = self.number(), above[-1][1]
+            self.objects[place] = {"Title": title, "Parent": Ref(parent, 0)} | ({"Dest": [page, Name("Fit")]} if page else {}) | ({"A": action} if action else {})
+            kids[parent].append(place)
+            kids[place] = []
+            above.append((level, place))
+        for parent, own in kids.items():
+            holder = self.objects[parent] if parent != root else {"Type": Name("Outlines")}
+            if own:
+                holder |= {"First": Ref(own[0], 0), "Last": Ref(own[-1], 0), "Count": len(own)}
+            for a, b in zip(own, own[1:]):
+                self.objects[a]["Next"], self.objects[b]["Prev"] = Ref(b, 0), Ref(a, 0)
+            self.objects[parent] = holder
+        return Ref(root, 0)
+
     def bytes(self, packed: bool = False, info: dict[str, str] | None = None) -> bytes:
-        self.objects[1] = {"Type": Name("Catalog"), "Pages": Ref(2, 0)} | ({"AcroForm": {"Fields": self.fields}} if self.fields else {})
+        outline = self._outline()
+        self.objects[1] = {"Type": Name("Catalog"), "Pages": Ref(2, 0)} | ({"AcroForm": {"Fields": self.fields}} if self.fields else {}) | ({"Outlines": outline} if outline else {})
         self.objects[2] = {"Type": Name("Pages"), "Kids": self.kids, "Count": len(self.kids)}
         about = None
         if info:
@@ -88,6 +121,85 @@ class Builder:
         return write_file(self.objects, 1, about, packed)
 
 
+def _bookmarks(document: Document) -> Iterator[tuple[int, dict]]:
+    """A file's bookmarks in order with their level from 1."""
+    stack, seen = [(document.of(document.catalog.get("Outlines"), "First"), 1)], set()
+    while stack:
+        item, level = stack.pop()
+        if isinstance(item, dict) and id(item) not in seen:
+            seen.add(id(item))
+            yield level, item
+            stack.append((document.of(item, "Next"), level))
+            stack.append((document.of(item, "First"), level + 1))
+
+
+def without_pages(data: bytes, numbers: Iterable[int], password: str = "") -> bytes:
+    """A file without some of its pages."""
+    document, gone = open_document(data, password), set(numbers)
+    builder = Builder()
+    builder.add_pages(document, [n for n in range(1, len(document.pages()) + 1) if n not in gone])
+    return builder.bytes()
+
+
+def with_urls(data: bytes, replaced: dict[str, str], password: str = "") -> bytes:
+    """A file whose links to some addresses lead to others."""
+    builder = Builder()
+    builder.add_pages(open_document(data, password))
+
+    def change(value: Any) -> None:
+        if isinstance(value, dict):
+            address = value.get("URI")
+            if value.get("S") == "URI" and isinstance(address, bytes) and (new := replaced.get(address.decode("latin-1"))) is not None:
+                value["URI"] = new.encode("latin-1")
+            for inner in value.values():
+                change(inner)
+        elif isinstance(value, list):
+            for inner in value:
+                change(inner)
+        elif isinstance(value, Stream):
+            change(value.dictionary)
+
+    for value in builder.objects.values():
+        change(value)
+    for _, _, _, action in builder.bookmarks:
+        change(action)
+    return builder.bytes()
+
+
+def content_without_text(content: bytes) -> bytes:
+    """A content stream without what shows text; all else stands as it is."""
+    out, lexer, start = [], Lexer(content, 0, references=False), 0
+    while True:
+        try:
+            value = lexer.read()
+        except EOFError:
+            break
+        except ValueError:
+            lexer.at += 1
+            continue
+        if isinstance(value, Keyword) and value not in (b"]", b">>", b"}", b"{", b")", b">"):
+            if value == b"BI":
+                lexer.at = after_image(content, lexer.at)
+            if value not in (b"Tj", b"TJ", b"'", b'"'):
+                out.append(content[start : lexer.at])
+            start = lexer.at
+    return b" ".join(out)
+
+
+def without_text(data: bytes, password: str = "") -> bytes:
+    """A file whose pages and forms show no text."""
+    document = open_document(data, password)
+    builder = Builder()
+    builder.add_pages(document, decode=True)
+    holders = [v for v in builder.objects.values() if isinstance(v, Stream) and v.dictionary.get("Subtype") == "Form"]
+    for page in (v for v in builder.objects.values() if isinstance(v, dict) and v.get("Type") == "Page"):
+        parts = page.get("Contents")
+        holders += [builder.objects.get(r.number) for r in (parts if isinstance(parts, list) else [parts]) if isinstance(r, Ref)]
+    for stream in {id(h): h for h in holders if isinstance(h, Stream)}.values():
+        stream.raw = content_without_text(stream.raw)
+    return builder.bytes()
+
+
 def extract_pages(data: bytes, numbers: Iterable[int], password: str = "") -> bytes:
     """A file of some pages of another, in the order given."""
     builder = Builder()
@@ -96,7 +208,7 @@ def extract_pages(data: bytes, numbers: Iterable[int], password: str = "") -> by
 
 
 def merge_files(files: Iterable[bytes], packed: bool = False) -> bytes:
-    """One file of all pages of others, in order, with their form fields."""
+    """One file of all pages of others, in order, with their form fields and bookmarks."""
     builder = Builder()
     for data in files:
         builder.add_pages(open_document(data))

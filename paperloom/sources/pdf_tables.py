@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from paperloom.functions.content import box_of, operations, page_content, page_glyphs, text_string
+from paperloom.functions.content import box_of, operations, page_content, page_glyphs, target_page, text_string, tree_entries
 from paperloom.functions.cos import Damaged, Document, Name, Ref, Stream, open_document, version_of
 from paperloom.functions.encryption import PERMISSIONS
 from paperloom.functions.fonts import use_resources
@@ -220,28 +220,10 @@ def pages(files: DataFrame, password: str = "") -> DataFrame:
     return _table(files, PAGES, rows, password)
 
 
-def _numbers(d: Document, tree: Any) -> list[tuple[Any, Any]]:
-    """Entries of a name or number tree in order."""
-    out, stack, seen = [], [tree], set()
-    while stack:
-        node = stack.pop()
-        if isinstance(node, Ref):
-            if node in seen:
-                continue
-            seen.add(node)
-        for key in ("Nums", "Names"):
-            entries = d.of(node, key)
-            if isinstance(entries, list):
-                out += [(d.get(k), v) for k, v in zip(entries[::2], entries[1::2])]
-        kids = d.of(node, "Kids")
-        stack.extend(reversed(kids if isinstance(kids, list) else []))
-    return out
-
-
 def _label_ranges(d: Document) -> list[tuple[int, str | None, str, int]]:
     """``(first page from 0, style, prefix, first number)`` of each range of labels."""
     out = []
-    for first, entry in _numbers(d, d.catalog.get("PageLabels")):
+    for first, entry in tree_entries(d, d.catalog.get("PageLabels")):
         if isinstance(first, int):
             start = d.of(entry, "St")
             out.append((first, str(s) if (s := d.of(entry, "S")) else None, _text(d, d.of(entry, "P")) or "", start if isinstance(start, int) else 1))
@@ -360,20 +342,12 @@ def fonts(files: DataFrame, password: str = "") -> DataFrame:
 
 
 def _target_page(d: Document, dest: Any, numbers: dict[int, int]) -> int | None:
-    """The page of a destination: given as an array, by name, or in a dictionary."""
-    dest = d.get(dest)
-    if isinstance(dest, (Name, bytes)):
-        name = str(dest) if isinstance(dest, Name) else text_string(dest)
-        old = d.of(d.of(d.catalog, "Dests"), name)
-        dest = old if old is not None else next((d.get(v) for k, v in _numbers(d, d.of(d.catalog.get("Names"), "Dests")) if isinstance(k, bytes) and text_string(k) == name), None)
-    if isinstance(dest, dict):
-        dest = d.of(dest, "D")
-    if isinstance(dest, list) and dest:
-        if isinstance(dest[0], Ref):
-            return numbers.get(dest[0].number)
-        if isinstance(dest[0], int):
-            return dest[0] + 1
-    return None
+    """The page of a destination; remote ones give its number."""
+    if (found := target_page(d, dest)) is not None:
+        return numbers.get(found)
+    value = d.get(dest)
+    value = d.of(value, "D") if isinstance(value, dict) else value
+    return value[0] + 1 if isinstance(value, list) and value and isinstance(value[0], int) else None
 
 
 def outline(files: DataFrame, password: str = "") -> DataFrame:
@@ -480,7 +454,7 @@ def attachments(files: DataFrame, password: str = "") -> DataFrame:
     """Embedded files (`ATTACHMENTS`); read them again with these readers for PDFs in PDFs."""
 
     def rows(d: Document, path: str) -> Iterator[tuple]:
-        for key, value in _numbers(d, d.of(d.catalog.get("Names"), "EmbeddedFiles")):
+        for key, value in tree_entries(d, d.of(d.catalog.get("Names"), "EmbeddedFiles")):
             spec = d.get(value)
             stream = d.of(d.of(spec, "EF"), "UF", "F")
             if isinstance(stream, Stream):
@@ -638,7 +612,7 @@ def destinations(files: DataFrame, password: str = "") -> DataFrame:
         numbers = _page_numbers(d)
         old = d.get(d.catalog.get("Dests"))
         named = list(old.items()) if isinstance(old, dict) else []
-        named += [(text_string(k), v) for k, v in _numbers(d, d.of(d.catalog.get("Names"), "Dests")) if isinstance(k, bytes)]
+        named += [(text_string(k), v) for k, v in tree_entries(d, d.of(d.catalog.get("Names"), "Dests")) if isinstance(k, bytes)]
         for name, value in named:
             value = d.get(value)
             value = d.of(value, "D") if isinstance(value, dict) else value

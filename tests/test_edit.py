@@ -57,3 +57,23 @@ def test_tables(spark):
     files = spark.createDataFrame([("a", LONG, 1), ("b", b"broken", 1), ("c", text_to_pdf("x"), 2), ("d", None, 2)], "path string, content binary, g int")
     assert sorted((r.path, r.part_no) for r in E.split_files(files, 2).collect()) == [("a", 0), ("a", 1), ("c", 0)]
     assert {r.g: len(texts(bytes(r.content))) for r in E.merge_by(files, "g").collect()} == {"1": 3, "2": 1}
+
+
+def test_contents_without_text():
+    from paperloom.sources.pdf_edit import content_without_text
+
+    kept = content_without_text(b"q 1 0 0 rg (a) Tj [(b) 3 (c)] TJ BI /W 1 ID (x) Tj EI 0 0 5 5 re f T* (d) ' 1 2 (e) \" Q")
+    assert b"(x) Tj EI" in kept and b"5 re f" in kept and b"1 0 0 rg" in kept and kept.rstrip().endswith(b"Q")
+    assert not any(part in kept for part in (b"(a)", b"(b)", b"(d)", b"(e)")) and content_without_text(b"") == b""
+
+
+def test_bookmarks_of_pages_that_are_left_out():
+    from paperloom.functions.cos import open_document
+    from paperloom.plans.catalogue_queries import part_file
+    from paperloom.sources.pdf_edit import _bookmarks, extract_pages, merge_files, without_pages
+
+    data = part_file(1, "name", "brand", 7)
+    titles = lambda d: [(level, item["Title"]) for level, item in _bookmarks(open_document(d))]
+    assert [level for level, _ in titles(merge_files([data, data]))] == [1, 2, 1, 1, 2, 1]
+    # the second bookmark's page stays though its parent's goes: it moves up
+    assert [level for level, _ in titles(without_pages(data, [1]))] == [1, 1] and len(titles(extract_pages(data, [3]))) == 1
