@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.content import after_image, target_page
@@ -359,22 +359,32 @@ def split_files(files: DataFrame, every: int) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, part_no int, content binary")
 
 
-def merge_by(files: DataFrame, group: str, order: str = "path") -> DataFrame:
-    """``group, content``: one file of each group's files in order.
+def merge_by(files: DataFrame, group: str, order: str = "path", fan: int = 16) -> DataFrame:
+    """``group, content``: one file of each group's files in order; unreadable parts are left out.
 
-    The result is one file, so its parts meet in one task; unreadable parts are left out.
+    Files are merged ``fan`` at a time, and these again, so that no task ever
+    holds all files of a large group; only the last merge of a group holds its
+    one result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for i in range(batch.num_rows):
+                key, n, parts = (batch.column(k)[i].as_py() for k in range(3))
                 builder = Builder()
                 for part in parts:
                     try:
                         builder.add_pages(open_document(part["content"] or b""))
                     except Damaged:
                         continue
-                yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([builder.bytes()], pa.binary())], names=["key", "content"])
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.string()), pa.array([n], pa.int64()), pa.array([builder.bytes()], pa.binary())], names=["key", "n", "content"])
 
-    rows = files.groupBy(F.col(group).cast("string").alias("key")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "content"))).alias("parts"))
-    return rows.mapInArrow(run, "key string, content binary").withColumnRenamed("key", group)
+    place = F.row_number().over(Window.partitionBy("key").orderBy("o")).cast("bigint")
+    level = files.select(F.col(group).cast("string").alias("key"), F.col(order).alias("o"), "content").withColumn("n", place).drop("o")
+    left = files.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    while True:
+        bundles = level.groupBy("key", F.floor((F.col("n") - 1) / fan).cast("bigint").alias("n")).agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("o"), "content"))).alias("parts"))
+        level = bundles.mapInArrow(run, "key string, n bigint, content binary").withColumn("n", F.col("n") + 1)
+        left = -(-left // fan)
+        if left <= 1:
+            return level.drop("n").withColumnRenamed("key", group)

@@ -77,3 +77,16 @@ def test_bookmarks_of_pages_that_are_left_out():
     assert [level for level, _ in titles(merge_files([data, data]))] == [1, 2, 1, 1, 2, 1]
     # the second bookmark's page stays though its parent's goes: it moves up
     assert [level for level, _ in titles(without_pages(data, [1]))] == [1, 1] and len(titles(extract_pages(data, [3]))) == 1
+
+
+def test_large_groups_are_merged_in_steps(spark):
+    from paperloom.sources import pdf_tables as T
+    from paperloom.sources.pdf_edit import merge_by
+    from paperloom.sources.pdf_writer import text_to_pdf
+
+    rows = [("a", f"{i:02d}", bytearray(text_to_pdf(f"w{i}"))) for i in range(11)] + [("b", "00", bytearray(text_to_pdf("only"))), ("b", "01", bytearray(b"broken")), (None, "00", None)]
+    files = spark.createDataFrame(rows, "g string, path string, content binary")
+    merged = merge_by(files, "g", fan=3)
+    texts = {r.path: r.text for r in T.document_text(merged.selectExpr("coalesce(g, '-') path", "content")).collect()}
+    assert texts["a"].split() == [f"w{i}" for i in range(11)] and texts["b"] == "only" and texts["-"] == ""
+    assert merge_by(files.limit(0), "g").count() == 0
