@@ -20,6 +20,11 @@ _DELIMITERS = b"()<>[]{}/%"
 _REGULAR = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]+")
 _SKIP = re.compile(rb"(?:[\0\t\n\f\r ]+|%[^\r\n]*)*")
 _NUMBER = re.compile(rb"[+-]*(?:\d+\.?\d*|\.\d+)(?:-\d+)?")
+#: White space and what begins a comment.
+_SKIPPED = b"\0\t\n\f\r %"
+#: A number as nearly all are written, with what ends it; and an array of such.
+_USUAL = re.compile(rb"-?\d+(\.\d*)?(?=[\t\n\f\r \[\](<>/)])")
+_NUMBERS = re.compile(rb"([\t\n\f\r 0-9.-]*)\]")
 _REFERENCE = re.compile(rb"(\d{1,10})[\0\t\n\f\r ]+(\d{1,5})[\0\t\n\f\r ]+R(?![^\0\t\n\f\r ()<>\[\]{}/%])")
 _OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})[\0\t\n\f\r ]+(\d{1,5})[\0\t\n\f\r ]+obj\b")
 _ESCAPES = {0x6E: 10, 0x72: 13, 0x74: 9, 0x62: 8, 0x66: 12}
@@ -64,11 +69,16 @@ class Lexer:
 
     def read(self, depth: int = 0) -> Any:
         """The next object or `Keyword`; EOFError at the end."""
-        data = self.data
-        self.skip()
-        if self.at >= len(data):
-            raise EOFError
-        c = data[self.at]
+        data, at = self.data, self.at
+        c = data[at] if at < len(data) else 0x20
+        if c == 0x20 and at + 1 < len(data):  # most often one space
+            self.at = at + 1
+            c = data[at + 1]
+        if c in _SKIPPED:
+            self.skip()
+            if self.at >= len(data):
+                raise EOFError
+            c = data[self.at]
         if c == 0x2F:  # /
             return self._name()
         if 0x30 <= c <= 0x39 or c in b"+-.":
@@ -104,6 +114,9 @@ class Lexer:
             return Name(raw.decode("latin-1"))
 
     def _number(self) -> Any:
+        if (not self.references or self.data[self.at] in b"+-.") and (m := _USUAL.match(self.data, self.at)):
+            self.at = m.end()
+            return int(m[0]) if m[1] is None else float(m[0])
         if self.references and (m := _REFERENCE.match(self.data, self.at)):
             self.at = m.end()
             return Ref(int(m[1]), int(m[2]))
@@ -121,6 +134,11 @@ class Lexer:
         return -value if negative else value
 
     def _string(self) -> bytes:
+        end = self.data.find(b")", self.at)
+        plain = self.data[self.at + 1 : end] if end >= 0 else b"\\"
+        if b"\\" not in plain and b"(" not in plain and b"\r" not in plain:
+            self.at = end + 1
+            return plain
         data, i, out, depth = self.data, self.at + 1, bytearray(), 1
         while i < len(data):
             c = data[i]
@@ -168,6 +186,14 @@ class Lexer:
         if depth > MAX_DEPTH:
             raise Damaged("objects are nested too deep")
         self.at += 1
+        if (m := _NUMBERS.match(self.data, self.at)) is not None:  # numbers alone
+            try:
+                found = [float(v) if b"." in v else int(v) for v in m[1].split()]
+            except ValueError:  # odd ones are read one by one
+                pass
+            else:
+                self.at = m.end()
+                return found
         out: list = []
         while True:
             try:

@@ -329,7 +329,7 @@ class Font:
         symbolic = bool(flags & 4)
         first = get("FirstChar") or 0
         for i, width in enumerate(get("Widths") or []):
-            width = document.get(width)
+            width = width if type(width) in (int, float) else document.get(width)
             if isinstance(width, (int, float)):
                 self.widths[first + i] = float(width)
         self.default = float(document.of(descriptor, "MissingWidth") or 0)
@@ -365,12 +365,12 @@ class Font:
         names = [document.of(collection, k) for k in ("Registry", "Ordering")]
         self.characters = stored("-".join([*(n.decode("latin-1") for n in names), "UCS2"])) if all(isinstance(n, bytes) for n in names) and names[1] != b"Identity" else None
         self.default = float(document.of(inner, "DW") if document.of(inner, "DW") is not None else 1000)
-        entries = [document.get(w) for w in document.of(inner, "W") or []]
+        entries = [w if type(w) is int else document.get(w) for w in document.of(inner, "W") or []]
         i = 0
         while i + 1 < len(entries):
             if isinstance(entries[i + 1], list):
                 for k, width in enumerate(entries[i + 1]):
-                    self.widths[entries[i] + k] = float(document.get(width) or 0)
+                    self.widths[entries[i] + k] = float(width if type(width) in (int, float) else document.get(width) or 0)
                 i += 2
             elif i + 2 < len(entries):
                 self.ranges.append((int(entries[i]), int(entries[i + 1]), float(entries[i + 2] or 0)))
