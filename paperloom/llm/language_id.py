@@ -33,7 +33,7 @@ _CODES = {name: code for code, names in NAMES.items() for name in names}
 LANGUAGES = list(NAMES)
 
 #: Labelled texts of each language that the centroids are fitted to, at most.
-SAMPLE_ROWS = 500
+SAMPLE_ROWS = 300
 CLUSTERS = 3
 BITS = 15
 SIZE = 1 << BITS
