@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.markup import xmp_table
-from paperloom.session import table
+from paperloom.session import spread, table
 from paperloom.sources import pdf_tables as T
 
 
@@ -105,7 +105,7 @@ def _made(spark: SparkSession, folder: str, make: Callable[..., bytes], *columns
             rows = list(zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))))
             yield pa.RecordBatch.from_arrays([pa.array([str(r[0]) for r in rows], pa.string()), pa.array([make(*r) for r in rows], pa.binary())], names=["path", "content"])
 
-    return table(spark, folder, "part").select(*columns).mapInArrow(run, "path string, content binary")
+    return spread(table(spark, folder, "part").select(*columns)).mapInArrow(run, "path string, content binary")
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:

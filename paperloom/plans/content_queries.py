@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.calculator import calculator_columns
 from paperloom.plans.catalogue_queries import _made, assembled, part_file
-from paperloom.session import durable, ensure_checkpoint_dir, table
+from paperloom.session import durable, ensure_checkpoint_dir, spread, table
 from paperloom.sources import pdf_edit, sinks
 from paperloom.sources import pdf_tables as T
 
@@ -318,7 +318,7 @@ def _edits(spark: SparkSession, folder: str) -> DataFrame:
             rows = [(f"{r[0]}/{way}", data) for r in zip(*(batch.column(i).to_pylist() for i in range(4))) for way, data in zip(("merged", "shorter", "urls", "textless"), _edited(*r))]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([d for _, d in rows], pa.binary())], names=["path", "content"])
 
-    return table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size").mapInArrow(run, "path string, content binary")
+    return spread(table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size")).mapInArrow(run, "path string, content binary")
 
 
 def _by_way() -> list[Column]:
