@@ -218,7 +218,7 @@ def file_form_data(spark: SparkSession, folder: str) -> DataFrame:
 
 def file_object_types(spark: SparkSession, folder: str) -> DataFrame:
     """Numbered objects by type, with the bytes of their streams."""
-    rows = T.objects(_files(spark, folder)).groupBy("type").agg(F.count("*").alias("objects"), F.count("raw_len").alias("streams"), F.sum("decoded_len").alias("size"))
+    rows = T.objects(_files(spark, folder), columns=["type", "raw_len", "decoded_len"]).groupBy("type").agg(F.count("*").alias("objects"), F.count("raw_len").alias("streams"), F.sum("decoded_len").alias("size"))
     return rows.where("type in ('Page', 'Pages', 'OCG', 'EmbeddedFile', 'Annot')")
 
 

@@ -182,8 +182,9 @@ def _plain(value: Any) -> Any:
     return _plain(value.dictionary) if isinstance(value, Stream) else value
 
 
-def objects(files: DataFrame, password: str = "") -> DataFrame:
-    """All numbered objects (`OBJECTS`); ``value`` is JSON."""
+def objects(files: DataFrame, password: str = "", columns: list[str] | None = None) -> DataFrame:
+    """All numbered objects (`OBJECTS`, or only some ``columns``); ``value`` is JSON."""
+    shown = columns is None or "value" in columns
 
     def rows(d: Document, path: str) -> Iterator[tuple]:
         for number in sorted(d.places):
@@ -191,9 +192,9 @@ def objects(files: DataFrame, password: str = "") -> DataFrame:
             names = [n for n, _ in d.filters(value)] if isinstance(value, Stream) else None
             sizes = (len(value.raw), len(d.decoded(value))) if isinstance(value, Stream) else (None, None)
             kind, sub = (_text(d, d.of(value, k)) if isinstance(value, (dict, Stream)) else None for k in ("Type", "Subtype"))
-            yield path, number, d.places[number][2] if d.places[number][0] == 1 else 0, kind, sub, json.dumps(_plain(value), ensure_ascii=False), names, *sizes
+            yield path, number, d.places[number][2] if d.places[number][0] == 1 else 0, kind, sub, json.dumps(_plain(value), ensure_ascii=False) if shown else None, names, *sizes
 
-    return _table(files, OBJECTS, rows, password)
+    return _table(files, OBJECTS, rows, password, columns)
 
 
 def _page_numbers(d: Document) -> dict[int, int]:
