@@ -192,7 +192,7 @@ def encodings_file(key: int, name: str) -> bytes:
 def file_encodings(spark: SparkSession, folder: str) -> DataFrame:
     """FNT-02, FNT-05, CMP-01, ENC-01 to ENC-04: what the codes of fonts of all kinds and encodings say."""
     run = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "unicode"))), lambda g: g["unicode"]), "").alias("text")
-    return T.glyphs(_made(spark, folder, encodings_file, "p_partkey", "p_name")).groupBy(F.col("path").cast("bigint").alias("p_partkey"), "page_no").agg(run)
+    return T.glyphs(_made(spark, folder, encodings_file, "p_partkey", "p_name"), columns=["path", "page_no", "seq", "unicode"]).groupBy(F.col("path").cast("bigint").alias("p_partkey"), "page_no").agg(run)
 
 
 def _png(rows: list[bytes], kind: int) -> bytes:
