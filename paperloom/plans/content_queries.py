@@ -327,12 +327,10 @@ def _by_way() -> list[Column]:
 
 def file_edits(spark: SparkSession, folder: str) -> DataFrame:
     """MPD-01, MPD-07: pages, glyphs and links of files that were merged, shortened, given other addresses, and rid of text."""
-    files = _edits(spark, folder)
-    pages = T.pages(files).groupBy("path").agg(F.count("*").alias("pages"))
-    shown = T.glyphs(files, columns=["path", "unicode"]).groupBy("path").agg(F.count("*").alias("glyphs"))
-    links = T.annotations(files).where("uri is not null").groupBy("path").agg(F.max("uri").alias("uri"), F.count("*").alias("links"))
-    rows = pages.join(shown, "path", "left").join(links, "path", "left")
-    return rows.select(*_by_way(), "pages", F.coalesce("glyphs", F.lit(0)).alias("glyphs"), "uri", F.coalesce("links", F.lit(0)).alias("links"))
+    rows = T.together(_edits(spark, folder), page=(T.pages, ["page_no"]), glyph=(T.glyphs, ["seq"]), link=(T.annotations, ["uri"]))
+    of = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    found = rows.groupBy("path").agg(of("page").alias("pages"), of("glyph").alias("glyphs"), F.max("link.uri").alias("uri"), F.count("link.uri").alias("links"))
+    return found.where("pages > 0").select(*_by_way(), "pages", "glyphs", "uri", "links")
 
 
 def file_edited_bookmarks(spark: SparkSession, folder: str) -> DataFrame:

@@ -88,9 +88,59 @@ def read_file_list(spark: SparkSession, path: str) -> DataFrame:
     return listed.mapInArrow(run, schema)
 
 
+class _Asked:
+    """Stands for files and notes what a reader would do with them."""
+
+    def __init__(self) -> None:
+        self.readers: list[tuple[StructType, Callable[[Document, str], Iterator[tuple]]]] = []
+
+
+def together(files: DataFrame, password: str = "", **readers: tuple[Callable[..., Any], list[str]]) -> DataFrame:
+    """``path, kind`` and a structure of the columns of each reader: the rows of several readers, of which each file is parsed once.
+
+    A reader is given as its function and its columns besides ``path``; in a
+    row of ``kind`` only the structure of that name is there.
+    """
+    asked, kinds = _Asked(), list(readers)
+    for read, _ in readers.values():
+        read(asked, password)
+    schema = StructType.fromDDL("path string, kind string")
+    picked = []
+    for kind, (every, _), (_, columns) in zip(kinds, asked.readers, readers.values()):
+        schema = schema.add(kind, StructType([every[c] for c in columns]))
+        picked.append([(c, every.names.index(c)) for c in columns])
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            arrays = [pa.array(list(c), f.type) for c, f in zip(zip(*block), target)] if block else [pa.array([], f.type) for f in target]
+            block.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=target.names)
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    document = open_document(content or b"", password)
+                except (Damaged, RecursionError):
+                    continue
+                for k, (_, rows) in enumerate(asked.readers):
+                    for row in rows(document, path):
+                        found = {c: row[i] for c, i in picked[k]}
+                        block.append((path, kinds[k], *(found if k == j else None for j in range(len(kinds)))))
+                        if len(block) >= BATCH_ROWS:
+                            yield out()
+        yield out()
+
+    return files.select("path", "content").mapInArrow(run, schema)
+
+
 def _table(files: DataFrame, schema: str, rows: Callable[[Document, str], Iterator[tuple]], password: str = "", columns: list[str] | None = None) -> DataFrame:
     """Rows of each file; of ``columns``, if given, only these leave the reader."""
     every = StructType.fromDDL(schema)
+    if isinstance(files, _Asked):
+        return files.readers.append((every, rows))
     kept = StructType([every[c] for c in columns]) if columns is not None else every
     target = to_arrow_schema(kept)
     picked = itemgetter(*(every.names.index(c) for c in columns)) if columns is not None and len(columns) > 1 else (lambda row, i=every.names.index(columns[0]): (row[i],)) if columns else None
