@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.markup import xmp_table
-from paperloom.session import spread, table
+from paperloom.session import durable, spread, table
 from paperloom.sources import pdf_tables as T
 
 
@@ -224,10 +224,11 @@ def file_object_types(spark: SparkSession, folder: str) -> DataFrame:
 
 def file_between_bookmarks(spark: SparkSession, folder: str) -> DataFrame:
     """FIL-02: pages from one bookmark to another."""
-    files = _files(spark, folder)
-    return _keyed(T.between_bookmarks(T.pages(files).select("path", "page_no"), T.outline(files), None, "web").select("path", "page_no"), "page_no").unionByName(
-        _keyed(T.between_bookmarks(T.pages(files).select("path", "page_no"), T.outline(files).withColumn("title", F.when(F.col("level") == 2, F.lit("second")).otherwise(F.col("title"))), "second"), "page_no")
-    )
+    rows = T.together(_files(spark, folder), page=(T.pages, ["page_no"]), mark=(T.outline, ["level", "title", "page_no"]))
+    rows = durable(rows.select("path", "kind", "mark.level", "mark.title", F.coalesce("page.page_no", "mark.page_no").alias("page_no")))
+    pages, marks = (rows.where(F.col("kind") == kind).drop("kind") for kind in ("page", "mark"))
+    second = marks.withColumn("title", F.when(F.col("level") == 2, F.lit("second")).otherwise(F.col("title")))
+    return _keyed(T.between_bookmarks(pages.select("path", "page_no"), marks, None, "web"), "page_no").unionByName(_keyed(T.between_bookmarks(pages.select("path", "page_no"), second, "second"), "page_no"))
 
 
 def _rows(*cases: str) -> str:

@@ -44,7 +44,7 @@ def test_members_and_tables_are_read_at_once(monkeypatch):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize(("name", "most"), [("file_edits", 1)])
+@pytest.mark.parametrize(("name", "most"), [("file_edits", 1), ("file_between_bookmarks", 0)])
 def test_files_are_read_once_for_several_tables(spark, name, most):
     plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Scan parquet") == most
