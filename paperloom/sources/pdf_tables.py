@@ -350,6 +350,11 @@ def page_text(files: DataFrame, config: Config | None = None, password: str = ""
     return _table(files, PAGE_TEXT, rows, password)
 
 
+def _text_of(d: Document, c: Config) -> str:
+    parts = [assemble([(g.unicode, g.a, g.b, g.tx, g.ty, g.height, g.width, g.space_width, w, h) for g in found], c) for _, found, (w, h) in _page_rows(d)]
+    return c.page_separator.join(p for p in parts if p).encode("utf-8", "replace").decode()
+
+
 def document_text(files: DataFrame, config: Config | None = None, password: str = "", resources: str = "") -> DataFrame:
     """``path, status, n_pages, text`` of each file: the texts of its pages in order; an unreadable one has status 'error' and no text."""
     c = config or Config()
@@ -361,9 +366,7 @@ def document_text(files: DataFrame, config: Config | None = None, password: str
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
                     d = open_document(content or b"", password)
-                    parts = [assemble([(g.unicode, g.a, g.b, g.tx, g.ty, g.height, g.width, g.space_width, w, h) for g in found], c) for _, found, (w, h) in _page_rows(d)]
-                    text = c.page_separator.join(p for p in parts if p)
-                    rows.append((path, "ok", len(d.pages()), text.encode("utf-8", "replace").decode()))
+                    rows.append((path, "ok", len(d.pages()), _text_of(d, c)))
                 except (Damaged, RecursionError):
                     rows.append((path, "error", None, None))
             columns = list(zip(*rows)) or [[]] * 4
@@ -515,30 +518,69 @@ def attachments(files: DataFrame, password: str = "") -> DataFrame:
     return _table(files, ATTACHMENTS, rows, password)
 
 
+def _attached() -> Callable[[Document, str], Iterator[tuple]]:
+    """What `attachments` does with a file."""
+    asked = _Asked()
+    attachments(asked)
+    return asked.readers[0][1]
+
+
+def _and_embedded(path: str | None, content: bytes | None, inner: Callable[[Document, str], Iterator[tuple]], password: str, depth: int) -> Iterator[tuple[str | None, int, bytes | None, Document | None]]:
+    """A file and the PDF files in it, level by level: path, level, bytes, and what was read of them."""
+    level = [(path, content)]
+    for n in range(depth + 1):
+        deeper = []
+        for place, data in level:
+            try:
+                document = open_document(data or b"", password)
+            except (Damaged, RecursionError):
+                document = None
+            yield place, n, data, document
+            if document is not None and place is not None and n < depth:
+                deeper += [("!".join(x for x in (place, name) if x is not None), found) for _, name, _, _, found in inner(document, place) if found.startswith(b"%PDF")]
+        level = deeper
+
+
 def with_embedded(files: DataFrame, password: str = "", depth: int = 3) -> DataFrame:
     """``path, origin, level, place, content``: files and the PDF files embedded in them, down to a depth.
 
     ``origin`` is the outermost file's path, ``path`` names the way through the
-    names of embedded files, ``place`` puts them in order behind it.
+    names of embedded files, ``place`` puts them in order behind it. All is
+    taken out in the task that holds the outermost file.
     """
-    level = files.select("path", F.col("path").alias("origin"), F.lit(0).alias("level"), F.col("path").alias("place"), "content")
-    found = level
-    for n in range(1, depth + 1):
-        inner = attachments(level.select("path", "content"), password).where("substring(content, 1, 4) = cast('%PDF' as binary)")
-        above = level.select("path", "origin", "place")
-        named = inner.withColumnRenamed("path", "outer").join(above.withColumnRenamed("path", "outer"), "outer")
-        level = named.select(F.concat_ws("!", "outer", "name").alias("path"), "origin", F.lit(n).alias("level"), F.concat_ws("!", "place", "name").alias("place"), "content")
-        found = found.unionByName(level)
-    return found
+
+    inner = _attached()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for origin, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows = [(path, origin, n, path, data) for path, n, data, _ in _and_embedded(origin, content, inner, password, depth)]
+                kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["path", "origin", "level", "place", "content"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, origin string, level int, place string, content binary")
 
 
 def text_with_embedded(files: DataFrame, config: Config | None = None, password: str = "", depth: int = 3) -> DataFrame:
-    """``path, text`` of each file, the texts of embedded files behind its own."""
-    every = with_embedded(files, password, depth)
-    texts = document_text(every.select("path", "content"), config, password).where("text is not null")
-    parts = every.select("path", "origin", "place").join(texts.select("path", "text"), "path")
+    """``path, text`` of each file, the texts of embedded files behind its own. Only texts leave the task that holds the file."""
+    c, inner = config or Config(), _attached()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for origin, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for place, _, _, document in _and_embedded(origin, content, inner, password, depth):
+                    try:
+                        if document is not None and place is not None:
+                            rows.append((origin, place, _text_of(document, c)))
+                    except (Damaged, RecursionError):
+                        continue
+            columns = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in columns], names=["path", "place", "text"])
+
+    parts = files.select("path", "content").mapInArrow(run, "path string, place string, text string")
     ordered = F.array_sort(F.collect_list(F.struct("place", "text")))
-    return parts.groupBy("origin").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text")).withColumnRenamed("origin", "path")
+    return parts.groupBy("path").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "\n").alias("text"))
 
 
 def metadata(files: DataFrame, password: str = "") -> DataFrame:
