@@ -7,9 +7,8 @@ again; the SQL tells what was put in.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,12 +99,7 @@ def form_file(key: int, name: str) -> bytes:
 
 
 def _made(spark: SparkSession, folder: str, make: Callable[..., bytes], *columns: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))))
-            yield pa.RecordBatch.from_arrays([pa.array([str(r[0]) for r in rows], pa.string()), pa.array([make(*r) for r in rows], pa.binary())], names=["path", "content"])
-
-    return spread(table(spark, folder, "part").select(*columns)).mapInArrow(run, "path string, content binary")
+    return T.made(spread(table(spark, folder, "part").select(*columns)), make)
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:

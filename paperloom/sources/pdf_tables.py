@@ -9,6 +9,7 @@ others, and a page that cannot be read gives none.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from operator import itemgetter
 from typing import Any
@@ -54,6 +55,8 @@ ATTACHMENTS = "path string, name string, description string, subtype string, con
 METADATA = "path string, packet string"
 STRUCTURE = "path string, node_no int, parent_no int, level int, type string, title string, alt string, page_no int"
 LAYERS = "path string, layer_no int, name string, visible boolean"
+#: What the texts of the dictionaries have that a reader is after.
+_FONT, _FONT_DESCRIPTOR, _ACTION, _FIELD = (re.compile(rb"/(?:%s)(?![^\0\t\n\f\r ()<>\[\]{}/%%])" % names) for names in (b"Font", b"FontDescriptor", b"A|OpenAction|Action", b"FT"))
 ACTIONS = "path string, trigger string, type string, target string"
 
 
@@ -88,6 +91,33 @@ def read_file_list(spark: SparkSession, path: str) -> DataFrame:
     return listed.mapInArrow(run, schema)
 
 
+def made(parts: DataFrame, make: Callable[..., bytes]) -> DataFrame:
+    """``path, content``: a file made of the columns of each row, the first of which is its path.
+
+    The readers here make such files in the task that reads them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = list(_contents(batch, make))
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([c for _, c in found], pa.binary())], names=["path", "content"])
+
+    files = parts.mapInArrow(run, "path string, content binary")
+    files.made_of = parts, make
+    return files
+
+
+def _contents(batch: pa.RecordBatch, make: Callable[..., bytes] | None) -> Iterator[tuple[str, bytes]]:
+    """Paths and contents of files, or of those that ``make`` makes of a batch's rows."""
+    rows = zip(*(c.to_pylist() for c in batch.columns))
+    return rows if make is None else ((str(row[0]), make(*row)) for row in rows)
+
+
+def _handed(files: DataFrame) -> tuple[DataFrame, Callable[..., bytes] | None]:
+    """What tasks get of files, and what makes the files of it."""
+    return getattr(files, "made_of", None) or (files.select("path", "content"), None)
+
+
 class _Asked:
     """Stands for files and notes what a reader would do with them."""
 
@@ -110,6 +140,7 @@ def together(files: DataFrame, password: str = "", **readers: tuple[Callable[...
         schema = schema.add(kind, StructType([every[c] for c in columns]))
         picked.append([(c, every.names.index(c)) for c in columns])
     target = to_arrow_schema(schema)
+    handed, make = _handed(files)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[tuple] = []
@@ -120,7 +151,7 @@ def together(files: DataFrame, password: str = "", **readers: tuple[Callable[...
             return pa.RecordBatch.from_arrays(arrays, names=target.names)
 
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, content in _contents(batch, make):
                 try:
                     document = open_document(content or b"", password)
                 except (Damaged, RecursionError):
@@ -133,7 +164,7 @@ def together(files: DataFrame, password: str = "", **readers: tuple[Callable[...
                             yield out()
         yield out()
 
-    return files.select("path", "content").mapInArrow(run, schema)
+    return handed.mapInArrow(run, schema)
 
 
 def _table(files: DataFrame, schema: str, rows: Callable[[Document, str], Iterator[tuple]], password: str = "", columns: list[str] | None = None) -> DataFrame:
@@ -143,6 +174,7 @@ def _table(files: DataFrame, schema: str, rows: Callable[[Document, str], Iterat
         return files.readers.append((every, rows))
     kept = StructType([every[c] for c in columns]) if columns is not None else every
     target = to_arrow_schema(kept)
+    handed, make = _handed(files)
     picked = itemgetter(*(every.names.index(c) for c in columns)) if columns is not None and len(columns) > 1 else (lambda row, i=every.names.index(columns[0]): (row[i],)) if columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,7 +186,7 @@ def _table(files: DataFrame, schema: str, rows: Callable[[Document, str], Iterat
             return pa.RecordBatch.from_arrays(columns, names=target.names)
 
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, content in _contents(batch, make):
                 try:
                     document = open_document(content or b"", password)
                 except (Damaged, RecursionError):
@@ -165,7 +197,7 @@ def _table(files: DataFrame, schema: str, rows: Callable[[Document, str], Iterat
                         yield out()
         yield out()
 
-    return files.select("path", "content").mapInArrow(run, kept)
+    return handed.mapInArrow(run, kept)
 
 
 def _text(document: Document, value: Any) -> str | None:
@@ -379,7 +411,7 @@ def fonts(files: DataFrame, password: str = "") -> DataFrame:
     """Font dictionaries of each file (`FONTS`)."""
 
     def rows(d: Document, path: str) -> Iterator[tuple]:
-        for number in sorted(d.places):
+        for number in d.numbers_with(_FONT):
             value = d.object(number)
             if not isinstance(value, dict) or value.get("Type") != "Font" or str(value.get("Subtype")).startswith("CIDFont"):
                 continue
