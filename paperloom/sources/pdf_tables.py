@@ -522,7 +522,7 @@ def images(files: DataFrame, password: str = "") -> DataFrame:
     """Image objects, each once, with their data behind all filters but those of images (`IMAGES`)."""
 
     def rows(d: Document, path: str) -> Iterator[tuple]:
-        for number in sorted(d.places):
+        for number in d.numbers_with():
             value = d.object(number)
             if not isinstance(value, Stream) or d.of(value, "Subtype") != "Image":
                 continue
