@@ -698,7 +698,7 @@ def signatures(files: DataFrame, password: str = "") -> DataFrame:
     """Signature fields with what they tell of themselves; nothing is verified (`SIGNATURES`)."""
 
     def rows(d: Document, path: str) -> Iterator[tuple]:
-        for number in sorted(d.places):
+        for number in d.numbers_with(_FIELD):
             field = d.object(number)
             if not isinstance(field, dict) or d.of(field, "FT") != "Sig" or not isinstance(value := d.of(field, "V"), dict):
                 continue
