@@ -666,7 +666,7 @@ def actions(files: DataFrame, password: str = "") -> DataFrame:
     """Actions that objects name, with their target (`ACTIONS`)."""
 
     def rows(d: Document, path: str) -> Iterator[tuple]:
-        for number in sorted(d.places):
+        for number in d.numbers_with(_ACTION):
             value = d.object(number)
             holders = [(f"{number}.{k}", d.get(value[k])) for k in ("A", "OpenAction") if isinstance(value, dict) and k in value]
             if isinstance(value, dict) and value.get("Type") == "Action":
