@@ -854,7 +854,7 @@ def font_files(files: DataFrame, password: str = "") -> DataFrame:
     """Embedded font programs, each descriptor's once (`FONT_FILES`)."""
 
     def rows(d: Document, path: str) -> Iterator[tuple]:
-        for number in sorted(d.places):
+        for number in d.numbers_with(_FONT_DESCRIPTOR):
             descriptor = d.object(number)
             if isinstance(descriptor, dict) and descriptor.get("Type") == "FontDescriptor":
                 for key, kind in (("FontFile", "type1"), ("FontFile2", "truetype"), ("FontFile3", "cff")):
