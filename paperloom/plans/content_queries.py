@@ -199,9 +199,11 @@ def _png(rows: list[bytes], kind: int) -> bytes:
     """Rows of bytes with a PNG predictor, as the PNG rules have it."""
     out, above = b"", bytes(len(rows[0]))
     for row in rows:
-        left = bytes([0]) + row[:-1]
-        upper = bytes([0]) + above[:-1]
-        guess = {0: bytes(len(row)), 1: left, 2: above, 3: bytes((a + b) // 2 for a, b in zip(left, above)), 4: bytes(min((a, b, c), key=lambda v, a=a, b=b, c=c: (abs(a + b - c - v), (a, b, c).index(v))) for a, b, c in zip(left, above, upper))}[kind]
+        left, upper = bytes([0]) + row[:-1], bytes([0]) + above[:-1]
+        if kind == 4:
+            guess = bytes(min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2] for a, b, c in zip(left, above, upper))
+        else:
+            guess = bytes((a + b) // 2 for a, b in zip(left, above)) if kind == 3 else (bytes(len(row)), left, above)[kind]
         out += bytes([kind]) + bytes((v - g) % 256 for v, g in zip(row, guess))
         above = row
     return out
