@@ -128,7 +128,7 @@ def text_file(key: int, size: int) -> bytes:
 
 def file_text_state(spark: SparkSession, folder: str) -> DataFrame:
     """All operators of text: where each glyph stands, how wide it is, and what it says."""
-    rows = T.glyphs(_made(spark, folder, text_file, "p_partkey", "p_size"))
+    rows = T.glyphs(_made(spark, folder, text_file, "p_partkey", "p_size"), columns=["path", "seq", "unicode", "tx", "ty", "width", "height", "font_name", "mcid", "mc_tag"])
     value = lambda c: F.round(F.col(c).cast("double"), 3).alias(c)
     return rows.select(F.col("path").cast("bigint").alias("p_partkey"), "seq", "unicode", value("tx"), value("ty"), value("width"), value("height"), F.col("font_name"), "mcid", "mc_tag")
 
