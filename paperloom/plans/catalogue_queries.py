@@ -99,7 +99,7 @@ def form_file(key: int, name: str) -> bytes:
 
 
 def _made(spark: SparkSession, folder: str, make: Callable[..., bytes], *columns: str) -> DataFrame:
-    return T.made(spread(table(spark, folder, "part").select(*columns)), make)
+    return T.made(spread(table(spark, folder, "part").select(*columns)), lambda *row: [(str(row[0]), make(*row))])
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,9 +9,8 @@ from __future__ import annotations
 import base64
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -315,12 +314,10 @@ def _edited(key: int, name: str, brand: str, size: int) -> list[bytes]:
 
 
 def _edits(spark: SparkSession, folder: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(f"{r[0]}/{way}", data) for r in zip(*(batch.column(i).to_pylist() for i in range(4))) for way, data in zip(("merged", "shorter", "urls", "textless"), _edited(*r))]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([d for _, d in rows], pa.binary())], names=["path", "content"])
+    def edits(key: int, *row) -> list[tuple[str, bytes]]:
+        return [(f"{key}/{way}", data) for way, data in zip(("merged", "shorter", "urls", "textless"), _edited(key, *row))]
 
-    return spread(table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size")).mapInArrow(run, "path string, content binary")
+    return T.made(spread(table(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size")), edits)
 
 
 def _by_way() -> list[Column]:

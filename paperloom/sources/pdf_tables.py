@@ -91,8 +91,8 @@ def read_file_list(spark: SparkSession, path: str) -> DataFrame:
     return listed.mapInArrow(run, schema)
 
 
-def made(parts: DataFrame, make: Callable[..., bytes]) -> DataFrame:
-    """``path, content``: a file made of the columns of each row, the first of which is its path.
+def made(parts: DataFrame, make: Callable[..., list[tuple[str, bytes]]]) -> DataFrame:
+    """``path, content``: files made of the columns of each row, given with their paths.
 
     The readers here make such files in the task that reads them.
     """
@@ -107,13 +107,13 @@ def made(parts: DataFrame, make: Callable[..., bytes]) -> DataFrame:
     return files
 
 
-def _contents(batch: pa.RecordBatch, make: Callable[..., bytes] | None) -> Iterator[tuple[str, bytes]]:
+def _contents(batch: pa.RecordBatch, make: Callable[..., list[tuple[str, bytes]]] | None) -> Iterator[tuple[str, bytes]]:
     """Paths and contents of files, or of those that ``make`` makes of a batch's rows."""
     rows = zip(*(c.to_pylist() for c in batch.columns))
-    return rows if make is None else ((str(row[0]), make(*row)) for row in rows)
+    return rows if make is None else (file for row in rows for file in make(*row))
 
 
-def _handed(files: DataFrame) -> tuple[DataFrame, Callable[..., bytes] | None]:
+def _handed(files: DataFrame) -> tuple[DataFrame, Callable[..., list[tuple[str, bytes]]] | None]:
     """What tasks get of files, and what makes the files of it."""
     return getattr(files, "made_of", None) or (files.select("path", "content"), None)
 
