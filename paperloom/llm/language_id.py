@@ -4,15 +4,17 @@ A text is a normalised TF-IDF vector of hashed character n-grams. Each language
 has several centroids, the means of clusters of its labelled texts, so that
 texts of different make find one near them. A text gets the language of the
 centroid with the largest cosine; one farther from it than nearly all texts of
-its length that were held out gets none. The labels of the sample that the
+its length that were held out gets none. The labels of the texts that the
 centroids are fitted to may be wrong: texts nearer to another language's centre
-are left out before the clusters are made. Texts are taken many at a time.
+are left out. A fit to a sample (`fit`) only tells where the clusters begin:
+frequencies, means and least cosines are then taken over all labelled texts, by
+sums over any number of parts of them. Texts are taken many at a time.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column
@@ -32,9 +34,11 @@ NAMES = {
 _CODES = {name: code for code, names in NAMES.items() for name in names}
 LANGUAGES = list(NAMES)
 
-#: Labelled texts of each language that the centroids are fitted to, at most.
+#: Labelled texts of each language that the clusters of all labelled texts begin with, at most.
 SAMPLE_ROWS = 300
 CLUSTERS = 3
+#: So often all labelled texts go to their nearest centroid and the centroids to their texts' means.
+ROUNDS = 2
 BITS = 15
 SIZE = 1 << BITS
 #: One labelled text in so many is held out to measure how near texts are to their language ...
@@ -45,6 +49,8 @@ LENGTHS, REJECT_QUANTILE, REJECT_SHARE = (15, 30, 60, 120, 400), 0.005, 0.8
 LEAST_PIECES = 50
 #: A script that one language alone is written in makes up for a cosine down to this share of the least one.
 SCRIPT_SHARE = 0.25
+#: Means are added up in whole numbers of this share, so that the sum does not depend on the order; cosines of pieces are counted by this share.
+_UNIT, COSINE_UNIT = 2.0**-30, 1e-4
 #: Nothing below this cosine is like any language; more than the other is never asked for, however alike the sample is.
 LEAST_COSINE, MOST_ASKED = 0.02, 0.2
 #: Parts of texts that are measured at once; few, so that their n-grams take little memory.
@@ -222,13 +228,83 @@ def _pieces(text: str) -> list[str]:
     return [p for p in dict.fromkeys(out) if p.strip()]
 
 
+def idf_of(frequency: np.ndarray, texts: float) -> np.ndarray:
+    """The weight of each key, by the number of texts that have it."""
+    return np.log((1 + texts) / (1 + frequency)) + 0.1
+
+
+def _has(masks: np.ndarray, languages: np.ndarray | int) -> np.ndarray:
+    """Whether masks, with a bit for each language, have the language beside them."""
+    return (masks >> languages) & 1 > 0
+
+
+def frequencies(texts: list[str], masks: np.ndarray) -> np.ndarray:
+    """How many of the texts of each language have each key; parts of them add up."""
+    out = np.zeros((len(LANGUAGES), SIZE), np.int64)
+    for low in range(0, len(texts), _PARTS):
+        grams = Grams.of(texts[low : low + _PARTS])
+        some = masks[low : low + _PARTS]
+        for k in np.flatnonzero([_has(some, k).any() for k in range(len(LANGUAGES))]):
+            out[k] += np.bincount(grams.key[_has(some, k)[grams.part]], minlength=SIZE)
+    return out
+
+
+def even_idf(frequency: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """`idf_of` the frequencies in all texts of each language. A language weighs as SAMPLE_ROWS texts if it has more, lest its share of the corpus tells."""
+    weights = np.minimum(texts, SAMPLE_ROWS)
+    return idf_of((weights / np.maximum(texts, 1)) @ frequency, weights.sum())
+
+
+def sums(model: Centroids, texts: list[str], masks: np.ndarray) -> np.ndarray:
+    """Of each centroid, the sum of the texts nearest to it, of those that its language is among the labels of, in `_UNIT`; parts of them add up."""
+    columns = len(model.languages)
+    out = np.zeros(columns * SIZE, np.int64)
+    for low in range(0, len(texts), _PARTS):
+        grams = Grams.of(texts[low : low + _PARTS])
+        unit = grams.weighted(model.idf)
+        cosines = grams.cosines(unit, model.centers)
+        nearest = cosines.argmax(axis=1)
+        kept = _has(masks[low : low + _PARTS], model.languages[nearest]) & (cosines.max(axis=1) > 0)
+        at = kept[grams.part]
+        # sums of whole numbers are exact
+        out += np.bincount(nearest[grams.part[at]] * SIZE + grams.key[at], weights=np.rint(unit[at] / _UNIT), minlength=columns * SIZE).astype(np.int64)
+    return out.reshape(columns, SIZE)
+
+
+def moved(model: Centroids, total: np.ndarray) -> Centroids:
+    """The centroids at the means of their texts; one without any stays."""
+    norm = np.linalg.norm(total.astype(float), axis=1)
+    means = (total / np.maximum(norm, 1.0)[:, None]).T
+    return replace(model, centers=np.where(norm > 0, means, model.centers).astype("f4"))
+
+
+def held_pieces(model: Centroids, texts: list[str], masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The centroid, the length's place and the cosine, in COSINE_UNIT, of held-out texts' pieces that count in `_least`.
+
+    Texts that are nearer to another language than their labels' do not count.
+    """
+    found = []
+    for low in range(0, len(texts), _PARTS):
+        several = [_pieces(t) for t in texts[low : low + _PARTS]]
+        grams, unit = (g := Grams.of([p for own in several for p in own])), g.weighted(model.idf)
+        cosines = grams.cosines(unit, model.centers)
+        nearest, top = cosines.argmax(axis=1), cosines.max(axis=1)
+        languages, sizes = model.languages[nearest], np.array([len(own) for own in several])
+        whole = languages[np.cumsum(sizes) - sizes]  # a text is the first of its pieces
+        right = _has(masks[low : low + _PARTS], whole)
+        counted = (grams.letters > 0) & np.repeat(right, sizes) & (languages == np.repeat(whole, sizes))
+        bins = np.searchsorted(LENGTHS, grams.letters, "right")
+        found.append((nearest[counted], bins[counted], np.rint(top[counted] / COSINE_UNIT).astype(int)))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, int),) * 3
+
+
 def fit(texts: list[tuple[str, str]], seed: int = 7) -> Centroids:
     """Centroids of ``(text, language)`` rows. A language without rows gets no centroid."""
     rng = np.random.default_rng(seed)
     labels = np.array([LANGUAGES.index(lang) for _, lang in texts], int)
     grams = Grams.of([t for t, _ in texts])
     frequency = np.bincount(grams.key, minlength=SIZE)
-    idf = np.log((1 + len(texts)) / (1 + frequency)) + 0.1
+    idf = idf_of(frequency, len(texts))
     unit = grams.weighted(idf)
     bounds = np.searchsorted(grams.part, np.arange(len(texts) + 1))
 
@@ -276,21 +352,32 @@ def _least(pieces: list[str], owners: np.ndarray, idf: np.ndarray, centers: np.n
     Pieces nearer to another language than their text's may be foreign and do
     not count. Where there are too few, all centroids' pieces of that length do.
     """
+    if not len(pieces) or not len(languages):
+        return bounds({}, {}, len(languages))
     grams = Grams.of(pieces)
     cosines = grams.cosines(grams.weighted(idf), centers)
-    out = np.full((len(languages), len(LENGTHS) + 1), LEAST_COSINE)
-    if not len(pieces) or not len(languages):
-        return out
     nearest, top = cosines.argmax(axis=1), cosines.max(axis=1)
     bins = np.searchsorted(LENGTHS, grams.letters, "right")
     counted = (grams.letters > 0) & (languages[nearest] == owners)
-    bound = lambda found: min(MOST_ASKED, max(LEAST_COSINE, REJECT_SHARE * float(np.quantile(found, REJECT_QUANTILE))))
-    for b in range(out.shape[1]):
-        here = counted & (bins == b)
-        every = bound(top[here]) if here.any() else out[:, b - 1].min() if b else LEAST_COSINE
+    own, every = {}, {}
+    for b in range(len(LENGTHS) + 1):
+        if (here := counted & (bins == b)).any():
+            every[b] = float(np.quantile(top[here], REJECT_QUANTILE))
         for k in range(len(languages)):
-            own = top[here & (nearest == k)]
-            out[k, b] = bound(own) if len(own) >= LEAST_PIECES else every
+            if (of := here & (nearest == k)).any():
+                own[k, b] = int(of.sum()), float(np.quantile(top[of], REJECT_QUANTILE))
+    return bounds(own, every, len(languages))
+
+
+def bounds(own: dict[tuple[int, int], tuple[int, float]], every: dict[int, float], columns: int) -> np.ndarray:
+    """Least cosines, by the number and the quantile of the pieces of each centroid and length, and the quantile of all of each length."""
+    out = np.full((columns, len(LENGTHS) + 1), LEAST_COSINE)
+    bound = lambda quantile: min(MOST_ASKED, max(LEAST_COSINE, REJECT_SHARE * quantile))
+    for b in range(out.shape[1] if columns else 0):
+        common = bound(every[b]) if b in every else out[:, b - 1].min() if b else LEAST_COSINE
+        for k in range(columns):
+            n, quantile = own.get((k, b), (0, 0.0))
+            out[k, b] = bound(quantile) if n >= LEAST_PIECES else common
     return out
 
 

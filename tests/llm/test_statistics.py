@@ -127,3 +127,55 @@ def test_languages_of_results(tables, spark):
     assert [x for x in found if x[0] != 4] == [(1, 0, "es"), (3, 0, "ko")]
     assert (4, 1, "de") in found and (4, 2, "fr") in found
     assert QUERIES["p4_languages"](spark, tables.folder).where("result_id = 2 and lang = 'es'").count() == 1
+
+
+def test_all_labelled_texts_are_fitted(tables, spark):
+    import numpy as np
+
+    from paperloom.llm import language_id, language_queries
+    from paperloom.llm.records import vocabulary_of
+    from paperloom.llm.stats_queries import common_words
+
+    # German texts of which the sample has one kind only: the others have hashes that it does not take
+    other = ["Zwölf Boxkämpfer jagen Viktor quer über den großen Sylter Deich.", "Schöne Ärzte üben wöchentlich gemütliche Volksmusik.", "Falsches Üben von Xylophonmusik quält jeden größeren Zwerg."]
+    rng = random.Random(3)
+    kinds = [{prose("de", k, 7) for k in range(450)}, {" ".join(rng.choice(other) for _ in range(7)) for _ in range(1200)}]
+    hashes = spark.createDataFrame([(t,) for t in sorted(kinds[1])], "t string").selectExpr("t", "pmod(xxhash64(t, 'de'), 1 << 30) / (1 << 30) h").collect()
+    far = [r.t for r in hashes if r.h > 0.7]
+    tables.results([(k, t, "de") for k, t in enumerate([*kinds[0], *far])])
+    vocabulary, common = vocabulary_of(spark, tables.folder), common_words(spark, tables.folder)
+    prose_ = language_queries._prose(spark, tables.folder, vocabulary, common)
+    sample = language_queries.labelled_sample(language_queries._labelled(prose_))
+    assert len(far) > 100 and not {t for t, _ in sample} & set(far)
+    # all labelled texts together have the frequencies and means that tell
+    texts = [language_queries._unpacked(pa.record_batch({"text": pa.array([r.text], pa.binary())}))[0] for r in prose_.collect()]
+    assert len(set(texts) & set(far)) == len(far)
+    model, of_sample = language_queries.fitted(prose_), fit(sample)
+    german = language_id.LANGUAGES.index("de")
+    near = [m.scores(far)[0][:, german] for m in (of_sample, model)]
+    assert near[1].min() > 0.5 > near[0].max() + 0.1
+    counts = language_queries._summed(prose_.where("langs > 0"), len(language_id.LANGUAGES), language_id.frequencies)
+    grams = Grams.of([t for t in texts if t in set(far) | kinds[0]])
+    assert (counts[german] >= np.bincount(grams.key, minlength=language_id.SIZE)).all()
+
+
+def test_parts_of_labelled_texts_add_up():
+    import numpy as np
+
+    from paperloom.llm.language_id import LANGUAGES, SIZE, frequencies, held_pieces, moved, sums
+
+    rows = [(prose(lang, k, 3), lang) for lang in SENTENCES for k in range(20)]
+    rows += [(prose("de", 900 + k), "en") for k in range(3)]  # wrong labels
+    texts, masks = [t for t, _ in rows], np.array([1 << LANGUAGES.index(lang) for _, lang in rows])
+    model = fit(rows)
+    for work in (frequencies, lambda t, m: sums(model, t, m)):
+        assert (work(texts, masks) == work(texts[:50], masks[:50]) + work(texts[50:], masks[50:])).all()
+    assert frequencies(texts, masks).shape == (len(LANGUAGES), SIZE) and frequencies(texts, masks)[LANGUAGES.index("nl")].sum() == 0
+    # texts of wrong labels move nothing and have no pieces that count
+    total = sums(model, texts, masks)
+    assert (total == sums(model, texts[:-3], masks[:-3])).all() and not len(held_pieces(model, texts[-3:], masks[-3:])[0])
+    centers = moved(model, total).centers
+    assert np.allclose(np.linalg.norm(centers, axis=0), 1, atol=1e-3) and (moved(model, total * 0).centers == model.centers).all()
+    # a text of two labels counts for the one it is nearest to
+    both = masks | 1 << LANGUAGES.index("nl")
+    assert (sums(model, texts, both) == total).all()
