@@ -176,11 +176,10 @@ class Grams:
         out = np.zeros((len(self.letters), centers.shape[1]), "f4")
         if len(unit) and centers.shape[1]:
             starts = np.flatnonzero(np.append(True, self.part[1:] != self.part[:-1]))
-            # a few parts at a time, so that the rows fit into the cache
-            for low in range(0, len(starts), 64):
-                a, b = starts[low], starts[low + 64] if low + 64 < len(starts) else len(unit)
-                rows = centers[self.key[a:b]] * unit[a:b, None].astype("f4")
-                out[self.part[starts[low : low + 64]]] = np.add.reduceat(rows, starts[low : low + 64] - a, axis=0)
+            ends, unit, centers = np.append(starts[1:], len(unit)).tolist(), unit.astype("f4"), np.ascontiguousarray(centers, "f4")
+            # a part at a time, so that its rows fit into the cache
+            for part, a, b in zip(self.part[starts].tolist(), starts.tolist(), ends):
+                np.dot(unit[a:b], centers.take(self.key[a:b], axis=0), out=out[part])
         return out
 
 
@@ -275,7 +274,7 @@ def moved(model: Centroids, total: np.ndarray) -> Centroids:
     """The centroids at the means of their texts; one without any stays."""
     norm = np.linalg.norm(total.astype(float), axis=1)
     means = (total / np.maximum(norm, 1.0)[:, None]).T
-    return replace(model, centers=np.where(norm > 0, means, model.centers).astype("f4"))
+    return replace(model, centers=np.ascontiguousarray(np.where(norm > 0, means, model.centers), "f4"))
 
 
 def held_pieces(model: Centroids, texts: list[str], masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
